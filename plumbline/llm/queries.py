@@ -1,12 +1,16 @@
 """The driver queries of the training-data operators and, where SQL can express one, its DuckDB statement."""
 
-from . import minimax_shards, quality_rules
+from . import chat_format, fair_mix, minimax_shards, quality_rules
 
 QUERIES = {
     "op2_host_quality_rules": quality_rules.op2_query,
     "op4_minimax_shards": minimax_shards.op4_query,
+    "op7_fair_mix": fair_mix.op7_query,
+    "op9_chat_format": chat_format.op9_query,
 }
 
 ORACLES = {
     "op2_host_quality_rules": quality_rules.OP2_SQL,
+    "op7_fair_mix": fair_mix.OP7_SQL,
+    "op9_chat_format": chat_format.OP9_SQL,
 }
