@@ -1,13 +1,15 @@
 """The driver queries of the training-data operators and, where SQL can express one, its DuckDB statement."""
 
-from . import chat_format, fair_mix, minimax_shards, quality_rules, token_files
+from . import chat_format, fair_mix, minimax_shards, prefix_bpe, quality_rules, simhash_tiles, token_files
 
 QUERIES = {
     "op1_rans_token_files": token_files.op1_query,
     "op2_host_quality_rules": quality_rules.op2_query,
     "op4_minimax_shards": minimax_shards.op4_query,
+    "op6_simhash_tiles": simhash_tiles.op6_query,
     "op7_fair_mix": fair_mix.op7_query,
     "op9_chat_format": chat_format.op9_query,
+    "op10_prefix_bpe": prefix_bpe.op10_query,
 }
 
 ORACLES = {
