@@ -1,24 +1,54 @@
-"""A corpus pipeline: documents in, filtered and tokenised documents out."""
+"""A corpus pipeline: documents are filtered for quality, freed of near duplicates, mixed and tokenised.
+
+Each stage works on all that the one before kept, and each but the last returns the columns of its documents; columns
+beyond doc_id, text and source only pass through. The mixture may hold a document more than once.
+"""
 
 from __future__ import annotations
 
 from collections.abc import Callable
 
+import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 
-from plumbline.llm import quality_rules
+from plumbline.llm import fair_mix, gbt_quality, prefix_bpe, quality_rules, simhash_tiles
 from plumbline.llm.shared import table, written
 
 
+def quality_classifier(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Documents that the classifier scores below a half go."""
+    return gbt_quality.keep_good(docs, table(spark, sf_dir, "labels"))
+
+
 def host_quality_rules(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Documents that fail the base rules, or whose host does, go."""
+    """Documents that fail the base rules, or whose source is rejected, go."""
     return quality_rules.keep_good(docs)
 
 
+def near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Of each component of near duplicates the document with the least id stays."""
+    return simhash_tiles.keep_one(docs)
+
+
+def mixing(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Sources are brought to their target weights: documents of some go, those of others come up to three times."""
+    return fair_mix.resample(docs)
+
+
+def tokenizing(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """A row per document of the mixture: doc_id, n_tokens, ids_sha256, decoded_sha256."""
+    return prefix_bpe.encode_documents(docs, public_tokenizers.path("byte_bpe_multi_50k.tiktoken"), public_tokenizers.PATTERN)
+
+
 STAGES: list[tuple[str, Callable[[SparkSession, DataFrame, str], DataFrame]]] = [
+    ("quality_classifier", quality_classifier),
     ("quality_rules", host_quality_rules),
+    ("simhash_near_dedup", near_duplicates),
+    ("mixing", mixing),
+    ("bpe_encoding", tokenizing),
 ]
 
+#: The classifier and the fingerprints are beyond SQL; tests hold the stages against brute force.
 ORACLE_SQL = None
 
 
