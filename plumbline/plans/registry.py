@@ -1,4 +1,6 @@
 """All driver queries by name."""
 
-QUERIES: dict = {}
-ORACLES: dict = {}
+from . import choosing, matching  # noqa: F401
+from .shared import ORACLES, QUERIES
+
+__all__ = ["ORACLES", "QUERIES"]
