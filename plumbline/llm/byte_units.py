@@ -35,26 +35,40 @@ def units(text: str) -> list[str]:
 class UnitCache:
     """What encode() makes of units, for texts at a time; the joined results of a text's units are the text's result.
 
-    Units are kept with their leading space cut off in one table and as they are in another, each emptied when full.
+    Units are kept with their leading space cut off in one table and as they are in another. A table that is full
+    becomes the old one, from which units that are met again are taken over, and the old one before it is forgotten.
+    encode_row gets units that each are one space and then something that neither begins nor ends with white space;
+    put in a row, such units still encode independently.
     """
 
-    def __init__(self, encode: Callable[[list[str]], list], full: int = 400_000):
-        self.encode, self.full = encode, full
-        self.spaced: dict = {}
-        self.bare: dict = {}
+    def __init__(self, encode: Callable[[list[str]], list], encode_row: Callable[[list[str]], list] | None = None, full: int = 400_000):
+        self.bare, self.spaced = _Table(encode, "", full), _Table(encode_row or encode, " ", full)
 
     def parts(self, text: str) -> list:
         if _RUN.search(text):
-            return self._get(self.bare, units(text), "")
+            return self.bare.get(units(text))
         first, *rest = text.split(" ")
-        return (self._get(self.bare, [first], "") if first else []) + self._get(self.spaced, rest, " ")
-
-    def _get(self, table: dict, keys: list[str], lead: str) -> list:
-        got = list(map(table.get, keys))
-        if None in got:
-            if len(table) > self.full:
-                table.clear()
-            new = list({k for k, v in zip(keys, got, strict=True) if v is None})
-            table.update(zip(new, self.encode([lead + k for k in new]), strict=True))
-            got = [v if v is not None else table[k] if k in table else self.encode([lead + k])[0] for k, v in zip(keys, got, strict=True)]
-        return got
+        return (self.bare.get([first]) if first else []) + self.spaced.get(rest)
+
+
+class _Table:
+    def __init__(self, encode: Callable[[list[str]], list], lead: str, full: int):
+        self.encode, self.lead, self.full = encode, lead, full
+        self.young: dict = {}
+        self.old: dict = {}
+
+    def get(self, keys: list[str]) -> list:
+        got = list(map(self.young.get, keys))
+        if None not in got:
+            return got
+        if len(self.young) > self.full:
+            self.old, self.young = self.young, {}
+            return self.get(keys)
+        young, old, new = self.young, self.old, []
+        for k in {k for k, v in zip(keys, got, strict=True) if v is None}:
+            if (v := old.get(k)) is None:
+                new.append(k)
+            else:
+                young[k] = v
+        young.update(zip(new, self.encode([self.lead + k for k in new]) if new else [], strict=True))
+        return list(map(young.__getitem__, keys))
