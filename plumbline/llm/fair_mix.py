@@ -63,7 +63,8 @@ def _sized(docs: DataFrame) -> DataFrame:
 
 
 def finish(epoch: int) -> Column:
-    return (F.col("upto") + epoch * F.col("source_size")).cast("double") / F.col("target")
+    """Null where nothing is wanted of the source, which then has no words."""
+    return F.try_divide((F.col("upto") + epoch * F.col("source_size")).cast("double"), F.col("target"))
 
 
 def within(epoch: int, cut: tuple[float, int] | None) -> Column:
@@ -71,7 +72,7 @@ def within(epoch: int, cut: tuple[float, int] | None) -> Column:
     if cut is None:
         return F.lit(False)
     t = finish(epoch)
-    return (F.col("size") > 0) & ((t < cut[0]) | ((t == cut[0]) & (F.col("rank") <= cut[1])))
+    return (F.col("size") > 0) & F.coalesce((t < cut[0]) | ((t == cut[0]) & (F.col("rank") <= cut[1])), F.lit(False))
 
 
 def queue(docs: DataFrame, mix: Mix) -> tuple[DataFrame, tuple[float, int] | None]:
