@@ -127,7 +127,7 @@ def faces(segments: DataFrame, least_area: float = 0.05) -> DataFrame:
 
     def run(rows: pd.DataFrame) -> pd.DataFrame:
         found = _trace(rows[list(SEGMENT)].to_numpy(float).reshape(-1, 2, 2), least_area)
-        return pd.DataFrame({"page_id": [rows["page_id"].iloc[0]] * len(found), "face": range(1, len(found) + 1), "points": [[{"x": x, "y": y} for x, y in f] for f in found]})
+        return pd.DataFrame({"page_id": [rows["page_id"].iloc[0]] * len(found), "face": range(1, len(found) + 1), "points": pd.Series([[{"x": x, "y": y} for x, y in f] for f in found], dtype=object)})
 
     got = split(segments).groupBy("page_id").applyInPandas(run, "page_id long, face int, points array<struct<x:double,y:double>>")
     return got.withColumn("area", geometry.area(F.col("points"))).withColumn("perimeter", geometry.perimeter(F.col("points")))

@@ -1,6 +1,6 @@
 """All driver queries by name."""
 
-from . import choosing, matching  # noqa: F401
+from . import choosing, matching, natural  # noqa: F401
 from .shared import ORACLES, QUERIES
 
 __all__ = ["ORACLES", "QUERIES"]
