@@ -159,7 +159,7 @@ def dimensions_m(c: Column, least: float = 0.25, most: float = 150.0) -> Column:
     return F.array_sort(F.array_distinct(F.filter(F.transform(found, dimension_m), lambda x: x.between(least, most))))
 
 
-def dimension_pair_mm(c: Column, least: int = 100, most: int = 9999) -> Column:
+def dimension_pair_mm(c: Column, least: int = 200, most: int = 6000) -> Column:
     """struct(width, height) in mm of "900 x 2100", "900/2100" or "0.9m x 2.1m"; null where there is none."""
     x = F.replace(F.lower(F.coalesce(c, F.lit(""))), F.lit("×"), F.lit("x"))
     pair = r"(\d{3,4})\s*(?:mm)?\s*(?:[wh]\b)?\s*[x/]\s*(\d{3,4})"
@@ -176,7 +176,37 @@ def finish_codes(c: Column) -> Column:
 def opening_kind(c: Column) -> Column:
     """door or window by an opening's mark, null for other text."""
     x = F.upper(F.trim(c))
-    return F.when(x.rlike(r"^(?:D|DR|SD|FD)[-.]?\d{1,3}[A-Z]?$"), F.lit("door")).when(x.rlike(r"^(?:W|WN|WD)[-.]?\d{1,3}[A-Z]?$"), F.lit("window"))
+    return F.when(x.rlike(r"^[EI]?D\d{1,3}$"), F.lit("door")).when(x.rlike(r"^[EI]?W\d{1,3}$"), F.lit("window"))
+
+
+def opening_mark(c: Column) -> Column:
+    """The first opening mark in a text, upper case. (F32)"""
+    return F.upper(first(c, r"(?i)\b((?:[EI]?[DW]|WD|DW)\d{1,4})\b"))
+
+
+#: What headings say that a dimension is of.
+BASIS_WORDS = (
+    (r"\b(?:rough\s*opening|ro\s*(?:size|wdth|ht)|structural\s*opening|r\.?o\.?\s*(?:width|height|wdth|ht|hgt))\b", "rough_opening"),
+    (r"\b(?:frame\s*(?:size|width|height|wdth|ht|hgt)|fr\s*size)\b", "frame"),
+    (r"\bleaf\s*(?:size|width|height|wdth|ht|hgt)\b", "leaf"),
+    (r"\bclear\s*(?:opening|size|width|height|wdth|ht|hgt)\b", "clear_opening"),
+)
+
+
+def heading_basis(c: Column) -> Column:
+    """The basis that a heading states; null for plain width, height or size."""
+    x, out = F.lower(F.trim(c)), None
+    for pattern, basis in BASIS_WORDS:
+        out = F.when(x.rlike(pattern), basis) if out is None else out.when(x.rlike(pattern), basis)
+    return out
+
+
+def single_dimension_mm(c: Column, least: int = 200, most: int = 6000) -> Column:
+    """One dimension in mm: in mm, in m, or a bare number."""
+    x = F.replace(F.lower(F.trim(c)), F.lit(","), F.lit(""))
+    metres = F.bround(first(x, r"(\d{1,3}(?:\.\d{1,3})?)\s*m\b").try_cast("double") * 1000).cast("int")
+    v = F.coalesce(first(x, r"(\d{2,5})\s*mm").cast("int"), metres, x.try_cast("double").cast("int"))
+    return F.when(v.between(least, most), v)
 
 
 def orientation(c: Column) -> Column:

@@ -18,7 +18,10 @@ CASES = [
     (text.sheet_number, ["A-101 Floor Plan", "wd 204b x", "Cover sheet", None], ["A-101", "WD204B", "COVER", "UNKNOWN"]),
     (text.dimension_m, ["3600", "1200 mm", "3.6m", "45", "0.01m", "x"], [3.6, 1.2, 3.6, None, None, None]),
     (text.finish_codes, ["PT1 and pt-02, PT1", None], [["PT-02", "PT1"], []]),
-    (text.opening_kind, ["D01", "W12a", "room"], ["door", "window", None]),
+    (text.opening_kind, ["D01", "iw12", "W12a", "room"], ["door", "window", None, None]),
+    (text.opening_mark, ["Door ed12 glazed", "WD3", "II", None], ["ED12", "WD3", None, None]),
+    (text.heading_basis, ["Rough Opening Width", "RO ht", "Frame size", "leaf height", "Clear opening", "Width"], ["rough_opening", "rough_opening", "frame", "leaf", "clear_opening", None]),
+    (text.single_dimension_mm, ["900mm", "2.1 m", "1,200", "99", "x", None], [900, 2100, 1200, None, None, None]),
     (text.clean_id, [" W1 ", "None", "nan", ""], ["W1", None, None, None]),
 ]
 
