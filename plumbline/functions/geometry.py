@@ -113,3 +113,55 @@ def box_faces(x: Column, y: Column, z: Column, width: Column, depth: Column, hei
     """The six faces of a mass with their areas. (F129)"""
     face = lambda name, a, b: F.struct(F.lit(name).alias("face"), (a * b).alias("area_m2"))
     return F.array(face("front", width, height), face("back", width, height), face("left", depth, height), face("right", depth, height), face("top", width, depth), face("bottom", width, depth))
+
+
+def measured(kind: Column, s: Column, percent_points: Column, width_px: Column, height_px: Column, px_m: Column) -> Column:
+    """struct(length_m, area_m2, perimeter_m) of a line or polygon in percent of a page. (F106)"""
+    page = (width_px > 0) & (height_px > 0) & (px_m > 0)
+    polygon = F.lower(kind) == "polygon"
+    px = F.transform(percent_points, lambda p: F.struct((p["x"] / 100 * width_px).alias("x"), (p["y"] / 100 * height_px).alias("y")))
+    line = F.hypot((s["x2"] - s["x1"]) / 100 * width_px, (s["y2"] - s["y1"]) / 100 * height_px) / px_m
+    some = lambda c: F.when(page & c[0], c[1]).otherwise(0.0)
+    closed = polygon & (F.size(percent_points) >= 3)
+    return F.struct(some((~polygon, line)).alias("length_m"), some((closed, area(px) / (px_m * px_m))).alias("area_m2"), some((closed, perimeter(px) / px_m)).alias("perimeter_m"))
+
+
+def calibrated_px_per_m(line: Column, metres: Column, width_px: Column, height_px: Column) -> Column:
+    """Pixels a metre from a line in percent of a page and its length."""
+    px = F.hypot((line["x2"] - line["x1"]) / 100 * width_px, (line["y2"] - line["y1"]) / 100 * height_px)
+    return F.when((metres > 0) & (px > 0), px / metres)
+
+
+def wall_metres(length_pt: Column, metres_per_mm: Column) -> Column:
+    """Metres of a line in PDF points; null without a scale."""
+    return length_pt * F.lit(25.4 / 72) * metres_per_mm
+
+
+def opening_area(width: Column, height: Column) -> Column:
+    """Null unless both sides are positive. (F134)"""
+    return F.when((width > 0) & (height > 0), width * height)
+
+
+def opening_fits(position: Column, width: Column, sill: Column, height: Column, wall_length: Column, wall_height: Column) -> Column:
+    """Why an opening doesn't fit its wall, null if it does."""
+    return F.when(~F.coalesce((wall_length > 0) & (wall_height > 0), F.lit(False)), "wall_invalid").when(~F.coalesce((width > 0) & (height > 0), F.lit(False)), "opening_invalid").when((position < 0) | (position + width > wall_length + 1e-6), "outside_length").when((sill < 0) | (sill + height > wall_height + 1e-6), "outside_height")
+
+
+def opening_sized(width: Column, height: Column) -> Column:
+    """The band of sizes that openings have."""
+    return F.coalesce(width.between(0.3, 6.0) & height.between(0.3, 5.0), F.lit(False))
+
+
+def opening_box(wall: Column, position: Column, width: Column, sill: Column, height: Column) -> Column:
+    """struct of the opening's corners in space, along its wall. (F135)"""
+    n = length(wall)
+    at = lambda d, a: wall[f"{a}1"] + (wall[f"{a}2"] - wall[f"{a}1"]) * d / n
+    end = position + width
+    return F.when(n > 0, F.struct(at(position, "x").alias("x0"), at(position, "y").alias("y0"), at(end, "x").alias("x1"), at(end, "y").alias("y1"), sill.alias("z0"), (sill + height).alias("z1")))
+
+
+def clamped_box(b: Column, width: Column, height: Column) -> Column:
+    """A box with its corners in order and inside its page. (F138)"""
+    lo = lambda p, q, top: F.least(F.greatest(F.least(b[p], b[q]), F.lit(0.0)), top)
+    hi = lambda p, q, top: F.least(F.greatest(F.greatest(b[p], b[q]), F.lit(0.0)), top)
+    return F.struct(lo("x0", "x1", width).alias("x0"), lo("y0", "y1", height).alias("y0"), hi("x0", "x1", width).alias("x1"), hi("y0", "y1", height).alias("y1"))

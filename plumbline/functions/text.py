@@ -245,3 +245,113 @@ def clean_id(c: Column) -> Column:
 def json_object(c: Column) -> Column:
     """The text from its first brace to its last, to be read with from_json; null where there is none."""
     return first(c, r"(?s)(\{.*\})")
+
+
+def safe_name(c: Column, fallback: str = "item") -> Column:
+    """A file name's safe characters."""
+    return F.coalesce(F.nullif(F.trim(F.regexp_replace(F.trim(F.coalesce(c, F.lit(""))), r"[^A-Za-z0-9._-]+", "_"), F.lit("_")), F.lit("")), F.lit(fallback))
+
+
+def integer(c: Column, default: int = 0) -> Column:
+    """A whole number, a decimal one cut off, or the default."""
+    return F.coalesce(c.try_cast("double").try_cast("long"), F.lit(default).cast("long"))
+
+
+#: Spellings of what is in and out.
+INCLUSION = {
+    "INCLUSION": ("", "base", "included", "include", "yes", "incl", "inc"), "PROVISIONAL": ("optional", "opt", "option", "provisional", "prov"), "EXCLUSION": ("excluded", "exclude", "exc", "no"),
+    "SEPARATE ITEM": ("separate", "separate item"), "CLARIFICATION": ("clarification", "clarify"),
+}
+
+
+def inclusion(c: Column) -> Column:
+    """(F59)"""
+    x, out = F.lower(F.trim(F.coalesce(c, F.lit("")))), None
+    for name, words in INCLUSION.items():
+        out = F.when(x.isin(*words), name) if out is None else out.when(x.isin(*words), name)
+    return out.otherwise(F.trim(c))
+
+
+def descriptions_agree(a: Column, b: Column, least: int = 8) -> Column:
+    """Equal, or one holds the other and that is 8 characters long at least."""
+    x, y = norm_key(a), norm_key(b)
+    return (x == y) | ((F.length(y) >= least) & x.contains(y)) | ((F.length(x) >= least) & y.contains(x))
+
+
+def expand(c: Column, words: dict[str, str]) -> Column:
+    """Abbreviations as whole words written out."""
+    for short, long in words.items():
+        c = F.regexp_replace(c, rf"(?i)\b{short}\b", long)
+    return c
+
+
+#: Words of a finish and the colours they are drawn in, in order of precedence.
+COLOURS = (
+    ("charcoal", "#3A3A3C"), ("graphite", "#4A4A4C"), ("black", "#222222"), ("white", "#F2F0EB"), ("cream", "#E8E1CC"), ("ivory", "#F4F0E3"), ("grey", "#9A9A96"), ("gray", "#9A9A96"), ("silver", "#C6C6C2"),
+    ("zinc", "#8E8E8A"), ("aluminium", "#B8B8B4"), ("timber", "#9A6A3A"), ("wood", "#9A6A3A"), ("cedar", "#A3703C"), ("brick", "#9A4B32"), ("render", "#D8CFBE"), ("beige", "#CBB79A"), ("sand", "#C9B79C"),
+    ("brown", "#7A5230"), ("blue", "#4A74A4"), ("green", "#4F7A4F"), ("red", "#A04444"), ("orange", "#C07830"), ("yellow", "#C9B93C"),
+)
+
+
+def colour(c: Column, own: Column | None = None, of_substrate: Column | None = None) -> Column:
+    """The colour of a row, else of its substrate, else of the words of its finish."""
+    said = first_keyword(c, COLOURS, "#C9BFA6")
+    return F.coalesce(*[x for x in (own, of_substrate) if x is not None], said)
+
+
+def scope_groups(c: Column) -> Column:
+    """Buildings, blocks, wings and stages named in a text."""
+    found = F.regexp_extract_all(F.lower(F.coalesce(c, F.lit(""))), F.lit(r"\b((?:building|block|wing|stage|tower|zone)\s+[a-z0-9]{1,3})\b"), F.lit(1))
+    return F.array_distinct(F.transform(found, F.initcap))
+
+
+def metres_per_page_mm(c: Column) -> Column:
+    """What a millimetre of paper is: n/1000 of a scale 1:n, M/N of "N mm = M m"."""
+    x = F.lower(F.coalesce(c, F.lit("")))
+    ratio = scale_ratio(c) / 1000.0
+    mm, m = first(x, r"(\d+(?:\.\d+)?)\s*mm\s*=\s*\d").try_cast("double"), first(x, r"mm\s*=\s*(\d+(?:\.\d+)?)\s*m\b").try_cast("double")
+    return F.coalesce(ratio, F.try_divide(m, mm))
+
+
+def unit_areas(c: Column, least: float = 8.0, most: float = 1000.0) -> Column:
+    """struct(label, area_m2) of every unit whose line states its area."""
+    lines = F.split(F.lower(F.coalesce(c, F.lit(""))), "\n")
+    read = F.transform(lines, lambda x: F.struct(first(x, r"\b((?:unit|apartment|apt|townhouse|villa|lot)\s*[a-z0-9]+)\b").alias("label"), first(x, r"(\d+(?:\.\d+)?)\s*(?:m2|m²|sqm)").try_cast("double").alias("area_m2")))
+    good = F.filter(read, lambda r: r["label"].isNotNull() & r["area_m2"].between(least, most))
+    return F.transform(good, lambda r: F.struct(F.initcap(r["label"]).alias("label"), r["area_m2"].alias("area_m2")))
+
+
+#: Materials by the words that name them.
+MATERIALS = (("plasterboard", "Plasterboard"), ("fibre cement", "Fibre cement"), ("concrete", "Precast concrete"), ("masonry", "Masonry"), ("brick", "Masonry"), ("timber", "Timber"), ("steel", "Structural steel"), ("render", "Render"))
+
+
+def substrate_areas(c: Column) -> Column:
+    """struct(substrate, area_m2) of every line that names one material and an area."""
+    lines = F.split(F.lower(F.coalesce(c, F.lit(""))), "\n")
+    named = lambda x: F.array_distinct(F.filter(F.array(*[F.when(x.contains(w), F.lit(n)) for w, n in MATERIALS]), lambda v: v.isNotNull()))
+    read = F.transform(lines, lambda x: F.struct(named(x).alias("n"), first(x, r"(\d+(?:\.\d+)?)\s*(?:m2|m²|sqm)").try_cast("double").alias("a")))
+    good = F.filter(read, lambda r: (F.size(r["n"]) == 1) & r["a"].between(0.2, 50000))
+    return F.transform(good, lambda r: F.struct(r["n"][0].alias("substrate"), r["a"].alias("area_m2")))
+
+
+def semantic_heights(c: Column, least: float = 1.8, most: float = 12.0) -> Column:
+    """Heights in metres that a text calls ceiling or wall heights."""
+    found = F.regexp_extract_all(F.lower(F.coalesce(c, F.lit(""))), F.lit(r"\b(?:ch|clg|ceiling height|ceiling|wall height|soffit)\s*[:=]?\s*(\d{1,4}(?:\.\d{1,3})?\s*(?:mm|m)?)\b"), F.lit(1))
+    return F.array_sort(F.array_distinct(F.filter(F.transform(found, dimension_m), lambda h: h.between(least, most))))
+
+
+def stamp() -> Column:
+    """(F140)"""
+    return F.date_format(F.current_timestamp(), "yyyy-MM-dd HH:mm:ss")
+
+
+def digest(c: Column) -> Column:
+    """(F141)"""
+    return F.sha2(F.coalesce(c.cast("string"), F.lit("")), 256)
+
+
+def lock_keys(job: Column, fingerprint: Column) -> Column:
+    """struct(a, b): two positive 31-bit keys of a job and a fingerprint."""
+    b = F.when(F.coalesce(fingerprint, F.lit("")) == "", 0).otherwise(F.conv(F.substring(F.md5(fingerprint.cast("binary")), 1, 8), 16, 10).cast("long"))
+    mask = F.lit(0x7FFFFFFF).cast("long")
+    return F.struct(job.cast("long").bitwiseAND(mask).alias("a"), b.cast("long").bitwiseAND(mask).alias("b"))
