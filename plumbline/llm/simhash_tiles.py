@@ -35,6 +35,7 @@ SHINGLE = 3
 SEED = 42
 LEAST_TILE, MOST_TILE, TILES = 16_384, 500_000, 24
 CHUNK = 1 << 21  # comparisons at a time
+FINE = 40_000  # tiles beyond this size are grouped by the counts of four words, smaller ones by the whole count
 
 
 def fingerprint(text: str) -> int:
@@ -111,7 +112,7 @@ def links(a: np.ndarray, b: np.ndarray | None) -> tuple[np.ndarray, np.ndarray]:
     """A spanning forest, as two arrays of fingerprints, of the pairs of a and b (None: of a itself) within RADIUS."""
     own = b is None
     b = a if own else b
-    words = 4 if min(len(a), len(b)) > 40_000 else 1
+    words = 4 if min(len(a), len(b)) > FINE else 1
     order_a, cells_a = _cells(a, words)
     order_b, cells_b = (order_a, cells_a) if own else _cells(b, words)
     sa, sb = a[order_a], b[order_b]

@@ -55,10 +55,9 @@ def test_links_against_brute_force(words, n, monkeypatch):
             x[k] = x[k - 1] ^ np.uint64(sum(1 << int(b) for b in rng.choice(64, rng.integers(1, 6), replace=False)))
     x = np.unique(x)
     rng.shuffle(x)
-    monkeypatch.setattr(simhash_tiles, "min", lambda a, b: 10**6 if words == 4 else 0, raising=False)  # which grouping is used
+    monkeypatch.setattr(simhash_tiles, "FINE", 0 if words == 4 else 10**6)  # which grouping is used
     monkeypatch.setattr(simhash_tiles, "CHUNK", 5000)
     a, b = x[: n // 3], x[n // 3 :]
-    monkeypatch.undo() if words == 1 else None
     found = [p for s, t in ((a, None), (b, None), (a, b)) for p in zip(*map(np.ndarray.tolist, simhash_tiles.links(s, t)), strict=True)]
     nodes = x.tolist()
     want = [(p, q) for i, p in enumerate(nodes) for q in nodes[:i] if (p ^ q).bit_count() <= 3]
