@@ -226,3 +226,103 @@ def zone_rows(zones: DataFrame, shapes: DataFrame) -> DataFrame:
     area, line = free.filter("lower(kind) = 'polygon'"), free.filter("lower(kind) <> 'polygon'")
     every = named(zones, F.bround("area_m2", 3), "m²").unionByName(named(area, F.bround("area_m2", 3), "m²")).unionByName(named(line, F.bround("length_m", 3), "lm"))
     return every.filter("quantity > 0")
+
+
+def scope_prisms(prisms: DataFrame, included: list[str], reference: list[str], unassigned: bool = True) -> DataFrame:
+    """Prisms whose groups are included or kept for reference; those without a group by a switch. prisms: groups."""
+    has = lambda names: F.arrays_overlap("groups", F.array(*[F.lit(n) for n in names]) if names else F.array().cast("array<string>"))
+    state = F.when(F.coalesce(F.size("groups"), F.lit(0)) <= 0, F.lit("Included" if unassigned else "Excluded")).when(has(included), "Included").when(has(reference), "Reference").otherwise("Excluded")
+    return prisms.withColumn("scope_state", state).filter("scope_state <> 'Excluded'")
+
+
+def authorised(rows: DataFrame) -> Column:
+    """A deduction by hand, or an automatic one that passes every condition."""
+    return F.coalesce(F.col("deduct") & ((F.lower(F.coalesce("decided_by", F.lit(""))) == "manual") | openings.eligible()), F.lit(False))
+
+
+def room_words(words: DataFrame, vocabulary: list[str]) -> DataFrame:
+    """Words that name a room: letters, of the vocabulary."""
+    x = F.lower(F.regexp_replace("text", "[^A-Za-z]", ""))
+    return words.filter((F.length(x) >= 3) & x.isin(*[v.lower() for v in vocabulary]))
+
+
+def tagged(rows: DataFrame, trade: str) -> DataFrame:
+    """Rows marked with a trade; rates come from the estimator, so they begin at 0."""
+    return rows.withColumn("section", F.concat(F.lit(f"{trade} - "), F.coalesce("section", F.lit("")))).withColumn("notes", F.concat_ws("; ", F.col("notes"), F.lit(f"Trade: {trade}"))).withColumn("rate_per_unit", F.lit(0.0))
+
+
+def manual_calibration(stored: Column, automatic: Column, drift: float = 0.003) -> Column:
+    """Whether a page's scale was set by hand: it differs from the automatic one by more than 0.3 %."""
+    return F.coalesce((stored > 0) & ((automatic <= 0) | (F.abs(stored - automatic) > drift * automatic)), F.lit(False))
+
+
+def settings(rows: DataFrame, defaults: dict[str, float]) -> DataFrame:
+    """Numeric settings of each workspace with their defaults. rows: workspace_id, key, value."""
+    wide = rows.groupBy("workspace_id").pivot("key", list(defaults)).agg(F.max("value"))
+    return wide.select("workspace_id", *[text.number(F.col(k), v).alias(k) for k, v in defaults.items()])
+
+
+def long_walls(segments: DataFrame, least_pt: float = 200.0) -> DataFrame:
+    """(L6)"""
+    n = F.hypot(F.col("x2") - F.col("x1"), F.col("y2") - F.col("y1"))
+    return segments.withColumn("length_pt", n).filter(F.col("length_pt") >= least_pt).orderBy(F.desc("length_pt"), "seg_id")
+
+
+def first_available(*sources: tuple[str, DataFrame]) -> tuple[str, DataFrame]:
+    """The first source that has rows."""
+    for name, d in sources:
+        if d.limit(1).count():
+            return name, d
+    return sources[-1]
+
+
+def save_shapes(old: DataFrame, new: DataFrame) -> DataFrame:
+    """Shapes with those of the pages in new replaced."""
+    return old.join(new.select("page_id").distinct(), "page_id", "left_anti").unionByName(new, allowMissingColumns=True)
+
+
+def hatch_confidence(strokes: Column, spacing_mean: Column, spacing_variance: Column, length_variance: Column, length_mean: Column) -> Column:
+    """From the number of strokes and how even their spacing and lengths are."""
+    even = lambda v, m: 1 - F.least(F.lit(1.0), F.sqrt(v) / F.greatest(m, F.lit(1e-9)))
+    return F.round(0.4 * F.least(F.lit(1.0), strokes / 20) + 0.35 * even(spacing_variance, spacing_mean) + 0.25 * even(length_variance, length_mean), 4)
+
+
+#: Paint systems by finish code: substrate, coats, coverage, productivity. Used where a project brings none.
+SYSTEM_DEFAULT = ("Plasterboard", 3, 16.0, 15.0)
+
+
+def systems(rows: DataFrame, known: DataFrame) -> DataFrame:
+    """Each row's paint system by code, else by its substrate's kind, else the default, and its litres.
+
+    known: finish_code, kind (timber, cement, floor or null), coats, coverage.
+    """
+    s = F.lower(F.coalesce("substrate", F.lit("")))
+    kind = F.when(s.rlike("timber|wood|door"), "timber").when(s.rlike("cement|fc|external"), "cement").when(s.rlike("floor|concrete|epoxy"), "floor")
+    by_code = known.select(F.upper("finish_code").alias("code"), F.struct("coats", "coverage").alias("by_code"))
+    by_kind = known.filter("kind is not null").groupBy(F.col("kind").alias("row_kind")).agg(F.min_by(F.struct("coats", "coverage"), "finish_code").alias("by_kind"))
+    d = rows.withColumn("code", F.upper(F.trim("finish_code"))).withColumn("row_kind", kind).join(by_code, "code", "left").join(by_kind, "row_kind", "left")
+    used = F.coalesce("by_code", "by_kind", F.struct(F.lit(SYSTEM_DEFAULT[1]).alias("coats"), F.lit(SYSTEM_DEFAULT[2]).alias("coverage")))
+    return d.withColumn("coats", used["coats"]).withColumn("litres", F.when((F.col("area_m2") > 0) & (used["coverage"] > 0), F.col("area_m2") * used["coats"] / used["coverage"]).otherwise(0.0)).drop("code", "row_kind", "by_code", "by_kind")
+
+
+def surface_total(rows: DataFrame, flag: str | None = None) -> DataFrame:
+    """(A51-A53)"""
+    return (rows if flag is None else rows.filter(F.coalesce(F.col(flag), F.lit(False)))).agg(F.coalesce(F.sum("area_m2"), F.lit(0.0)).alias("total_m2"))
+
+
+def roof(pages: DataFrame, walls: DataFrame) -> DataFrame:
+    """Pitches that texts state and the height at which a roof sits: the highest wall. (F130, F131)"""
+    found = F.regexp_extract_all(F.lower("extracted_text"), F.lit(r"(\d{1,2}(?:\.\d)?)\s*(?:°|deg)"), F.lit(1))
+    said = pages.groupBy("workspace_id").agg(F.array_sort(F.array_distinct(F.flatten(F.collect_list(F.transform(found, lambda x: x.cast("double")))))).alias("pitches_deg"), F.bool_or(F.lower("extracted_text").contains("parapet")).alias("parapet"))
+    return said.join(walls.groupBy("workspace_id").agg(F.max("height_m").alias("roof_z")), "workspace_id", "full")
+
+
+def space_area(specified: Column, drawn: Column) -> Column:
+    """(F132, F133)"""
+    return F.when(specified > 0, specified).otherwise(drawn)
+
+
+def element_of(c: Column) -> Column:
+    """The element that a location's words name, null if none."""
+    rules = (("ceiling", "Ceiling"), ("skirting", "Skirting"), ("door", "Door"), ("window", "Window"), ("wall", "Wall"), ("floor", "Floor"), ("soffit", "Soffit"))
+    return text.first_keyword(c, rules)

@@ -163,7 +163,7 @@ def reconcile(rows: DataFrame, lines: DataFrame) -> DataFrame:
     """Drafted against drawn quantities of each section, element, location and unit."""
     drawn = lines.filter("takeoff_row_id is not null").select(F.col("takeoff_row_id").alias("drawn_id")).distinct()
     ai = F.coalesce(F.col("source_reference").contains("AI"), F.lit(False)) | F.coalesce(F.col("notes").rlike("AI plan review|AI-generated|AI draft"), F.lit(False))
-    basis = F.when(F.col("drawn_id").isNotNull(), "Drawn").when(ai, "AI").when(F.col("source_page") == "JobHub import", "JobHub").otherwise("Manual")
+    basis = F.when(F.col("drawn_id").isNotNull(), "Drawn").when(ai, "AI").when(F.col("source_page").endswith(" import"), "Imported").otherwise("Manual")
     keys = ["section", "element", "location", "unit"]
     based = rows.join(drawn, rows["id"] == drawn["drawn_id"], "left").select(*[F.coalesce(k, F.lit("")).alias(k) for k in keys], F.coalesce("quantity", F.lit(0.0)).alias("q"), basis.alias("basis"))
     of = lambda b: F.sum(F.when(F.col("basis") == b, F.col("q")).otherwise(0.0))

@@ -106,3 +106,35 @@ def page_parts(pages: DataFrame) -> tuple[DataFrame, DataFrame]:
     segments = pages.select("page_id", F.posexplode("segments").alias("n", "s")).select("page_id", ((F.col("page_id") * 1_000_000) + F.col("n")).alias("seg_id"), "s.*")
     words = pages.select("page_id", F.posexplode("words").alias("n", "w")).select("page_id", F.col("n").alias("word_id"), "w.*")
     return segments, words
+
+
+def tables(spark: SparkSession, database: str | None = None) -> DataFrame:
+    """Tables and their columns, as rows."""
+    found = [(t.name, c.name, c.dataType) for t in spark.catalog.listTables(database) for c in spark.catalog.listColumns(t.name, database)]
+    return spark.createDataFrame(found, "table_name string, column_name string, data_type string")
+
+
+def blob(df: DataFrame, record_id: int, column: str = "content") -> DataFrame:
+    """One record's bytes, base64 text decoded; the filter and the column reach the source."""
+    data = F.col(column) if dict(df.dtypes)[column] == "binary" else F.unbase64(column)
+    return df.filter(F.col("id") == record_id).select("id", data.alias("content"))
+
+
+def saved_models(settings: DataFrame, current: DataFrame, schema: str) -> DataFrame:
+    """Models whose fingerprint is still that of their sources; others come back null.
+
+    settings: workspace_id, key, value with {"fingerprint": ..., "model": ...}. current: workspace_id, fingerprint.
+    """
+    read = settings.filter("key = 'canonical_model'").withColumn("saved", F.from_json("value", f"fingerprint string, model struct<{schema}>"))
+    now = current.select("workspace_id", F.col("fingerprint").alias("now"))
+    fresh = F.col("saved.fingerprint") == F.col("now")
+    return read.join(now, "workspace_id", "left").select("workspace_id", F.when(fresh, F.col("saved.model")).alias("model"), F.coalesce(fresh, F.lit(False)).alias("fresh"))
+
+
+def snapshot(sources: dict[str, DataFrame]) -> DataFrame:
+    """Everything known of each workspace as one row a record: workspace_id, source, record (JSON)."""
+    parts = [d.select("workspace_id", F.lit(name).alias("source"), F.to_json(F.struct(*[c for c in sorted(d.columns) if c != "workspace_id"])).alias("record")) for name, d in sorted(sources.items())]
+    out = parts[0]
+    for p in parts[1:]:
+        out = out.unionAll(p)
+    return out

@@ -85,3 +85,19 @@ def test_registers(spark):
     rows, more = assembly.limited(sides, ["score"], 2)
     assert rows.count() == 2 and more
     assert one(spark, assembly.distinct_in_order(F.array(F.lit(" b"), F.lit("a"), F.lit("b"), F.lit("")))) == ["b", "a"]
+
+
+def test_more(spark):
+    prisms = spark.createDataFrame([(1, ["Block A"]), (2, ["Block B"]), (3, []), (4, ["Block C"])], "id long, groups array<string>")
+    assert {r["id"]: r["scope_state"] for r in assembly.scope_prisms(prisms, ["Block A"], ["Block B"], False).collect()} == {1: "Included", 2: "Reference"}
+    c = lambda a, b: one(spark, assembly.manual_calibration(F.lit(a), F.lit(b)))
+    assert [c(50.0, 50.1), c(50.0, 51.0), c(0.0, 5.0)] == [False, True, False]
+    rows = spark.createDataFrame([(1, "margin", "12"), (1, "gst", "x"), (2, "other", "1")], "workspace_id long, key string, value string")
+    assert sorted(tuple(r) for r in assembly.settings(rows, {"margin": 10.0, "gst": 10.0}).collect()) == [(1, 12.0, 10.0), (2, 10.0, 10.0)]
+    known = spark.createDataFrame([("P1", None, 2, 10.0), ("P2", "timber", 3, 12.0)], "finish_code string, kind string, coats int, coverage double")
+    areas = spark.createDataFrame([("p1", "x", 10.0), ("zz", "Timber door", 12.0), ("", "other", 16.0)], "finish_code string, substrate string, area_m2 double")
+    assert sorted(r["litres"] for r in assembly.systems(areas, known).collect()) == [2.0, 3.0, 3.0]
+    pages = spark.createDataFrame([(1, "pitch 22.5° and 10 deg"), (1, "parapet")], "workspace_id long, extracted_text string")
+    got = assembly.roof(pages, spark.createDataFrame([(1, 3.2), (1, 6.0)], "workspace_id long, height_m double")).first()
+    assert got["pitches_deg"] == [10.0, 22.5] and got["parapet"] and got["roof_z"] == 6.0
+    assert one(spark, assembly.element_of(F.lit("Bed 1 ceiling"))) == "Ceiling" and one(spark, assembly.hatch_confidence(*[F.lit(float(x)) for x in (20, 10, 0, 0, 5)])) == 1.0
