@@ -229,3 +229,90 @@ def commercial_line(base: Column, factor: Column, deduction: Column, adjustment_
     gross = F.greatest(zero, base) * F.greatest(zero, factor)
     net = F.greatest(zero, (gross - F.greatest(zero, deduction)) * (1 + adjustment_pct / 100))
     return F.struct(F.bround(gross, 3).alias("gross"), F.bround(net, 3).alias("net"))
+
+
+def rectangles(lines: DataFrame, tolerance: float = 1.5, least: float = 5.0) -> DataFrame:
+    """Rectangles that two horizontal and two vertical lines of a page close: page_id, x0, y0, x1, y1.
+
+    lines: page_id, axis (h or v), fixed, lo, hi, already merged. A pair of verticals is closed by horizontals that
+    reach both and on which both reach; corners meet within the tolerance, found through buckets of it.
+    """
+    h = lines.filter("axis = 'h'").select("page_id", F.col("fixed").alias("y"), F.col("lo").alias("hx0"), F.col("hi").alias("hx1"))
+    v = lines.filter("axis = 'v'").select("page_id", F.col("fixed").alias("x"), F.col("lo").alias("vy0"), F.col("hi").alias("vy1"))
+    cell = 64 * tolerance
+    hs = h.withColumn("cx", F.explode(F.sequence(F.floor((F.col("hx0") - tolerance) / cell), F.floor((F.col("hx1") + tolerance) / cell)))).withColumn("cy", F.floor(F.col("y") / cell))
+    vs = v.withColumn("cy", F.explode(F.sequence(F.floor((F.col("vy0") - tolerance) / cell), F.floor((F.col("vy1") + tolerance) / cell)))).withColumn("cx", F.floor(F.col("x") / cell))
+    meet = hs.join(vs, ["page_id", "cx", "cy"]).filter(F.col("x").between(F.col("hx0") - tolerance, F.col("hx1") + tolerance) & F.col("y").between(F.col("vy0") - tolerance, F.col("vy1") + tolerance))
+    corner = meet.select("page_id", F.struct("y", "hx0", "hx1").alias("h"), F.struct("x", "vy0", "vy1").alias("v"))
+    # Neighbouring crossings along each horizontal are the sides; a rectangle is the same pair of verticals on the next horizontal.
+    along = W.partitionBy("page_id", "h").orderBy(F.col("v.x"))
+    sides = corner.withColumn("right", F.lead("v").over(along)).filter("right is not null")
+    up = W.partitionBy("page_id", F.col("v"), F.col("right")).orderBy(F.col("h.y"))
+    closed = sides.withColumn("top", F.lead("h").over(up)).filter("top is not null")
+    out = closed.select("page_id", F.col("v.x").alias("x0"), F.col("h.y").alias("y0"), F.col("right.x").alias("x1"), F.col("top.y").alias("y1"))
+    return out.filter((F.col("x1") - F.col("x0") >= least) & (F.col("y1") - F.col("y0") >= least))
+
+
+def code_targets(codes: DataFrame, targets: DataFrame, proximity: float = 30.0) -> DataFrame:
+    """The polygon that a finish code's place lies in, else the nearest by centre. codes: page_id, id, x, y."""
+    box = geometry.bbox(F.col("points"))
+    cell = 4 * proximity
+    span = lambda a, b: F.sequence(F.floor((box[a] - proximity) / cell), F.floor((box[b] + proximity) / cell))
+    tiles = targets.select("page_id", F.col("id").alias("target_id"), "points", F.explode(span("x0", "x1")).alias("cx"), span("y0", "y1").alias("cys")).withColumn("cy", F.explode("cys")).drop("cys")
+    met = codes.withColumn("cx", F.floor(F.col("x") / cell)).withColumn("cy", F.floor(F.col("y") / cell)).join(tiles, ["page_id", "cx", "cy"])
+    c = geometry.centroid(F.col("points"))
+    inside, d = geometry.contains(F.col("points"), F.col("x"), F.col("y")), F.hypot(F.col("x") - c["x"], F.col("y") - c["y"])
+    near = met.withColumn("inside", inside).withColumn("distance", d).filter(F.col("inside") | (F.col("distance") <= proximity))
+    best = near.groupBy("page_id", "id").agg(F.min(F.struct((~F.col("inside")).alias("o"), geometry.area(F.col("points")).alias("a"), "distance", "target_id")).alias("b"))
+    return best.select("page_id", "id", F.col("b.target_id").alias("target_id"), (~F.col("b.o")).alias("inside"))
+
+
+def unit_boundaries(contours: DataFrame, labels: DataFrame) -> DataFrame:
+    """For each unit label the largest contour that holds it and no other. contours: page_id, id, points; labels: page_id, label, x, y."""
+    box = geometry.bbox(F.col("points"))
+    met = contours.withColumn("box", box).join(labels, "page_id").filter(F.col("x").between(F.col("box.x0"), F.col("box.x1")) & F.col("y").between(F.col("box.y0"), F.col("box.y1")))
+    held = met.filter(geometry.contains(F.col("points"), F.col("x"), F.col("y"))).groupBy("page_id", "id").agg(F.count_distinct("label").alias("n"), F.min("label").alias("label"), F.max(geometry.area(F.col("points"))).alias("area"))
+    best = held.filter("n = 1").groupBy("page_id", "label").agg(F.max(F.struct("area", (-F.xxhash64("id")).alias("k"), "id")).alias("b"))
+    return best.select("page_id", "label", F.col("b.id").alias("id"), F.col("b.area").alias("area"))
+
+
+def triangles(points: pd.Series) -> pd.Series:
+    """Each row's polygon as triangles, by cutting ears. (F123)"""
+
+    def one(rows) -> list:
+        p = [(float(r["x"]), float(r["y"])) for r in rows]
+        turn = lambda a, b, c: (b[0] - a[0]) * (c[1] - a[1]) - (b[1] - a[1]) * (c[0] - a[0])
+        ring = list(range(len(p)))
+        if sum(p[k][0] * p[(k + 1) % len(p)][1] - p[(k + 1) % len(p)][0] * p[k][1] for k in ring) < 0:
+            ring.reverse()
+        out = []
+        while len(ring) > 3:
+            for k in range(len(ring)):
+                a, b, c = p[ring[k - 1]], p[ring[k]], p[ring[(k + 1) % len(ring)]]
+                if turn(a, b, c) > 0 and not any(q not in (a, b, c) and turn(a, b, q) >= 0 and turn(b, c, q) >= 0 and turn(c, a, q) >= 0 for q in (p[j] for j in ring)):
+                    out.append((a, b, c))
+                    ring.pop(k)
+                    break
+            else:
+                return []  # crosses itself
+        out += [tuple(p[k] for k in ring)] if len(ring) == 3 else []
+        return [[{"x": x, "y": y} for x, y in t] for t in out]
+
+    return points.map(one)
+
+
+def triangulated(df: DataFrame, column: str) -> DataFrame:
+    """(F123, F124)"""
+    return df.withColumn("triangles", F.pandas_udf(triangles, f"array<{POINTS}>")(F.col(column)))
+
+
+#: How much a page's kind counts as a source of floor areas.
+FLOOR_SOURCES = (("area schedule", 500), ("unit plan", 450), ("floor plan", 320), ("site plan", 220))
+
+
+def floor_priority(words: Column) -> Column:
+    """(F54)"""
+    low, out = F.lower(F.coalesce(words, F.lit(""))), None
+    for word, rank in FLOOR_SOURCES:
+        out = F.when(low.contains(word), rank) if out is None else out.when(low.contains(word), rank)
+    return out.otherwise(0)

@@ -57,3 +57,22 @@ def test_scopes(spark):
     pages = spark.createDataFrame([("Floor Plan", ""), ("Roof Plan", "eave lining"), ("Roof Plan", ""), ("Structural", "paint"), ("Other", "paint system")], "t string, w string")
     assert [r["r"]["keep"] for r in pages.select(surfaces.page_relevance(F.col("t"), F.col("w")).alias("r")).collect()] == [True, True, False, False, True]
     assert tuple(spark.range(1).select(surfaces.commercial_line(F.lit(10.0), F.lit(2.0), F.lit(5.0), F.lit(10.0)).alias("c")).first()["c"]) == (20.0, 16.5)
+
+
+def test_rectangles_and_targets(spark):
+    lines = spark.createDataFrame([(1, "h", 0.0, 0.0, 100.0), (1, "h", 50.0, 0.0, 100.0), (1, "v", 0.0, 0.0, 50.0), (1, "v", 40.0, 0.0, 50.0), (1, "v", 100.0, 0.0, 50.0), (1, "v", 70.0, 10.0, 30.0)], "page_id long, axis string, fixed double, lo double, hi double")
+    assert sorted((r["x0"], r["y0"], r["x1"], r["y1"]) for r in surfaces.rectangles(lines).collect()) == [(0.0, 0.0, 40.0, 50.0), (40.0, 0.0, 100.0, 50.0)]
+    targets = polygons(spark, big=box(0, 0, 100, 100), small=box(10, 10, 30, 30))
+    codes = spark.createDataFrame([(1, "a", 20.0, 20.0), (1, "b", 80.0, 80.0), (1, "c", 900.0, 900.0), (1, "d", 50.0, 115.0)], "page_id long, id string, x double, y double")
+    assert {r["id"]: (r["target_id"], r["inside"]) for r in surfaces.code_targets(codes, targets, 70.0).collect()} == {"a": ("small", True), "b": ("big", True), "d": ("big", False)}
+    labels = spark.createDataFrame([(1, "Unit 1", 20.0, 20.0), (1, "Unit 2", 80.0, 80.0)], "page_id long, label string, x double, y double")
+    assert [(r["label"], r["id"], r["area"]) for r in surfaces.unit_boundaries(targets, labels).collect()] == [("Unit 1", "small", 400.0)]
+
+
+def test_triangles(spark):
+    shape = [(0.0, 0.0), (4.0, 0.0), (4.0, 4.0), (2.0, 1.0), (0.0, 4.0)]
+    got = surfaces.triangulated(polygons(spark, a=shape, b=list(reversed(shape)), c=shape[:2]), "points").collect()
+    for r in got[:2]:
+        areas = [abs((t[1]["x"] - t[0]["x"]) * (t[2]["y"] - t[0]["y"]) - (t[1]["y"] - t[0]["y"]) * (t[2]["x"] - t[0]["x"])) / 2 for t in r["triangles"]]
+        assert len(areas) == 3 and sum(areas) == pytest.approx(10.0)
+    assert got[2]["triangles"] == []
