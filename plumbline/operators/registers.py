@@ -87,14 +87,11 @@ def accuracy(truth: DataFrame, predictions: DataFrame) -> DataFrame:
     return rows.groupBy("category").agg(F.count("*").alias("items"), F.count("found").alias("found"), F.avg(error).alias("mape"), F.avg(right).alias("accuracy")).withColumn("found_share", F.col("found") / F.col("items"))
 
 
-def detect_trades(pages: DataFrame, keywords: DataFrame, least: int = 4, page_cap: int = 12) -> DataFrame:
-    """Trades by keyword score: at most page_cap from a page. keywords: trade, keyword, points.
-
-    The keyword table is small and fixed, so every page meets every keyword without moving the pages.
-    """
-    listed = F.broadcast(keywords.limit(10_000).agg(F.collect_list(F.struct("trade", "keyword", "points")).alias("words")))
-    hits = pages.select("workspace_id", F.col("id").alias("page_id"), F.lower(F.coalesce("extracted_text", F.lit(""))).alias("t")).join(listed)
-    found = hits.select("workspace_id", "page_id", F.inline(F.filter("words", lambda w: F.col("t").contains(F.lower(w["keyword"])))))
+def detect_trades(pages: DataFrame, keywords: list[tuple[str, str, int]], least: int = 4, page_cap: int = 12) -> DataFrame:
+    """Trades by keyword score: at most page_cap from a page. keywords: (trade, keyword, points)."""
+    words = F.array(*[F.struct(F.lit(t).alias("trade"), F.lit(k.lower()).alias("keyword"), F.lit(p).alias("points")) for t, k, p in keywords])
+    texts = pages.select("workspace_id", F.col("id").alias("page_id"), F.lower(F.coalesce("extracted_text", F.lit(""))).alias("t"))
+    found = texts.select("workspace_id", "page_id", F.inline(F.filter(words, lambda w: F.col("t").contains(w["keyword"]))))
     by_page = found.groupBy("workspace_id", "trade", "page_id").agg(F.least(F.sum("points"), F.lit(page_cap)).alias("score"))
     out = by_page.groupBy("workspace_id", "trade").agg(F.sum("score").alias("score"), F.count("*").alias("pages"))
     return out.filter(F.col("score") >= least).orderBy(F.desc("score"), "trade")

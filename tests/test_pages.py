@@ -90,5 +90,5 @@ def test_accuracy_and_trades(spark):
     got = {r["category"]: r for r in registers.accuracy(truth, pred).collect()}
     assert got["floor"]["mape"] == pytest.approx(0.1) and got["floor"]["found"] == 1 and got["finish"]["accuracy"] == 1.0
     pages_df = spark.createDataFrame([(1, 1, "paint paint primer"), (2, 1, "paint")], "id long, workspace_id long, extracted_text string")
-    words = spark.createDataFrame([("painting", "paint", 3), ("painting", "primer", 10), ("tiling", "tile", 5)], "trade string, keyword string, points int")
+    words = [("painting", "paint", 3), ("painting", "primer", 10), ("tiling", "tile", 5)]
     assert [(r["trade"], r["score"]) for r in registers.detect_trades(pages_df, words).collect()] == [("painting", 15)]
