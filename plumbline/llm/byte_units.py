@@ -2,8 +2,9 @@
 
 The tokenizers' pattern lets at most one space lead a word, and a run of white space is a match of its own up to the
 space that leads the next word. So a text can be cut before any space that has something other than white space on
-either side; the matches of the whole text are the units' matches, one after another. Where white space stands on
-both sides of a space the text is not cut.
+either side, and around any line end between two such characters; the matches of the whole text are the units'
+matches, one after another. Where white space follows white space the text is cut before spaces only, and not inside
+the run.
 """
 
 from __future__ import annotations
@@ -11,14 +12,15 @@ from __future__ import annotations
 import re
 from collections.abc import Callable
 
-_RUN = re.compile(r" \s|\s ")
+_RUN = re.compile(r"\s\s")
 
 
 def units(text: str) -> list[str]:
     """The units of a text; joined they are the text."""
-    pieces = text.split(" ")
     if not _RUN.search(text):
-        return [x for x in [pieces[0], *[" " + x for x in pieces[1:]]] if x]
+        lines = [[line[0], *[" " + x for x in line[1:]]] for line in (x.split(" ") for x in text.split("\n"))]
+        return [x for k, line in enumerate(lines) for x in (["\n", *line] if k else line) if x]
+    pieces = text.split(" ")
     out: list[str] = []
     held, open_run = pieces[0], pieces[0][-1:].isspace()  # open_run: what is held ends in white space
     for piece in pieces[1:]:
@@ -47,8 +49,19 @@ class UnitCache:
     def parts(self, text: str) -> list:
         if _RUN.search(text):
             return self.bare.get(units(text))
-        first, *rest = text.split(" ")
-        return (self.bare.get([first]) if first else []) + self.spaced.get(rest)
+        lines = [x.split(" ") for x in text.split("\n")]
+        firsts = self.bare.get([x[0] for x in lines])
+        rest = self.spaced.get([x for line in lines for x in line[1:]])
+        end = self.bare.get(["\n"]) if len(lines) > 1 else []
+        out, at = [], 0
+        for k, (line, first) in enumerate(zip(lines, firsts, strict=True)):
+            if k:
+                out += end
+            if line[0]:
+                out.append(first)
+            out += rest[at : at + len(line) - 1]
+            at += len(line) - 1
+        return out
 
 
 class _Table:
@@ -58,17 +71,21 @@ class _Table:
         self.old: dict = {}
 
     def get(self, keys: list[str]) -> list:
-        got = list(map(self.young.get, keys))
-        if None not in got:
-            return got
         if len(self.young) > self.full:
             self.old, self.young = self.young, {}
-            return self.get(keys)
-        young, old, new = self.young, self.old, []
-        for k in {k for k, v in zip(keys, got, strict=True) if v is None}:
-            if (v := old.get(k)) is None:
-                new.append(k)
-            else:
-                young[k] = v
-        young.update(zip(new, self.encode([self.lead + k for k in new]) if new else [], strict=True))
-        return list(map(young.__getitem__, keys))
+        young, old = self.young, self.old
+        got = list(map(young.get, keys))
+        if None in got:
+            at = [i for i, v in enumerate(got) if v is None]
+            new = {}
+            for i in at:
+                k = keys[i]
+                if (v := old.get(k)) is None:
+                    new[k] = None
+                else:
+                    young[k] = v
+            if new:
+                young.update(zip(new, self.encode([self.lead + k for k in new]), strict=True))
+            for i in at:
+                got[i] = young[keys[i]]
+        return got

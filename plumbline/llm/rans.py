@@ -141,16 +141,15 @@ def _stretch(states: np.ndarray, base: np.ndarray, words: np.ndarray, steps: int
     state, at = states.astype(np.uint64), base.astype(np.int64)
     out = np.empty((steps, *state.shape), np.uint32)
     p, mask, slots, freq, start = np.uint64(PRECISION), np.uint64((1 << PRECISION) - 1), table.slots, table.freq, table.start
-    last = max(0, len(words) - 1)
-    words = words if len(words) else np.zeros(1, np.uint32)
+    words = words.astype(np.uint64) if len(words) else np.zeros(1, np.uint64)
+    at = at[:, None] - 1
     for t in range(steps):
         slot = state & mask
-        symbol = slots[slot]
+        symbol = slots[slot.view(np.int64)].astype(np.int64)
         out[t] = symbol
         state = freq[symbol] * (state >> p) + slot - start[symbol]
         need = state < LOW
         rank = np.cumsum(need, axis=1)
-        word = words[np.minimum(at[:, None] + rank - 1, last)].astype(np.uint64)
-        state = np.where(need, (state << np.uint64(32)) | word, state)
-        at += rank[:, -1]
+        state = np.where(need, (state << np.uint64(32)) | words[at + rank], state)  # lanes without need read in vain
+        at += rank[:, -1:]
     return out

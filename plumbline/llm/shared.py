@@ -44,3 +44,11 @@ def let(value: Column, body) -> Column:
 def words_of(text: Column) -> Column:
     """The words of a text; null and blank texts have none."""
     return F.array_remove(F.split(F.coalesce(text, F.lit("")), SPACES, -1), "")
+
+
+def small_batches(spark: SparkSession, rows: int = 1000, size: str = "32m") -> None:
+    """Bounds what a Python worker gets at a time: whole texts are long, and Spark's default is 10,000 rows a batch."""
+    name = "spark.sql.execution.arrow.maxRecordsPerBatch"
+    if not 0 < int(spark.conf.get(name)) <= rows:
+        spark.conf.set(name, rows)
+    spark.conf.set("spark.sql.execution.arrow.maxBytesPerBatch", size)

@@ -23,7 +23,7 @@ from pyspark.taskcontext import TaskContext
 
 from . import rans
 from .byte_units import UnitCache
-from .shared import scratch, table, written
+from .shared import scratch, small_batches, table, written
 
 END = 2
 FILE_IDS = 1 << 20
@@ -74,6 +74,7 @@ def encoded(docs: DataFrame, path: str) -> DataFrame:
         for b in batches:
             yield pd.DataFrame({"doc_id": b["doc_id"], "width": width, "ids": [b"".join(cache.parts(x)) + end for x in b["text"]]})
 
+    small_batches(docs.sparkSession)
     # Ids pass through Python as strings: pandas has no exact long with nulls.
     rows = docs.select(F.col("doc_id").cast("string").alias("doc_id"), F.coalesce("text", F.lit("")).alias("text"))
     return rows.mapInPandas(run, "doc_id string, width int, ids binary").withColumn("doc_id", F.col("doc_id").cast("long"))
