@@ -29,7 +29,7 @@ from .components import stars
 from .simhash_tiles import Forest
 from .shared import table, written
 
-TABLES, CELLS, SCALE, SEED = 4, 4, 5.0, 7
+TABLES, CELLS, SCALE, SEED = 4, 3, 4.0, 7
 COSINE = 0.98
 BLOCK = 4096
 #: Cells with more than BLOCK members are broadcast up to this number, beyond it joined by a shuffle.
@@ -92,7 +92,7 @@ def units(vectors: np.ndarray) -> np.ndarray:
 
 def _by_length(b: pd.DataFrame) -> Iterator[tuple[pd.DataFrame, np.ndarray]]:
     for _, rows in b.groupby(b["embedding"].map(len)):
-        yield rows, units(np.stack(rows["embedding"].to_list()))
+        yield rows, np.stack(rows["embedding"].to_list())
 
 
 def _places(unit: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
@@ -108,20 +108,20 @@ PLACE = "label int, dim int, tab int, cell long, home boolean"
 
 def _assign(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
     for b in batches:
-        for rows, unit in _by_length(b):
-            which, tab, cell, home = _places(unit)
-            yield pd.DataFrame({"label": rows["label"].to_numpy()[which], "dim": unit.shape[1], "tab": tab, "cell": cell, "home": home})
+        for rows, vectors in _by_length(b):
+            which, tab, cell, home = _places(units(vectors))
+            yield pd.DataFrame({"label": rows["label"].to_numpy()[which], "dim": vectors.shape[1], "tab": tab, "cell": cell, "home": home})
 
 
 def _assign_whole(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
     for b in batches:
         for start in range(0, len(b), 1000):
-            for rows, unit in _by_length(b[start : start + 1000]):
-                which, tab, cell, home = _places(unit)
-                keys = cell.reshape(len(unit), -1)
-                data = [u.tobytes() + k.tobytes() for u, k in zip(unit, keys, strict=True)]
+            for rows, vectors in _by_length(b[start : start + 1000]):
+                which, tab, cell, home = _places(units(vectors))
+                keys = cell.reshape(len(vectors), -1)
+                data = [k.tobytes() + v.tobytes() for k, v in zip(keys, vectors, strict=True)]  # components as wide as they came
                 own = rows["node"].to_numpy()[which], rows["n"].to_numpy()[which]
-                yield pd.DataFrame({"label": rows["label"].to_numpy()[which], "dim": unit.shape[1], "tab": tab, "cell": cell, "home": home, "node": own[0], "n": own[1], "data": [data[k] for k in which]})
+                yield pd.DataFrame({"label": rows["label"].to_numpy()[which], "dim": vectors.shape[1], "tab": tab, "cell": cell, "home": home, "node": own[0], "n": own[1], "data": [data[k] for k in which]})
 
 
 def _meet(k: np.ndarray, m: np.ndarray, t: int) -> np.ndarray:
@@ -141,8 +141,9 @@ def counted_here(visitor: np.ndarray, host: np.ndarray, tab: int, cell: int, low
 
 def compare(dim: int, tab: int, cell: int, is_host: np.ndarray, node: np.ndarray, n: np.ndarray, data: list[bytes]) -> pd.DataFrame | None:
     raw = np.frombuffer(b"".join(data), np.uint8).reshape(len(data), -1)
-    unit = np.ascontiguousarray(raw[:, : 8 * dim]).view(np.float64)
-    keys = np.ascontiguousarray(raw[:, 8 * dim :]).view(np.int64).reshape(-1, TABLES, CELLS)
+    width = 8 * TABLES * CELLS
+    keys = np.ascontiguousarray(raw[:, :width]).view(np.int64).reshape(-1, TABLES, CELLS)
+    unit = units(np.ascontiguousarray(raw[:, width:]).view(np.float32 if raw.shape[1] == width + 4 * dim else np.float64))
     hosts, visitors = np.flatnonzero(is_host), np.flatnonzero(~is_host)
     if not len(hosts) or not len(visitors):
         return None
