@@ -26,20 +26,30 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from .byte_units import UnitCache
-from .shared import table
+from .shared import small_batches, table
 
+TOKEN = -1
+CACHED = 250_000  # half the units that a worker remembers, and as many pairs of tokens: some 150 MB in all
 _open: dict[tuple[str, str], Coder] = {}
 
 
 class Merges:
     """Ranks, which of their tokens the merges can make, and which neighbours are valid."""
 
-    def __init__(self, ranks: dict[bytes, int], remembered: int = 400_000):
+    def __init__(self, ranks: dict[bytes, int], remembered: int = 250_000):
         self.ranks, self.bytes_of = ranks, {v: k for k, v in ranks.items()}
         self.longest = max(map(len, ranks))
         self.remembered = remembered
-        self._made: dict[bytes, bool] = {}
-        self._valid: dict[tuple[int, int], bool] = {}
+        self._made: dict[int, bool] = {}
+        #: Tokens by their bytes from the last to the first, each under TOKEN.
+        self.ends: dict = {}
+        for token, rank in ranks.items():
+            node = self.ends
+            for byte in reversed(token):
+                node = node.setdefault(byte, {})
+            node[TOKEN] = rank
+        #: Pairs of tokens that have been tried, and whether they are valid neighbours.
+        self.known: dict[tuple[int, int], bool] = {}
 
     def merge(self, piece: bytes) -> list[bytes]:
         """The parts that the merges leave of a short piece, the lowest rank first, the leftmost of equals."""
@@ -55,21 +65,20 @@ class Merges:
             parts[at : at + 2] = [parts[at] + parts[at + 1]]
         return parts
 
-    def made(self, token: bytes) -> bool:
+    def made(self, token: int) -> bool:
         """Whether the merges make the token from its bytes."""
-        if token not in self._made:
-            self._made[token] = len(token) == 1 or self.merge(token) == [token]
-        return self._made[token]
+        made = self._made.get(token)
+        if made is None:
+            piece = self.bytes_of[token]
+            made = self._made[token] = len(piece) == 1 or self.merge(piece) == [piece]
+        return made
 
     def valid(self, left: int, right: int) -> bool:
-        pair = (left, right)
-        known = self._valid.get(pair)
-        if known is None:
-            if len(self._valid) > self.remembered:
-                self._valid.clear()
-            a, b = self.bytes_of[left], self.bytes_of[right]
-            known = self._valid[pair] = self.merge(a + b) == [a, b]
-        return known
+        if len(self.known) > self.remembered:
+            self.known.clear()
+        a, b = self.bytes_of[left], self.bytes_of[right]
+        valid = self.known[left, right] = self.merge(a + b) == [a, b]
+        return valid
 
 
 class Prefixes:
@@ -82,16 +91,27 @@ class Prefixes:
     def _token(self, piece: bytes, last: list[int], end: int) -> int:
         """The one token that can end piece[:end]; last holds those of all shorter prefixes."""
         m = self.merges
-        for start in range(max(0, end - m.longest), end):
-            token = m.ranks.get(piece[start:end])
-            if token is not None and (m.valid(last[start - 1], token) if start else True) and m.made(piece[start:end]):
-                return token
+        node, known, start = m.ends, m.known, end
+        while start:
+            start -= 1
+            node = node.get(piece[start])
+            if node is None:
+                break
+            token = node.get(TOKEN)
+            if token is not None:
+                if start:
+                    valid = known.get((last[start - 1], token))
+                    if not (m.valid(last[start - 1], token) if valid is None else valid):
+                        continue
+                if m.made(token):
+                    return token
         raise ValueError("no token ends here; the ranks lack single bytes")
 
     def append(self, more: bytes) -> None:
         self.piece += more
-        for end in range(len(self.last) + 1, len(self.piece) + 1):
-            self.last.append(self._token(self.piece, self.last, end))
+        piece, last = self.piece, self.last
+        for end in range(len(last) + 1, len(piece) + 1):
+            last.append(self._token(piece, last, end))
 
     def replace(self, start: int, end: int, new: bytes) -> int:
         """Puts new in place of piece[start:end]; returns how many prefixes were done anew."""
@@ -125,7 +145,7 @@ class Coder:
         import regex
 
         self.merges, self.pattern = Merges(ranks), regex.compile(pattern)
-        self.units = UnitCache(lambda new: [",".join(map(str, self._unit(x))) for x in new])
+        self.units = UnitCache(lambda new: [",".join(map(str, self._unit(x))) for x in new], full=CACHED)
         self.bytes_of = {str(k): v for k, v in self.merges.bytes_of.items()}
 
     def _unit(self, unit: str) -> list[int]:
@@ -171,6 +191,7 @@ def encode_documents(docs: DataFrame, path: str, pattern: str, full: bool = Fals
                     out["decoded"].append(decoded)
             yield pd.DataFrame(out)
 
+    small_batches(docs.sparkSession)
     # Ids pass through Python as strings: pandas has no exact long with nulls.
     rows = docs.select(F.col("doc_id").cast("string").alias("doc_id"), F.coalesce("text", F.lit("")).alias("text"))
     schema = "doc_id string, n_tokens long, ids_sha256 string, decoded_sha256 string" + ", ids string, decoded binary" * full
