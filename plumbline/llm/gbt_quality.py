@@ -26,7 +26,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.types import ArrayType, FloatType
 
-from .shared import table, written
+from .shared import small_batches, table, written
 
 SAMPLE = 40_000
 BINS = 64
@@ -171,16 +171,20 @@ def scored(stats: DataFrame, trees: Trees) -> F.Column:
 
 def classify(docs: DataFrame, labels: DataFrame) -> DataFrame:
     """A row per document: doc_id, held_out, score, predicted."""
+    small_batches(docs.sparkSession)
     stats = written(docs.select("doc_id", statistics_of(F.col("text")).alias("stats")), "statistics")
     out = stats.select("doc_id", held_out(F.col("doc_id")).alias("held_out"), scored(F.col("stats"), train(stats, labels)).alias("score"))
     return out.withColumn("predicted", (F.col("score") >= 0.5).cast("int"))
 
 
 def keep_good(docs: DataFrame, labels: DataFrame) -> DataFrame:
-    """The documents predicted to be good, with all their columns."""
-    rows = written(docs.select(F.struct("*").alias("row"), F.col("doc_id").alias("doc_id"), statistics_of(F.col("text")).alias("stats")), "statistics-and-texts")
-    trees = train(rows.select("doc_id", "stats"), labels)
-    return rows.filter(scored(F.col("stats"), trees) >= 0.5).select("row.*")
+    """The documents predicted to be good, with all their columns.
+
+    Statistics are taken twice, once to train and once to score, so that the texts needn't be written in between.
+    """
+    small_batches(docs.sparkSession)
+    stats = written(docs.select("doc_id", statistics_of(F.col("text")).alias("stats")), "statistics")
+    return docs.filter(scored(statistics_of(F.col("text")), train(stats, labels)) >= 0.5)
 
 
 def op5_query(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -28,7 +28,7 @@ from pyspark.sql import functions as F
 from pyspark.sql.types import LongType
 
 from .components import stars
-from .shared import table, written
+from .shared import small_batches, table, written
 
 RADIUS = 3
 SHINGLE = 3
@@ -172,6 +172,7 @@ def _key(doc_id: str, row: str) -> F.Column:
 
 def near_duplicates(docs: DataFrame) -> DataFrame:
     """A row per document: doc_id, fingerprint, component_id."""
+    small_batches(docs.sparkSession)
     prints = written(docs.select("doc_id", fingerprint_of(F.col("text")).alias("fp")), "prints")
     labels = classes_of(prints.withColumn("row", F.lit(0)).select("fp", _key("doc_id", "row").alias("key"))).select("fp", F.col("component.id").alias("component_id"))
     return prints.join(labels, "fp").select("doc_id", F.lower(F.lpad(F.hex("fp"), 16, "0")).alias("fingerprint"), "component_id")
@@ -179,6 +180,7 @@ def near_duplicates(docs: DataFrame) -> DataFrame:
 
 def keep_one(docs: DataFrame) -> DataFrame:
     """One row of each component, that with the least doc_id, with all its columns."""
+    small_batches(docs.sparkSession)
     rows = written(docs.select(F.struct("*").alias("doc"), F.col("doc_id").alias("id"), fingerprint_of(F.col("text")).alias("fp"), F.monotonically_increasing_id().alias("row")), "prints-and-texts")
     labels = classes_of(rows.select("fp", _key("id", "row").alias("key")))
     kept = labels.select(F.col("component.row").alias("row")).distinct()
