@@ -30,12 +30,14 @@ def _tiles(df: DataFrame, cell: float, margin: float = 0.0) -> DataFrame:
 
 
 def near_segments(segments: DataFrame, cell: float, margin: float) -> DataFrame:
-    """Pairs a < b of a page's segments whose widened boxes share a grid cell."""
+    """Pairs a < b of a page's segments whose widened boxes share a grid cell; a pair counts in the first cell that they share."""
     cols = ["seg_id", *SEGMENT]
-    tiled = _tiles(segments.select("page_id", *cols), cell, margin)
-    side = lambda p: tiled.select("page_id", "cx", "cy", *[F.col(c).alias(f"{p}_{c}") for c in cols])
-    pairs = side("a").join(side("b"), ["page_id", "cx", "cy"]).filter("a_seg_id < b_seg_id")
-    return pairs.drop("cx", "cy").dropDuplicates(["page_id", "a_seg_id", "b_seg_id"])
+    first = lambda a, b: F.floor((F.least(a, b) - margin) / cell)
+    tiled = _tiles(segments.select("page_id", *cols, first("x1", "x2").alias("fx"), first("y1", "y2").alias("fy")), cell, margin)
+    side = lambda p: tiled.select("page_id", "cx", "cy", *[F.col(c).alias(f"{p}_{c}") for c in (*cols, "fx", "fy")])
+    once = (F.greatest("a_fx", "b_fx") == F.col("cx")) & (F.greatest("a_fy", "b_fy") == F.col("cy"))
+    pairs = side("a").join(side("b"), ["page_id", "cx", "cy"]).filter((F.col("a_seg_id") < F.col("b_seg_id")) & once)
+    return pairs.select("page_id", *[f"{p}_{c}" for p in "ab" for c in cols])
 
 
 def crossings(segments: DataFrame, cell: float = 100.0) -> DataFrame:

@@ -169,7 +169,7 @@ _SEGMENTS = "p AS (SELECT vec_id AS id, label AS page, embedding[1]::DOUBLE * 10
 
 def _segments(spark, sf):
     at = lambda k: F.element_at("embedding", k).cast("double") * 1000
-    return table(spark, sf, "embeddings").filter("vec_id % 4 = 0").select(F.col("label").cast("long").alias("page_id"), F.col("vec_id").alias("seg_id"), at(1).alias("x1"), at(2).alias("y1"), at(3).alias("x2"), at(4).alias("y2"))
+    return table(spark, sf, "embeddings").select(F.col("label").cast("long").alias("page_id"), F.col("vec_id").alias("seg_id"), at(1).alias("x1"), at(2).alias("y1"), at(3).alias("x2"), at(4).alias("y2"))
 
 
 @query(f"""WITH {_SEGMENTS}, m AS (SELECT a.page, a.id AS i, b.id AS j, (a.x2 - a.x1) * (b.y2 - b.y1) - (a.y2 - a.y1) * (b.x2 - b.x1) AS c, (b.x1 - a.x1) * (b.y2 - b.y1) - (b.y1 - a.y1) * (b.x2 - b.x1) AS t, (b.x1 - a.x1) * (a.y2 - a.y1) - (b.y1 - a.y1) * (a.x2 - a.x1) AS u FROM p a JOIN p b ON a.page = b.page AND a.id < b.id)
