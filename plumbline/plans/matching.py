@@ -65,7 +65,7 @@ def q_interval_merge(spark, sf):
 def q_interval_overlap(spark, sf):
     """Orders of a supplier whose shipping windows, three days longer, overlap."""
     day = F.floor(F.unix_timestamp(F.col("l_shipdate").cast("timestamp")) / 86400)
-    windows = table(spark, sf, "lineitem").filter("l_quantity > 47").groupBy("l_suppkey", "l_orderkey").agg(F.min(day).alias("low"), (F.max(day) + 3).alias("high"))
+    windows = table(spark, sf, "lineitem").groupBy("l_suppkey", "l_orderkey").agg(F.min(day).alias("low"), (F.max(day) + 3).alias("high"))
     pairs = fusion.overlapping(windows, ["l_suppkey"], "l_orderkey", "low", "high", 30)
     return pairs.select("l_suppkey", F.col("a_l_orderkey").alias("a_order"), F.col("b_l_orderkey").alias("b_order"))
 

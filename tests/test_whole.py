@@ -50,3 +50,28 @@ def test_faces_snap_and_strokes_of_all_segments(spark, tmp_path):
     strokes = registry.QUERIES["q_stroke_clusters"](spark, sf).collect()
     assert (2, 3) in [(r["cluster"], r["n"]) for r in strokes]
     assert math.isclose(next(r["angle"] for r in strokes if r["cluster"] == 2), 90.0)
+
+
+def lines(spark, tmp_path, rows, columns):
+    """The lineitem table of a folder."""
+    spark.createDataFrame(rows, columns).write.parquet(f"{tmp_path}/lineitem.parquet")
+    return str(tmp_path)
+
+
+def test_overlaps_of_all_lines(spark, tmp_path):
+    r = random.Random(7)
+    rows = [(r.randint(1, 2), r.randint(1, 25), float(r.randint(1, 50)), r.randint(0, 120)) for _ in range(80)]
+    df = spark.createDataFrame(rows, "l_suppkey long, l_orderkey long, l_quantity double, d int")
+    df.selectExpr("l_suppkey", "l_orderkey", "l_quantity", "date_add(date'1995-01-01', d) AS l_shipdate").write.parquet(f"{tmp_path}/lineitem.parquet")
+    windows = {}
+    for s, o, _, d in rows:
+        low, high = windows.get((s, o), (d, d))
+        windows[s, o] = min(low, d), max(high, d)
+    want = {(a[0], a[1], b[1]) for a, (al, ah) in windows.items() for b, (bl, bh) in windows.items() if a[0] == b[0] and a[1] < b[1] and al <= bh + 3 and bl <= ah + 3}
+    got = [(x["l_suppkey"], x["a_order"], x["b_order"]) for x in registry.QUERIES["q_interval_overlap"](spark, str(tmp_path)).collect()]
+    assert len(got) == len(set(got)) and set(got) == want
+
+
+@tables
+def test_overlaps_of_whole_tables(spark):
+    compare(spark, registry.QUERIES["q_interval_overlap"], registry.ORACLES["q_interval_overlap"].replace(" WHERE l_quantity > 47", ""))
