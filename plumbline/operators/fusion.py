@@ -12,6 +12,8 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
+from . import graph
+
 
 def choose(df: DataFrame, keys: list[str], order: list[Column], largest: bool = False) -> DataFrame:
     """One row of each key: the first by order, or the last. Null keys are a key. (W1-W4, A5, D-priority)
@@ -132,24 +134,24 @@ def conflicts(df: DataFrame, keys: list[str], value: str, tolerance: float) -> D
 
 
 def greedy_pairs(pairs: DataFrame, group: str, a: str, b: str, cost: str) -> DataFrame:
-    """One-to-one assignment within a group, cheapest pairs first, ties by a and b.
+    """One-to-one assignment within a group, cheapest pairs first, ties by a and b; costs that are null come last.
 
-    The walk is sequential by its nature; a group is a page, whose candidates are already cut by a radius.
+    A pair that is the first of both its ends is one that the walk in order of cost takes, whatever else there is, so
+    all such pairs are taken at once, the other pairs of their ends dropped, and so on until none is left. No group
+    has to fit a task. There are as many rounds as the longest chain of pairs that wait for each other. Nulls are a
+    group and an end like any other.
     """
-    schema = pairs.schema
-
-    def walk(rows):
-        rows = rows.sort_values([cost, a, b], kind="stable")
-        used_a, used_b, keep = set(), set(), []
-        for x, y in zip(rows[a], rows[b], strict=True):
-            ok = x not in used_a and y not in used_b
-            keep.append(ok)
-            if ok:
-                used_a.add(x)
-                used_b.add(y)
-        return rows[keep]
-
-    return pairs.groupBy(group).applyInPandas(walk, schema)
+    order = F.struct(F.col(cost).isNull().alias("none"), F.col(cost).alias("cost"), F.col(a).alias("a"), F.col(b).alias("b"))
+    ends = [F.struct(F.col(group).alias("g"), F.col(c).alias("end")).alias(k) for k, c in (("at_a", a), ("at_b", b))]
+    left = graph.cut(pairs.select(*ends, order.alias("rank"), F.struct(*pairs.columns).alias("row")).groupBy("at_a", "at_b").agg(F.min(F.struct("rank", "row")).alias("best")))
+    taken = left.limit(0)
+    while not left.isEmpty():
+        best_a, best_b = (left.groupBy(k).agg(F.min(F.struct("best.rank", o, "best")).alias(f"first_{k}")) for k, o in (("at_a", "at_b"), ("at_b", "at_a")))
+        won = best_a.select("at_a", F.col("first_at_a.at_b").alias("at_b"), F.col("first_at_a.best").alias("best")).join(best_b, "at_b").filter(F.col("first_at_b.at_a").eqNullSafe(F.col("at_a")))
+        won = graph.cut(won.select("at_a", "at_b", "best"))
+        taken = taken.unionAll(won)
+        left = graph.cut(left.join(won.select("at_a"), "at_a", "left_anti").join(won.select("at_b"), "at_b", "left_anti").select("at_a", "at_b", "best"))
+    return taken.select("best.row.*")
 
 
 def fold(df: DataFrame, keys: list[str], order: list[Column]) -> DataFrame:

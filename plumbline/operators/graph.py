@@ -13,20 +13,20 @@ def components(edges: DataFrame, a: str, b: str, most_rounds: int = 200) -> Data
     label, so paths shorten by doubling. Each round is checkpointed if the session has a checkpoint folder.
     """
     both = edges.select(F.col(a).alias("node"), F.col(b).alias("other")).unionAll(edges.select(F.col(b), F.col(a))).distinct()
-    both = _cut(both)
-    labels = _cut(both.groupBy("node").agg(F.least(F.col("node"), F.min("other")).alias("label")))
+    both = cut(both)
+    labels = cut(both.groupBy("node").agg(F.least(F.col("node"), F.min("other")).alias("label")))
     for _ in range(most_rounds):
         near = both.join(labels.select(F.col("node").alias("other"), "label"), "other").groupBy("node").agg(F.min("label").alias("near"))
         step = labels.join(near, "node").select("node", F.least("label", "near").alias("label"), F.col("label").alias("was"))
         jump = step.select(F.col("node").alias("label"), F.col("label").alias("further"))
-        new = _cut(step.join(jump, "label", "left").select("node", F.least("label", F.coalesce("further", "label")).alias("label"), "was"))
+        new = cut(step.join(jump, "label", "left").select("node", F.least("label", F.coalesce("further", "label")).alias("label"), "was"))
         if not new.filter("label <> was").limit(1).count():
             break
         labels = new.select("node", "label")
     return new.select("node", F.col("label").alias("component"))
 
 
-def _cut(df: DataFrame) -> DataFrame:
+def cut(df: DataFrame) -> DataFrame:
     """Cuts the lineage: through the checkpoint folder where there is one, by caching for this session otherwise."""
     spark = df.sparkSession
     if spark.sparkContext.getConf().get("spark.checkpoint.dir") or spark.sparkContext._jsc.sc().getCheckpointDir().isDefined():

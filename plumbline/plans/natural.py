@@ -201,7 +201,7 @@ def q_stroke_clusters(spark, sf):
 @query()
 def q_greedy_assignment(spark, sf):
     """One-to-one by distance, the nearest first."""
-    pairs = table(spark, sf, "lineitem").select((F.col("l_suppkey") % 10).alias("page"), F.col("l_partkey").alias("a"), F.col("l_suppkey").alias("b"), F.col("l_extendedprice").alias("cost")).filter("cost < 2000")
+    pairs = table(spark, sf, "lineitem").select((F.col("l_suppkey") % 10).alias("page"), F.col("l_partkey").alias("a"), F.col("l_suppkey").alias("b"), F.col("l_extendedprice").alias("cost"))
     return fusion.greedy_pairs(pairs, "page", "a", "b", "cost")
 
 

@@ -6,6 +6,7 @@ import random
 import pytest
 
 from oracle import SF, compare
+from plumbline.operators import fusion, graph
 from plumbline.plans import registry
 
 tables = pytest.mark.skipif(not SF.exists(), reason="no tables here")
@@ -75,3 +76,22 @@ def test_overlaps_of_all_lines(spark, tmp_path):
 @tables
 def test_overlaps_of_whole_tables(spark):
     compare(spark, registry.QUERIES["q_interval_overlap"], registry.ORACLES["q_interval_overlap"].replace(" WHERE l_quantity > 47", ""))
+
+
+@pytest.mark.parametrize("seed", [8, 9])
+def test_greedy_assignment_of_all_lines(spark, tmp_path, seed):
+    r = random.Random(seed)
+    rows = [(r.randint(1, 25), r.randint(1, 15), float(r.choice((900, 1500, 2500, 40000, r.randint(900, 90000))))) for _ in range(200)]
+    want, used = set(), set()
+    for cost, a, b in sorted((c, a, b) for a, b, c in rows):
+        if not {(b % 10, "a", a), (b % 10, "b", b)} & used:
+            used |= {(b % 10, "a", a), (b % 10, "b", b)}
+            want.add((b % 10, a, b, cost))
+    got = [(x["page"], x["a"], x["b"], x["cost"]) for x in registry.QUERIES["q_greedy_assignment"](spark, lines(spark, tmp_path, rows, "l_partkey long, l_suppkey long, l_extendedprice double")).collect()]
+    assert len(got) == len(set(got)) and set(got) == want
+
+
+def test_greedy_takes_nulls_as_ends(spark):
+    rows = [(1, None, 1, 1.0), (1, None, 2, 2.0), (1, 5, 2, None), (None, 7, 7, 3.0), (None, 7, 8, 1.0)]
+    got = fusion.greedy_pairs(spark.createDataFrame(rows, "g long, a long, b long, c double"), "g", "a", "b", "c")
+    assert {tuple(x) for x in got.collect()} == {rows[0], rows[2], rows[4]}
