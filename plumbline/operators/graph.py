@@ -10,7 +10,8 @@ def components(edges: DataFrame, a: str, b: str, most_rounds: int = 200) -> Data
     """node, component: the least node that can be reached.
 
     Labels are the least seen so far; every round takes the least label of the neighbours and then the label of the
-    label, so paths shorten by doubling. Each round is checkpointed if the session has a checkpoint folder.
+    label, so paths shorten by doubling. Labels that still change after most_rounds are an error. Each round is
+    checkpointed if the session has a checkpoint folder.
     """
     both = edges.select(F.col(a).alias("node"), F.col(b).alias("other")).unionAll(edges.select(F.col(b), F.col(a))).distinct()
     both = cut(both)
@@ -23,6 +24,8 @@ def components(edges: DataFrame, a: str, b: str, most_rounds: int = 200) -> Data
         if not new.filter("label <> was").limit(1).count():
             break
         labels = new.select("node", "label")
+    else:
+        raise RuntimeError(f"labels still change after {most_rounds} rounds")
     return new.select("node", F.col("label").alias("component"))
 
 

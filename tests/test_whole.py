@@ -95,3 +95,42 @@ def test_greedy_takes_nulls_as_ends(spark):
     rows = [(1, None, 1, 1.0), (1, None, 2, 2.0), (1, 5, 2, None), (None, 7, 7, 3.0), (None, 7, 8, 1.0)]
     got = fusion.greedy_pairs(spark.createDataFrame(rows, "g long, a long, b long, c double"), "g", "a", "b", "c")
     assert {tuple(x) for x in got.collect()} == {rows[0], rows[2], rows[4]}
+
+
+def union_find(edges):
+    """The least node of each node's component."""
+    up = {}
+
+    def top(x):
+        while up.setdefault(x, x) != x:
+            up[x] = up[up[x]]
+            x = up[x]
+        return x
+
+    for a, b in edges:
+        a, b = top(a), top(b)
+        up[max(a, b)] = min(a, b)
+    return {x: top(x) for x in list(up)}
+
+
+@pytest.mark.parametrize("seed", [10, 11])
+def test_components_of_all_lines(spark, tmp_path, seed):
+    r = random.Random(seed)
+    rows = [(r.randint(1, 60), r.randint(1, 60), float(r.randint(1, 50)), r.randint(0, 10) / 100) for _ in range(70)]
+    got = registry.QUERIES["q_connected_components"](spark, lines(spark, tmp_path, rows, "l_orderkey long, l_suppkey long, l_quantity double, l_discount double")).collect()
+    want = union_find((o, s + 100000000) for o, s, *_ in rows)
+    assert len(set(want.values())) > 1
+    assert len(got) == len(want) and {x["node"]: x["component"] for x in got} == want
+
+
+@tables
+def test_components_of_whole_tables(spark):
+    edges = spark.read.parquet(f"{SF}/lineitem.parquet").selectExpr("l_orderkey", "l_suppkey + 100000000").collect()
+    got = registry.QUERIES["q_connected_components"](spark, str(SF)).collect()
+    assert {x["node"]: x["component"] for x in got} == union_find(map(tuple, edges)) and len(got) == len({n for e in edges for n in e})
+
+
+def test_components_that_do_not_settle_raise(spark):
+    path = spark.createDataFrame([(k, k + 1) for k in range(40)], "a long, b long")
+    with pytest.raises(RuntimeError, match="2 rounds"):
+        graph.components(path, "a", "b", most_rounds=2)
