@@ -119,7 +119,7 @@ def q_keyword_score(spark, sf):
 
 @query(r"""SELECT page_id, CAST(nullif(regexp_extract(html, 'track\((\d+)\)', 1), '') AS BIGINT) AS tracker, nullif(regexp_extract(url, '://([^/]+)', 1), '') AS host, len(regexp_extract_all(html, '<p[ >]'))::INT AS paragraphs FROM pages""")
 def q_regex_extract(spark, sf):
-    """(F14-F34)"""
+    """The tracker's number, the host and the count of paragraphs of web pages. The rules F14-F34 are in functions/text.py and functions/sheets.py."""
     return table(spark, sf, "pages").select("page_id", text.first(F.col("html"), r"track\((\d+)\)").cast("long").alias("tracker"), text.first(F.col("url"), "://([^/]+)").alias("host"), F.size(F.regexp_extract_all("html", F.lit("<p[ >]"), F.lit(0))).alias("paragraphs"))
 
 
