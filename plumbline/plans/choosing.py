@@ -159,7 +159,7 @@ def q_paint_units(spark, sf):
 def q_explode_fanout(spark, sf):
     """One row to several."""
     parts = F.array(*[F.struct(F.lit(n).alias("side"), F.lit(s).alias("share")) for n, s in (("wall", 1.0), ("ceiling", 0.5), ("skirting", 0.25))])
-    return table(spark, sf, "lineitem").filter("l_quantity > 40").select("l_orderkey", "l_linenumber", "l_quantity", F.inline(parts)).select("l_orderkey", "l_linenumber", "side", (F.col("l_quantity") * F.col("share")).alias("quantity"))
+    return table(spark, sf, "lineitem").select("l_orderkey", "l_linenumber", "l_quantity", F.inline(parts)).select("l_orderkey", "l_linenumber", "side", (F.col("l_quantity") * F.col("share")).alias("quantity"))
 
 
 @query("""SELECT l_orderkey, l_linenumber, channel, amount FROM (SELECT l_orderkey, l_linenumber, unnest(['quantity', 'discount', 'tax']) AS channel, unnest([l_quantity, l_discount, l_tax]) AS amount FROM lineitem) x WHERE amount > 0""")

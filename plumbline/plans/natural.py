@@ -208,7 +208,7 @@ def q_greedy_assignment(spark, sf):
 @query("""SELECT p_brand AS code, min(p_size)::INT AS first_page, count(*)::BIGINT AS entries, CASE WHEN count(DISTINCT p_type) <= 1 THEN 'Confirmed' ELSE 'Conflict' END AS status FROM part WHERE p_size > 47 GROUP BY 1""")
 def q_materials(spark, sf):
     """Codes with one description or with several."""
-    entries = table(spark, sf, "part").filter("p_size > 47").select(F.col("p_brand").alias("code"), F.col("p_type").alias("description"), F.col("p_type").alias("substrate"), F.col("p_size").alias("page_id"))
+    entries = table(spark, sf, "part").select(F.col("p_brand").alias("code"), F.col("p_type").alias("description"), F.col("p_type").alias("substrate"), F.col("p_size").alias("page_id"))
     first = entries.groupBy(F.upper("code").alias("code")).agg(F.min("page_id").alias("first_page"))
     return registers.materials(entries).join(first, "code").select(F.initcap(F.lower("code")).alias("code"), "first_page", "entries", "status")
 

@@ -134,3 +134,21 @@ def test_components_that_do_not_settle_raise(spark):
     path = spark.createDataFrame([(k, k + 1) for k in range(40)], "a long, b long")
     with pytest.raises(RuntimeError, match="2 rounds"):
         graph.components(path, "a", "b", most_rounds=2)
+
+
+def test_materials_of_all_parts(spark, tmp_path):
+    rows = [("Brand#1", "STEEL", 3), ("Brand#1", "BRASS", 50), ("Brand#2", "TIN", 9), ("Brand#2", "TIN", 48), ("Brand#3", "COPPER", 5)]
+    spark.createDataFrame(rows, "p_brand string, p_type string, p_size int").write.parquet(f"{tmp_path}/part.parquet")
+    got = registry.QUERIES["q_materials"](spark, str(tmp_path)).collect()
+    assert sorted((r["code"], r["first_page"], r["entries"], r["status"]) for r in got) == [("Brand#1", 3, 2, "Conflict"), ("Brand#2", 9, 2, "Confirmed"), ("Brand#3", 5, 1, "Confirmed")]
+
+
+def test_fanout_of_all_lines(spark, tmp_path):
+    got = registry.QUERIES["q_explode_fanout"](spark, lines(spark, tmp_path, [(1, 1, 4.0), (1, 2, 48.0)], "l_orderkey long, l_linenumber int, l_quantity double")).collect()
+    assert sorted(map(tuple, got)) == [(1, 1, "ceiling", 2.0), (1, 1, "skirting", 1.0), (1, 1, "wall", 4.0), (1, 2, "ceiling", 24.0), (1, 2, "skirting", 12.0), (1, 2, "wall", 48.0)]
+
+
+@tables
+@pytest.mark.parametrize("name,cut", [("q_materials", " WHERE p_size > 47"), ("q_explode_fanout", " WHERE l_quantity > 40")])
+def test_whole_tables(spark, name, cut):
+    compare(spark, registry.QUERIES[name], registry.ORACLES[name].replace(cut, ""))
