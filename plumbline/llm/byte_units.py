@@ -34,17 +34,24 @@ def units(text: str) -> list[str]:
     return [x for x in out if x]
 
 
+#: Longer units, whole lines in a script without spaces say, are encoded anew each time.
+LONGEST = 64
+ENTRY = 220  # bytes that an entry of a table costs beside its characters
+KEYS = 20_000  # units looked up at a time, so that one long text can't fill a table far beyond its bound
+
+
 class UnitCache:
     """What encode() makes of units, for texts at a time; the joined results of a text's units are the text's result.
 
     Units are kept with their leading space cut off in one table and as they are in another. A table that is full
     becomes the old one, from which units that are met again are taken over, and the old one before it is forgotten.
+    All four together hold no more than most_bytes and what one lookup adds; forget() empties them.
     encode_row gets units that each are one space and then something that neither begins nor ends with white space;
     put in a row, such units still encode independently.
     """
 
-    def __init__(self, encode: Callable[[list[str]], list], encode_row: Callable[[list[str]], list] | None = None, full: int = 400_000):
-        self.bare, self.spaced = _Table(encode, "", full), _Table(encode_row or encode, " ", full)
+    def __init__(self, encode: Callable[[list[str]], list], encode_row: Callable[[list[str]], list] | None = None, most_bytes: int = 64 << 20):
+        self.bare, self.spaced = _Table(encode, "", most_bytes // 8), _Table(encode_row or encode, " ", 3 * most_bytes // 8)
 
     def parts(self, text: str) -> list:
         if _RUN.search(text):
@@ -63,16 +70,28 @@ class UnitCache:
             at += len(line) - 1
         return out
 
+    def forget(self) -> None:
+        self.bare.forget()
+        self.spaced.forget()
+
 
 class _Table:
+    """Two generations of at most full bytes each."""
+
     def __init__(self, encode: Callable[[list[str]], list], lead: str, full: int):
         self.encode, self.lead, self.full = encode, lead, full
+        self.forget()
+
+    def forget(self) -> None:
         self.young: dict = {}
         self.old: dict = {}
+        self.held = 0
 
     def get(self, keys: list[str]) -> list:
-        if len(self.young) > self.full:
-            self.old, self.young = self.young, {}
+        if len(keys) > KEYS:
+            return [v for k in range(0, len(keys), KEYS) for v in self.get(keys[k : k + KEYS])]
+        if self.held > self.full:
+            self.old, self.young, self.held = self.young, {}, 0
         young, old = self.young, self.old
         got = list(map(young.get, keys))
         if None in got:
@@ -80,12 +99,22 @@ class _Table:
             new = {}
             for i in at:
                 k = keys[i]
-                if (v := old.get(k)) is None:
+                v = old.get(k)
+                if v is None:
                     new[k] = None
                 else:
-                    young[k] = v
+                    got[i] = v
+                    self._keep(k, v)
             if new:
-                young.update(zip(new, self.encode([self.lead + k for k in new]), strict=True))
-            for i in at:
-                got[i] = young[keys[i]]
+                new.update(zip(new, self.encode([self.lead + k for k in new]), strict=True))
+                for k, v in new.items():
+                    self._keep(k, v)
+                for i in at:
+                    if got[i] is None:
+                        got[i] = new[keys[i]]
         return got
+
+    def _keep(self, k: str, v) -> None:
+        if len(k) <= LONGEST:
+            self.young[k] = v
+            self.held += ENTRY + len(k) + len(v)

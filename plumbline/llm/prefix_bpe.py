@@ -8,7 +8,7 @@ depends on what is appended, and after an edit only the prefixes up to where the
 the length of the longest token, are done anew.
 
 Documents are split into the pattern's matches, each of which is a piece, as the tiktoken library does. Units of text
-(byte_units.py) are cached in each Python worker.
+(byte_units.py) are remembered within a task, up to CACHED bytes.
 
 Defined results: a null text is empty and has no ids; its digests are those of the empty string; repeated rows count
 each; an empty table gives no rows. Other columns are not read.
@@ -29,14 +29,15 @@ from .byte_units import UnitCache
 from .shared import small_batches, table
 
 TOKEN = -1
-CACHED = 250_000  # half the units that a worker remembers, and as many pairs of tokens: some 150 MB in all
+CACHED = 64 << 20  # bytes of units that a worker remembers within a task
+PAIRS = 200_000  # pairs of tokens that it remembers, some 20 MB
 _open: dict[tuple[str, str], Coder] = {}
 
 
 class Merges:
     """Ranks, which of their tokens the merges can make, and which neighbours are valid."""
 
-    def __init__(self, ranks: dict[bytes, int], remembered: int = 250_000):
+    def __init__(self, ranks: dict[bytes, int], remembered: int = PAIRS):
         self.ranks, self.bytes_of = ranks, {v: k for k, v in ranks.items()}
         self.longest = max(map(len, ranks))
         self.remembered = remembered
@@ -49,7 +50,7 @@ class Merges:
                 node = node.setdefault(byte, {})
             node[TOKEN] = rank
         #: Pairs of tokens that have been tried, and whether they are valid neighbours.
-        self.known: dict[tuple[int, int], bool] = {}
+        self.known: dict[int, bool] = {}  # left << 32 | right
 
     def merge(self, piece: bytes) -> list[bytes]:
         """The parts that the merges leave of a short piece, the lowest rank first, the leftmost of equals."""
@@ -77,7 +78,7 @@ class Merges:
         if len(self.known) > self.remembered:
             self.known.clear()
         a, b = self.bytes_of[left], self.bytes_of[right]
-        valid = self.known[left, right] = self.merge(a + b) == [a, b]
+        valid = self.known[left << 32 | right] = self.merge(a + b) == [a, b]
         return valid
 
 
@@ -100,7 +101,7 @@ class Prefixes:
             token = node.get(TOKEN)
             if token is not None:
                 if start:
-                    valid = known.get((last[start - 1], token))
+                    valid = known.get(last[start - 1] << 32 | token)
                     if not (m.valid(last[start - 1], token) if valid is None else valid):
                         continue
                 if m.made(token):
@@ -145,7 +146,7 @@ class Coder:
         import regex
 
         self.merges, self.pattern = Merges(ranks), regex.compile(pattern)
-        self.units = UnitCache(lambda new: [",".join(map(str, self._unit(x))) for x in new], full=CACHED)
+        self.units = UnitCache(lambda new: [",".join(map(str, self._unit(x))) for x in new], most_bytes=CACHED)
         self.bytes_of = {str(k): v for k, v in self.merges.bytes_of.items()}
 
     def _unit(self, unit: str) -> list[int]:
@@ -160,6 +161,11 @@ class Coder:
         """Decimal ids, joined by commas."""
         return ",".join(self.units.parts(text)) if text else ""
 
+    def forget(self) -> None:
+        """Gives back what texts have left behind; the ranks stay."""
+        self.units.forget()
+        self.merges.known.clear()
+
     def decode(self, ids: str) -> bytes:
         return b"".join(map(self.bytes_of.__getitem__, ids.split(","))) if ids else b""
 
@@ -176,20 +182,23 @@ def encode_documents(docs: DataFrame, path: str, pattern: str, full: bool = Fals
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         c = coder(path, pattern)
-        for b in batches:
-            out: dict[str, list] = {"doc_id": b["doc_id"], "n_tokens": [], "ids_sha256": [], "decoded_sha256": []}
-            if full:
-                out |= {"ids": [], "decoded": []}
-            for text in b["text"]:
-                ids = c.encode(text)
-                decoded = c.decode(ids)
-                out["n_tokens"].append(ids.count(",") + 1 if ids else 0)
-                out["ids_sha256"].append(hashlib.sha256(ids.encode()).hexdigest())
-                out["decoded_sha256"].append(hashlib.sha256(decoded).hexdigest())
+        try:
+            for b in batches:
+                out: dict[str, list] = {"doc_id": b["doc_id"], "n_tokens": [], "ids_sha256": [], "decoded_sha256": []}
                 if full:
-                    out["ids"].append(ids)
-                    out["decoded"].append(decoded)
-            yield pd.DataFrame(out)
+                    out |= {"ids": [], "decoded": []}
+                for text in b["text"]:
+                    ids = c.encode(text)
+                    decoded = c.decode(ids)
+                    out["n_tokens"].append(ids.count(",") + 1 if ids else 0)
+                    out["ids_sha256"].append(hashlib.sha256(ids.encode()).hexdigest())
+                    out["decoded_sha256"].append(hashlib.sha256(decoded).hexdigest())
+                    if full:
+                        out["ids"].append(ids)
+                        out["decoded"].append(decoded)
+                yield pd.DataFrame(out)
+        finally:
+            c.forget()  # workers live on after their task
 
     small_batches(docs.sparkSession)
     # Ids pass through Python as strings: pandas has no exact long with nulls.

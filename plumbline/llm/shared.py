@@ -19,10 +19,14 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
 def scratch(spark: SparkSession, name: str) -> str:
     """A new path in the folder that the cluster names in spark.checkpoint.dir.
 
-    Where that setting is absent (tests, a laptop) a temporary folder is set for the session.
+    Where that setting is absent a temporary folder is set for the session if it is a local one (tests, a laptop); on
+    a cluster, whose executors would each write to a disk of their own, that is an error.
     """
     base = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getConf().get("spark.checkpoint.dir")
     if not base:
+        master = spark.sparkContext.master
+        if not master.startswith("local") or master.startswith("local-cluster"):
+            raise ValueError("set spark.checkpoint.dir to a folder that the driver and all executors share")
         base = f"file://{tempfile.mkdtemp(prefix='scratch-')}"
         spark.conf.set("spark.checkpoint.dir", base)
     return f"{base.rstrip('/')}/{name}-{uuid.uuid4().hex}"
@@ -46,8 +50,11 @@ def words_of(text: Column) -> Column:
     return F.array_remove(F.split(F.coalesce(text, F.lit("")), SPACES, -1), "")
 
 
-def small_batches(spark: SparkSession, rows: int = 1000, size: str = "32m") -> None:
-    """Bounds what a Python worker gets at a time: whole texts are long, and Spark's default is 10,000 rows a batch."""
+def small_batches(spark: SparkSession, rows: int = 1000, size: str = "8m") -> None:
+    """Bounds what a Python worker gets at a time: whole texts are long, and Spark's default is 10,000 rows a batch.
+
+    Frames are lazy, so the session's settings stay changed; smaller ones that the user has set are kept.
+    """
     name = "spark.sql.execution.arrow.maxRecordsPerBatch"
     if not 0 < int(spark.conf.get(name)) <= rows:
         spark.conf.set(name, rows)

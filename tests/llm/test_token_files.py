@@ -30,7 +30,7 @@ ALPHABET = [" ", " ", "\n", "\t", "\xa0", "\x1c", "a", "é", "'s", "1", "!", "
 def test_units_encode_as_the_whole_text(text):
     tok = tokenizer()
     assert "".join(units(text)) == text
-    cache = UnitCache(lambda new: [tuple(x.ids) for x in tok.encode_batch(new, add_special_tokens=False)], full=5)
+    cache = UnitCache(lambda new: [tuple(x.ids) for x in tok.encode_batch(new, add_special_tokens=False)], most_bytes=5000)
     assert [i for p in cache.parts(text) for i in p] == tok.encode(text, add_special_tokens=False).ids
 
 
