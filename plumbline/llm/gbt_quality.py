@@ -1,17 +1,18 @@
 """A quality classifier: histogram gradient-boosted trees over statistics of a document's text.
 
-One pass over the texts makes a slim table of statistics. The trees are trained on the driver from a bounded sample of
-labelled rows (SAMPLE of them, by a hash of their id), whose statistics are cut into at most BINS bins; each level of a
-tree takes one histogram of gradients per node and statistic. The trees are then flattened into arrays, level by level
-in perfect binary order, so that numpy takes all rows of a batch down a tree in as many steps as it is deep.
+A bounded sample is drawn from the labels first (SAMPLE ids, those with the least hashes), so statistics for training
+are taken of its documents alone. The trees are trained on the driver from them: statistics are cut into at most BINS
+bins; each level of a tree takes one histogram of gradients per node and statistic. The trees are then flattened into
+arrays, level by level in perfect binary order, so that numpy takes all rows of a batch down a tree in as many steps as
+it is deep. One pass over all texts takes each one's statistics and scores them; nothing is written in between.
 
 Only the text is looked at: labels, language, source and id are no inputs. Rows whose crc32(doc_id) mod 3 is 1 are
 held out from training.
 
 Defined results: a null text is empty, and an empty text has statistics like others, so it is scored; labels that are
 neither 0 nor 1 are ignored; a document with several labels has their majority, 1 at a tie; without a label to learn
-from every score is 0.5; a null doc_id isn't held out and has no label; repeated rows count each; an empty table gives
-no rows. Other columns are not read.
+from every score is 0.5; a null doc_id isn't held out and has no label; rows that share a doc_id are scored each, and
+the greatest text of them is learnt from; an empty table gives no rows. Other columns are not read.
 """
 
 from __future__ import annotations
@@ -26,7 +27,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.types import ArrayType, FloatType
 
-from .shared import small_batches, table, written
+from .shared import small_batches, table
 
 SAMPLE = 40_000
 BINS = 64
@@ -149,42 +150,49 @@ def held_out(doc_id: F.Column) -> F.Column:
     return F.coalesce(F.crc32(doc_id.cast("string").cast("binary")) % 3 == 1, F.lit(False))
 
 
-def train(stats: DataFrame, labels: DataFrame) -> Trees:
-    """stats: (doc_id, stats). The sample is bounded by SAMPLE rows, whatever the number of labels."""
-    marks = labels.filter("quality in (0, 1) and doc_id is not null").groupBy("doc_id").agg((F.avg("quality") >= 0.5).cast("double").alias("y"))
-    rows = stats.filter(~held_out(F.col("doc_id"))).join(marks, "doc_id").select("stats", "y", F.xxhash64("doc_id").alias("k"), F.xxhash64("stats").alias("l"))
-    got = rows.orderBy("k", "l").limit(SAMPLE).select("stats", "y").toPandas()
+def sample(labels: DataFrame, most: int = SAMPLE) -> DataFrame:
+    """(doc_id, y): at most so many labelled documents, held-out ones left out, those whose ids have the least hashes.
+
+    A bound on the hash, from the number of labelled documents, keeps what is sorted about as small as the sample.
+    """
+    marks = labels.filter("quality in (0, 1) and doc_id is not null").filter(~held_out(F.col("doc_id")))
+    marks = marks.groupBy("doc_id").agg((F.avg("quality") >= 0.5).cast("double").alias("y")).withColumn("k", F.pmod(F.xxhash64("doc_id"), F.lit(1 << 40)))
+    n = marks.count()
+    within = 1.0 if n <= 2 * most else min(1.0, (1.1 * most + 1000) / n)
+    return marks.filter(F.col("k") < int(within * (1 << 40))).orderBy("k", "doc_id").limit(most).select("doc_id", "y")
+
+
+def train(docs: DataFrame, labels: DataFrame) -> Trees:
+    """Learns from the documents of the sample."""
+    drawn = docs.select("doc_id", "text").join(F.broadcast(sample(labels)), "doc_id")  # SAMPLE rows of two numbers
+    texts = drawn.groupBy("doc_id").agg(F.max(F.coalesce("text", F.lit(""))).alias("text"), F.max("y").alias("y"))
+    got = texts.select("doc_id", "y", statistics_of(F.col("text")).alias("stats")).toPandas().sort_values("doc_id")  # SAMPLE rows
     x = np.stack(got["stats"].to_list()).astype(np.float32) if len(got) else np.zeros((0, len(NAMES)), np.float32)
     return fit(x, got["y"].to_numpy(float))
 
 
-def scored(stats: DataFrame, trees: Trees) -> F.Column:
-    """The score of each row of stats."""
+def scored(text: F.Column, trees: Trees) -> F.Column:
+    """The score of each text."""
 
     @F.pandas_udf("double")
-    def score(s: pd.Series) -> pd.Series:
-        x = np.stack(s.to_list()).astype(np.float32) if len(s) else np.zeros((0, len(NAMES)), np.float32)
+    def score(texts: pd.Series) -> pd.Series:
+        x = np.array([statistics(t) for t in texts], np.float32).reshape(len(texts), len(NAMES))
         return pd.Series(trees.score(x))
 
-    return score(stats)
+    return score(F.coalesce(text, F.lit("")))
 
 
 def classify(docs: DataFrame, labels: DataFrame) -> DataFrame:
     """A row per document: doc_id, held_out, score, predicted."""
     small_batches(docs.sparkSession)
-    stats = written(docs.select("doc_id", statistics_of(F.col("text")).alias("stats")), "statistics")
-    out = stats.select("doc_id", held_out(F.col("doc_id")).alias("held_out"), scored(F.col("stats"), train(stats, labels)).alias("score"))
+    out = docs.select("doc_id", held_out(F.col("doc_id")).alias("held_out"), scored(F.col("text"), train(docs, labels)).alias("score"))
     return out.withColumn("predicted", (F.col("score") >= 0.5).cast("int"))
 
 
 def keep_good(docs: DataFrame, labels: DataFrame) -> DataFrame:
-    """The documents predicted to be good, with all their columns.
-
-    Statistics are taken twice, once to train and once to score, so that the texts needn't be written in between.
-    """
+    """The documents predicted to be good, with all their columns."""
     small_batches(docs.sparkSession)
-    stats = written(docs.select("doc_id", statistics_of(F.col("text")).alias("stats")), "statistics")
-    return docs.filter(scored(statistics_of(F.col("text")), train(stats, labels)) >= 0.5)
+    return docs.filter(scored(F.col("text"), train(docs, labels)) >= 0.5)
 
 
 def op5_query(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -1,8 +1,11 @@
 """WARC, chat and BPE: round trips and brute force; the classifier: held-out accuracy; the pipeline as a whole."""
 
 import base64
+import collections
 import functools
 import hashlib
+import math
+import os
 import random
 
 import numpy as np
@@ -152,6 +155,70 @@ def test_classifier(spark):
     assert gbt_quality.classify(docs.filter("false"), labels).count() == 0 and gbt_quality.keep_good(docs.filter("false"), labels).count() == 0
 
 
+def test_statistics():
+    text = "Alpha beta beta GAMMA\n\n12 http://x.y ok! |\nAlpha beta beta GAMMA\n"
+    got = dict(zip(gbt_quality.NAMES, gbt_quality.statistics(text), strict=True))
+    words, lines = text.split(), [x for x in text.split("\n") if x.strip()]
+    n, threes = len(text), [tuple(words[k : k + 3]) for k in range(len(words) - 2)]
+    counts = collections.Counter(text)
+    want = {
+        "log_bytes": math.log1p(n), "log_words": math.log1p(len(words)), "word_length": sum(map(len, words)) / len(words), "long_words": sum(len(w) > 12 for w in words) / len(words), "short_words": sum(len(w) < 3 for w in words) / len(words),
+        "distinct_words": len(set(words)) / len(words), "top_word": max(map(words.count, words)) / len(words), "repeat_next": sum(a == b for a, b in zip(words, words[1:])) / len(words), "log_lines": math.log1p(len(lines)), "line_words": len(words) / len(lines),
+        "blank_lines": 1 - len(lines) / len(text.split("\n")), "dup_lines": 1 - len(set(lines)) / len(lines), "upper": sum("A" <= c <= "Z" for c in text) / n, "digits": sum(c.isdigit() for c in text) / n, "spaces": sum(c in " \n" for c in text) / n,
+        "points": sum(c in ".,;:?'\"()-" for c in text) / n, "symbols": sum(c in "#*$%&<>@^~_=+/\\{}[]`" for c in text) / n, "exclaims": text.count("!") / n, "bars": text.count("|") / n, "high_bytes": 0, "entropy": -sum(c / n * math.log2(c / n) for c in counts.values()),
+        "capital_words": sum(w[0].isupper() for w in words) / len(words), "end_points": sum(x[-1] in ".!?" for x in lines) / len(lines), "short_lines": sum(len(x) < 40 for x in lines) / len(lines), "longest_run": math.log1p(1), "links": text.count("http") / len(words),
+        "upper_words": sum(w.isupper() for w in words) / len(words), "symbol_words": 0, "window_repeats": 1 - len(set(threes)) / len(threes),
+    }
+    assert got.keys() == want.keys() and all(got[k] == pytest.approx(v) for k, v in want.items())
+    assert len(gbt_quality.statistics("")) == len(gbt_quality.NAMES) and np.isfinite(gbt_quality.statistics("")).all()
+    assert np.isfinite(gbt_quality.statistics("word " * 400_000)).all()
+
+
+def test_fit_takes_the_best_cut(monkeypatch):
+    """One tree of one level against a search over every cut of every statistic."""
+    monkeypatch.setattr(gbt_quality, "TREES", 1)
+    monkeypatch.setattr(gbt_quality, "DEPTH", 1)
+    rng = np.random.default_rng(3)
+    x = rng.integers(0, 9, (120, 3)).astype(np.float32)  # fewer values than bins: every cut is tried
+    y = ((x[:, 1] > 4) ^ (rng.random(120) < 0.1)).astype(float)
+    t = gbt_quality.fit(x, y)
+    p = y.mean()
+    g, h = p - y, np.full(120, p * (1 - p))
+
+    def gain(m):
+        return g[m].sum() ** 2 / (h[m].sum() + gbt_quality.L2)
+
+    cuts = {(f, c): gain(x[:, f] < c) + gain(x[:, f] >= c) for f in range(3) for c in np.unique(x[:, f])[1:]}
+    best = max(cuts.values())
+    f, c = int(t.feature[0, 0]), float(t.cut[0, 0])
+    assert gain(x[:, f] < c) + gain(x[:, f] >= c) == pytest.approx(best)
+    left = x[:, f] < c
+    want = [-gbt_quality.RATE * g[m].sum() / (h[m].sum() + gbt_quality.L2) for m in (left, ~left)]
+    assert np.allclose(t.value[0], want) and t.base == pytest.approx(np.log(p / (1 - p)))
+
+
+def test_sample_is_bounded_and_stable(spark):
+    labels = spark.createDataFrame([(k, k % 2) for k in range(3000)] + [(5, 0)] * 40 + [(None, 1), (7, 9)], "doc_id long, quality int")
+    few = [tuple(r) for r in gbt_quality.sample(labels, 50).collect()]
+    assert len(few) == 50 and few == [tuple(r) for r in gbt_quality.sample(labels.repartition(7), 50).collect()]
+    assert all(gbt_quality.fold(d) != 1 for d, _ in few)
+    every = {r["doc_id"]: r["y"] for r in gbt_quality.sample(labels).collect()}
+    assert every.keys() == {k for k in range(3000) if gbt_quality.fold(k) != 1} and every.get(5, 0) == 0
+
+
+def test_held_out_accuracy(spark):
+    sf = "/root/testdata/sf0.01"
+    if not os.path.exists(sf):
+        pytest.skip("no tables here")
+    got = gbt_quality.op5_query(spark, sf).join(spark.read.parquet(f"{sf}/labels.parquet"), "doc_id").filter("held_out").select("score", "predicted", "quality").toPandas()
+    assert (got["predicted"] == got["quality"]).mean() >= 0.9
+    ranks = got["score"].rank()
+    ones = got["quality"] == 1
+    auc = (ranks[ones].sum() - ones.sum() * (ones.sum() + 1) / 2) / (ones.sum() * (~ones).sum())
+    print("held-out accuracy", (got["predicted"] == got["quality"]).mean(), "AUC", auc, "rows", len(got))
+    assert auc >= 0.95
+
+
 def test_flat_trees():
     rng = np.random.default_rng(1)
     x = rng.normal(size=(500, 4)).astype(np.float32)
