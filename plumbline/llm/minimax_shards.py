@@ -1,40 +1,53 @@
 """Shards of near equal size that keep equal texts together: minimax contiguous partition, in DataFrame functions.
 
 The atoms are the groups of equal texts, ordered by a 64-bit hash of the text. Wanted is the smallest capacity with
-which a greedy walk over the atoms fills no more than the given number of shards; the cuts then follow that capacity.
-
-The atoms are never gathered. The driver holds a list of leaves, ranges of the hash with their bytes, of bounded
-length. A leaf is one atom or may be split further. A binary search for the capacity runs twice over the leaves: as
-if each was one atom (a capacity that surely works), and as if those that aren't could be cut anywhere (below which
-none works). Leaves in which a walk between the two could end are then split by their next 12 hash bits, with one
-aggregation of the rows that lie in them, until both searches agree and every cut falls between atoms.
+which a greedy walk over the atoms fills no more than the given number of shards; the cuts then keep to that capacity.
+They aren't the greedy walk's own: where one atom is heavier than a shard's share, a greedy walk fills every shard up to
+that atom's size and leaves the last ones empty. Such atoms get a shard of their own instead, and what lies before,
+between and after them is cut at the boundaries nearest to even shares, as far as the capacity allows: no shard is
+larger than the smallest capacity, and the others are of about one size.
+
+The atoms are never gathered. The driver holds a list of leaves, ranges of the hash with their bytes. A leaf is one
+atom or may be split further. A binary search for the capacity runs twice over the leaves: as if each was one atom (a
+capacity that surely works), and as if those that aren't could be cut anywhere (below which none works). Leaves in
+which a walk between the two could end are then split by their next hash bits, until both searches agree and every cut
+falls between atoms. The two capacities are no further apart than the largest leaf that isn't an atom, so the heaviest
+leaves are split first, at most MOST_OPEN in a round into MOST_NEW parts altogether: the list grows by so many a round
+at most, whatever the input and its largest group. Rounds are one aggregation each of the rows that lie in the split
+leaves, which a join on the leaves' common prefix picks out.
 
 Defined results: a null text has no bytes and belongs to the group of the empty text; repeated rows are rows of
-their own; rows of an empty table: none. With fewer groups than shards some shards stay empty.
+their own; rows of an empty table: none. With fewer groups than shards some shards stay empty. Columns other than
+doc_id and text are not read.
 """
 
 from __future__ import annotations
 
-from bisect import bisect_right
+from bisect import bisect_left, bisect_right
 from dataclasses import dataclass
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .shared import table, written
+from .shared import ranges, table, written
 
-BITS = 12
+BITS = 12  # hash bits of the first leaves, and the most by which a leaf is split at once
+MOST_OPEN, MOST_NEW = 256, 1 << 16
 
 
 @dataclass(frozen=True)
 class Leaf:
-    """Hashes low to high, both included; level counts the 12-bit steps that it is fine by."""
+    """Hashes low to high, both included; all that share the bits from shift upwards."""
 
     low: int
     high: int
     size: int
-    level: int
-    atom: bool
+    rows: int
+    shift: int
+
+    @property
+    def atom(self) -> bool:
+        return self.low == self.high
 
 
 class Walk:
@@ -79,24 +92,45 @@ class Walk:
         return [k for k in range(first, min(last, len(self.leaves) - 1) + 1) if not self.leaves[k].atom]
 
 
+def heavy_leaves(walk: Walk, shards: int) -> list[int]:
+    """Leaves heavier than what is left for each shard once such leaves have shards of their own."""
+    heavy: list[int] = []
+    while True:
+        rest, free = walk.total - sum(walk.leaves[k].size for k in heavy), shards - len(heavy)
+        found = [k for k, x in enumerate(walk.leaves) if x.size * free > rest] if free > 0 else heavy
+        if len(found) <= len(heavy):
+            return heavy
+        heavy = found
+
+
 def even_cuts(walk: Walk, shards: int, capacity: int) -> tuple[list[int], set[int]]:
     """Leaf numbers that begin shards 1.. and the leaves, not atoms, that must be finer for exact cuts.
 
-    Each shard ends at the boundary nearest to an even share of what is left, no later than the capacity allows and
-    no sooner than the shards after it can take the rest.
+    Heavy leaves stand alone; what lies before, between and after them is cut evenly into its share of the other
+    shards. No shard ends later than the capacity allows or sooner than the shards after it can take the rest.
     """
     back = [len(walk.leaves)]  # the earliest leaf from which so many shards take the rest
     for _ in range(shards):
         k = bisect_right(walk.at, walk.at[back[-1]] - capacity - 1)
         back.append(min(k, back[-1]))
-    cuts, start, rough = [], 0, set()
+    heavy = heavy_leaves(walk, shards)
+    cuts, start, rough = [], 0, {k for k in heavy if not walk.leaves[k].atom}
     for done in range(1, shards):
-        left = shards - done
-        share = walk.at[start] + (walk.total - walk.at[start]) / (left + 1)
-        k = bisect_right(walk.at, share) - 1
-        if k + 1 < len(walk.at) and walk.at[k + 1] - share < share - walk.at[k]:
-            k += 1
-        latest = bisect_right(walk.at, walk.at[start] + capacity) - 1
+        left, at = shards - done, walk.at
+        ahead = heavy[bisect_left(heavy, start) :]
+        rest = walk.total - at[start] - sum(walk.leaves[k].size for k in ahead)
+        share = rest / max(1, left + 1 - len(ahead))
+        stop = ahead[0] if ahead else len(walk.leaves)  # the next heavy leaf, or the end
+        gap = at[stop] - at[start]
+        if ahead and gap <= share / 2 and at[stop + 1] - at[start] <= capacity:
+            k = stop + 1
+        else:
+            want = at[start] + gap / max(1, round(gap / share) if share else 1)
+            k = bisect_right(at, want) - 1
+            if k < stop and at[k + 1] - want < want - at[k]:
+                k += 1
+            k = min(stop, max(k, start + 1))
+        latest = bisect_right(at, at[start] + capacity) - 1
         k = max(min(k, latest, len(walk.leaves)), back[left], start)
         rough.update(j for j in (k - 1, k) if 0 <= j < len(walk.leaves) and not walk.leaves[j].atom)
         cuts.append(k)
@@ -104,22 +138,27 @@ def even_cuts(walk: Walk, shards: int, capacity: int) -> tuple[list[int], set[in
     return cuts, rough
 
 
-def _leaves(rows: DataFrame, within: list[Leaf]) -> list[Leaf]:
-    """The leaves of one more level inside the given ones: at most 4096 for each."""
-    if not within:
-        return []
-    level = within[0].level + 1
-    shift = max(0, 64 - BITS * level)
-    inside = F.lit(False)
-    for x in within:
-        inside = inside | F.col("h").between(F.lit(x.low), F.lit(x.high))
-    got = rows.filter(inside).groupBy(F.shiftright("h", shift).alias("bin")).agg(F.sum("size").alias("size"), F.min("h").alias("low"), F.max("h").alias("high"))
-    return [Leaf(r["low"], r["high"], r["size"], level, r["low"] == r["high"]) for r in got.collect()]
+def next_open(leaves: list[Leaf], todo: set[int], most: int = MOST_OPEN) -> list[int]:
+    """Which leaves to split in this round: the heaviest, as many as most, all with one shift."""
+    first = sorted(todo, key=lambda k: (-leaves[k].size, leaves[k].low))[:most]
+    return [k for k in first if leaves[k].shift == leaves[first[0]].shift]
+
+
+def _leaves(rows: DataFrame, within: list[Leaf], most: int) -> list[Leaf]:
+    """The given leaves, of one shift, split by as many of their next bits as give most parts altogether."""
+    shift = within[0].shift
+    bits = max(1, min(BITS, most.bit_length() - 1 - (len(within) - 1).bit_length(), shift))
+    if shift < 64:
+        cells = rows.sparkSession.createDataFrame([(x.low >> shift,) for x in within], "cell long")
+        rows = rows.withColumn("cell", F.shiftright("h", shift)).join(F.broadcast(cells), "cell", "left_semi")  # MOST_OPEN rows or the shards' number times four
+    got = rows.groupBy(F.shiftright("h", shift - bits).alias("bin")).agg(F.sum("size").alias("size"), F.count("*").alias("rows"), F.min("h").alias("low"), F.max("h").alias("high"))
+    return [Leaf(r["low"], r["high"], r["size"], r["rows"], shift - bits) for r in got.collect()]
 
 
-def plan(rows: DataFrame, shards: int) -> tuple[int, list[int]]:
-    """The smallest capacity, and the smallest hash of each shard from the second on; rows: (h, size)."""
-    leaves = sorted(_leaves(rows, [Leaf(-(1 << 63), (1 << 63) - 1, 0, 0, False)]), key=lambda x: x.low)
+def plan(rows: DataFrame, shards: int) -> tuple[int, list[int | None], int]:
+    """The smallest capacity, the smallest hash of each shard from the second on, and the number of rows; rows: (h, size)."""
+    most_open, most_new = max(MOST_OPEN, 4 * shards), max(MOST_NEW, 64 * shards)
+    leaves = sorted(_leaves(rows, [Leaf(-(1 << 63), (1 << 63) - 1, 0, 0, 64)], most_new), key=lambda x: x.low)
     while True:
         walk = Walk(leaves)
         low, high = walk.smallest(shards, True), walk.smallest(shards, False)
@@ -127,11 +166,10 @@ def plan(rows: DataFrame, shards: int) -> tuple[int, list[int]]:
         if not todo:
             cuts, todo = even_cuts(walk, shards, high)
         if not todo:
-            return high, [leaves[k].low if k < len(leaves) else None for k in cuts]
-        finer = []
-        for level in {leaves[k].level for k in todo}:
-            finer += _leaves(rows, [leaves[k] for k in todo if leaves[k].level == level])
-        leaves = sorted([x for k, x in enumerate(leaves) if k not in todo] + finer, key=lambda x: x.low)
+            return high, [leaves[k].low if k < len(leaves) else None for k in cuts], sum(x.rows for x in leaves)
+        now = next_open(leaves, todo, most_open)
+        finer = _leaves(rows, [leaves[k] for k in now], most_new)
+        leaves = sorted([x for k, x in enumerate(leaves) if k not in set(now)] + finer, key=lambda x: x.low)
 
 
 def assign(docs: DataFrame, shards: int = 8) -> DataFrame:
@@ -139,13 +177,13 @@ def assign(docs: DataFrame, shards: int = 8) -> DataFrame:
     text = F.coalesce(F.col("text"), F.lit(""))
     rows = docs.select("doc_id", (F.octet_length(text) + 1).cast("long").alias("size"), F.crc32(F.encode(text, "UTF-8")).alias("text_crc32"), F.xxhash64(text).alias("h"))
     rows = written(rows, "sizes")
+    _, firsts, n = plan(rows.select("h", "size"), shards)
     shard = F.lit(0)
-    for first in plan(rows, shards)[1]:
+    for first in firsts:
         shard = shard + (F.lit(False) if first is None else F.col("h") >= F.lit(first)).cast("int")
     # Row numbers of the whole order: ranges of it in partitions, counted from each partition's own ids.
-    parts = max(1, int(docs.sparkSession.conf.get("spark.sql.shuffle.partitions")))
     order = ["h", "doc_id"]
-    placed = rows.withColumn("shard", shard.cast("int")).repartitionByRange(parts, *order).sortWithinPartitions(*order)
+    placed = rows.withColumn("shard", shard.cast("int")).repartitionByRange(ranges(docs.sparkSession, n), *order).sortWithinPartitions(*order)
     placed = written(placed.withColumn("at", F.monotonically_increasing_id()), "placed")
     part = F.shiftright("at", 33)
     counts = placed.groupBy(part.alias("part"), "shard").agg(F.count("*").alias("n"), F.min("at").alias("first")).collect()  # a row per partition and cut

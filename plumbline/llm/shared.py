@@ -40,6 +40,11 @@ def written(df: DataFrame, name: str, **options: str) -> DataFrame:
     return spark.read.schema(df.schema).parquet(path)
 
 
+def ranges(spark: SparkSession, rows: int, each: int = 1_000_000) -> int:
+    """Partitions for so many slim rows: as many as the session says, more where each would get more rows than each."""
+    return max(1, int(spark.conf.get("spark.sql.shuffle.partitions")), -(-rows // each))
+
+
 def let(value: Column, body) -> Column:
     """body(value) with value computed once, even where body uses it inside lambdas."""
     return F.element_at(F.transform(F.array(value), body), 1)

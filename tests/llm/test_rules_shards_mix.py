@@ -99,6 +99,73 @@ def test_shards(spark, seed, hot, monkeypatch):
         assert min(load) > 0.8 * best
 
 
+class FakeRows:
+    """Atoms (hash, size) in place of a table, for plan() alone; counts what each round brings to the driver."""
+
+    def __init__(self, atoms):
+        self.atoms, self.brought = atoms, []
+
+    def leaves(self, rows, within, most):
+        shift = within[0].shift
+        bits = max(1, min(minimax_shards.BITS, most.bit_length() - 1 - (len(within) - 1).bit_length(), shift))
+        prefixes = {x.low >> shift for x in within}
+        found = {}
+        for h, size in self.atoms:
+            if shift == 64 or h >> shift in prefixes:
+                s, n, low, high = found.get(h >> shift - bits, (0, 0, h, h))
+                found[h >> shift - bits] = s + size, n + 1, min(low, h), max(high, h)
+        self.brought.append((len(within), len(found)))
+        return [minimax_shards.Leaf(low, high, s, n, shift - bits) for s, n, low, high in found.values()]
+
+
+@pytest.mark.parametrize("heavy", [[], [0.4], [0.11, 0.11], [0.2, 0.12, 0.1, 0.05, 0.02]])
+def test_plan_of_many_atoms_with_heavy_ones(heavy, monkeypatch):
+    r = random.Random(len(heavy))
+    atoms = {r.randrange(-(1 << 63), 1 << 63): r.randint(1, 5000) for _ in range(60_000)}
+    total = sum(atoms.values())
+    for share in heavy:
+        atoms[r.randrange(-(1 << 63), 1 << 63)] = int(share * total / (1 - sum(heavy)))
+    atoms = sorted(atoms.items())
+    fake = FakeRows(atoms)
+    monkeypatch.setattr(minimax_shards, "_leaves", fake.leaves)
+    capacity, firsts, n = minimax_shards.plan(fake, 8)
+    assert n == len(atoms) and capacity == best_capacity([s for _, s in atoms], 8)
+    load = [0] * 8
+    for h, s in atoms:
+        load[sum(h >= f for f in firsts if f is not None)] += s
+    assert max(load) <= capacity
+    average = total / 8 if not heavy else total / (8 - sum(h > 0.09 for h in heavy))
+    assert max(sorted(load)[: 8 - len(heavy)]) < 1.6 * average  # shards without a heavy atom
+    assert sum(x < 0.6 * average for x in load) <= len(heavy) + 1  # what lies between two heavy atoms may be less
+    assert len(fake.brought) < 30 and all(opened <= minimax_shards.MOST_OPEN and new <= minimax_shards.MOST_NEW for opened, new in fake.brought)
+
+
+def test_shards_of_a_table_against_brute_force(spark):
+    """The query itself over a whole table: the contract's law, groups, slots and the least capacity."""
+    from pathlib import Path
+
+    from pyspark.sql import functions as F
+
+    sf = "/root/testdata/sf0.01"
+    if not Path(sf).exists():
+        pytest.skip("no tables here")
+    docs = spark.read.parquet(f"{sf}/documents.parquet").select("doc_id", "text")
+    got = {x["doc_id"]: x for x in minimax_shards.op4_query(spark, sf).collect()}
+    rows = docs.withColumn("h", F.xxhash64(F.coalesce("text", F.lit("")))).collect()
+    assert len(got) == len(rows)
+    groups, load, slots, homes = {}, [0] * 8, {}, {}
+    for d, text, h in rows:
+        raw, x = (text or "").encode(), got[d]
+        assert (x["size"], x["text_crc32"], x["law"], x["grown_shard"]) == (len(raw) + 1, zlib.crc32(raw), "bytes", None)
+        groups[h] = groups.get(h, 0) + x["size"]
+        load[x["shard"]] += x["size"]
+        slots.setdefault(x["shard"], []).append(x["slot"])
+        assert homes.setdefault(text or "", x["shard"]) == x["shard"]
+    assert all(sorted(s) == list(range(len(s))) for s in slots.values())
+    assert max(load) == best_capacity([s for _, s in sorted(groups.items())], 8)
+    assert min(load) > 0.9 * max(load)
+
+
 def mix(rows, budget_of=None):
     """taken of each row, by a plain queue."""
     import hashlib
