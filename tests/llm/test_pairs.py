@@ -120,6 +120,30 @@ def test_lattice():
     assert (((x - near) ** 2).sum(axis=1) <= ((x[:, None] - around) ** 2).sum(axis=2).min(axis=1) + 1e-9).all()  # no neighbour is nearer
 
 
+@pytest.mark.parametrize("dim", [2, 3, 4, 8, 10, 12, 16, 64, 384])
+def test_recall_at_the_edge(dim):
+    """Pairs at a cosine of 0.98 and a little more, the hardest ones, must meet in a cell of some table."""
+    rng = np.random.default_rng(dim)
+    a = e8_lattice.units(rng.normal(size=(4000, dim)))
+    b = rng.normal(size=(4000, dim))
+    b -= (a * b).sum(axis=1, keepdims=True) * a
+    b = 0.9801 * a + np.sqrt(1 - 0.9801**2) * e8_lattice.units(b)
+    k, m = e8_lattice.cells(a), e8_lattice.cells(e8_lattice.units(b))
+    found = np.zeros(4000, bool)
+    for t in range(e8_lattice.TABLES):
+        found |= e8_lattice._meet(k, m, t)
+    print(dim, found.mean())
+    assert found.mean() >= 0.97
+
+
+@pytest.mark.parametrize("kind,value", [("string", "a"), ("long", 2**40), ("double", 1.5)])
+def test_labels_of_any_kind(spark, kind, value):
+    other = {"string": "b", "long": 2**40 + 2**33, "double": 2.5}[kind]
+    rows = [(1, [1.0, 0.0], value), (2, [1.0, 0.01], value), (3, [1.0, 0.0], other), (4, [1.0, 0.0], None)]
+    got = {r["vec_id"]: (r["n_links"], r["component_id"]) for r in e8_lattice.near_duplicates(spark.createDataFrame(rows, f"vec_id long, embedding array<double>, label {kind}")).collect()}
+    assert got == {1: (1, 1), 2: (1, 1), 3: (0, 3), 4: (0, 4)}
+
+
 def test_vectors_against_brute_force(spark, monkeypatch):
     monkeypatch.setattr(e8_lattice, "BLOCK", 12)  # so that cells are cut into blocks
     rng = np.random.default_rng(2)
