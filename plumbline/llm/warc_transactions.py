@@ -9,7 +9,9 @@ Reading: files are parsed by their content lengths; the records' fields, without
 written once. Transactions are joined from them on the concurrent-to ids. Requests and metadata are reduced to one
 for each id before the join, so that repeated ids can't multiply rows.
 
-Equal payloads may be a third of all: captures are joined to the payloads' first pages under SALTS salts.
+One pass takes the payloads' digests, sizes and first pages; the pages are read again to be written and aren't moved,
+unless the payloads that several pages share are too many to be broadcast: captures are then joined to them under SALTS
+salts, since equal payloads may be a third of all. Files are cut so that they hold about FILE_BYTES of payloads.
 
 Defined results: a null html is an empty payload, a null url an empty URI; a null page_id is never the first page of
 a payload unless all are null, and then all are responses; rows that repeat the first page's id are responses too; an
@@ -21,6 +23,7 @@ from __future__ import annotations
 import base64
 import gzip
 import hashlib
+import io
 from collections.abc import Iterator
 from itertools import islice
 
@@ -32,7 +35,10 @@ from .shared import scratch, table, written
 
 MIN_REVISIT = 0
 SALTS = 32
-RECORDS_PER_FILE = 30_000
+#: Files are cut at so many records, or at fewer where pages are so long that these would be more than FILE_BYTES.
+RECORDS_PER_FILE, FILE_BYTES = 30_000, 64 << 20
+RECORD_BYTES = 1_500  # heads of a capture's three records
+BROADCAST_FIRSTS = 200_000  # shared payloads that are broadcast; beyond, captures are joined to them by a shuffle
 ROWS = 2_000  # records handed to Spark at a time
 #: The alphabet of base32.
 ALPHABET = "ABCDEFGHIJKLMNOPQRSTUVWXYZ234567"
@@ -60,18 +66,35 @@ def _record(headers: list[tuple[str, Column]], block: Column) -> Column:
     return F.concat(F.concat_ws(CRLF, F.lit("WARC/1.1"), *lines, F.concat(F.lit("Content-Length: "), F.octet_length(block).cast("string"))), F.lit(2 * CRLF), block)
 
 
-def captures(pages: DataFrame, min_revisit: int = MIN_REVISIT) -> DataFrame:
-    """page_id, url, html, digest, size, first: the least page_id of the same payload, where others share it."""
+def captures(pages: DataFrame, min_revisit: int = MIN_REVISIT) -> tuple[DataFrame, int]:
+    """(page_id, url, html, digest, size, first) and the records that a file may have for FILE_BYTES on average.
+
+    first is the least page_id of the same payload, where others share it. Texts stay where they are as long as the
+    payloads that are shared are few enough to be broadcast (BROADCAST_FIRSTS rows of 28 bytes); beyond that they are
+    dealt into partitions of FILE_BYTES.
+    """
     html = F.coalesce("html", F.lit(""))
     rows = pages.select("page_id", F.regexp_replace(F.coalesce("url", F.lit("")), r"[\r\n]", "").alias("url"), html.alias("html"), F.sha1(html.cast("binary")).alias("sha"), F.octet_length(html).cast("long").alias("size"))
-    firsts = rows.filter(F.col("size") >= min_revisit).groupBy("sha").agg(F.min("page_id").alias("first"), F.count("*").alias("n")).filter("n > 1")
-    firsts = firsts.select("sha", "first", F.explode(F.sequence(F.lit(0), F.lit(SALTS - 1))).alias("salt"))
-    salted = rows.withColumn("salt", F.pmod(F.xxhash64("page_id", "url"), F.lit(SALTS)).cast("int"))
-    return salted.join(firsts, ["sha", "salt"], "left").select("page_id", "url", "html", base32(F.col("sha")).alias("digest"), "size", "first")
-
-
-def write_warc(pages: DataFrame, path: str, min_revisit: int = MIN_REVISIT) -> None:
-    c = captures(pages, min_revisit)
+    seen = rows.groupBy("sha").agg(F.min(F.when(F.col("size") >= min_revisit, F.col("page_id"))).alias("first"), F.count("*").alias("n"), F.max("size").alias("size"))
+    seen = written(seen.select(F.unhex("sha").alias("digest"), "first", "n", "size"), "warc-payloads")
+    total = seen.agg(F.sum("n").alias("n"), F.sum(F.col("n") * F.col("size")).alias("bytes"), F.count(F.when(F.col("n") > 1, 1)).alias("shared")).first()
+    n, size = total["n"] or 0, (total["bytes"] or 0) + RECORD_BYTES * (total["n"] or 0)
+    firsts = seen.filter("n > 1").select("digest", "first")
+    rows = rows.withColumn("digest", F.unhex("sha")).drop("sha")
+    if total["shared"] <= BROADCAST_FIRSTS:
+        joined = rows.join(F.broadcast(firsts), "digest", "left")
+    else:
+        firsts = firsts.withColumn("salt", F.explode(F.sequence(F.lit(0), F.lit(SALTS - 1))))
+        parts = max(int(pages.sparkSession.conf.get("spark.sql.shuffle.partitions")), -(-size // FILE_BYTES))
+        salted = rows.withColumn("salt", F.pmod(F.xxhash64("page_id", "url"), F.lit(SALTS)).cast("int")).repartition(parts, "digest", "salt")
+        joined = salted.join(firsts.repartition(parts, "digest", "salt"), ["digest", "salt"], "left")
+    each = 3 * max(1, FILE_BYTES * n // size) if n else 3
+    return joined.select("page_id", "url", "html", base32(F.lower(F.hex("digest"))).alias("digest"), "size", "first"), min(RECORDS_PER_FILE, each)
+
+
+def write_warc(pages: DataFrame, path: str, min_revisit: int = MIN_REVISIT, compression: str = "gzip") -> None:
+    """compression is gzip, a stream for each file, or none, where records can be reached by their place in the file."""
+    c, each = captures(pages, min_revisit)
     revisit = F.col("first").isNotNull() & ~F.col("page_id").eqNullSafe(F.col("first"))
     page, digest, uri = F.col("page_id"), F.col("digest"), F.col("url")
     own = _id("capture", page, digest)
@@ -86,26 +109,29 @@ def write_warc(pages: DataFrame, path: str, min_revisit: int = MIN_REVISIT) -> N
     about = F.concat_ws(CRLF, F.concat(F.lit("page-id: "), page.cast("string")), F.when(revisit, F.concat(F.lit("refers-to-page: "), F.col("first").cast("string"))), F.lit(""))
     metadata = _record([("WARC-Type", F.lit("metadata")), ("WARC-Record-ID", _id("metadata", page, digest)), ("WARC-Concurrent-To", own), *common, ("Content-Type", F.lit("application/warc-fields"))], about)
     lines = c.select(F.explode(F.array(request, response, metadata)).alias("value"))
-    lines.write.option("lineSep", 2 * CRLF).option("compression", "gzip").option("maxRecordsPerFile", RECORDS_PER_FILE).text(path)
+    lines.write.option("lineSep", 2 * CRLF).option("compression", compression).option("maxRecordsPerFile", each).text(path)
 
 
 FIELDS = "type string, record_id string, concurrent_to string, refers_to string, uri string, payload_digest string, payload_bytes long, page_id long, refers_to_page long, payload binary"
 
 
 def parse(data: bytes, with_payload: bool = False) -> Iterator[dict]:
-    """The records of a WARC file. A response's payload is counted and its digest taken anew."""
-    if data[:2] == b"\x1f\x8b":
-        data = gzip.decompress(data)
-    at = 0
-    while at < len(data):
-        end = data.index(b"\r\n\r\n", at)
-        version, *lines = data[at:end].decode().split(CRLF)
-        if not version.startswith("WARC/"):
-            raise ValueError(f"no record at byte {at}")
+    """The records of a WARC file, gzip or not, of one member or many. It is unpacked as it is read, a record at a time.
+
+    A response's payload is counted and its digest taken anew. Records of other types come with their heads alone.
+    """
+    raw = io.BytesIO(data)
+    file = io.BufferedReader(gzip.GzipFile(fileobj=raw), 1 << 20) if data[:2] == b"\x1f\x8b" else raw
+    while version := file.readline():
+        if not version.startswith(b"WARC/"):
+            raise ValueError("no record where one should begin")
+        lines = []
+        while (line := file.readline()) not in (b"\r\n", b""):
+            lines.append(line.decode().rstrip("\r\n"))
         head = {k.lower(): v for k, _, v in (x.partition(": ") for x in lines)}
-        length = int(head["content-length"])
-        block = data[end + 4 : end + 4 + length]
-        at = end + 8 + length
+        block = file.read(int(head["content-length"]))
+        if file.read(4) != b"\r\n\r\n":
+            raise ValueError("a record is shorter or longer than it says")
         out = {"type": head["warc-type"], "record_id": head["warc-record-id"], "concurrent_to": head.get("warc-concurrent-to"), "refers_to": head.get("warc-refers-to"), "uri": head.get("warc-target-uri")}
         if out["type"] in ("response", "revisit"):
             http, _, payload = block.partition(b"\r\n\r\n")
