@@ -22,12 +22,11 @@ from .shared import let, table, written
 
 @dataclass(frozen=True)
 class Template:
+    """A turn is open, role, after_role, text, close. What must be escaped follows from these three strings."""
+
     open: str = "### "
     after_role: str = ": "
     close: str = "</turn>\n"
-    #: What is escaped, and the letter that stands for it after a backslash; the backslash itself is doubled.
-    escapes: tuple[tuple[str, str], ...] = (("###", "h"), ("</turn>", "t"))
-    role_escapes: tuple[tuple[str, str], ...] = (("###", "h"), ("</turn>", "t"), (":", "c"))
     learn: tuple[str, ...] = ("assistant",)
     start: str = "start"
     accept: tuple[str, ...] = ("assistant",)
@@ -36,6 +35,32 @@ class Template:
         ("user", "assistant"): "assistant", ("assistant", "user"): "user",
     })
 
+    def __post_init__(self) -> None:
+        if not self.close.strip() or not self.after_role.strip():
+            raise ValueError("a template needs something to tell roles, texts and turns apart")
+        if "\\" in self.open + self.after_role + self.close:
+            raise ValueError("the backslash is the escape sign")
+
+    def _letters(self, *controls: str) -> tuple[tuple[str, str], ...]:
+        """Letters that no control string holds, so that an escaped one can't be part of another."""
+        free = (c for c in "htcabdefgijklmnopqrsuvwxyz0123456789" if c not in self.open + self.after_role + self.close)
+        return tuple((x, next(free)) for x in dict.fromkeys(c.strip() for c in controls) if x)
+
+    @property
+    def role_escapes(self) -> tuple[tuple[str, str], ...]:
+        """What is escaped in a role, and the letter that stands for it after a backslash; the backslash is doubled."""
+        return self._letters(self.open, self.close, self.after_role)
+
+    @property
+    def escapes(self) -> tuple[tuple[str, str], ...]:
+        """The same for a text, which may hold what ends a role, as roles can't."""
+        return tuple(x for x in self.role_escapes if x[0] != self.after_role.strip() or x[0] in (self.open.strip(), self.close.strip()))
+
+
+def quoted(literal: str) -> str:
+    """A string as a regular expression for itself."""
+    return "\\Q" + literal.replace("\\E", "\\E\\\\E\\Q") + "\\E"
+
 
 def escape(text: Column, pairs: tuple[tuple[str, str], ...]) -> Column:
     text = F.replace(text, F.lit("\\"), F.lit("\\\\"))
@@ -76,7 +101,7 @@ def format_chats(rows: DataFrame, t: Template = Template()) -> DataFrame:
 
 def parse(formatted: Column, t: Template = Template()) -> Column:
     """The turns (role, text) of a formatted conversation."""
-    parts = F.split(formatted, t.close, -1)
+    parts = F.split(formatted, quoted(t.close), -1)
 
     def turn(x: Column) -> Column:
         body = F.substr(x, F.lit(len(t.open) + 1))
