@@ -5,6 +5,10 @@ with it, divided by the source's target; a later epoch of the source adds the wh
 sorted by that time, make the mixture, which ends where the budget is used up: every source has then come about as
 near to its own target as any other.
 
+Targets come from one row for each source: on the driver as long as sources are few, beyond that in rounds over a table
+of sources, each of which only brings back two sums; large sources are then joined by a broadcast of fewer than LARGE
+rows, the others by a shuffle, in which none of them is large.
+
 Running sums within a source are made in two steps, since one source may hold much of the corpus: hash buckets of
 about sqrt(n) documents are summed each by itself, then the buckets' totals. The global order is a range sort whose
 partitions are summed; only the partition in which the budget ends is looked into row by row.
@@ -23,8 +27,9 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
-from .shared import table, words_of, written
+from .shared import ranges, table, words_of, written
 
+LARGE = 10_000  # a source of more than one document in so many is large
 
 @dataclass(frozen=True)
 class Mix:
@@ -32,8 +37,8 @@ class Mix:
     weights: tuple[int, ...] = (5, 2, 1)
     #: Epochs of a source that the mixture may hold at most.
     most: int = 3
-    #: Sources are listed on the driver; more of them than this is an error, never a silent cut.
-    max_sources: int = 200_000
+    #: Sources up to this number are listed on the driver and broadcast; more are ranked and joined by shuffles.
+    listed_sources: int = 200_000
     bucket_rows: int = 500
 
 
@@ -53,6 +58,44 @@ def targets(sizes: list[int], mix: Mix) -> list[float]:
     return out
 
 
+def source_targets(sources: DataFrame, mix: Mix) -> DataFrame:
+    """targets() over a table of any number of sources: source, rank, source_size, target, docs. sources: source, size, docs."""
+    spark = sources.sparkSession
+    order = [F.col("source").isNull(), F.col("source")]
+    ranged = sources.repartitionByRange(ranges(spark, sources.count()), *order).sortWithinPartitions(*order)
+    ranged = written(ranged.withColumn("at", F.monotonically_increasing_id()), "mix-ranked").withColumn("part", F.shiftright("at", 33))
+    before, starts = 0, []
+    for r in sorted(ranged.groupBy("part").agg(F.count("*").alias("n"), F.min("at").alias("first")).collect(), key=lambda r: r["part"]):  # a row per partition
+        starts.append((r["part"], before - r["first"]))
+        before += r["n"]
+    shift = spark.createDataFrame(starts, "part long, shift long")
+    ranked = ranged.join(F.broadcast(shift), "part").withColumn("rank", F.col("at") + F.col("shift"))
+    weight = F.element_at(F.array(*[F.lit(w) for w in mix.weights]), (F.col("rank") % len(mix.weights) + 1).cast("int")).cast("decimal(38,0)")
+    ranked = written(ranked.select("source", "size", "docs", "rank", weight.alias("weight"), (F.col("size") * mix.most).cast("decimal(38,0)").alias("cap")), "mix-weighed")
+    sums = ranked.agg(F.sum("size").alias("left"), F.sum("weight").alias("weight")).first()
+    total, all_weight = int(sums["left"] or 0), int(sums["weight"] or 0)
+    left, free, n = total, all_weight, 0
+    while True:  # the sources at their caps only become more
+        full = F.col("cap") * F.lit(free) < F.col("weight") * F.lit(left) if free else F.lit(True)
+        got = ranked.filter(full).agg(F.count("*").alias("n"), F.sum("cap").alias("cap"), F.sum("weight").alias("weight")).first()
+        if got["n"] == n or not free:
+            break
+        n, left, free = got["n"], total - int(got["cap"]), all_weight - int(got["weight"])
+    share = F.lit(float(left)) * F.col("weight").cast("double") / F.lit(float(free)) if free else F.col("cap").cast("double")
+    return ranked.select("source", "rank", F.col("size").alias("source_size"), F.when(full, F.col("cap").cast("double")).otherwise(share).alias("target"), "docs")
+
+
+def _by_source(rows: DataFrame, of: str, listed: DataFrame, total: int, few: bool) -> DataFrame:
+    """rows joined to the row of their source, named in the column of. listed: source, docs and others."""
+    same = lambda name: F.col(of).eqNullSafe(F.col(name))
+    if few:
+        return rows.join(F.broadcast(listed), same("source"))
+    large = F.col("docs") * LARGE > total
+    named = listed.filter(large).select(F.col("source").alias("large"))
+    rest = rows.join(F.broadcast(named), same("large"), "left_anti").join(listed.filter(~large), same("source"))
+    return rows.join(F.broadcast(listed.filter(large)), same("source")).unionByName(rest)
+
+
 def place() -> Column:
     """The shuffled place of a document in its source: 60 bits of a digest of its id."""
     return F.conv(F.substring(F.md5(F.coalesce(F.col("doc_id").cast("string"), F.lit("")).cast("binary")), 1, 15), 16, 10).cast("long")
@@ -75,18 +118,21 @@ def within(epoch: int, cut: tuple[float, int] | None) -> Column:
     return (F.col("size") > 0) & F.coalesce((t < cut[0]) | ((t == cut[0]) & (F.col("rank") <= cut[1])), F.lit(False))
 
 
-def queue(docs: DataFrame, mix: Mix) -> tuple[DataFrame, tuple[float, int] | None]:
-    """Rows (doc_id, source, size, place, rank, source_size, target, upto) and the last (finish time, rank) taken."""
+def queue(docs: DataFrame, mix: Mix) -> tuple[DataFrame, tuple[float, int] | None, tuple[int, bool]]:
+    """Rows (doc_id, source, size, place, rank, source_size, target, upto), the last (finish time, rank) taken, the number of rows and whether sources are few."""
     spark = docs.sparkSession
     rows = written(_sized(docs), "mix-sizes")
-    sources = rows.groupBy("source").agg(F.sum("size").alias("size"), F.count("*").alias("n")).limit(mix.max_sources + 1).collect()
-    if len(sources) > mix.max_sources:
-        raise ValueError(f"more than {mix.max_sources} sources")
-    sources.sort(key=lambda r: (r["source"] is None, r["source"] or ""))
-    want = targets([r["size"] for r in sources], mix)
-    buckets = [-(-r["n"] // max(mix.bucket_rows, isqrt(r["n"]))) for r in sources]
-    listed = spark.createDataFrame([(r["source"], k, r["size"], want[k], buckets[k]) for k, r in enumerate(sources)], "source string, rank int, source_size long, target double, buckets long")
-    rows = rows.withColumnRenamed("source", "of").join(F.broadcast(listed), F.col("of").eqNullSafe(F.col("source")))
+    sources = written(rows.groupBy("source").agg(F.sum("size").alias("size"), F.count("*").alias("docs")), "mix-sources")
+    known = sources.agg(F.count("*").alias("k"), F.sum("docs").alias("n"), F.sum("size").alias("size")).first()
+    n, few = known["n"] or 0, known["k"] <= mix.listed_sources
+    if few:
+        got = sorted(sources.collect(), key=lambda r: (r["source"] is None, r["source"] or ""))  # listed_sources rows
+        want = targets([r["size"] for r in got], mix)
+        listed = spark.createDataFrame([(r["source"], k, r["size"], want[k], r["docs"]) for k, r in enumerate(got)], "source string, rank long, source_size long, target double, docs long")
+    else:
+        listed = source_targets(sources, mix)
+    listed = listed.withColumn("buckets", F.ceil(F.col("docs") / F.greatest(F.lit(mix.bucket_rows), F.floor(F.sqrt("docs")))))
+    rows = _by_source(rows.withColumnRenamed("source", "of"), "of", listed, n, few)
     rows = rows.withColumn("bucket", F.floor(F.col("place") / F.lit(float(1 << 60)) * F.col("buckets")))
     key = ["rank", "bucket"]
     totals = rows.groupBy(*key).agg(F.sum("size").alias("in_bucket"))
@@ -94,7 +140,7 @@ def queue(docs: DataFrame, mix: Mix) -> tuple[DataFrame, tuple[float, int] | Non
     inside = F.sum("size").over(W.partitionBy(*key).orderBy("place", "doc_id", "size"))  # peers share their sum
     rows = rows.withColumn("inside", inside).join(before, key).withColumn("upto", F.col("inside") + F.col("before"))
     rows = written(rows.select("doc_id", "source", "size", "place", "rank", "source_size", "target", "upto"), "mix-queue")
-    return rows, _cut(rows, sum(r["size"] for r in sources), mix)
+    return rows, _cut(rows, known["size"] or 0, n, mix), (n, few)
 
 
 def copies(rows: DataFrame, mix: Mix) -> DataFrame:
@@ -103,10 +149,9 @@ def copies(rows: DataFrame, mix: Mix) -> DataFrame:
     return rows.filter("size > 0").select("*", F.inline(each))
 
 
-def _cut(rows: DataFrame, budget: int, mix: Mix) -> tuple[float, int] | None:
-    parts = max(1, int(rows.sparkSession.conf.get("spark.sql.shuffle.partitions")))
+def _cut(rows: DataFrame, budget: int, n: int, mix: Mix) -> tuple[float, int] | None:
     order = ["finish", "rank", "place", "doc_id", "size"]
-    ranged = copies(rows, mix).select(*order).repartitionByRange(parts, *order).sortWithinPartitions(*order)
+    ranged = copies(rows, mix).select(*order).repartitionByRange(ranges(rows.sparkSession, n * mix.most), *order).sortWithinPartitions(*order)
     ranged = written(ranged.withColumn("at", F.monotonically_increasing_id()), "mix-order")
     part = F.shiftright("at", 33)
     sums = sorted(ranged.groupBy(part.alias("part")).agg(F.sum("size").alias("size")).collect(), key=lambda r: r["part"])
@@ -129,7 +174,7 @@ def _cut(rows: DataFrame, budget: int, mix: Mix) -> tuple[float, int] | None:
 
 def mixture(docs: DataFrame, mix: Mix = Mix()) -> DataFrame:
     """The mixture itself, sorted: doc_id, source, epoch, finish, size."""
-    rows, cut = queue(docs, mix)
+    rows, cut, _ = queue(docs, mix)
     if cut is None:
         return copies(rows, mix).filter("false").select("doc_id", "source", "epoch", "finish", "size")
     end = (F.col("finish") < cut[0]) | ((F.col("finish") == cut[0]) & (F.col("rank") <= cut[1]))
@@ -138,7 +183,7 @@ def mixture(docs: DataFrame, mix: Mix = Mix()) -> DataFrame:
 
 def shares(docs: DataFrame, mix: Mix = Mix()) -> DataFrame:
     """A row per document: doc_id, size, source_size, target, taken."""
-    rows, cut = queue(docs, mix)
+    rows, cut, _ = queue(docs, mix)
     times = sum((within(e, cut).cast("long") for e in range(1, mix.most)), within(0, cut).cast("long"))
     return rows.select("doc_id", "size", "source_size", "target", (F.col("size") * times).alias("taken"))
 
@@ -149,11 +194,11 @@ def resample(docs: DataFrame, mix: Mix = Mix()) -> DataFrame:
     Within a source and an epoch the mixture takes a prefix of the shuffled order, so its end for each source and
     epoch is all that the texts need to know: they are not moved.
     """
-    rows, cut = queue(docs, mix)
+    rows, cut, (n, few) = queue(docs, mix)
     spot = F.struct("place", "doc_id", "size")
-    ends = rows.groupBy("source").agg(*[F.max(F.when(within(e, cut), spot)).alias(f"end_{e}") for e in range(mix.most)])
+    ends = rows.groupBy("source").agg(F.count("*").alias("docs"), *[F.max(F.when(within(e, cut), spot)).alias(f"end_{e}") for e in range(mix.most)])
     own = docs.select(F.struct("*").alias("row"), F.col("source").alias("of"), F.struct(place().alias("place"), F.col("doc_id").alias("doc_id"), F.size(words_of(F.col("text"))).cast("long").alias("size")).alias("spot"))
-    joined = own.join(F.broadcast(ends), F.col("of").eqNullSafe(F.col("source")))  # a row per source: bounded by max_sources
+    joined = _by_source(own, "of", ends, n, few)
     times = sum((F.coalesce(F.col("spot") <= F.col(f"end_{e}"), F.lit(False)).cast("int") for e in range(1, mix.most)), F.coalesce(F.col("spot") <= F.col("end_0"), F.lit(False)).cast("int"))
     times = F.when(F.col("spot.size") > 0, times).otherwise(0)
     return joined.withColumn("times", times).filter("times > 0").select("row", F.explode(F.sequence(F.lit(1), F.col("times")))).select("row.*")

@@ -3,6 +3,7 @@
 import base64
 import collections
 import functools
+import gzip
 import hashlib
 import math
 import os
@@ -53,6 +54,31 @@ def test_warc(spark):
     assert (3, "response") in kinds and (3, "revisit") not in kinds and (8, "revisit") in kinds
 
 
+@pytest.mark.parametrize("compression", ["gzip", "none"])
+def test_warc_without_a_broadcast_and_in_small_files(spark, monkeypatch, compression):
+    monkeypatch.setattr(warc_transactions, "BROADCAST_FIRSTS", 0)
+    monkeypatch.setattr(warc_transactions, "FILE_BYTES", 200_000)
+    rows = [(k, f"http://h/{k}", "hot" if k % 3 else f"page {k} " * 1000) for k in range(300)]
+    pages = spark.createDataFrame(rows, "page_id long, url string, html string").repartition(2)
+    path = scratch(spark, "warc")
+    warc_transactions.write_warc(pages, path, compression=compression)
+    files = spark.read.format("binaryFile").option("pathGlobFilter", "part-*").load(path).collect()
+    assert len(files) > 4 and (compression == "gzip" or max(f["length"] for f in files) < 1_500_000)
+    got = {r["metadata"]["page_id"]: (r["response"]["type"], r["metadata"]["refers_to_page"], r["response"]["payload_bytes"]) for r in warc_transactions.transactions(warc_transactions.records(spark, path)).collect()}
+    assert got == {k: ("revisit", 1, 3) if k % 3 and k != 1 else ("response", None, len(t)) for k, _, t in rows}
+
+
+def test_warc_of_many_gzip_members_and_strange_records():
+    first = b"WARC/1.1\r\nWARC-Type: warcinfo\r\nWARC-Record-ID: <a>\r\nContent-Length: 4\r\n\r\nx: y\r\n\r\n"
+    second = b"WARC/1.1\r\nWARC-Type: response\r\nWARC-Record-ID: <b>\r\nContent-Length: 8\r\n\r\nH\r\n\r\nabc\r\n\r\n"
+    got = list(warc_transactions.parse(gzip.compress(first) + gzip.compress(second)))
+    assert [r["type"] for r in got] == ["warcinfo", "response"] and got[1]["payload_bytes"] == 3
+    with pytest.raises(ValueError):
+        list(warc_transactions.parse(second[:-1]))
+    with pytest.raises(ValueError):
+        list(warc_transactions.parse(b"junk\r\n" + first))
+
+
 def test_warc_empty(spark):
     path = scratch(spark, "warc")
     warc_transactions.write_warc(spark.createDataFrame([], "page_id long, url string, html string"), path)
@@ -78,6 +104,27 @@ def test_chat(spark):
     assert chat_format.digests(chat_format.format_chats(df.filter("false"))).count() == 0
 
 
+@pytest.mark.parametrize("template", [chat_format.Template(open="[INST] ", after_role="|", close="[/INST]\n"), chat_format.Template(open="<|im_start|>", after_role=" >> ", close="<|im_end|>"), chat_format.Template(open="", after_role="##", close="##.*$(\n")])
+def test_other_templates_come_back(spark, template):
+    controls = [template.open, template.after_role, template.close, template.open.strip(), template.close.strip(), "\\", "h", "t", "\n", "x"]
+    r = random.Random(1)
+    rows = [(c, k, "".join(r.choices([*controls, "user", "assistant"], k=r.randint(1, 3))), "".join(r.choices(controls, k=r.randint(0, 9)))) for c in range(40) for k in range(3)] + [(99, 0, "user", "q"), (99, 1, "assistant", template.close * 3), (99, 2, "user", "long " * 200_000)]
+    df = spark.createDataFrame(rows, "conv_id long, turn long, role string, text string")
+    chats = chat_format.format_chats(df, template)
+    from pyspark.sql import functions as F
+
+    got = {x["conv_id"]: [(p["role"], p["text"]) for p in x["turns"]] for x in chats.select("conv_id", chat_format.parse(F.array_join(F.col("segments.text"), ""), template).alias("turns")).collect()}
+    assert got == {c: [(role, text) for d, _, role, text in rows if d == c] for c in {x[0] for x in rows}}
+    loss = chat_format.digests(chats, template).filter("conv_id = 99").first()
+    assert loss["loss_sha256"] == hashlib.sha256((template.close * 3).encode()).hexdigest()
+
+
+def test_templates_that_cannot_be_read_back_are_refused():
+    for wrong in ({"close": " \n"}, {"after_role": " "}, {"open": "\\a"}):
+        with pytest.raises(ValueError):
+            chat_format.Template(**wrong)
+
+
 @functools.cache
 def coder():
     return prefix_bpe.coder(PATH, tokenizers_at.PATTERN)

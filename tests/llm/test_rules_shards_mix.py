@@ -223,10 +223,20 @@ def test_targets():
     assert fair_mix.targets([0, 0], m) == [0.0, 0.0] and fair_mix.targets([], m) == []
 
 
-def test_more_sources_than_allowed(spark):
-    docs = spark.createDataFrame([(k, "x", str(k)) for k in range(9)], "doc_id long, text string, source string")
-    with pytest.raises(ValueError):
-        fair_mix.shares(docs, fair_mix.Mix(max_sources=5))
+@pytest.mark.parametrize("large", [1, 4, 10_000])
+def test_more_sources_than_are_listed(spark, large, monkeypatch):
+    """The way over a table of sources gives what the driver's list gives, wherever large sources begin."""
+    monkeypatch.setattr(fair_mix, "LARGE", large)
+    r = random.Random(large)
+    names = [None, "é", *map(str, range(30))]
+    rows = [(k, "w " * r.randint(0, 30), r.choice(names[:3]) if k % 3 else r.choice(names), "x") for k in range(500)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string, source string, docs string").repartition(3)
+    want = sorted(tuple(x) for x in fair_mix.shares(docs).collect())
+    few = fair_mix.Mix(listed_sources=3)
+    assert sorted(tuple(x) for x in fair_mix.shares(docs, few).collect()) == want
+    again = lambda m: sorted(x["doc_id"] for x in fair_mix.resample(docs, m).collect())
+    assert again(few) == again(fair_mix.Mix()) and fair_mix.resample(docs, few).columns == docs.columns
+    assert fair_mix.shares(docs.filter("false"), fair_mix.Mix(listed_sources=-1)).count() == 0
 
 
 def test_repeated_rows_share_their_place(spark):
