@@ -10,7 +10,7 @@ the run.
 from __future__ import annotations
 
 import re
-from collections.abc import Callable
+from collections.abc import Callable, Iterable, Iterator
 
 _RUN = re.compile(r"\s\s")
 
@@ -37,6 +37,7 @@ def units(text: str) -> list[str]:
 #: Longer units, whole lines in a script without spaces say, are encoded anew each time.
 LONGEST = 64
 ENTRY = 220  # bytes that an entry of a table costs beside its characters
+TOGETHER = 1 << 18  # characters of texts that are looked up together
 KEYS = 20_000  # units looked up at a time, so that one long text can't fill a table far beyond its bound
 
 
@@ -54,21 +55,38 @@ class UnitCache:
         self.bare, self.spaced = _Table(encode, "", most_bytes // 8), _Table(encode_row or encode, " ", 3 * most_bytes // 8)
 
     def parts(self, text: str) -> list:
-        if _RUN.search(text):
-            return self.bare.get(units(text))
-        lines = [x.split(" ") for x in text.split("\n")]
-        firsts = self.bare.get([x[0] for x in lines])
-        rest = self.spaced.get([x for line in lines for x in line[1:]])
-        end = self.bare.get(["\n"]) if len(lines) > 1 else []
-        out, at = [], 0
-        for k, (line, first) in enumerate(zip(lines, firsts, strict=True)):
-            if k:
-                out += end
-            if line[0]:
-                out.append(first)
-            out += rest[at : at + len(line) - 1]
-            at += len(line) - 1
-        return out
+        return next(self._some([text]))
+
+    def many(self, texts: Iterable[str]) -> Iterator[list]:
+        """parts() of each text; short texts are looked up together, which costs less."""
+        held, size = [], 0
+        for text in texts:
+            held.append(text)
+            size += len(text)
+            if size >= TOGETHER:
+                yield from self._some(held)
+                held, size = [], 0
+        if held:
+            yield from self._some(held)
+
+    def _some(self, texts: list[str]) -> Iterator[list]:
+        split = [None if _RUN.search(text) else [x.split(" ") for x in text.split("\n")] for text in texts]
+        firsts = iter(self.bare.get([line[0] for lines in split if lines for line in lines]))
+        rest, at, end = self.spaced.get([x for lines in split if lines for line in lines for x in line[1:]]), 0, self.bare.get(["\n"])
+        for text, lines in zip(texts, split, strict=True):
+            if lines is None:
+                yield self.bare.get(units(text))
+                continue
+            out: list = []
+            for k, line in enumerate(lines):
+                if k:
+                    out += end
+                first = next(firsts)
+                if line[0]:
+                    out.append(first)
+                out += rest[at : at + len(line) - 1]
+                at += len(line) - 1
+            yield out
 
     def forget(self) -> None:
         self.bare.forget()
@@ -92,7 +110,7 @@ class _Table:
             return [v for k in range(0, len(keys), KEYS) for v in self.get(keys[k : k + KEYS])]
         if self.held > self.full:
             self.old, self.young, self.held = self.young, {}, 0
-        young, old = self.young, self.old
+        young, old, held = self.young, self.old, self.held
         got = list(map(young.get, keys))
         if None in got:
             at = [i for i, v in enumerate(got) if v is None]
@@ -103,18 +121,16 @@ class _Table:
                 if v is None:
                     new[k] = None
                 else:
-                    got[i] = v
-                    self._keep(k, v)
+                    got[i] = young[k] = v
+                    held += ENTRY + len(k) + len(v)
             if new:
-                new.update(zip(new, self.encode([self.lead + k for k in new]), strict=True))
-                for k, v in new.items():
-                    self._keep(k, v)
+                made = dict(zip(new, self.encode([self.lead + k for k in new]), strict=True))
+                for k, v in made.items():
+                    if len(k) <= LONGEST:
+                        young[k] = v
+                        held += ENTRY + len(k) + len(v)
                 for i in at:
                     if got[i] is None:
-                        got[i] = new[keys[i]]
+                        got[i] = made[keys[i]]
+            self.held = held
         return got
-
-    def _keep(self, k: str, v) -> None:
-        if len(k) <= LONGEST:
-            self.young[k] = v
-            self.held += ENTRY + len(k) + len(v)

@@ -18,7 +18,7 @@ from __future__ import annotations
 
 import base64
 import hashlib
-from collections.abc import Iterator
+from collections.abc import Iterable, Iterator
 
 import pandas as pd
 import public_tokenizers
@@ -161,6 +161,9 @@ class Coder:
         """Decimal ids, joined by commas."""
         return ",".join(self.units.parts(text)) if text else ""
 
+    def encode_many(self, texts: Iterable[str]) -> Iterator[str]:
+        return map(",".join, self.units.many(texts))
+
     def forget(self) -> None:
         """Gives back what texts have left behind; the ranks stay."""
         self.units.forget()
@@ -187,8 +190,7 @@ def encode_documents(docs: DataFrame, path: str, pattern: str, full: bool = Fals
                 out: dict[str, list] = {"doc_id": b["doc_id"], "n_tokens": [], "ids_sha256": [], "decoded_sha256": []}
                 if full:
                     out |= {"ids": [], "decoded": []}
-                for text in b["text"]:
-                    ids = c.encode(text)
+                for ids in c.encode_many(b["text"]):
                     decoded = c.decode(ids)
                     out["n_tokens"].append(ids.count(",") + 1 if ids else 0)
                     out["ids_sha256"].append(hashlib.sha256(ids.encode()).hexdigest())
