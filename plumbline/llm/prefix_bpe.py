@@ -28,8 +28,9 @@ from pyspark.sql import functions as F
 from .byte_units import UnitCache
 from .shared import small_batches, table
 
-TOKEN = -1
-CACHED = 64 << 20  # bytes of units that a worker remembers within a task
+NONE = -1
+LEAF: dict = {}  # shared by all tokens that no longer token ends in
+CACHED = 96 << 20  # bytes of units that a worker remembers within a task
 PAIRS = 200_000  # pairs of tokens that it remembers, some 20 MB
 _open: dict[tuple[str, str], Coder] = {}
 
@@ -42,20 +43,26 @@ class Merges:
         self.longest = max(map(len, ranks))
         self.remembered = remembered
         self._made: dict[int, bool] = {}
-        #: Tokens by their bytes from the last to the first, each under TOKEN.
+        self._split: dict[int, tuple[int, int] | None] = {}
+        #: Tokens by their bytes from the last to the first: under each byte the token, or NONE, and what goes on before.
         self.ends: dict = {}
         for token, rank in ranks.items():
             node = self.ends
-            for byte in reversed(token):
-                node = node.setdefault(byte, {})
-            node[TOKEN] = rank
+            for k in range(len(token) - 1, -1, -1):
+                entry = node.get(token[k])
+                if entry is None or entry[1] is LEAF and k:
+                    entry = (NONE if entry is None else entry[0], {} if k else LEAF)
+                if not k:
+                    entry = (rank, entry[1])
+                node[token[k]] = entry
+                node = entry[1]
         #: Pairs of tokens that have been tried, and whether they are valid neighbours.
         self.known: dict[int, bool] = {}  # left << 32 | right
 
-    def merge(self, piece: bytes) -> list[bytes]:
-        """The parts that the merges leave of a short piece, the lowest rank first, the leftmost of equals."""
+    def merge(self, piece: bytes, least: int = 1) -> list[bytes]:
+        """The parts that the merges leave of a short piece, the lowest rank first, the leftmost of equals; least ends them sooner."""
         parts = [piece[i : i + 1] for i in range(len(piece))]
-        while len(parts) > 1:
+        while len(parts) > least:
             best, at = None, -1
             for i in range(len(parts) - 1):
                 rank = self.ranks.get(parts[i] + parts[i + 1])
@@ -74,11 +81,38 @@ class Merges:
             made = self._made[token] = len(piece) == 1 or self.merge(piece) == [piece]
         return made
 
+    def split(self, token: int) -> tuple[int, int] | None:
+        """The two tokens whose merge makes the token; null for a single byte."""
+        if token not in self._split:
+            piece = self.bytes_of[token]
+            parts = self.merge(piece, 2)
+            self._split[token] = (self.ranks[parts[0]], self.ranks[parts[1]]) if len(parts) == 2 else None
+        return self._split[token]
+
     def valid(self, left: int, right: int) -> bool:
+        """Whether the two tokens stay as they are beside each other, the right one being made; remembered for each pair.
+
+        Their merges are undone from the latest back. They don't stay if at some point what then lies on either side of
+        the border would have been merged sooner than the merge that was undone last; of equal ranks the left one counts
+        as sooner.
+        """
         if len(self.known) > self.remembered:
             self.known.clear()
-        a, b = self.bytes_of[left], self.bytes_of[right]
-        valid = self.known[left << 32 | right] = self.merge(a + b) == [a, b]
+        a, b, before, bytes_of, ranks = left, right, 1 << 62, self.bytes_of, self.ranks
+        valid = True
+        while True:
+            across = ranks.get(bytes_of[a] + bytes_of[b])
+            if across is not None and across < before:
+                valid = False
+                break
+            of_a, of_b = self.split(a), self.split(b)
+            if of_a and (a > b or not of_b):
+                a, before = of_a[1], a
+            elif of_b:
+                b, before = of_b[0], b + 1
+            else:
+                break
+        valid = self.known[left << 32 | right] = valid and self.made(right)
         return valid
 
 
@@ -89,38 +123,39 @@ class Prefixes:
         self.merges, self.piece, self.last = merges, b"", []
         self.append(piece)
 
-    def _token(self, piece: bytes, last: list[int], end: int) -> int:
-        """The one token that can end piece[:end]; last holds those of all shorter prefixes."""
+    def _extend(self, piece: bytes, last: list[int], upto: int) -> None:
+        """Adds to last, which holds the last tokens of shorter prefixes, those of the prefixes with up to so many bytes."""
         m = self.merges
-        node, known, start = m.ends, m.known, end
-        while start:
-            start -= 1
-            node = node.get(piece[start])
-            if node is None:
-                break
-            token = node.get(TOKEN)
-            if token is not None:
-                if start:
-                    valid = known.get(last[start - 1] << 32 | token)
-                    if not (m.valid(last[start - 1], token) if valid is None else valid):
-                        continue
-                if m.made(token):
-                    return token
-        raise ValueError("no token ends here; the ranks lack single bytes")
+        ends, known = m.ends, m.known
+        for start in range(len(last), upto):
+            node = ends
+            while True:
+                entry = node.get(piece[start]) if start >= 0 else None
+                if entry is None:
+                    raise ValueError("no token ends here; the ranks lack single bytes")
+                token, node = entry
+                if token >= 0:
+                    if start:
+                        before = last[start - 1]
+                        valid = known.get(before << 32 | token)
+                        if m.valid(before, token) if valid is None else valid:
+                            break
+                    elif m.made(token):
+                        break
+                start -= 1
+            last.append(token)
 
     def append(self, more: bytes) -> None:
         self.piece += more
-        piece, last = self.piece, self.last
-        for end in range(len(last) + 1, len(piece) + 1):
-            last.append(self._token(piece, last, end))
+        self._extend(self.piece, self.last, len(self.piece))
 
     def replace(self, start: int, end: int, new: bytes) -> int:
         """Puts new in place of piece[start:end]; returns how many prefixes were done anew."""
         piece, old = self.piece[:start] + new + self.piece[end:], self.last
         last, shift, same, n = old[:start], len(new) - (end - start), 0, 0
         for at in range(start + 1, len(piece) + 1):
-            token = self._token(piece, last, at)
-            last.append(token)
+            self._extend(piece, last, at)
+            token = last[-1]
             n += 1
             # Beyond the edit: as many equal tokens as the longest token has bytes, and all that follow are equal.
             same = same + 1 if at - shift > end and old[at - shift - 1] == token else 0
