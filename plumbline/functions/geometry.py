@@ -48,6 +48,14 @@ def contains(points: Column, x: Column, y: Column) -> Column:
     return F.aggregate(F.zip_with(points, _turned(points), crosses), F.lit(False), lambda inside, hit: inside != hit)
 
 
+def contained(inner: Column, outer: Column, samples: int = 8) -> Column:
+    """Whether a polygon lies wholly in another: all corners, and so many places on every edge. (F109)"""
+    share = [F.lit(k / samples) for k in range(samples)]
+    places = lambda p, q: F.array(*[F.struct((p["x"] + t * (q["x"] - p["x"])).alias("x"), (p["y"] + t * (q["y"] - p["y"])).alias("y")) for t in share])
+    on_edges = F.flatten(F.zip_with(inner, _turned(inner), places))
+    return F.coalesce((F.size(inner) >= 3) & F.forall(on_edges, lambda p: contains(outer, p["x"], p["y"])), F.lit(False))
+
+
 def bbox(points: Column) -> Column:
     xs, ys = F.transform(points, lambda p: p["x"]), F.transform(points, lambda p: p["y"])
     return F.struct(F.array_min(xs).alias("x0"), F.array_min(ys).alias("y0"), F.array_max(xs).alias("x1"), F.array_max(ys).alias("y1"))

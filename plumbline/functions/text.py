@@ -55,7 +55,13 @@ def unit(c: Column) -> Column:
     out = F.when(x.isin(*UNITS["m²"]) | x.contains("m2") | x.contains("m²"), F.lit("m²"))
     for name in ("lm", "No.", "L"):
         out = out.when(x.isin(*UNITS[name]), F.lit(name))
-    return out.when(x.contains("item"), F.lit("item")).when(x.contains("allow"), F.lit("allowance")).otherwise(F.initcap(x))
+    return out.when(x.contains("item"), F.lit("item")).when(x.contains("allow"), F.lit("allowance")).otherwise(title(x))
+
+
+def title(c: Column) -> Column:
+    """Every letter that follows none upper case, as in M/Hr."""
+    parts = F.split(c, r"(?<!\p{L})(?=\p{L})", -1)
+    return F.array_join(F.transform(parts, lambda p: F.concat(F.upper(F.substring(p, 1, 1)), F.substr(p, F.lit(2)))), "")
 
 
 def line_unit(c: Column) -> Column:
@@ -243,8 +249,82 @@ def clean_id(c: Column) -> Column:
 
 
 def json_object(c: Column) -> Column:
-    """The text from its first brace to its last, to be read with from_json; null where there is none."""
-    return first(c, r"(?s)(\{.*\})")
+    """The first complete object in a text, whatever stands around it; null where no brace begins one.
+
+    A JSON reader ends where the object does, so each brace is tried as its beginning.
+    """
+    tried = lambda p: F.transform(p, lambda x, k: F.when(x.startswith("{"), F.get_json_object(F.array_join(F.slice(p, k + 1, F.size(p)), ""), "$")))
+    pieces = F.array(F.split(F.coalesce(c, F.lit("")), r"(?=\{)", -1))
+    return F.get(F.filter(F.flatten(F.transform(pieces, tried)), lambda x: x.isNotNull()), F.lit(0))
+
+
+def level_base(c: Column) -> Column:
+    """Ground, Level 1 to 5 or Roof by plain words."""
+    x = F.lower(F.coalesce(c, F.lit("")))
+    out = F.when(x.contains("ground"), "Ground")
+    for k in range(5, 0, -1):
+        out = out.when(x.contains(f"level {k}"), f"Level {k}")
+    return out.when(x.contains("roof"), "Roof").otherwise("Unassigned")
+
+
+def level_commercial(c: Column) -> Column:
+    """As level(), and a unit's number such as 501 hints at its storey."""
+    x = F.lower(F.coalesce(c, F.lit("")))
+    found = [F.coalesce(F.lit(None), first(x, p).cast("int").cast("string")) for p in (r"\b(?:basement|b)\s*0*([1-9]\d*)\b", r"\blevel\s*0*([0-9]{1,2})\b", r"\b(?:unit|apt|apartment)\s*[-#:]*\s*([1-9])\d{2}\b")]
+    out = F.when(x.contains("ground") | x.rlike(r"\b(?:gf|gnd)\b"), "Ground").when(found[0].isNotNull(), F.concat(F.lit("Basement "), found[0]))
+    out = out.when(found[1].isNotNull(), F.concat(F.lit("Level "), found[1])).when(found[2].isNotNull(), F.concat(F.lit("Level "), found[2]))
+    return out.when(x.contains("roof"), "Roof").otherwise("Unassigned")
+
+
+def opening_size_mm(c: Column, height: float = 2040.0, width: float = 820.0) -> Column:
+    """struct(height, width) of "2040 x 820"; a common door where none is stated."""
+    pattern = r"(?i)(\d{3,4})\s*(?:h|mm)?\s*[:x*/]\s*(\d{3,4})"
+    side = lambda g, d: F.coalesce(first(F.coalesce(c, F.lit("")), pattern, g).cast("double"), F.lit(d))
+    return F.struct(side(1, height).alias("height"), side(2, width).alias("width"))
+
+
+#: What two words beside reduced levels make of the height between them, and the words' families.
+HEIGHT_PAIRS = {
+    ("fcl", "ffl"): "floor_to_ceiling", ("ceiling", "ffl"): "floor_to_ceiling", ("fcl", "floor"): "floor_to_ceiling", ("ceiling", "floor"): "floor_to_ceiling",
+    ("ffl", "soffit"): "generic", ("fcl", "soffit"): "floor_to_ceiling", ("ffl", "parapet"): "parapet",
+}
+CEILING_WORDS, FLOOR_WORDS, PARAPET_WORDS = ("fcl", "ceiling", "soffit"), ("ffl", "floor", "level", "storey", "story", "finished"), ("parapet",)
+
+
+def height_type(a: Column, b: Column) -> Column:
+    """What the height between two reduced levels is of."""
+    x, y = F.lower(a), F.lower(b)
+    lo, hi = F.least(x, y), F.greatest(x, y)
+    of = lambda words: x.isin(*words) | y.isin(*words)
+    out = F.when(F.lit(False), "")
+    for (p, q), kind in HEIGHT_PAIRS.items():
+        out = out.when((lo == p) & (hi == q), kind)
+    out = out.when((x == y) & x.isin(*CEILING_WORDS), "floor_to_ceiling").when((x == y) & x.isin(*FLOOR_WORDS), "floor_to_floor")
+    other = F.when(x == "ffl", y).otherwise(x)
+    floor = (x == "ffl") | (y == "ffl")
+    out = out.when(floor & other.isin(*CEILING_WORDS), "floor_to_ceiling").when(floor & other.isin(*PARAPET_WORDS), "parapet").when(floor, "floor_to_floor")
+    return out.when(of(CEILING_WORDS) & ~of(FLOOR_WORDS), "floor_to_ceiling").when(of(FLOOR_WORDS) & ~of(CEILING_WORDS), "floor_to_floor").when(of(PARAPET_WORDS), "parapet").otherwise("generic")
+
+
+#: Words that show that a code is a drawing tag, and words that show that it is a finish.
+TAG_WORDS = (
+    "key plan", "wall piece", "wall pieces", "wall type", "wall types", "wall tag", "wall tags", "partition type", "partition types", "partition tag", "key note", "keynote", "detail tag", "detail reference", "drawing key",
+    "plan key", "legend symbol", "panel type", "panel types", "wall panel", "wall panels", "piece mark", "piece marks", "assembly type", "assembly types",
+)
+FINISH_WORDS = (
+    "paint", "painting", "paint finish", "finish schedule", "finishes schedule", "finishing schedule", "paint schedule", "colour schedule", "color schedule", "dulux", "haymes", "taubmans", "resene", "wattyl", "intergrain", "sikkens",
+    "low sheen", "semi gloss", "semi-gloss", "semigloss", "matt", "matte", "gloss", "satin", "acrylic", "enamel", "epoxy", "two pack", "2 pack", "2-pack", "primer", "undercoat", "topcoat", "sealer", "coating", "stain",
+    "clear finish", "texture coat", "membrane", "elastomeric",
+)
+
+
+def finish_accepted(code: Column, source_line: Column, description: Column, page: Column) -> Column:
+    """Whether a PT, PF or WF code is a finish, by its own line first and by its page last; other codes are."""
+    holds = lambda c, words: F.exists(F.array(*[F.lit(w) for w in words]), lambda w: low(c).contains(w))
+    local = F.concat_ws(" ", source_line, description)
+    tag = lambda c: holds(c, TAG_WORDS) & ~holds(c, FINISH_WORDS)
+    styled = F.coalesce(F.upper(F.trim(code)).rlike(r"^(?:PT|PF|WF)\d+$"), F.lit(False))
+    return F.when(~styled, True).when(tag(source_line) | tag(local), False).when(holds(local, FINISH_WORDS), True).otherwise(holds(page, FINISH_WORDS) & ~holds(local, TAG_WORDS))
 
 
 def safe_name(c: Column, fallback: str = "item") -> Column:

@@ -7,6 +7,7 @@ from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from ..functions import text
+from ..scratch import numbered
 from . import fusion, openings, takeoff
 
 
@@ -173,7 +174,7 @@ def unregistered_issues(issues: DataFrame, more: DataFrame) -> DataFrame:
     keys = ["category", "page_no", "code", "message"]
     new = more.select(*keys).distinct().join(issues.select(*[F.col(k).alias(f"o_{k}") for k in keys]), [F.col(k).eqNullSafe(F.col(f"o_{k}")) for k in keys], "left_anti")
     every = issues.select(*keys, F.lit(0).alias("new")).unionAll(new.select(*keys, F.lit(1)))
-    return every.withColumn("number", F.row_number().over(W.orderBy("new", *keys))).drop("new")
+    return numbered(every, [F.col("new"), *[F.col(k) for k in keys]]).drop("new")
 
 
 def register_page(register: DataFrame, page: int, size: int = 30) -> DataFrame:

@@ -12,6 +12,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
+from ..scratch import written
 from . import graph
 
 
@@ -55,13 +56,19 @@ def near_pairs(df: DataFrame, by: list[str], id_column: str, value: str, relativ
 
 
 def mutual_unique_best(pairs: DataFrame, a: str, b: str, score: str) -> DataFrame:
-    """Pairs that are the only best of both their sides. Scores are compared at 12 decimals."""
-    s = F.bround(score, 12)
-    best = lambda k: pairs.groupBy(k).agg(F.max(F.struct(s.alias("s"))).alias("m"), F.count("*").alias("n")).select(F.col(k), F.col("m.s").alias(f"best_{k}"))
-    scored = pairs.withColumn("s", s).join(best(a), a).join(best(b), b)
-    tops = lambda k: scored.filter(F.col("s") == F.col(f"best_{k}")).groupBy(k).agg(F.count("*").alias(f"n_{k}")).filter(F.col(f"n_{k}") == 1).select(k)
-    both = scored.filter((F.col("s") == F.col(f"best_{a}")) & (F.col("s") == F.col(f"best_{b}")))
-    return both.join(tops(a), a, "left_semi").join(tops(b), b, "left_semi").select(*pairs.columns)
+    """Pairs that are the only best of both their sides. Scores are compared at 12 decimals.
+
+    The pairs, often an aggregate themselves, are written once. A side's scores are counted before its best is taken,
+    so its best one comes with the number of pairs that have it.
+    """
+    named = written(pairs.withColumns({"in_a": F.col(a), "in_b": F.col(b), "s": F.bround(score, 12)}).filter("s is not null"), "pairs")
+
+    def best(side: str, other: str) -> DataFrame:
+        counted = named.groupBy(side, "s").agg(F.count("*").alias("n"), F.min(other).alias(other))
+        return counted.groupBy(side).agg(F.max(F.struct("s", "n", other)).alias("m")).filter("m.n = 1").select(side, f"m.{other}", "m.s")
+
+    won = best("in_a", "in_b").join(best("in_b", "in_a"), ["in_a", "in_b", "s"])
+    return named.join(won, ["in_a", "in_b", "s"], "left_semi").select(*pairs.columns)
 
 
 def nearest(left: DataFrame, right: DataFrame, by: list[str], left_value: str, right_value: str, right_id: str) -> DataFrame:
@@ -117,14 +124,25 @@ def merge_intervals(df: DataFrame, by: list[str], low: str, high: str, gap: Colu
 def overlapping(df: DataFrame, by: list[str], id_column: str, low: str, high: str, width: float) -> DataFrame:
     """Pairs a < b of rows of the same key whose intervals overlap.
 
-    Intervals are laid into every bucket of the width that they touch; a pair counts in the bucket where it begins.
+    Intervals have a level by their length, doubling from the width on, and lie in the two buckets at most of their own
+    level that they touch; they look for partners in the buckets of their own and all higher levels. So a row is
+    copied by the number of levels, however long it is, and a pair counts in the bucket where it begins.
     """
-    touched = df.withColumn("bucket", F.explode(F.sequence(F.floor(F.col(low) / width), F.floor(F.col(high) / width))))
-    side = lambda p: touched.select(*by, "bucket", *[F.col(c).alias(f"{p}_{c}") for c in (id_column, low, high)])
-    pairs = side("a").join(side("b"), [*by, "bucket"]).filter(F.col(f"a_{id_column}") < F.col(f"b_{id_column}"))
-    meet = (F.col(f"a_{low}") <= F.col(f"b_{high}")) & (F.col(f"b_{low}") <= F.col(f"a_{high}"))
-    once = F.floor(F.greatest(f"a_{low}", f"b_{low}") / width) == F.col("bucket")
-    return pairs.filter(meet & once).drop("bucket")
+    level = F.greatest(F.lit(0), F.ceil(F.log2(F.greatest(F.col(high) - F.col(low), F.lit(width)) / width))).cast("int")
+    rows = df.filter(F.col(low) <= F.col(high)).select(*by, *[F.col(c) for c in (id_column, low, high)], level.alias("level"))
+    top = rows.agg(F.max("level")).first()[0] or 0
+    size = lambda k: F.lit(float(width)) * F.pow(F.lit(2.0), k)
+    laid = lambda d, k: d.withColumn("at", k).withColumn("bucket", F.explode(F.sequence(F.floor(F.col(low) / size(F.col("at"))), F.floor(F.col(high) / size(F.col("at"))))))
+    side = lambda d, p: d.select(*by, "at", "bucket", *[F.col(c).alias(f"{p}_{c}") for c in (id_column, low, high, "level")])
+    own = side(laid(rows, F.col("level")), "x")
+    every = side(laid(rows, F.explode(F.sequence(F.col("level"), F.lit(top)))), "y")
+    met = own.join(every, [*by, "at", "bucket"]).filter((F.col("x_level") > F.col("y_level")) | (F.col(f"x_{id_column}") < F.col(f"y_{id_column}")))
+    meet = (F.col(f"x_{low}") <= F.col(f"y_{high}")) & (F.col(f"y_{low}") <= F.col(f"x_{high}"))
+    once = F.floor(F.greatest(f"x_{low}", f"y_{low}") / size(F.col("at"))) == F.col("bucket")
+    first = F.col(f"x_{id_column}") < F.col(f"y_{id_column}")
+    pick = lambda p, c: F.when(first if p == "a" else ~first, F.col(f"x_{c}")).otherwise(F.col(f"y_{c}")).alias(f"{p}_{c}")
+    pairs = met.filter(meet & once & (F.col(f"x_{id_column}") != F.col(f"y_{id_column}")))
+    return pairs.select(*by, *[pick(p, c) for p in "ab" for c in (id_column, low, high)])
 
 
 def conflicts(df: DataFrame, keys: list[str], value: str, tolerance: float) -> DataFrame:
@@ -175,7 +193,14 @@ def replace_owned(old: DataFrame, new: DataFrame, owner: str, prefix: str) -> Da
 
 
 def fingerprint(df: DataFrame, columns: list[str], order: list[str], group: list[str] | None = None) -> DataFrame:
-    """sha256 of a small set of rows, in order; values joined by a bar, rows by a newline."""
-    line = F.concat_ws("|", *[F.coalesce(F.col(c).cast("string"), F.lit("")) for c in columns])
-    rows = F.sort_array(F.collect_list(F.struct(*order, line.alias("line"))))
-    return df.groupBy(*(group or [])).agg(F.sha2(F.array_join(F.transform(rows, lambda r: r["line"]), "\n"), 256).alias("fingerprint"), F.count("*").alias("n_rows"))
+    """sha256 over the rows of each group, in whatever order they come.
+
+    A row is the columns of the order and then the others, joined by bars. Rows become digests, the sorted digests of
+    each of 4096 ranges a digest, and those of the ranges, in order, the fingerprint: no list is longer than a range.
+    """
+    by = group or []
+    line = F.concat_ws("|", *[F.coalesce(F.col(c).cast("string"), F.lit("")) for c in [*order, *columns]])
+    rows = df.select(*by, F.sha2(line, 256).alias("digest")).withColumn("range", F.substring("digest", 1, 3))
+    ranges = rows.groupBy(*by, "range").agg(F.sha2(F.array_join(F.sort_array(F.collect_list("digest")), "\n"), 256).alias("digest"), F.count("*").alias("n"))
+    whole = F.transform(F.sort_array(F.collect_list(F.struct("range", "digest"))), lambda r: r["digest"])
+    return ranges.groupBy(*by).agg(F.sha2(F.array_join(whole, "\n"), 256).alias("fingerprint"), F.sum("n").alias("n_rows"))

@@ -5,33 +5,33 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from ..scratch import written
 
-def components(edges: DataFrame, a: str, b: str, most_rounds: int = 200) -> DataFrame:
+
+def components(edges: DataFrame, a: str, b: str, most_rounds: int | None = None) -> DataFrame:
     """node, component: the least node that can be reached.
 
     Labels are the least seen so far; every round takes the least label of the neighbours and then the label of the
-    label, so paths shorten by doubling. Labels that still change after most_rounds are an error. Each round is
-    checkpointed if the session has a checkpoint folder.
+    label, so paths shorten by doubling. Rounds go on until no label changes; labels only fall, so they settle. With
+    most_rounds, labels that still change after so many are an error. Each round is written to the shared folder.
     """
     both = edges.select(F.col(a).alias("node"), F.col(b).alias("other")).unionAll(edges.select(F.col(b), F.col(a))).distinct()
     both = cut(both)
     labels = cut(both.groupBy("node").agg(F.least(F.col("node"), F.min("other")).alias("label")))
-    for _ in range(most_rounds):
+    rounds = 0
+    while True:
         near = both.join(labels.select(F.col("node").alias("other"), "label"), "other").groupBy("node").agg(F.min("label").alias("near"))
         step = labels.join(near, "node").select("node", F.least("label", "near").alias("label"), F.col("label").alias("was"))
         jump = step.select(F.col("node").alias("label"), F.col("label").alias("further"))
         new = cut(step.join(jump, "label", "left").select("node", F.least("label", F.coalesce("further", "label")).alias("label"), "was"))
-        if not new.filter("label <> was").limit(1).count():
-            break
+        if new.filter("label <> was").isEmpty():
+            return new.select("node", F.col("label").alias("component"))
+        rounds += 1
+        if rounds == most_rounds:
+            raise RuntimeError(f"labels still change after {most_rounds} rounds")
         labels = new.select("node", "label")
-    else:
-        raise RuntimeError(f"labels still change after {most_rounds} rounds")
-    return new.select("node", F.col("label").alias("component"))
 
 
 def cut(df: DataFrame) -> DataFrame:
-    """Cuts the lineage: through the checkpoint folder where there is one, by caching for this session otherwise."""
-    spark = df.sparkSession
-    if spark.sparkContext.getConf().get("spark.checkpoint.dir") or spark.sparkContext._jsc.sc().getCheckpointDir().isDefined():
-        return df.checkpoint()
-    return df.persist()
+    """Cuts the lineage: the rows as a table in the shared folder."""
+    return written(df, "round")

@@ -10,6 +10,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ..functions import text
+from . import graph
 
 #: Thresholds and tolerances.
 AUTO, DERIVED, REVIEW = 0.90, 0.70, 0.50
@@ -73,6 +74,36 @@ def same_opening_pairs(evidence: DataFrame, id_column: str = "opening_instance_i
     return pairs.filter(ok & _near("a_width_m", "b_width_m", WIDTH_TOLERANCE) & _near("a_height_m", "b_height_m", HEIGHT_TOLERANCE)).drop("bucket")
 
 
+def physical_duplicates(evidence: DataFrame) -> DataFrame:
+    """Merged openings with the conflicts that keep others at the same place apart. (U4)
+
+    At one place of a wall, evidence without contradiction is merged; different marks, or a door and a window, stay
+    apart with the conflict named on both, and so do equal plan geometries on different walls. A conflict forces
+    review. evidence has plan_geometry_signature beside the columns above. Merging is transitive.
+    """
+    cols = ["opening_instance_id", "type_mark", "level", "opening_type", "position_along_wall_m", "width_m", "height_m"]
+    rows = evidence.filter("wall_ref is not null and wall_ref <> '' and position_along_wall_m is not null").select("wall_ref", *cols).withColumn("bucket", F.floor(F.col("position_along_wall_m") / POSITION_TOLERANCE))
+    side = lambda d, p: d.select("wall_ref", "bucket", *[F.col(c).alias(f"{p}_{c}") for c in cols])
+    around = rows.withColumn("bucket", F.explode(F.sequence(F.col("bucket") - 2, F.col("bucket") + 2)))
+    pairs = side(rows, "a").join(side(around, "b"), ["wall_ref", "bucket"]).filter("a_opening_instance_id < b_opening_instance_id")
+    given = lambda c: F.nullif(F.upper(F.coalesce(F.col(c), F.lit(""))), F.lit(""))
+    differ = lambda c: F.coalesce(given(f"a_{c}") != given(f"b_{c}"), F.lit(False))
+    any_kind = (F.coalesce("a_opening_type", F.lit(ANY_KIND)) == ANY_KIND) | (F.coalesce("b_opening_type", F.lit(ANY_KIND)) == ANY_KIND)
+    here = pairs.filter(~differ("level") & _near("a_position_along_wall_m", "b_position_along_wall_m", POSITION_TOLERANCE) & _near("a_width_m", "b_width_m", WIDTH_TOLERANCE))
+    reason = F.when(~any_kind & differ("opening_type"), "conflicting_types").when(differ("type_mark"), "conflicting_marks")
+    here = here.withColumn("reason", reason)
+    edges = here.filter(F.col("reason").isNull() & _near("a_height_m", "b_height_m", HEIGHT_TOLERANCE)).select("a_opening_instance_id", "b_opening_instance_id")
+    joined = graph.components(edges, "a_opening_instance_id", "b_opening_instance_id").select(F.col("node").alias("opening_instance_id"), F.col("component").alias("merged_into"))
+    members = evidence.join(joined, "opening_instance_id", "left").withColumn("merged_into", F.coalesce("merged_into", "opening_instance_id"))
+    walls = members.filter("plan_geometry_signature is not null").groupBy("plan_geometry_signature").agg(F.count_distinct("wall_ref").alias("walls")).filter("walls > 1")
+    ambiguous = members.join(walls, "plan_geometry_signature", "left_semi").select("merged_into", F.lit("wall_association_conflict").alias("reason"))
+    ends = here.filter("reason is not null").select("reason", F.explode(F.array("a_opening_instance_id", "b_opening_instance_id")).alias("opening_instance_id"))
+    named = ends.join(members.select("opening_instance_id", "merged_into").distinct(), "opening_instance_id").select("merged_into", "reason").unionAll(ambiguous)
+    reasons = named.groupBy(F.col("merged_into").alias("opening_instance_id")).agg(F.array_sort(F.collect_set("reason")).alias("physical_conflicts"))
+    out = reconcile(merge(members.withColumn("opening_instance_id", F.col("merged_into")))).join(reasons, "opening_instance_id", "left")
+    return out.withColumn("deduction_status", F.when(F.col("physical_conflicts").isNotNull(), "review").otherwise(F.col("deduction_status")))
+
+
 def merge(evidence: DataFrame) -> DataFrame:
     """One record of each instance id: the best whole pair of dimensions, the largest confidences, all sources.
 

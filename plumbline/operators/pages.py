@@ -19,6 +19,15 @@ from . import graph
 SEGMENT = ("x1", "y1", "x2", "y2")
 
 
+#: Segments of one page that a task may hold: some 2 GB while faces are followed.
+MOST_PIECES = 5_000_000
+
+
+def _bounded(rows: pd.DataFrame) -> None:
+    if len(rows) > MOST_PIECES:
+        raise ValueError(f"page {rows['page_id'].iloc[0]} has {len(rows)} segments, more than {MOST_PIECES}")
+
+
 def _seg(prefix: str = "") -> Column:
     return F.struct(*[F.col(f"{prefix}{c}").alias(c) for c in SEGMENT])
 
@@ -77,19 +86,24 @@ def wall_pairs(segments: DataFrame, px_per_m: float = 0.0) -> DataFrame:
     return found.select("page_id", "a_seg_id", "b_seg_id", F.bround("gap", 4).alias("gap"), F.bround("overlap", 3).alias("overlap"), F.bround(score, 1).alias("confidence"))
 
 
-def stroke_clusters(strokes: DataFrame, angle: float = 5.0, distance: float = 35.0, least: int = 5) -> DataFrame:
-    """Hatch-like groups of near-parallel strokes: page_id, cluster, n, mean angle, mean length, box.
-
-    Strokes of one direction within a distance are linked; the groups are the components of the links.
-    """
+def cluster_members(strokes: DataFrame, angle: float = 5.0, distance: float = 35.0) -> DataFrame:
+    """Strokes that have others of their direction within a distance, with the cluster that links make of them."""
     pairs = near_segments(strokes, 4 * distance, distance)
     a, b = _seg("a_"), _seg("b_")
     mid = lambda s, k: (s[f"{k}1"] + s[f"{k}2"]) / 2
     linked = (geometry.angle_delta(geometry.angle(a), geometry.angle(b)) <= angle) & (geometry.line_distance(mid(b, "x"), mid(b, "y"), a) <= distance) & (F.hypot(mid(a, "x") - mid(b, "x"), mid(a, "y") - mid(b, "y")) <= 2 * distance)
     edges = pairs.filter(linked).select("a_seg_id", "b_seg_id")
-    members = strokes.join(graph.components(edges, "a_seg_id", "b_seg_id"), strokes["seg_id"] == F.col("node"))
+    return strokes.join(graph.components(edges, "a_seg_id", "b_seg_id").select(F.col("node").alias("seg_id"), F.col("component").alias("cluster")), "seg_id")
+
+
+def stroke_clusters(strokes: DataFrame, angle: float = 5.0, distance: float = 35.0, least: int = 5) -> DataFrame:
+    """Hatch-like groups of near-parallel strokes: page_id, cluster, n, mean angle, mean length, box.
+
+    Strokes of one direction within a distance are linked; the groups are the components of the links.
+    """
+    members = cluster_members(strokes, angle, distance)
     n = geometry.length(_seg())
-    out = members.groupBy("page_id", F.col("component").alias("cluster")).agg(F.count("*").alias("n"), geometry.circular_mean(geometry.angle(_seg())).alias("angle"), F.avg(n).alias("mean_length"), F.var_pop(n).alias("length_variance"), F.min(F.least("x1", "x2")).alias("x0"), F.min(F.least("y1", "y2")).alias("y0"), F.max(F.greatest("x1", "x2")).alias("x1"), F.max(F.greatest("y1", "y2")).alias("y1"))
+    out = members.groupBy("page_id", "cluster").agg(F.count("*").alias("n"), geometry.circular_mean(geometry.angle(_seg())).alias("angle"), F.avg(n).alias("mean_length"), F.var_pop(n).alias("length_variance"), F.min(F.least("x1", "x2")).alias("x0"), F.min(F.least("y1", "y2")).alias("y0"), F.max(F.greatest("x1", "x2")).alias("x1"), F.max(F.greatest("y1", "y2")).alias("y1"))
     return out.filter(F.col("n") >= least)
 
 
@@ -125,9 +139,13 @@ def _trace(segments: np.ndarray, least_area: float) -> list[list[tuple[float, fl
 
 
 def faces(segments: DataFrame, least_area: float = 0.05) -> DataFrame:
-    """Closed faces of each page's linework: page_id, face, points, area, perimeter. (F111, U12)"""
+    """Closed faces of each page's linework: page_id, face, points, area, perimeter. (F111, U12)
+
+    A page is followed whole in one task; more than MOST_PIECES cut segments of a page are an error.
+    """
 
     def run(rows: pd.DataFrame) -> pd.DataFrame:
+        _bounded(rows)
         found = _trace(rows[list(SEGMENT)].to_numpy(float).reshape(-1, 2, 2), least_area)
         return pd.DataFrame({"page_id": [rows["page_id"].iloc[0]] * len(found), "face": range(1, len(found) + 1), "points": pd.Series([[{"x": x, "y": y} for x, y in f] for f in found], dtype=object)})
 
@@ -149,10 +167,12 @@ def snap(segments: DataFrame, tolerance: float = 1.25) -> DataFrame:
     """Endpoints snapped to nodes, in order of seg_id: page_id, seg_id, a, b, node coordinates. (U16)
 
     A node is the running mean of its points, so the order matters and is that of the ids. A grid of the tolerance
-    holds the nodes, so a point is compared with nodes around it only.
+    holds the nodes, so a point is compared with nodes around it only. A page goes through one task; more than
+    MOST_PIECES segments of it are an error.
     """
 
     def run(rows: pd.DataFrame) -> pd.DataFrame:
+        _bounded(rows)
         nodes: list[list[float]] = []
         grid: dict[tuple[int, int], set[int]] = {}
         cell = lambda x, y: (math.floor(x / tolerance), math.floor(y / tolerance))

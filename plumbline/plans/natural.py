@@ -164,7 +164,7 @@ def q_nearest_tag(spark, sf):
     return pages.nearest_tags(points, tags, 50.0).select("page_id", "point_id", F.col("text").alias("tag"))
 
 
-_SEGMENTS = "p AS (SELECT vec_id AS id, label AS page, embedding[1]::DOUBLE * 1000 AS x1, embedding[2]::DOUBLE * 1000 AS y1, embedding[3]::DOUBLE * 1000 AS x2, embedding[4]::DOUBLE * 1000 AS y2 FROM embeddings WHERE vec_id % 4 = 0)"
+_SEGMENTS = "p AS (SELECT vec_id AS id, label AS page, embedding[1]::DOUBLE * 1000 AS x1, embedding[2]::DOUBLE * 1000 AS y1, embedding[3]::DOUBLE * 1000 AS x2, embedding[4]::DOUBLE * 1000 AS y2 FROM embeddings)"
 
 
 def _segments(spark, sf):
@@ -205,7 +205,7 @@ def q_greedy_assignment(spark, sf):
     return fusion.greedy_pairs(pairs, "page", "a", "b", "cost")
 
 
-@query("""SELECT p_brand AS code, min(p_size)::INT AS first_page, count(*)::BIGINT AS entries, CASE WHEN count(DISTINCT p_type) <= 1 THEN 'Confirmed' ELSE 'Conflict' END AS status FROM part WHERE p_size > 47 GROUP BY 1""")
+@query("""SELECT p_brand AS code, min(p_size)::INT AS first_page, count(*)::BIGINT AS entries, CASE WHEN count(DISTINCT p_type) <= 1 THEN 'Confirmed' ELSE 'Conflict' END AS status FROM part GROUP BY 1""")
 def q_materials(spark, sf):
     """Codes with one description or with several."""
     entries = table(spark, sf, "part").select(F.col("p_brand").alias("code"), F.col("p_type").alias("description"), F.col("p_type").alias("substrate"), F.col("p_size").alias("page_id"))

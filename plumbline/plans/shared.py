@@ -27,6 +27,25 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
+def key() -> Column:
+    return F.col("o_orderkey")
+
+
+def nth() -> Column:
+    """1 to 9."""
+    return key() % 9 + 1
+
+
+def pick(values, by: Column) -> Column:
+    """The value whose turn it is: that of by modulo their number."""
+    return F.element_at(F.array(*values), (by % len(values) + 1).cast("int"))
+
+
+def choice(values, by: str) -> str:
+    """The same in SQL."""
+    return f"([{', '.join(values)}])[(({by}) % {len(values)} + 1)::INT]"
+
+
 def cents(c: str) -> Column:
     """Money as whole cents, so that sums don't depend on their order."""
     return F.round(F.col(c) * 100).cast("long")

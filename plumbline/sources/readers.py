@@ -1,14 +1,20 @@
-"""Readers: tables, spreadsheets as CSV, JSON documents, external databases, extracted pages.
+"""Readers: tables, spreadsheets as CSV and xlsx, JSON documents, external databases, extracted pages.
 
-PDF, raster, xlsx and docx need libraries that aren't at hand; pages come in as extracted words and segments.
+PDF, raster and docx need libraries that aren't at hand; pages come in as extracted words, segments and polygons.
 """
 
 from __future__ import annotations
 
+import io
+import re
+import zipfile
+from xml.etree import ElementTree
+
+import pandas as pd
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from ..functions import text
+from ..functions import geometry, text
 
 #: Headings of take-off columns.
 HEADINGS = {
@@ -33,26 +39,110 @@ HEADINGS = {
 }
 
 
+#: Units that are rates beside a dollar sign, and short forms that headings take.
+MONEY_UNITS = ("m2", "m", "sqm")
+SHORT_FORMS = {"quantity": ("m2", "sqm", "sqmt", "area"), "coverage_m2_per_litre": ("m2l", "sqml"), "productivity_m2_per_hour": ("m2h", "m2hr", "sqmh")}
+
+
 def _key(word: str) -> str:
     return "".join(c for c in word.lower().replace("²", "2") if c.isalnum() and c.isascii())
 
 
 def heading(c: Column) -> Column:
-    """The take-off column that a heading names: exactly, else by the words it holds, 4 letters at least."""
+    """The take-off column that a heading names: exactly, else by the words it holds, 4 letters at least.
+
+    A dollar sign beside a bare unit makes it a rate; short forms of square metres, of those a litre and of those an
+    hour are quantities, coverages and productivities.
+    """
     key = text.norm_key(c)
-    out = F.when(key == "", None)
+    money = F.coalesce(c, F.lit("")).contains("$") & key.isin(*MONEY_UNITS)
+    out = F.when(F.trim(F.coalesce(c, F.lit(""))) == "", None).when(money, "rate_per_unit")
     for target, words in HEADINGS.items():
         out = out.when(key.isin(*{_key(w) for w in words}), target)
+    for target, words in SHORT_FORMS.items():
+        out = out.when(key.isin(*words), target)
     scores = [F.struct(sum((F.when(key.contains(_key(w)), len(_key(w))).otherwise(0) for w in words), F.lit(0)).alias("score"), F.lit(-k).alias("order"), F.lit(t).alias("target")) for k, (t, words) in enumerate(HEADINGS.items())]
     best = F.greatest(*scores)
     return out.otherwise(F.when(best["score"] >= 4, best["target"]))
 
 
-def sheets(spark: SparkSession, path: str) -> DataFrame:
-    """CSV files as numbered lines of cells: file, line, cells."""
-    lines = spark.read.text(path).select(F.input_file_name().alias("file"), F.monotonically_increasing_id().alias("line"), "value")
-    cells = F.split("value", ',(?=(?:[^"]*"[^"]*")*[^"]*$)', -1)
-    return lines.select("file", "line", F.transform(cells, lambda x: F.trim(F.regexp_replace(x, '^\\s*"|"\\s*$', ""))).alias("cells"))
+def sheets(spark: SparkSession, path: str, columns: int = 256) -> DataFrame:
+    """CSV files as numbered lines of cells: file, line, cells.
+
+    Quoted cells may hold commas, quotes and line ends. A file is read by one task, so its line numbers rise; cells
+    are trimmed. A line with more than so many columns is an error, never cut.
+    """
+    names = [f"c{k}" for k in range(columns + 1)]
+    options = {"multiLine": True, "header": False, "quote": '"', "escape": '"', "ignoreLeadingWhiteSpace": True, "ignoreTrailingWhiteSpace": True, "mode": "PERMISSIVE"}
+    rows = spark.read.options(**options).schema(", ".join(f"{n} string" for n in names)).csv(path)
+    rows = rows.select(F.input_file_name().alias("file"), F.monotonically_increasing_id().alias("line"), F.array(*names).alias("cells"))
+    wide = F.raise_error(F.lit(f"a line has more than {columns} columns"))
+    cells = F.when(F.get("cells", F.lit(columns)).isNotNull(), wide.cast("array<string>")).otherwise(F.col("cells"))
+    last = F.coalesce(F.array_max(F.transform("cells", lambda x, k: F.when(x.isNotNull(), k))), F.lit(-1))
+    return rows.withColumn("cells", cells).select("file", "line", F.transform(F.slice("cells", 1, last + 1), lambda x: F.trim(F.coalesce(x, F.lit("")))).alias("cells"))
+
+
+def workbooks(spark: SparkSession, path: str) -> DataFrame:
+    """Sheets of xlsx files as numbered lines of cells, as sheets() gives those of CSV: file, sheet, line, cells.
+
+    An xlsx file is an archive of XML, small by its nature (a sheet has 1,048,576 lines at most), and is read by one
+    task, sheet by sheet and line by line. Numbers come as they are stored, formulas as their last results.
+    """
+    return workbook_cells(spark.read.format("binaryFile").option("pathGlobFilter", "*.xlsx").load(path).select("path", "content"))
+
+
+def workbook_cells(files: DataFrame) -> DataFrame:
+    """The lines of workbooks that are at hand as bytes. files: path, content."""
+    return files.select("path", "content").mapInPandas(_workbooks, "file string, sheet string, line long, cells array<string>")
+
+
+_MAIN, _REL = "{http://schemas.openxmlformats.org/spreadsheetml/2006/main}", "{http://schemas.openxmlformats.org/officeDocument/2006/relationships}"
+
+
+def _workbooks(batches):
+    for b in batches:
+        for name, content in zip(b["path"], b["content"], strict=True):
+            rows: list[tuple] = []
+            for row in _workbook(content):
+                rows.append((name, *row))
+                if len(rows) == 5000:
+                    yield pd.DataFrame(rows, columns=["file", "sheet", "line", "cells"])
+                    rows = []
+            if rows:
+                yield pd.DataFrame(rows, columns=["file", "sheet", "line", "cells"])
+
+
+def _workbook(content: bytes):
+    """(sheet, line, cells) of every line of every sheet."""
+    with zipfile.ZipFile(io.BytesIO(content)) as z:
+        names = set(z.namelist())
+        texts: list[str] = []
+        if "xl/sharedStrings.xml" in names:
+            texts = ["".join(t.text or "" for t in si.iter(f"{_MAIN}t")) for si in ElementTree.fromstring(z.read("xl/sharedStrings.xml"))]
+        targets = {r.get("Id"): r.get("Target") for r in ElementTree.fromstring(z.read("xl/_rels/workbook.xml.rels"))}
+        for sheet in ElementTree.fromstring(z.read("xl/workbook.xml")).iter(f"{_MAIN}sheet"):
+            target = targets[sheet.get(f"{_REL}id")]
+            with z.open(target.lstrip("/") if target.startswith("/") else f"xl/{target}") as f:
+                line = 0
+                for _, row in ElementTree.iterparse(f):
+                    if row.tag != f"{_MAIN}row":
+                        continue
+                    line = int(row.get("r") or line + 1)
+                    cells: list[str] = []
+                    for c in row.iter(f"{_MAIN}c"):
+                        at = 0  # cells without a reference follow each other
+                        for letter in (c.get("r") or "").rstrip("0123456789"):
+                            at = 26 * at + ord(letter) - 64
+                        cells += [""] * (at - 1 - len(cells))
+                        value = c.find(f"{_MAIN}v")
+                        if c.get("t") == "inlineStr":
+                            cells.append("".join(t.text or "" for t in c.iter(f"{_MAIN}t")))
+                        elif value is None:
+                            cells.append("")
+                        else:
+                            cells.append(texts[int(value.text)] if c.get("t") == "s" else value.text or "")
+                    yield sheet.get("name"), line, [x.strip() for x in cells]
+                    row.clear()
 
 
 def header_lines(cells: DataFrame, most: int = 60) -> DataFrame:
@@ -101,15 +191,65 @@ def new_files(spark: SparkSession, path: str, known: DataFrame) -> DataFrame:
     return once.join(known.select("sha256"), "sha256", "left_anti")
 
 
+def _segments(pages: DataFrame) -> DataFrame:
+    return pages.select("page_id", F.posexplode("segments").alias("n", "s")).select("page_id", ((F.col("page_id") * 1_000_000) + F.col("n")).alias("seg_id"), "s.*")
+
+
 def page_parts(pages: DataFrame) -> tuple[DataFrame, DataFrame]:
-    """Extracted pages to segments and words; pages: page_id, segments and words as arrays of structs."""
-    segments = pages.select("page_id", F.posexplode("segments").alias("n", "s")).select("page_id", ((F.col("page_id") * 1_000_000) + F.col("n")).alias("seg_id"), "s.*")
+    """Extracted pages to segments and words; pages: page_id, segments and words as arrays of structs."""
+    segments = _segments(pages)
     words = pages.select("page_id", F.posexplode("words").alias("n", "w")).select("page_id", F.col("n").alias("word_id"), "w.*")
     return segments, words
 
 
+def strokes(pages: DataFrame, least: float = 0.0, most: float = float("inf")) -> DataFrame:
+    """Stroked segments of a length within bounds with colour, width, layer and dash, each null where it isn't known."""
+    segments = _segments(pages)
+    for c, kind in (("colour", "string"), ("width", "double"), ("layer", "string"), ("dash", "string")):
+        segments = segments if c in segments.columns else segments.withColumn(c, F.lit(None).cast(kind))
+    n = F.hypot(F.col("x2") - F.col("x1"), F.col("y2") - F.col("y1"))
+    return segments.withColumn("length_pt", n).filter(F.col("length_pt").between(least, most)).select("page_id", "seg_id", "x1", "y1", "x2", "y2", "length_pt", "colour", "width", "layer", "dash")
+
+
+def fills(pages: DataFrame, least_area: float = 0.0) -> DataFrame:
+    """Filled shapes as polygons: rectangles by their corners, quadrilaterals and paths by their points.
+
+    pages: page_id, shapes as an array of struct(kind, points, fill); a rectangle (kind re) has two opposite corners.
+    """
+    rows = pages.select("page_id", F.posexplode("shapes").alias("n", "s")).filter("s.fill is not null")
+    a, b = F.get("s.points", F.lit(0)), F.get("s.points", F.lit(1))
+    at = lambda x, y: F.struct(x["x"].alias("x"), y["y"].alias("y"))
+    points = F.when(F.col("s.kind") == "re", F.array(at(a, a), at(b, a), at(b, b), at(a, b))).otherwise(F.col("s.points"))
+    rows = rows.select("page_id", F.col("n").alias("shape_id"), F.col("s.kind").alias("kind"), F.col("s.fill").alias("fill"), points.alias("points"))
+    return rows.withColumn("area", geometry.area(F.col("points"))).filter((F.size("points") >= 3) & (F.col("area") >= least_area))
+
+
+def blocks(words: DataFrame) -> DataFrame:
+    """Text blocks with their boxes, words in reading order. words: page_id, block, word_id, text, x0, y0, x1, y1."""
+    said = F.array_join(F.transform(F.sort_array(F.collect_list(F.struct("word_id", "text"))), lambda w: w["text"]), " ")
+    return words.groupBy("page_id", "block").agg(said.alias("text"), F.min("x0").alias("x0"), F.min("y0").alias("y0"), F.max("x1").alias("x1"), F.max("y1").alias("y1"))
+
+
+def jobs(job_rows: DataFrame, clients: DataFrame) -> DataFrame:
+    """Jobs with their client's name, "" where there is none, the latest first."""
+    named = job_rows.join(clients.select(F.col("id").alias("client_id"), F.col("name").alias("client")), "client_id", "left")
+    return named.withColumn("client", F.coalesce("client", F.lit(""))).orderBy(F.desc("id"))
+
+
+def placeholders(sql: str, style: str = "%s") -> str:
+    """A statement's question marks in another driver's style, those inside quotes left alone. (S3)"""
+    return "".join(part if k % 2 else part.replace("?", style) for k, part in enumerate(re.split(r"('(?:[^']|'')*')", sql)))
+
+
+def scan(spark: SparkSession, path: str, columns: list[str] | None = None, where: str | None = None) -> DataFrame:
+    """A stored table's columns and rows; both choices reach the files."""
+    rows = spark.read.parquet(path)
+    rows = rows.filter(where) if where else rows
+    return rows.select(*columns) if columns else rows
+
+
 def tables(spark: SparkSession, database: str | None = None) -> DataFrame:
-    """Tables and their columns, as rows."""
+    """Tables and their columns, as rows."""
     found = [(t.name, c.name, c.dataType) for t in spark.catalog.listTables(database) for c in spark.catalog.listColumns(t.name, database)]
     return spark.createDataFrame(found, "table_name string, column_name string, data_type string")
 
