@@ -74,15 +74,26 @@ def mutual_unique_best(pairs: DataFrame, a: str, b: str, score: str) -> DataFram
 def nearest(left: DataFrame, right: DataFrame, by: list[str], left_value: str, right_value: str, right_id: str) -> DataFrame:
     """Each left row with the right row of the same key whose value is nearest; ties go to the lower value, then id.
 
-    Both sides are sorted together once: the candidates are the last right row before and the first after.
+    Both sides are sorted together by ranges of key and value, so a key may be as large as it likes: the candidates are
+    the last right row before and the first after, within a range or, where it has none, from the ranges beside it. Of
+    those a row for each key and range is enough.
     """
     r = F.struct(F.col(right_value).alias("v"), F.col(right_id).alias("id"))
     rights = right.groupBy(*by, F.col(right_value).alias("at")).agg(F.min(r).alias("hit")).withColumn("row", F.lit(None).cast(left.select(F.struct("*").alias("s")).schema["s"].dataType))
     lefts = left.select(*by, F.col(left_value).alias("at"), F.lit(None).cast(rights.schema["hit"].dataType).alias("hit"), F.struct("*").alias("row"))
-    both = rights.select(*by, "at", "hit", "row").unionByName(lefts)
-    up = W.partitionBy(*by).orderBy("at").rangeBetween(W.unboundedPreceding, 0)
-    down = W.partitionBy(*by).orderBy("at").rangeBetween(0, W.unboundedFollowing)
-    both = both.withColumn("below", F.last("hit", ignorenulls=True).over(up)).withColumn("above", F.first("hit", ignorenulls=True).over(down)).filter("row is not null")
+    ranged = rights.select(*by, "at", "hit", "row").unionByName(lefts).repartitionByRange(*by, "at").withColumn("part", F.spark_partition_id())
+    ranged = written(ranged, "nearest")
+    w = W.partitionBy("part", *by).orderBy("at")
+    here = ranged.withColumn("below", F.last("hit", ignorenulls=True).over(w.rangeBetween(W.unboundedPreceding, 0))).withColumn("above", F.first("hit", ignorenulls=True).over(w.rangeBetween(0, W.unboundedFollowing))).filter("row is not null")
+    ends = ranged.groupBy("part", *by).agg(F.max(F.when(F.col("hit").isNotNull(), F.struct("at", "hit"))).alias("last"), F.min(F.when(F.col("hit").isNotNull(), F.struct("at", "hit"))).alias("first"))
+    along = W.partitionBy(*by).orderBy("part")
+    before = F.last("last", ignorenulls=True).over(along.rowsBetween(W.unboundedPreceding, -1))["hit"]
+    after = F.first("first", ignorenulls=True).over(along.rowsBetween(1, W.unboundedFollowing))["hit"]
+    beside = ends.select(F.col("part").alias("in_part"), *[F.col(k).alias(f"in_{k}") for k in by], before.alias("before"), after.alias("after"))
+    same = F.col("part") == F.col("in_part")
+    for k in by:
+        same = same & F.col(k).eqNullSafe(F.col(f"in_{k}"))
+    both = here.join(beside, same, "left").withColumns({"below": F.coalesce("below", "before"), "above": F.coalesce("above", "after")})
     take_above = F.col("below").isNull() | (F.col("above.v") - F.col("at") < F.col("at") - F.col("below.v"))
     return both.withColumn("near", F.when(F.coalesce(take_above, F.lit(False)), F.col("above")).otherwise(F.coalesce("below", "above"))).select("row.*", F.col("near.id").alias(f"near_{right_id}"), F.col("near.v").alias(f"near_{right_value}"))
 

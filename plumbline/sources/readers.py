@@ -160,7 +160,7 @@ def takeoff_rows(cells: DataFrame) -> DataFrame:
     heads = header_lines(cells).filter("score >= 2")
     body = cells.join(heads, "file").filter("line > header")
     at = lambda t: F.get("cells", F.array_position("targets", t).cast("int") - 1)
-    named = [F.when(F.array_contains("targets", t), at(t)).alias(t) for t in HEADINGS]
+    named = [F.when(F.array_contains("targets", t), F.coalesce(at(t), F.lit(""))).alias(t) for t in HEADINGS]
     out = body.select("file", "line", *named)
     for c in ("quantity", "rate_per_unit", "coats", "coverage_m2_per_litre", "productivity_m2_per_hour", "floor_area"):
         out = out.withColumn(c, F.when(F.col(c).isNotNull(), text.quantity(F.col(c))))

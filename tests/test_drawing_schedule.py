@@ -141,3 +141,18 @@ def test_room_phrases_are_taken_from_the_left(spark):
     got = drawing.room_labels(df, ["master", "bed", "wc"], ["master bed", "bed room"])
     assert sorted((r["label"], r["x"], r["confidence"]) for r in got.collect()) == [("Master Bed", 11.0, 0.95), ("WC", 205.0, 0.85)]
     assert drawing.room_labels(df.filter("false"), ["wc"], []).count() == 0
+
+
+@pytest.mark.parametrize("seed", [1, 2])
+def test_nearest_across_ranges(spark, seed):
+    """One large key lies in several ranges; some ranges have no right row of it."""
+    import random
+
+    r = random.Random(seed)
+    left = [(r.choice([1, 1, 1, 2, None]), k, r.uniform(0, 100)) for k in range(200)]
+    right = [(r.choice([1, 1, 2, 3]), 1000 + k, r.choice([r.uniform(0, 10), r.uniform(90, 100), 50.0])) for k in range(20)]
+    a = spark.createDataFrame(left, "g long, id long, v double")
+    b = spark.createDataFrame(right, "g long, rid long, w double")
+    got = {x["id"]: x["near_rid"] for x in fusion.nearest(a, b, ["g"], "v", "w", "rid").collect()}
+    want = {k: min(((abs(w - v), w, i) for h, i, w in right if h == g), default=(0, 0, None))[2] for g, k, v in left}
+    assert got == want
