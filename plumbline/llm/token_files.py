@@ -23,10 +23,11 @@ from pyspark.taskcontext import TaskContext
 
 from . import rans
 from .byte_units import UnitCache
-from .shared import scratch, small_batches, table, written
+from .shared import ranges, scratch, small_batches, table, written
 
 END = 2
 FILE_IDS = 1 << 20
+PART_IDS = 32 << 20  # ids of a range of documents, on average
 CACHED = 320 << 20  # bytes of units that a worker remembers; tasks of a table share most of them, so they stay from task to task
 _open: dict[str, UnitCache] = {}
 
@@ -102,7 +103,8 @@ def write_tokens(docs: DataFrame, path: str, tokenizer: str) -> None:
     """Writes a data set of all documents to path."""
     spark = docs.sparkSession
     ids = written(encoded(docs, tokenizer), "ids", compression="zstd")
-    freq = rans.Table.of_counts(counts(ids)).freq.astype(np.int64)
+    seen = counts(ids)
+    freq = rans.Table.of_counts(seen).freq.astype(np.int64)
     spark.createDataFrame([(k, int(n)) for k, n in enumerate(freq) if n], "id long, freq long").coalesce(1).write.parquet(f"{path}/table")
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
@@ -127,7 +129,7 @@ def write_tokens(docs: DataFrame, path: str, tokenizer: str) -> None:
         if names:
             yield file()
 
-    parts = max(1, int(spark.conf.get("spark.sql.shuffle.partitions")))
+    parts = ranges(spark, int(seen.sum()), PART_IDS)
     order = ["doc_id", "size", "crc"]
     ranged = ids.withColumns({"size": F.octet_length("ids"), "crc": F.crc32("ids")}).repartitionByRange(parts, *order).sortWithinPartitions(*order)
     ranged.select(F.col("doc_id").cast("string"), "width", "ids").mapInPandas(run, "part int, start long, n_ids long, data binary").write.option("compression", "uncompressed").parquet(f"{path}/files")

@@ -284,6 +284,10 @@ def test_flat_trees():
     assert ((t.score(x) >= 0.5) == (x[:, 0] * x[:, 1] > 0)).mean() > 0.9
 
 
+def docs_of(spark, extra, rows):
+    return spark.createDataFrame(rows, f"doc_id long, text string, lang string, source string, {extra}")
+
+
 @pytest.mark.parametrize("extra", ["row string, bad string, spot string"])
 def test_pipeline(spark, tmp_path, extra):
     import corpus_pipeline
@@ -299,6 +303,10 @@ def test_pipeline(spark, tmp_path, extra):
         if name != corpus_pipeline.STAGES[-1][0]:
             assert docs.columns == before.columns
             assert 0 < docs.count()
+    empty, long = docs_of(spark, extra, []), docs_of(spark, extra, [(1, "river stone walks " * 100_000, "en", "s0", "a", "b", "c")])
+    for name, stage in corpus_pipeline.STAGES:
+        assert stage(spark, empty, str(tmp_path)).count() == 0
+        assert stage(spark, long, str(tmp_path)).count() in (0, 1, 3)
     got = sorted(tuple(r) for r in corpus_pipeline.run(spark, str(tmp_path)).collect())
     assert got == sorted(tuple(r) for r in docs.collect()) and got
     assert docs.count() == before.count()

@@ -72,7 +72,8 @@ def documents(seed):
         w = r.choice(texts[:60]).split()
         w[r.randrange(len(w))] = "changed"
         texts.append(" ".join(w))
-    texts += [texts[0]] * 9 + [None, "", " \n\t", texts[1].upper()]
+    long = " ".join(r.choices(vocabulary, k=30_000))
+    texts += [texts[0]] * 9 + [None, "", " \n\t", texts[1].upper(), long, long + " end"]
     return [(k + 5, t, "x", -1) for k, t in enumerate(texts)] + [(5, texts[0], "x", -1), (None, "no id here at all", "x", 1), (None, texts[0], "x", 1)]
 
 
