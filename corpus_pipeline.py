@@ -1,7 +1,12 @@
 """A corpus pipeline: documents are filtered for quality, freed of near duplicates, mixed and tokenised.
 
 Each stage works on all that the one before kept, and each but the last returns the columns of its documents; columns
-beyond doc_id, text and source only pass through. The mixture may hold a document more than once.
+beyond doc_id, text and source only pass through, whatever their names. The mixture may hold a document more than once.
+
+Defined results: a null or empty text is scored like any other and fails the base rules, so it goes; a null source is a
+source and a host of its own; a null doc_id has no label, and of near duplicates it stays only where none has an id;
+rows that repeat each other are documents of their own up to the near duplicates, of which one stays; texts of any
+length go through whole; an empty table gives empty stages, and without labels every document scores 0.5 and stays.
 """
 
 from __future__ import annotations
@@ -48,7 +53,7 @@ STAGES: list[tuple[str, Callable[[SparkSession, DataFrame, str], DataFrame]]] =
     ("bpe_encoding", tokenizing),
 ]
 
-#: The classifier and the fingerprints are beyond SQL; tests hold the stages against brute force.
+#: The classifier and the fingerprints are beyond SQL; tests/llm/test_llm_queries.py holds the whole run against plain Python.
 ORACLE_SQL = None
 
 
