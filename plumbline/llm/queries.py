@@ -1,6 +1,6 @@
 """The driver queries of the training-data operators and, where SQL can express one, its DuckDB statement."""
 
-from . import chat_format, e8_lattice, fair_mix, gbt_quality, minimax_shards, prefix_bpe, quality_rules, simhash_tiles, token_files, warc_transactions
+from . import chat_format, e8_lattice, fair_mix, gbt_quality, minimax_shards, prefix_bpe, prefix_trie, quality_rules, simhash_tiles, token_files, warc_transactions
 
 QUERIES = {
     "op1_rans_token_files": token_files.op1_query,
@@ -13,6 +13,7 @@ QUERIES = {
     "op8_e8_lattice": e8_lattice.op8_query,
     "op9_chat_format": chat_format.op9_query,
     "op10_prefix_bpe": prefix_bpe.op10_query,
+    "op11_prefix_trie": prefix_trie.op11_query,
 }
 
 ORACLES = {
@@ -21,4 +22,5 @@ ORACLES = {
     "op7_fair_mix": fair_mix.OP7_SQL,
     "op8_e8_lattice": e8_lattice.OP8_SQL,
     "op9_chat_format": chat_format.OP9_SQL,
+    "op11_prefix_trie": prefix_trie.OP11_SQL,
 }

@@ -5,8 +5,10 @@ from __future__ import annotations
 import tempfile
 import uuid
 
+import numpy as np
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 #: White space that separates words, as a regular expression for Java, DuckDB and Python alike.
 SPACES = r"[\x20\x09-\x0D]+"
@@ -64,3 +66,45 @@ def small_batches(spark: SparkSession, rows: int = 1000, size: str = "8m") -> No
     if not 0 < int(spark.conf.get(name)) <= rows:
         spark.conf.set(name, rows)
     spark.conf.set("spark.sql.execution.arrow.maxBytesPerBatch", size)
+
+
+def numbered_within(rows: DataFrame, key: str, order: list, name: str, parts: int) -> DataFrame:
+    """rows with their numbers, from 1, in the given order among the rows of their key, which is never null.
+
+    The rows are sorted by ranges of key and order, so a key of many rows lies in many tasks; each counts its own, and
+    what the ranges before hold of the key that a range begins with is added. Only a row for each range meets on the
+    driver. Rows equal in key and order have any order among them.
+    """
+    import pyarrow as pa
+    from pyspark.taskcontext import TaskContext
+
+    spark = rows.sparkSession
+    at, part, shift = f"{name}_at", f"{name}_part", f"{name}_shift"
+
+    def run(batches):
+        own, last, n = TaskContext.get().partitionId(), None, 0
+        for b in batches:
+            if not b.num_rows:
+                continue
+            keys = b.column(b.schema.get_field_index(key)).to_numpy(zero_copy_only=False)
+            begins = np.append(last is None or keys[0] != last, keys[1:] != keys[:-1])
+            place = np.arange(len(keys))
+            count = place - np.maximum.accumulate(np.where(begins, place, 0)) + 1
+            if not begins[0]:
+                count[: np.flatnonzero(begins)[0] if begins.any() else len(keys)] += n
+            last, n = keys[-1], int(count[-1])
+            yield pa.RecordBatch.from_arrays([*b.columns, pa.array(count, pa.int64()), pa.array(np.full(len(keys), own), pa.int32())], [*b.schema.names, at, part])
+
+    by = [key, *order]
+    kind = T.StructType([*rows.schema.fields, T.StructField(at, T.LongType()), T.StructField(part, T.IntegerType())])
+    ranged = written(rows.repartitionByRange(parts, *by).sortWithinPartitions(*by).mapInArrow(run, kind), name)
+    ends = ranged.groupBy(part).agg(F.min(key).alias("low"), F.max(key).alias("high"), F.max(F.struct(key, at)).alias("last")).collect()  # a row for each range
+    carried, n, shifts = None, 0, []
+    for r in sorted(ends, key=lambda r: r[part]):
+        if r["low"] == carried and n:
+            shifts.append((r[part], r["low"], n))
+        n = r["last"][at] + (n if r["low"] == r["high"] == carried else 0)
+        carried = r["high"]
+    kinds = T.StructType([T.StructField(part, T.IntegerType()), T.StructField(key, rows.schema[key].dataType), T.StructField(shift, T.LongType())])
+    moved = F.broadcast(spark.createDataFrame(shifts, kinds))  # at most one for each range
+    return ranged.join(moved, [part, key], "left").withColumn(name, F.col(at) + F.coalesce(F.col(shift), F.lit(0))).select(*rows.columns, name)
