@@ -1,6 +1,6 @@
 """The driver queries of the training-data operators and, where SQL can express one, its DuckDB statement."""
 
-from . import chat_format, e8_lattice, fair_mix, gbt_quality, minimax_shards, prefix_bpe, prefix_trie, quality_rules, simhash_tiles, token_files, warc_transactions
+from . import chat_format, e8_lattice, fair_mix, gbt_quality, large_item_packing, minimax_shards, prefix_bpe, prefix_trie, quality_rules, simhash_tiles, token_files, warc_transactions
 
 QUERIES = {
     "op1_rans_token_files": token_files.op1_query,
@@ -14,6 +14,7 @@ QUERIES = {
     "op9_chat_format": chat_format.op9_query,
     "op10_prefix_bpe": prefix_bpe.op10_query,
     "op11_prefix_trie": prefix_trie.op11_query,
+    "op12_large_item_packing": large_item_packing.op12_query,
 }
 
 ORACLES = {

@@ -9,6 +9,7 @@ import pytest
 from oracle import SF, compare
 from test_pairs import components_of, fingerprint
 from test_rules_shards_mix import measures, mix
+from test_trie_pack_phrases import packed_by_hand
 
 from plumbline.llm import gbt_quality, quality_rules, queries
 
@@ -117,3 +118,25 @@ def test_pipeline(spark, documents):
         size, _, _, taken = shares[d]
         want += [(d, *encoded(library, text))] * (taken // size if size else 0)
     assert want and sorted(map(tuple, corpus_pipeline.run(spark, str(SF)).collect())) == sorted(want)
+
+
+def test_op12(spark, documents):
+    from tokenizers import Tokenizer
+
+    tok, want = Tokenizer.from_file(tokenizers_at.path("byte_bpe_50k.json")), []
+    for d, text, _ in documents:
+        ids = np.array(tok.encode(text or "", add_special_tokens=False).ids + [2], "<u4")
+        cuts = [0, *range((len(ids) - 1) % 1024 + 1, len(ids) + 1, 1024)]
+        want += [(d, k, a, z - a, zlib.crc32(ids[a:z].tobytes())) for k, (a, z) in enumerate(zip(cuts[:-1], cuts[1:], strict=True))]
+    got = queries.QUERIES["op12_large_item_packing"](spark, str(SF)).collect()
+    assert sorted(tuple(r)[:5] for r in got) == sorted(want)
+    used = {}
+    for r in got:
+        used.setdefault(r["sequence_id"], []).append((r["offset"], r["length"]))
+    for held in used.values():
+        at = 0
+        for offset, length in sorted(held):
+            assert offset == at
+            at += length
+        assert at <= 1024
+    assert len(used) == packed_by_hand([r["length"] for r in got], 1024)

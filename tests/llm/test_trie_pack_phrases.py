@@ -5,7 +5,12 @@ import hashlib
 import random
 import zlib
 
-from plumbline.llm import prefix_trie
+import numpy as np
+import public_tokenizers as tokenizers_at
+from hypothesis import given, settings
+from hypothesis import strategies as st
+
+from plumbline.llm import large_item_packing, prefix_trie
 
 
 def nodes_of(rows):
@@ -74,3 +79,81 @@ def test_trie_of_few_or_none(spark):
 def test_trie_of_copies(spark):
     rows = [(c, k, "user", f"same {k}") for c in range(1000, 1600) for k in range(3)]
     assert sorted(tuple(r)[:8] for r in tree(spark, rows, 2)) == nodes_of(rows)
+
+
+def packed_by_hand(lengths, capacity):
+    """The same rule, piece by piece; the number of sequences."""
+    free, large = [], sorted((k for k in lengths if 3 * k > capacity), reverse=True)
+    while large:
+        a = large.pop(0)
+        k = next((j for j, b in enumerate(large) if a + b <= capacity), None)
+        free.append(capacity - a - (large.pop(k) if k is not None else 0))
+    for a in sorted((k for k in lengths if 3 * k <= capacity), reverse=True):
+        fits = [k for k, gap in enumerate(free) if gap >= a]
+        if fits:
+            free[min(fits, key=free.__getitem__)] -= a
+        else:
+            free.append(capacity - a)
+    return len(free)
+
+
+@settings(max_examples=200, deadline=None)
+@given(st.integers(1, 40), st.data())
+def test_plan_equals_piece_by_piece(capacity, data):
+    lengths = data.draw(st.lists(st.integers(1, capacity), max_size=60))
+    counts = collections.Counter(lengths)
+    runs = large_item_packing.plan(dict(counts), capacity)
+    used, seen = collections.defaultdict(list), collections.Counter()
+    for r in runs:
+        assert r.first == seen[r.length]
+        seen[r.length] += r.n
+        for k in range(r.n):
+            used[r.sequence + k // r.each].append((r.offset + k % r.each * r.length, r.length))
+    assert seen == counts
+    for held in used.values():
+        at = 0
+        for offset, length in sorted(held):
+            assert offset == at
+            at += length
+        assert at <= capacity
+    assert sorted(used) == list(range(len(used)))
+    assert len(used) == packed_by_hand(lengths, capacity)
+    largest = sum(3 * k > capacity for k in lengths)
+    assert len(used) >= max(-(-sum(lengths) // capacity), -(-largest // 2))
+
+
+def test_plan_of_many_pieces_is_short():
+    counts = {k: 10**9 + 7919 * k for k in range(1, 1025)}
+    runs = large_item_packing.plan(counts)
+    assert len(runs) < 10_000 and sum(r.n for r in runs) == sum(counts.values())
+    n = max(r.sequence + -(-r.n // r.each) for r in runs)
+    assert n <= 1.001 * sum(k * v for k, v in counts.items()) / 1024
+
+
+def test_pack(spark):
+    from tokenizers import Tokenizer
+
+    path = tokenizers_at.path("byte_bpe_50k.json")
+    tok, rng = Tokenizer.from_file(path), random.Random(3)
+    texts = [" ".join(rng.choice(["alpha", "beta", "é漢", "x"]) for _ in range(rng.choice([0, 3, 40, 300, 500, 2000]))) for _ in range(80)]
+    rows = [(k, t, "n") for k, t in enumerate(texts)] + [(None, None, "n"), (None, "a", "n"), (7, "b" * 50_000, "n"), (8, "again", "n"), (8, "again", "n")]
+    docs = spark.createDataFrame(rows, "doc_id long, text string, piece string").repartition(5)
+    packed = large_item_packing.pack(docs, path, 256)
+    got = packed.collect()
+    want = collections.Counter()
+    for d, text, _ in rows:
+        ids = [*tok.encode(text or "", add_special_tokens=False).ids, 2]
+        first = (len(ids) - 1) % 256 + 1
+        cuts = [0, *range(first, len(ids) + 1, 256)]
+        want.update((d, k, a, z - a, np.array(ids[a:z], "<u4").tobytes()) for k, (a, z) in enumerate(zip(cuts[:-1], cuts[1:], strict=True)))
+    assert collections.Counter((r["doc_id"], r["piece"], r["start"], r["length"], bytes(r["ids"])) for r in got) == want
+    assert len({r["sequence_id"] for r in got}) == packed_by_hand([r["length"] for r in got], 256)
+    whole = large_item_packing.sequences(packed).collect()
+    assert sum(r["length"] for r in whole) == sum(r["length"] for r in got)
+    by = collections.defaultdict(list)
+    for r in got:
+        by[r["sequence_id"]].append((r["offset"], bytes(r["ids"])))
+    for r in whole:
+        assert bytes(r["ids"]) == b"".join(x for _, x in sorted(by[r["sequence_id"]])) and r["length"] * 4 == len(r["ids"]) <= 1024
+        assert [p["offset"] for p in r["pieces"]] == sorted(o for o, _ in by[r["sequence_id"]])
+    assert large_item_packing.pack(docs.limit(0), path).count() == 0
