@@ -1,6 +1,6 @@
 """The driver queries of the training-data operators and, where SQL can express one, its DuckDB statement."""
 
-from . import chat_format, e8_lattice, fair_mix, gbt_quality, large_item_packing, minimax_shards, prefix_bpe, prefix_trie, quality_rules, simhash_tiles, token_files, warc_transactions
+from . import chat_format, e8_lattice, fair_mix, gbt_quality, large_item_packing, minimax_shards, phrases, prefix_bpe, prefix_trie, quality_rules, simhash_tiles, token_files, warc_transactions
 
 QUERIES = {
     "op1_rans_token_files": token_files.op1_query,
@@ -15,6 +15,7 @@ QUERIES = {
     "op10_prefix_bpe": prefix_bpe.op10_query,
     "op11_prefix_trie": prefix_trie.op11_query,
     "op12_large_item_packing": large_item_packing.op12_query,
+    "op13_phrases": phrases.op13_query,
 }
 
 ORACLES = {
@@ -24,4 +25,5 @@ ORACLES = {
     "op8_e8_lattice": e8_lattice.OP8_SQL,
     "op9_chat_format": chat_format.OP9_SQL,
     "op11_prefix_trie": prefix_trie.OP11_SQL,
+    "op13_phrases": phrases.OP13_SQL,
 }

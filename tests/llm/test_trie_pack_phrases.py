@@ -3,6 +3,7 @@
 import collections
 import hashlib
 import random
+import re
 import zlib
 
 import numpy as np
@@ -10,7 +11,7 @@ import public_tokenizers as tokenizers_at
 from hypothesis import given, settings
 from hypothesis import strategies as st
 
-from plumbline.llm import large_item_packing, prefix_trie
+from plumbline.llm import large_item_packing, phrases, prefix_trie
 
 
 def nodes_of(rows):
@@ -157,3 +158,45 @@ def test_pack(spark):
         assert bytes(r["ids"]) == b"".join(x for _, x in sorted(by[r["sequence_id"]])) and r["length"] * 4 == len(r["ids"]) <= 1024
         assert [p["offset"] for p in r["pieces"]] == sorted(o for o, _ in by[r["sequence_id"]])
     assert large_item_packing.pack(docs.limit(0), path).count() == 0
+
+
+def phrases_by_hand(rows, longest, least, listed):
+    n, f = collections.Counter(), collections.Counter()
+    for text, lang in rows:
+        lang = lang or "und" if lang is not None else "und"
+        text = re.sub("[A-Z]", lambda m: m[0].lower(), text or "")
+        for piece in re.split(r"[.,;:!?\x0A-\x0D]", text):
+            words = [w for w in re.split(r"[\x20\x09]+", piece) if w]
+            n[lang] += len(words)
+            f.update((lang, tuple(words[i : i + k])) for k in range(1, longest + 1) for i in range(len(words) - k + 1))
+    found = {k: a for k, a in f.items() if len(k[1]) > 1 and a >= least}
+    longer = collections.Counter()
+    for (lang, ws), a in found.items():
+        for size in range(2, len(ws)):
+            for i in range(len(ws) - size + 1):
+                longer[lang, ws[i : i + size]] = max(longer[lang, ws[i : i + size]], a)
+    out = collections.defaultdict(list)
+    for (lang, ws), a in found.items():
+        if 100 * longer[lang, ws] < 50 * a or not longer[lang, ws]:
+            score, k = min((10**6 * a * a // (f[lang, ws[:k]] * f[lang, ws[k:]]), k) for k in range(1, len(ws)))
+            out[lang].append((-score, -a, " ".join(ws).encode(), f[lang, ws[:k]], f[lang, ws[k:]]))
+    return sorted((lang, r + 1, p.decode(), -a, left, right, n[lang], -score) for lang, all_ in out.items() for r, (score, a, p, left, right) in enumerate(sorted(all_)[:listed]))
+
+
+def test_phrases(spark):
+    rng = random.Random(11)
+    word = lambda: rng.choice(["a", "B", "c", "é漢", " x", "d\x00", "\U0001f600"])
+    rows = [("".join(word() + rng.choice([" ", " ", "\t", "  ", ".", "\n", ", "]) for _ in range(rng.randrange(60))), rng.choice(["en", "de", None, "und"])) for _ in range(150)]
+    rows += [(None, "en"), ("", None), ("...", "en"), ("the same passage, again and again", "en")] + [("the same passage", "fr")] * 40 + [("long " * 50_000, "en")]
+    docs = spark.createDataFrame([(*r, 1) for r in rows], "text string, lang string, n int").repartition(4)
+    for longest, least, chunk in ((3, 10, 1 << 20), (3, 3, 100), (5, 4, 1000)):
+        got = phrases.collocations(docs, 50, longest, least, chunk).collect()
+        assert sorted(map(tuple, got)) == phrases_by_hand(rows, longest, least, 50)
+    assert phrases.collocations(docs.limit(0)).count() == 0
+    assert phrases.collocations(docs.filter("text is null")).count() == 0
+
+
+def test_scores_beyond_64_bits(spark):
+    known = [("en", 1, "x", 3 * 10**13), ("en", 1, "y", 2 * 10**13), ("en", 2, "x y", 10**13)]
+    frame = spark.createDataFrame(known, "lang string, k tinyint, gram string, n long")
+    assert [tuple(r) for r in phrases.scored(frame).collect()] == [("en", "x y", 2, 10**13, 3 * 10**13, 2 * 10**13, 10**32 // (6 * 10**26))]
