@@ -145,11 +145,15 @@ def id_digests(ends: DataFrame, parts: int) -> DataFrame:
     def join(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         own, n = TaskContext.get().partitionId(), 0
         for b in batches:
-            for node, ids in b.groupby("node", sort=False)["conv_id"]:
-                values = ids.tolist()
-                text = [",".join(map(str, values[k : k + JOINED])) for k in range(0, len(values), JOINED)]
-                yield pd.DataFrame({"node": node, "part": own, "n": range(n, n + len(text)), "ids": text})
-                n += len(text)
+            nodes, ids = b["node"].to_numpy(), b["conv_id"].astype(str).tolist()
+            starts = [*(np.flatnonzero(nodes[1:] != nodes[:-1]) + 1).tolist(), len(nodes)]
+            cuts, text, of = [0, *starts], [], []
+            for a, z in zip(cuts[:-1], cuts[1:], strict=True):
+                for k in range(a, z, JOINED):
+                    text.append(",".join(ids[k : min(z, k + JOINED)]))
+                    of.append(nodes[a])
+            yield pd.DataFrame({"node": of, "part": own, "n": range(n, n + len(text)), "ids": text})
+            n += len(text)
 
     def digest(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         last, state = None, None
