@@ -172,18 +172,28 @@ def plan(rows: DataFrame, shards: int) -> tuple[int, list[int | None], int]:
         leaves = sorted([x for k, x in enumerate(leaves) if k not in set(now)] + finer, key=lambda x: x.low)
 
 
+def _sharded(rows: DataFrame, firsts: list[int | None]) -> DataFrame:
+    """rows with shard, the number of firsts up to h: those of cells before h's by a join, the few of its own cell one by one."""
+    known = sorted(f for f in firsts if f is not None)
+    shift = 64 - min(BITS + 4, max(2, len(firsts).bit_length() + 2))
+    cells: dict[int, list[int]] = {}
+    for f in known:
+        cells.setdefault(f >> shift, []).append(f)
+    listed = [(c, bisect_left(known, c << shift), cells.get(c, [])) for c in range(-(1 << 63 - shift), 1 << 63 - shift)]  # up to 8 times the shards
+    cell = rows.sparkSession.createDataFrame(listed, "cell long, before int, own array<bigint>")
+    joined = rows.withColumn("cell", F.shiftright("h", shift)).join(F.broadcast(cell), "cell")
+    return joined.withColumn("shard", F.col("before") + F.size(F.filter("own", lambda f: f <= F.col("h")))).drop(*cell.columns)
+
+
 def assign(docs: DataFrame, shards: int = 8) -> DataFrame:
     """A row per document: doc_id, size, text_crc32, law, shard, slot, grown_shard."""
     text = F.coalesce(F.col("text"), F.lit(""))
     rows = docs.select("doc_id", (F.octet_length(text) + 1).cast("long").alias("size"), F.crc32(F.encode(text, "UTF-8")).alias("text_crc32"), F.xxhash64(text).alias("h"))
     rows = written(rows, "sizes")
     _, firsts, n = plan(rows.select("h", "size"), shards)
-    shard = F.lit(0)
-    for first in firsts:
-        shard = shard + (F.lit(False) if first is None else F.col("h") >= F.lit(first)).cast("int")
     # Row numbers of the whole order: ranges of it in partitions, counted from each partition's own ids.
     order = ["h", "doc_id"]
-    placed = rows.withColumn("shard", shard.cast("int")).repartitionByRange(ranges(docs.sparkSession, n), *order).sortWithinPartitions(*order)
+    placed = _sharded(rows, firsts).repartitionByRange(ranges(docs.sparkSession, n), *order).sortWithinPartitions(*order)
     placed = written(placed.withColumn("at", F.monotonically_increasing_id()), "placed")
     part = F.shiftright("at", 33)
     counts = placed.groupBy(part.alias("part"), "shard").agg(F.count("*").alias("n"), F.min("at").alias("first")).collect()  # a row per partition and cut
