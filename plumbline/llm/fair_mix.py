@@ -1,9 +1,10 @@
 """Mixing sources to target weights by weighted fair queueing, in DataFrame functions.
 
-Documents of a source are shuffled by a hash. A document's virtual finish time is the words of its source up to and
-with it, divided by the source's target; a later epoch of the source adds the whole source once more. All copies,
-sorted by that time, make the mixture, which ends where the budget is used up: every source has then come about as
-near to its own target as any other.
+Documents of a source are shuffled by a hash of id and text. A document's virtual finish time is the words of its
+source up to and with it, divided by the source's target; a later epoch of the source adds the whole source once more.
+All copies, sorted by that time, make the mixture, which ends where the budget is used up: every source has then come
+about as near to its own target as any other. Rows that repeat each other in id, source and text stand side by side as
+one counted row, whose sums follow by multiplication, so the end may fall between them and no place holds many rows.
 
 Targets come from one row for each source: on the driver as long as sources are few, beyond that in rounds over a table
 of sources, each of which only brings back two sums; large sources are then joined by a broadcast of fewer than LARGE
@@ -13,8 +14,9 @@ Running sums within a source are made in two steps, since one source may hold mu
 about sqrt(n) documents are summed each by itself, then the buckets' totals. The global order is a range sort whose
 partitions are summed; only the partition in which the budget ends is looked into row by row.
 
-Defined results: a null text has no words; a null source is the last source; rows that share doc_id and size stand at
-the same place of the order and are taken together; a document without words is never taken; a target of a source
+Defined results: a null text has no words; a null source is the last source; rows that share an id, even
+a null one, are documents of their own, and rows equal in id, source and text are taken one by one, any of them first;
+a document without words is never taken; a target of a source
 without words is 0; an empty table gives no rows. Columns other than doc_id, text and source are not read.
 """
 
@@ -30,6 +32,7 @@ from pyspark.sql import functions as F
 from .shared import ranges, table, words_of, written
 
 LARGE = 10_000  # a source of more than one document in so many is large
+COPIES = 1000  # equal documents of a row
 
 @dataclass(frozen=True)
 class Mix:
@@ -97,20 +100,22 @@ def _by_source(rows: DataFrame, of: str, listed: DataFrame, total: int, few: boo
 
 
 def place() -> Column:
-    """The shuffled place of a document in its source: 60 bits of a digest of its id."""
-    return F.conv(F.substring(F.md5(F.coalesce(F.col("doc_id").cast("string"), F.lit("")).cast("binary")), 1, 15), 16, 10).cast("long")
+    """The shuffled place of a document in its source: 60 bits of a digest of its id and text."""
+    either = [F.coalesce(F.col(c).cast("string"), F.lit("")) for c in ("doc_id", "text")]
+    return F.conv(F.substring(F.md5(F.concat(either[0], F.lit(":"), either[1]).cast("binary")), 1, 15), 16, 10).cast("long")
 
 
 def _sized(docs: DataFrame) -> DataFrame:
     return docs.select("doc_id", "source", F.size(words_of(F.col("text"))).cast("long").alias("size"), place().alias("place"))
 
 
-def finish(epoch: int) -> Column:
-    """Null where nothing is wanted of the source, which then has no words."""
-    return F.try_divide((F.col("upto") + epoch * F.col("source_size")).cast("double"), F.col("target"))
+def finish(epoch: Column) -> Column:
+    """Of a row of copies(). Null where nothing is wanted of the source, which then has no words."""
+    upto = F.col("base") + F.col("size") * F.col("number")
+    return F.try_divide((upto + epoch * F.col("source_size")).cast("double"), F.col("target"))
 
 
-def within(epoch: int, cut: tuple[float, int] | None) -> Column:
+def within(epoch: Column, cut: tuple[float, int] | None) -> Column:
     """Whether the copy of that epoch lies before the end of the mixture."""
     if cut is None:
         return F.lit(False)
@@ -119,11 +124,15 @@ def within(epoch: int, cut: tuple[float, int] | None) -> Column:
 
 
 def queue(docs: DataFrame, mix: Mix) -> tuple[DataFrame, tuple[float, int] | None, tuple[int, bool]]:
-    """Rows (doc_id, source, size, place, rank, source_size, target, upto), the last (finish time, rank) taken, the number of rows and whether sources are few."""
+    """Counted rows, the last (finish time, rank) taken, the number of documents and whether sources are few.
+
+    Rows: doc_id, source, size, place, equal (rows of that id, source and text), first and last (which of them, no more
+    than COPIES in a row), base (words before the first of all equal ones), rank, source_size, target.
+    """
     spark = docs.sparkSession
-    rows = written(_sized(docs), "mix-sizes")
-    sources = written(rows.groupBy("source").agg(F.sum("size").alias("size"), F.count("*").alias("docs")), "mix-sources")
-    known = sources.agg(F.count("*").alias("k"), F.sum("docs").alias("n"), F.sum("size").alias("size")).first()
+    rows = written(_sized(docs).groupBy("doc_id", "source", "size", "place").agg(F.count("*").alias("equal")), "mix-sizes")
+    sources = written(rows.groupBy("source").agg(F.sum(F.col("size") * F.col("equal")).alias("size"), F.sum("equal").alias("docs"), F.max("equal").alias("most")), "mix-sources")
+    known = sources.agg(F.count("*").alias("k"), F.sum("docs").alias("n"), F.sum("size").alias("size"), F.max("most").alias("most")).first()
     n, few = known["n"] or 0, known["k"] <= mix.listed_sources
     if few:
         got = sorted(sources.collect(), key=lambda r: (r["source"] is None, r["source"] or ""))  # listed_sources rows
@@ -133,25 +142,35 @@ def queue(docs: DataFrame, mix: Mix) -> tuple[DataFrame, tuple[float, int] | Non
         listed = source_targets(sources, mix)
     listed = listed.withColumn("buckets", F.ceil(F.col("docs") / F.greatest(F.lit(mix.bucket_rows), F.floor(F.sqrt("docs")))))
     rows = _by_source(rows.withColumnRenamed("source", "of"), "of", listed, n, few)
-    rows = rows.withColumn("bucket", F.floor(F.col("place") / F.lit(float(1 << 60)) * F.col("buckets")))
+    rows = rows.withColumn("bucket", F.floor(F.col("place") / F.lit(float(1 << 60)) * F.col("buckets"))).withColumn("words", F.col("size") * F.col("equal"))
     key = ["rank", "bucket"]
-    totals = rows.groupBy(*key).agg(F.sum("size").alias("in_bucket"))
+    totals = rows.groupBy(*key).agg(F.sum("words").alias("in_bucket"))
     before = totals.select(*key, (F.sum("in_bucket").over(W.partitionBy("rank").orderBy("bucket")) - F.col("in_bucket")).alias("before"))
-    inside = F.sum("size").over(W.partitionBy(*key).orderBy("place", "doc_id", "size"))  # peers share their sum
-    rows = rows.withColumn("inside", inside).join(before, key).withColumn("upto", F.col("inside") + F.col("before"))
-    rows = written(rows.select("doc_id", "source", "size", "place", "rank", "source_size", "target", "upto"), "mix-queue")
+    inside = F.sum("words").over(W.partitionBy(*key).orderBy("place", "doc_id", "size").rowsBetween(W.unboundedPreceding, 0))
+    rows = rows.withColumn("inside", inside).join(before, key).withColumn("base", F.col("inside") + F.col("before") - F.col("words"))
+    rows = rows.withColumn("first", F.explode(F.sequence(F.lit(1).cast("long"), F.col("equal"), F.lit(COPIES).cast("long"))))
+    rows = rows.withColumn("last", F.least(F.col("equal"), F.col("first") + (COPIES - 1)))
+    rows = rows.select("doc_id", "source", "size", "place", "equal", "first", "last", "base", "rank", "source_size", "target")
+    if (known["most"] or 0) > COPIES:
+        rows = rows.repartition(ranges(spark, n))
+    rows = written(rows, "mix-queue")
     return rows, _cut(rows, known["size"] or 0, n, mix), (n, few)
 
 
-def copies(rows: DataFrame, mix: Mix) -> DataFrame:
-    """Every copy of every document that has words, with its finish time."""
-    each = F.array(*[F.struct(F.lit(e).alias("epoch"), finish(e).alias("finish")) for e in range(mix.most)])
+def copies(rows: DataFrame) -> DataFrame:
+    """A row for each document: number, which of the equal ones it is, in place of first and last."""
+    return rows.withColumn("number", F.explode(F.sequence("first", "last"))).drop("first", "last")
+
+
+def epochs(rows: DataFrame, mix: Mix) -> DataFrame:
+    """Every copy of every document that has words, with its finish time. rows: copies()."""
+    each = F.array(*[F.struct(F.lit(e).alias("epoch"), finish(F.lit(e)).alias("finish")) for e in range(mix.most)])
     return rows.filter("size > 0").select("*", F.inline(each))
 
 
 def _cut(rows: DataFrame, budget: int, n: int, mix: Mix) -> tuple[float, int] | None:
-    order = ["finish", "rank", "place", "doc_id", "size"]
-    ranged = copies(rows, mix).select(*order).repartitionByRange(ranges(rows.sparkSession, n * mix.most), *order).sortWithinPartitions(*order)
+    order = ["finish", "rank", "place", "doc_id", "size", "number"]
+    ranged = epochs(copies(rows), mix).select(*order).repartitionByRange(ranges(rows.sparkSession, n * mix.most), *order).sortWithinPartitions(*order)
     ranged = written(ranged.withColumn("at", F.monotonically_increasing_id()), "mix-order")
     part = F.shiftright("at", 33)
     sums = sorted(ranged.groupBy(part.alias("part")).agg(F.sum("size").alias("size")).collect(), key=lambda r: r["part"])
@@ -175,33 +194,59 @@ def _cut(rows: DataFrame, budget: int, n: int, mix: Mix) -> tuple[float, int] |
 def mixture(docs: DataFrame, mix: Mix = Mix()) -> DataFrame:
     """The mixture itself, sorted: doc_id, source, epoch, finish, size."""
     rows, cut, _ = queue(docs, mix)
-    if cut is None:
-        return copies(rows, mix).filter("false").select("doc_id", "source", "epoch", "finish", "size")
-    end = (F.col("finish") < cut[0]) | ((F.col("finish") == cut[0]) & (F.col("rank") <= cut[1]))
-    return copies(rows, mix).filter(end).orderBy("finish", "rank", "place", "doc_id").select("doc_id", "source", "epoch", "finish", "size")
+    taken = epochs(copies(rows), mix).filter(within(F.col("epoch"), cut))
+    return taken.orderBy("finish", "rank", "place", "doc_id", "number").select("doc_id", "source", "epoch", "finish", "size")
+
+
+def _times(cut: tuple[float, int] | None, mix: Mix) -> Column:
+    return sum((within(F.lit(e), cut).cast("long") for e in range(1, mix.most)), within(F.lit(0), cut).cast("long"))
 
 
 def shares(docs: DataFrame, mix: Mix = Mix()) -> DataFrame:
     """A row per document: doc_id, size, source_size, target, taken."""
     rows, cut, _ = queue(docs, mix)
-    times = sum((within(e, cut).cast("long") for e in range(1, mix.most)), within(0, cut).cast("long"))
-    return rows.select("doc_id", "size", "source_size", "target", (F.col("size") * times).alias("taken"))
+    return copies(rows).select("doc_id", "size", "source_size", "target", (F.col("size") * _times(cut, mix)).alias("taken"))
 
 
 def resample(docs: DataFrame, mix: Mix = Mix()) -> DataFrame:
     """The documents of the mixture with all their columns, a row for each copy.
 
     Within a source and an epoch the mixture takes a prefix of the shuffled order, so its end for each source and
-    epoch is all that the texts need to know: they are not moved.
+    epoch is all that the texts need to know: they are not moved. Only where an end falls between equal rows are
+    these, and no others, written and numbered.
     """
     rows, cut, (n, few) = queue(docs, mix)
-    spot = F.struct("place", "doc_id", "size")
-    ends = rows.groupBy("source").agg(F.count("*").alias("docs"), *[F.max(F.when(within(e, cut), spot)).alias(f"end_{e}") for e in range(mix.most)])
+    spot = F.struct("place", "doc_id", "size", "number", "equal")
+    taken = epochs(copies(rows), mix).filter(within(F.col("epoch"), cut)).groupBy("source").agg(*[F.max(F.when(F.col("epoch") == e, spot)).alias(f"end_{e}") for e in range(mix.most)])
+    ends = rows.groupBy("source").agg(F.sum(F.col("last") - F.col("first") + 1).alias("docs")).withColumnRenamed("source", "name")
+    ends = written(ends.join(taken, F.col("name").eqNullSafe(F.col("source")), "left").drop("source").withColumnRenamed("name", "source"), "mix-ends")
     own = docs.select(F.struct("*").alias("row"), F.col("source").alias("of"), F.struct(place().alias("place"), F.col("doc_id").alias("doc_id"), F.size(words_of(F.col("text"))).cast("long").alias("size")).alias("spot"))
     joined = _by_source(own, "of", ends, n, few)
-    times = sum((F.coalesce(F.col("spot") <= F.col(f"end_{e}"), F.lit(False)).cast("int") for e in range(1, mix.most)), F.coalesce(F.col("spot") <= F.col("end_0"), F.lit(False)).cast("int"))
-    times = F.when(F.col("spot.size") > 0, times).otherwise(0)
-    return joined.withColumn("times", times).filter("times > 0").select("row", F.explode(F.sequence(F.lit(1), F.col("times")))).select("row.*")
+    place_of = lambda e: F.struct(*[F.col(f"end_{e}.{c}").alias(c) for c in ("place", "doc_id", "size")])
+    at_end = lambda e: F.col(f"end_{e}").isNotNull() & F.col("spot").eqNullSafe(place_of(e))
+    split = [at_end(e) & (F.col(f"end_{e}.number") < F.col(f"end_{e}.equal")) for e in range(mix.most)]
+    any_split = split[0]
+    for s in split[1:]:
+        any_split = any_split | s
+    before = lambda e: F.col(f"end_{e}").isNotNull() & (F.col("spot") < place_of(e))
+
+    def repeated(rows: DataFrame, number: Column) -> DataFrame:
+        there = [before(e) | (at_end(e) & (number <= F.col(f"end_{e}.number"))) for e in range(mix.most)]
+        times = sum((F.coalesce(t, F.lit(False)).cast("int") for t in there[1:]), F.coalesce(there[0], F.lit(False)).cast("int"))
+        times = F.when(F.col("spot.size") > 0, times).otherwise(0)
+        return rows.withColumn("times", times).filter("times > 0").select("row", F.explode(F.sequence(F.lit(1), F.col("times")))).select("row.*")
+
+    cuts = [F.coalesce(F.col(f"end_{e}.number") < F.col(f"end_{e}.equal"), F.lit(False)) for e in range(mix.most)]
+    if not ends.filter(sum((c.cast("int") for c in cuts[1:]), cuts[0].cast("int")) > 0).limit(1).count():
+        return repeated(joined, F.lit(1))
+    few_ends = [f"end_{e}" for e in range(mix.most)]
+    held = written(joined.filter(any_split).select("row", "of", "spot", *few_ends).withColumn("at", F.monotonically_increasing_id()), "mix-equal").withColumn("part", F.shiftright("at", 33))
+    group = ["of", "spot"]
+    sums = held.groupBy("part", *group).agg(F.count("*").alias("n"))
+    sums = sums.withColumn("held_before", F.sum("n").over(W.partitionBy(*group).orderBy("part")) - F.col("n")).select(F.col("part").alias("in_part"), F.struct(*group).alias("in_group"), "held_before")
+    held = held.withColumn("nth", F.row_number().over(W.partitionBy("part", *group).orderBy("at")))
+    held = held.join(sums, (F.col("part") == F.col("in_part")) & F.struct(*group).eqNullSafe(F.col("in_group")))
+    return repeated(joined.filter(~any_split), F.lit(1)).unionByName(repeated(held, F.col("nth") + F.col("held_before")))
 
 
 def op7_query(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -210,7 +255,7 @@ def op7_query(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 OP7_SQL = r"""
 WITH d AS (SELECT doc_id, source, len(list_filter(regexp_split_to_array(coalesce(text, ''), '[\x20\x09-\x0D]+'), lambda x: x <> ''))::BIGINT AS size,
-                  ('0x' || substr(md5(coalesce(doc_id::VARCHAR, '')), 1, 15))::BIGINT AS place FROM documents),
+                  ('0x' || substr(md5(coalesce(doc_id::VARCHAR, '') || ':' || coalesce(text, '')), 1, 15))::BIGINT AS place FROM documents),
 s AS (SELECT source, sum(size)::BIGINT AS source_size, (row_number() OVER (ORDER BY source NULLS LAST) - 1)::BIGINT AS rank FROM d GROUP BY source),
 w AS (SELECT *, CASE rank % 3 WHEN 0 THEN 5 WHEN 1 THEN 2 ELSE 1 END::BIGINT AS weight FROM s),
 o AS (SELECT *, sum(3 * source_size) OVER q AS caps, sum(weight) OVER q AS weights, sum(source_size) OVER () AS total, sum(weight) OVER () AS all_weight,
@@ -219,7 +264,7 @@ l AS (SELECT n AS capped, (total - caps)::DOUBLE AS left_words, (all_weight - we
       UNION ALL SELECT 0, max(total)::DOUBLE, max(all_weight)::DOUBLE FROM o),
 c AS (SELECT min(capped) AS capped FROM l WHERE NOT EXISTS (SELECT 1 FROM o WHERE n > capped AND left_words * weight / left_weight > 3 * source_size)),
 t AS (SELECT source, source_size, rank, CASE WHEN n <= c.capped THEN (3 * source_size)::DOUBLE ELSE left_words * weight / left_weight END AS target FROM o, c JOIN l ON l.capped = c.capped),
-u AS (SELECT doc_id, size, place, rank, source_size, target, sum(size) OVER (PARTITION BY rank ORDER BY place, doc_id, size) AS upto FROM d JOIN t ON d.source IS NOT DISTINCT FROM t.source),
+u AS (SELECT doc_id, size, place, rank, source_size, target, sum(size) OVER (PARTITION BY rank ORDER BY place, doc_id, size ROWS UNBOUNDED PRECEDING) AS upto FROM d JOIN t ON d.source IS NOT DISTINCT FROM t.source),
 k AS (SELECT size, rank, place, doc_id, e, (upto + e * source_size)::DOUBLE / target AS finish FROM u, (SELECT unnest([0, 1, 2]) AS e) z WHERE size > 0),
 r AS (SELECT *, sum(size) OVER (ORDER BY finish, rank, place, doc_id, size ROWS UNBOUNDED PRECEDING) AS running FROM k),
 x AS (SELECT finish, rank FROM r WHERE running <= (SELECT sum(size) FROM d) ORDER BY finish DESC, rank DESC LIMIT 1)

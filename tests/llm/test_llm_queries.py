@@ -113,9 +113,9 @@ def test_pipeline(spark, documents):
         least[of[p]] = min(d, least.get(of[p], d))
     docs = [r for r in docs if r[0] in set(least.values())]
     library, want = multi(), []
-    shares = mix(docs)
+    shares = {d: (size, taken) for d, size, _, _, taken in mix(docs)}
     for d, text, _ in docs:
-        size, _, _, taken = shares[d]
+        size, taken = shares[d]
         want += [(d, *encoded(library, text))] * (taken // size if size else 0)
     assert want and sorted(map(tuple, corpus_pipeline.run(spark, str(SF)).collect())) == sorted(want)
 

@@ -1,6 +1,6 @@
 """Quality rules, shards and mixing against plain Python."""
 
-import itertools
+import collections
 import random
 import re
 import zlib
@@ -166,55 +166,67 @@ def test_shards_of_a_table_against_brute_force(spark):
     assert min(load) > 0.9 * max(load)
 
 
-def mix(rows, budget_of=None):
-    """taken of each row, by a plain queue."""
+def mix(rows):
+    """taken of each row, by a plain queue: (doc_id, size, source_size, target, taken), sorted."""
     import hashlib
 
-    spot = lambda d: int(hashlib.md5(("" if d is None else str(d)).encode()).hexdigest()[:15], 16)
-    sized = [(d, s, len(WORD.findall(t or ""))) for d, t, s in rows]
-    sources = sorted({s for _, s, _ in sized}, key=lambda s: (s is None, s or ""))
-    total = {s: sum(n for _, x, n in sized if x == s) for s in sources}
+    spot = lambda d, t: int(hashlib.md5(f"{'' if d is None else d}:{t or ''}".encode()).hexdigest()[:15], 16)
+    sized = [(d, s, len(WORD.findall(t or "")), spot(d, t)) for d, t, s in rows]
+    sources = sorted({s for _, s, _, _ in sized}, key=lambda s: (s is None, s or ""))
+    total = {s: sum(x[2] for x in sized if x[1] == s) for s in sources}
     want = dict(zip(sources, fair_mix.targets([total[s] for s in sources], fair_mix.Mix()), strict=True))
     copies = []
     for rank, s in enumerate(sources):
         upto = 0
-        for d, _, n in sorted((x for x in sized if x[1] == s), key=lambda x: spot(x[0])):
+        for k, (_, _, n, p) in sorted(((k, x) for k, x in enumerate(sized) if x[1] == s), key=lambda x: x[1][3]):
             upto += n
-            copies += [((upto + e * total[s]) / want[s], rank, spot(d), d, n) for e in range(3) if n]
-    left, taken = sum(total.values()), {}
+            copies += [((upto + e * total[s]) / want[s], rank, p, k, n) for e in range(3) if n]
+    left, taken = sum(total.values()), collections.Counter()
     for t in sorted(copies, key=lambda c: c[:3]):
         left -= t[4]
         if left < 0:
             break
-        taken[t[3]] = taken.get(t[3], 0) + t[4]
-    return {d: (n, total[s], want[s], taken.get(d, 0)) for d, s, n in sized}
+        taken[t[3]] += t[4]
+    null_last = lambda x: (x[0] is None, x[0] or 0, *x[1:])
+    return sorted(((d, n, total[s], want[s], taken[k]) for k, (d, s, n, _) in enumerate(sized)), key=null_last)
 
 
-@pytest.mark.parametrize("seed", [1, 2])
-def test_mix(spark, seed, monkeypatch):
+@pytest.mark.parametrize("seed,chunk", [(1, 1000), (2, 2), (3, 1000)])
+def test_mix(spark, seed, chunk, monkeypatch):
+    monkeypatch.setattr(fair_mix, "COPIES", chunk)
     r = random.Random(seed)
     rows = [(k, "w " * r.randint(0, 40), r.choice(["a", "a", "a", "b", "c", None, "Z"])) for k in range(400)] + [(1000, None, "a"), (1001, " ", "empty"), (1002, "x " * 900, "tiny")]
+    rows += [(5, "same text", "a")] * 60 + [(None, "none here", None)] * 30 + [(None, f"none {k}", "b") for k in range(50)] + [(7, "w", "a"), (7, "w", "b")]
+    if seed == 3:
+        rows = [(None, "five words are in here", s) for s in "abc" for _ in range(200)]
     docs = spark.createDataFrame([(*x, "t") for x in rows], "doc_id long, text string, source string, target string").repartition(5)
-    got = {x["doc_id"]: tuple(x)[1:] for x in fair_mix.shares(docs, fair_mix.Mix(bucket_rows=20)).collect()}
-    want = mix(rows)
-    assert got == want
-    by_source = {}
-    for d, _, s in rows:
-        n, size, target, taken = got[d]
-        assert taken <= 3 * n
-        by_source.setdefault(s, [target, 0])[1] += taken
-    assert all(abs(t - x) <= 1000 for t, x in by_source.values())
-    counts = {d: v[3] // v[0] if v[0] else 0 for d, v in got.items()}
+    got = fair_mix.shares(docs, fair_mix.Mix(bucket_rows=20)).collect()
+    null_last = lambda x: (x[0] is None, x[0] or 0, *x[1:])
+    assert sorted(map(tuple, got), key=null_last) == mix(rows)
+    for target in {x["target"] for x in got}:
+        assert abs(sum(x["taken"] for x in got if x["target"] == target) - target * len({x["source_size"] for x in got if x["target"] == target})) <= 1000
+    assert all(x["taken"] <= 3 * x["size"] for x in got)
+    counts = collections.Counter()
+    for x in got:
+        counts[x["doc_id"], x["size"]] += x["taken"] // x["size"] if x["size"] else 0
     again = fair_mix.resample(docs)
     assert again.columns == docs.columns
-    seen = {}
-    for x in again.collect():
-        seen[x["doc_id"]] = seen.get(x["doc_id"], 0) + 1
-    assert seen == {d: n for d, n in counts.items() if n}
+    seen = collections.Counter((x["doc_id"], len((x["text"] or "").split())) for x in again.collect())
+    assert seen == +counts
     ordered = [x["finish"] for x in fair_mix.mixture(docs).collect()]
     assert ordered == sorted(ordered) and len(ordered) == sum(counts.values())
 
 
+@pytest.mark.parametrize("ids", ["null", "one", "own"])
+def test_targets_are_met_whatever_the_ids(spark, ids):
+    rows = [({"null": None, "one": 9, "own": k}[ids], f"{' w' * 20} {k if ids != 'one' else ''}", s) for k, s in enumerate("abc" * 1000)]
+    got = fair_mix.shares(spark.createDataFrame(rows, "doc_id long, text string, source string").repartition(4)).collect()
+    taken = collections.Counter()
+    for x in got:
+        taken[x["target"]] += x["taken"]
+    assert len(taken) == 3 and all(abs(n - target) <= 22 for target, n in taken.items())
+
+
 def test_long_texts_are_counted_whole(spark):
     docs = spark.createDataFrame([(1, "w " * 200_000, "a"), (2, "x y", "b")], "doc_id long, text string, source string")
     assert {r["doc_id"]: r["size"] for r in fair_mix.shares(docs).collect()} == {1: 200_000, 2: 2}
@@ -244,7 +256,15 @@ def test_more_sources_than_are_listed(spark, large, monkeypatch):
     assert fair_mix.shares(docs.filter("false"), fair_mix.Mix(listed_sources=-1)).count() == 0
 
 
-def test_repeated_rows_share_their_place(spark):
-    docs = spark.createDataFrame(list(itertools.repeat((1, "a b", "s"), 6)) + [(2, "c d", "s")], "doc_id long, text string, source string")
-    got = [tuple(x) for x in fair_mix.shares(docs).collect()]
-    assert len(got) == 7 and len({x for x in got if x[0] == 1}) == 1
+@pytest.mark.parametrize("shards", [500, 4096])
+def test_thousands_of_shards(spark, shards):
+    docs = spark.range(20_000).selectExpr("id AS doc_id", "repeat('x', int(id % 50)) || id AS text")
+    got = minimax_shards.assign(docs, shards).collect()
+    load = collections.Counter()
+    for x in got:
+        load[x["shard"]] += x["size"]
+    assert len(got) == 20_000 and len(load) == shards and sorted(load) == list(range(shards))
+    from pyspark.sql import functions as F
+
+    groups = docs.groupBy(F.xxhash64("text").alias("h")).agg(F.sum(F.octet_length("text") + 1).alias("s")).orderBy("h").collect()
+    assert max(load.values()) == best_capacity([g["s"] for g in groups], shards)
