@@ -24,8 +24,8 @@ from collections.abc import Iterator
 from dataclasses import dataclass
 
 import numpy as np
-import pandas as pd
 import public_tokenizers
+import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
@@ -35,6 +35,7 @@ from .shared import small_batches, table, written
 from .token_files import END, _cache
 
 CAPACITY = 1024
+SENT = 1 << 13  # pieces that a task hands over at a time, however long a text is
 
 
 @dataclass(frozen=True)
@@ -129,26 +130,43 @@ def plan(counts: dict[int, int], capacity: int = CAPACITY) -> list[Run]:
 def pieces_of(docs: DataFrame, tokenizer: str, capacity: int = CAPACITY) -> DataFrame:
     """doc_id, piece, start, length, ids (binary, 4 bytes each), task, number (from 0, of the task's pieces of that length)."""
 
-    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         cache, own, seen = _cache(tokenizer), TaskContext.get().partitionId(), np.zeros(capacity + 1, np.int64)
         end, width = np.array([END], dtype=cache.kind).tobytes(), int(cache.kind[-1])
         for b in batches:
-            out: dict[str, list] = {c: [] for c in ("doc_id", "piece", "start", "length", "ids", "number")}
-            for doc, parts in zip(b["doc_id"], cache.many(b["text"]), strict=True):
-                raw = b"".join(parts) + end
-                ids = memoryview(np.frombuffer(raw, cache.kind).astype("<u4")).cast("B")
-                n = len(raw) // width
-                cuts = [0, *range(n - (n - 1) // capacity * capacity, n + 1, capacity)]
-                for k, (a, z) in enumerate(zip(cuts[:-1], cuts[1:], strict=True)):
-                    for c, v in zip(out, (doc, k, a, z - a, bytes(ids[4 * a : 4 * z]), int(seen[z - a])), strict=True):
-                        out[c].append(v)
-                    seen[z - a] += 1
-            yield pd.DataFrame(out | {"task": own})[["doc_id", "piece", "start", "length", "ids", "task", "number"]]
+            raw = [b"".join([*parts, end]) for parts in cache.many(b.column(1).to_pylist())]
+            n = np.fromiter(map(len, raw), np.int64, len(raw)) // width
+            # A document's pieces follow each other, so the pieces' ends cut the ids of all documents in a row.
+            count = -(-n // capacity)
+            doc = np.repeat(np.arange(len(n)), count)
+            piece = np.arange(len(doc)) - np.repeat(np.cumsum(count) - count, count)
+            first = (n - 1) % capacity + 1
+            start = np.where(piece > 0, first[doc] + (piece - 1) * capacity, 0)
+            length = np.where(piece > 0, capacity, first[doc])
+            order = np.argsort(length, kind="stable")
+            run_of = np.searchsorted(length[order], length)  # where the run of its length begins
+            number = np.empty(len(doc), np.int64)
+            number[order] = np.arange(len(doc))
+            number += seen[length] - run_of
+            seen += np.bincount(length, minlength=capacity + 1)
+            ids = np.frombuffer(b"".join(raw), cache.kind).astype("<u4")
+            del raw
+            ends = np.cumsum(length)
+            for a in range(0, len(doc), SENT):
+                z = min(a + SENT, len(doc))
+                at = np.append(ends[a] - length[a], ends[a:z])
+                data = pa.py_buffer(ids[at[0] : at[-1]])
+                cells = pa.Array.from_buffers(pa.binary(), z - a, [None, pa.py_buffer(((at - at[0]) * 4).astype(np.int32)), data])
+                column = lambda v, kind: pa.array(v[a:z], kind)  # noqa: B023, E731
+                yield pa.RecordBatch.from_arrays(
+                    [b.column(0).take(pa.array(doc[a:z])), column(piece, pa.int32()), column(start, pa.int64()), column(length, pa.int64()), cells, pa.array(np.full(z - a, own), pa.int32()), column(number, pa.int64())],
+                    ["doc_id", "piece", "start", "length", "ids", "task", "number"],
+                )
 
     small_batches(docs.sparkSession)
-    rows = docs.select(F.col("doc_id").cast("string").alias("doc_id"), F.coalesce("text", F.lit("")).alias("text"))  # pandas has no exact long with nulls
-    made = rows.mapInPandas(run, "doc_id string, piece int, start long, length long, ids binary, task int, number long")
-    return written(made.withColumn("doc_id", F.col("doc_id").cast("long")), "pieces", compression="zstd")
+    rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.coalesce("text", F.lit("")).alias("text"))
+    made = rows.mapInArrow(run, "doc_id long, piece int, start long, length long, ids binary, task int, number long")
+    return written(made, "pieces", compression="zstd")
 
 
 def placed(pieces: DataFrame, capacity: int = CAPACITY) -> DataFrame:
