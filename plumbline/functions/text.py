@@ -276,11 +276,11 @@ def level_commercial(c: Column) -> Column:
     return out.when(x.contains("roof"), "Roof").otherwise("Unassigned")
 
 
-def opening_size_mm(c: Column, height: float = 2040.0, width: float = 820.0) -> Column:
-    """struct(height, width) of "2040 x 820"; a common door where none is stated."""
+def opening_size_mm(c: Column) -> Column:
+    """struct(height, width) of "2040 x 820"; nulls where none is stated, so that nothing is deducted for it."""
     pattern = r"(?i)(\d{3,4})\s*(?:h|mm)?\s*[:x*/]\s*(\d{3,4})"
-    side = lambda g, d: F.coalesce(first(F.coalesce(c, F.lit("")), pattern, g).cast("double"), F.lit(d))
-    return F.struct(side(1, height).alias("height"), side(2, width).alias("width"))
+    side = lambda g: first(F.coalesce(c, F.lit("")), pattern, g).cast("double")
+    return F.struct(side(1).alias("height"), side(2).alias("width"))
 
 
 #: What two words beside reduced levels make of the height between them, and the words' families.

@@ -161,14 +161,6 @@ def fuzzy_codes(names: DataFrame, dictionary: DataFrame) -> DataFrame:
     return names.join(best.select("name_id", F.col("b.code").alias("code"), (-F.col("b.k")).alias("shared")), "name_id", "left")
 
 
-def register_sides(scores: DataFrame) -> DataFrame:
-    """A side for each elevation page: the best score, then each page's next best among sides still free.
-
-    scores: workspace_id, page_id, side, score. Four sides bound a workspace's walk, which is greedy by score.
-    """
-    return fusion.greedy_pairs(scores.withColumn("cost", -F.col("score")), "workspace_id", "page_id", "side", "cost").drop("cost")
-
-
 def unregistered_issues(issues: DataFrame, more: DataFrame) -> DataFrame:
     """Issues with new ones added, equal ones once, numbered anew."""
     keys = ["category", "page_no", "code", "message"]

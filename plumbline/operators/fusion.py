@@ -13,7 +13,7 @@ from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from ..scratch import written
-from . import graph
+from . import graph, ranges
 
 
 def choose(df: DataFrame, keys: list[str], order: list[Column], largest: bool = False) -> DataFrame:
@@ -27,11 +27,17 @@ def choose(df: DataFrame, keys: list[str], order: list[Column], largest: bool =
 
 
 def superseded(df: DataFrame, keys: list[str], order: list[Column], id_column: str) -> DataFrame:
-    """Marks the first row of each key as current and names it on the others."""
-    w = W.partitionBy(*keys).orderBy(*order)
-    current = F.first(id_column).over(w)
-    out = df.withColumn("rank_in_key", F.row_number().over(w))
-    return out.withColumn("is_current", F.col("rank_in_key") == 1).withColumn("superseded_by", F.when(F.row_number().over(w) > 1, current))
+    """Marks the first row of each key as current and names it on the others.
+
+    A key's rows may lie in many ranges: places are counted within each and carried on.
+    """
+    w = ranges.within(keys, order)
+    here = ranges.ranged(df, keys, order).withColumn("nth", F.row_number().over(w))
+    all_ = ranges.carried(here, keys, {"before": (F.count("*"), "sum"), "head": (F.min_by(id_column, "nth"), "first")})
+    rank = F.col("nth") + F.coalesce("before", F.lit(0))
+    head = F.coalesce("head", F.first(id_column).over(w))
+    out = all_.withColumns({"rank_in_key": rank.cast("int"), "current": head}).withColumn("is_current", F.col("rank_in_key") == 1)
+    return out.withColumn("superseded_by", F.when(~F.col("is_current"), F.col("current"))).select(*df.columns, "rank_in_key", "is_current", "superseded_by")
 
 
 def lookup(df: DataFrame, dim: DataFrame, on: str, label: str, default: str = "Unknown") -> DataFrame:
@@ -74,28 +80,24 @@ def mutual_unique_best(pairs: DataFrame, a: str, b: str, score: str) -> DataFram
 def nearest(left: DataFrame, right: DataFrame, by: list[str], left_value: str, right_value: str, right_id: str) -> DataFrame:
     """Each left row with the right row of the same key whose value is nearest; ties go to the lower value, then id.
 
-    Both sides are sorted together by ranges of key and value, so a key may be as large as it likes: the candidates are
-    the last right row before and the first after, within a range or, where it has none, from the ranges beside it. Of
-    those a row for each key and range is enough.
+    Null and NaN are no values: nothing is near to them and they are near to nothing. Both sides are sorted together by
+    ranges of key and value, so a key may be as large as it likes: the candidates are the last right row before and the
+    first after, within a range or, where it has none, from the ranges beside it.
     """
+    lacks = lambda d, c: F.col(c).isNull() | (F.isnan(c) if d.schema[c].dataType.typeName() in ("double", "float") else F.lit(False))
     r = F.struct(F.col(right_value).alias("v"), F.col(right_id).alias("id"))
-    rights = right.groupBy(*by, F.col(right_value).alias("at")).agg(F.min(r).alias("hit")).withColumn("row", F.lit(None).cast(left.select(F.struct("*").alias("s")).schema["s"].dataType))
-    lefts = left.select(*by, F.col(left_value).alias("at"), F.lit(None).cast(rights.schema["hit"].dataType).alias("hit"), F.struct("*").alias("row"))
-    ranged = rights.select(*by, "at", "hit", "row").unionByName(lefts).repartitionByRange(*by, "at").withColumn("part", F.spark_partition_id())
-    ranged = written(ranged, "nearest")
-    w = W.partitionBy("part", *by).orderBy("at")
-    here = ranged.withColumn("below", F.last("hit", ignorenulls=True).over(w.rangeBetween(W.unboundedPreceding, 0))).withColumn("above", F.first("hit", ignorenulls=True).over(w.rangeBetween(0, W.unboundedFollowing))).filter("row is not null")
-    ends = ranged.groupBy("part", *by).agg(F.max(F.when(F.col("hit").isNotNull(), F.struct("at", "hit"))).alias("last"), F.min(F.when(F.col("hit").isNotNull(), F.struct("at", "hit"))).alias("first"))
-    along = W.partitionBy(*by).orderBy("part")
-    before = F.last("last", ignorenulls=True).over(along.rowsBetween(W.unboundedPreceding, -1))["hit"]
-    after = F.first("first", ignorenulls=True).over(along.rowsBetween(1, W.unboundedFollowing))["hit"]
-    beside = ends.select(F.col("part").alias("in_part"), *[F.col(k).alias(f"in_{k}") for k in by], before.alias("before"), after.alias("after"))
-    same = F.col("part") == F.col("in_part")
-    for k in by:
-        same = same & F.col(k).eqNullSafe(F.col(f"in_{k}"))
-    both = here.join(beside, same, "left").withColumns({"below": F.coalesce("below", "before"), "above": F.coalesce("above", "after")})
+    rights = right.filter(~lacks(right, right_value)).groupBy(*by, F.col(right_value).alias("at")).agg(F.min(r).alias("hit")).withColumn("row", F.lit(None).cast(left.select(F.struct("*").alias("s")).schema["s"].dataType))
+    at = F.when(~lacks(left, left_value), F.col(left_value)).alias("at")
+    lefts = left.select(*by, at, F.lit(None).cast(rights.schema["hit"].dataType).alias("hit"), F.struct("*").alias("row"))
+    ranged = ranges.ranged(rights.select(*by, "at", "hit", "row").unionByName(lefts), by, [F.col("at")])
+    w = ranges.within(by, [F.col("at")])
+    here = ranged.withColumn("below", F.last("hit", ignorenulls=True).over(w.rangeBetween(W.unboundedPreceding, 0))).withColumn("above", F.first("hit", ignorenulls=True).over(w.rangeBetween(0, W.unboundedFollowing)))
+    hits = F.when(F.col("hit").isNotNull(), F.struct("at", "hit"))
+    both = ranges.carried(ranges.carried(here, by, {"before": (F.max(hits), "last")}), by, {"after": (F.min(hits), "first")}, after=True).filter("row is not null")
+    both = both.withColumns({"below": F.coalesce("below", "before.hit"), "above": F.coalesce("above", "after.hit")})
     take_above = F.col("below").isNull() | (F.col("above.v") - F.col("at") < F.col("at") - F.col("below.v"))
-    return both.withColumn("near", F.when(F.coalesce(take_above, F.lit(False)), F.col("above")).otherwise(F.coalesce("below", "above"))).select("row.*", F.col("near.id").alias(f"near_{right_id}"), F.col("near.v").alias(f"near_{right_value}"))
+    near = F.when(F.col("at").isNotNull(), F.when(F.coalesce(take_above, F.lit(False)), F.col("above")).otherwise(F.coalesce("below", "above")))
+    return both.withColumn("near", near).select("row.*", F.col("near.id").alias(f"near_{right_id}"), F.col("near.v").alias(f"near_{right_value}"))
 
 
 def allocate(df: DataFrame, by: list[str], weight: str, total: str, out: str) -> DataFrame:
@@ -109,14 +111,21 @@ def consensus(df: DataFrame, by: list[str], value: str, weight: str, tolerance:
     """The heaviest cluster of each key: around one value, all within a relative tolerance of it.
 
     Returns key, base, weight, solved (weighted mean), spread (largest relative deviation from it) and n. Ties go to
-    the lower base. Each base's cluster is a range of the sorted values, so a window by range finds it.
+    the lower base; weights of clusters are compared at 9 decimals. The weight of a cluster is the difference of the
+    running weights at its two ends, which are sorted among the values by ranges, so a key may have any number of rows.
     """
     # |v - base| <= tolerance * base is base * (1 - tolerance) <= v <= base * (1 + tolerance)
     down, up = -math.log1p(-tolerance), math.log1p(tolerance)
-    frame = f"sum({weight}) OVER (PARTITION BY {', '.join(by)} ORDER BY ln RANGE BETWEEN {down!r}D PRECEDING AND {up!r}D FOLLOWING)"
-    rows = df.filter(F.col(value) > 0).withColumn("ln", F.log(F.col(value)))
-    sized = rows.withColumn("cluster_weight", F.expr(frame))
-    base = sized.groupBy(*by).agg(F.min(F.struct((-F.col("cluster_weight")).alias("k"), F.col(value).alias("base"))).alias("b")).select(*by, F.col("b.base").alias("base"))
+    rows = df.filter(F.col(value) > 0)
+    values = rows.groupBy(*by, F.col(value).alias("base")).agg(F.sum(weight).alias("own")).withColumn("ln", F.log("base"))
+    ends = F.array(*[F.struct(x.alias("at"), F.lit(k).alias("kind")) for k, x in enumerate((F.col("ln") - down, F.col("ln"), F.col("ln") + up))])
+    order = [F.col("at"), F.col("kind")]
+    marks = ranges.ranged(values.select(*by, "base", "own", F.inline(ends)).withColumn("adds", F.when(F.col("kind") == 1, F.col("own")).otherwise(0)), by, order)
+    here = marks.withColumn("running", F.sum("adds").over(ranges.within(by, order).rowsBetween(W.unboundedPreceding, 0)))
+    upto = F.col("running") + F.coalesce("earlier", F.lit(0))
+    sums = ranges.carried(here, by, {"earlier": (F.sum("adds"), "sum")}).withColumn("upto", upto).filter("kind <> 1")
+    sized = sums.groupBy(*by, "base").agg(F.bround(F.sum(F.when(F.col("kind") == 2, F.col("upto")).otherwise(-F.col("upto"))), 9).alias("cluster_weight"))
+    base = sized.groupBy(*by).agg(F.min(F.struct((-F.col("cluster_weight")).alias("k"), "base")).alias("b")).select(*by, F.col("b.base").alias("base"))
     inside = rows.join(base, by).filter(F.abs(F.col(value) - F.col("base")) <= tolerance * F.col("base"))
     solved = inside.groupBy(*by, "base").agg((F.sum(F.col(value) * F.col(weight)) / F.sum(weight)).alias("solved"), F.sum(weight).alias("weight"), F.count("*").alias("n"), F.min(value).alias("low"), F.max(value).alias("high"))
     spread = F.greatest(F.col("high") - F.col("solved"), F.col("solved") - F.col("low")) / F.col("solved")
@@ -124,11 +133,17 @@ def consensus(df: DataFrame, by: list[str], value: str, weight: str, tolerance:
 
 
 def merge_intervals(df: DataFrame, by: list[str], low: str, high: str, gap: Column | float) -> DataFrame:
-    """Islands of intervals that overlap or lie no more than gap apart: key, low, high, n."""
-    order = W.partitionBy(*by).orderBy(low, high)
-    reach = F.max(high).over(order.rowsBetween(W.unboundedPreceding, -1))
-    begins = F.when(reach.isNull() | (F.col(low) - reach > gap), 1).otherwise(0)
-    marked = df.withColumn("begins", begins).withColumn("island", F.sum("begins").over(order.rowsBetween(W.unboundedPreceding, 0)))
+    """Islands of intervals that overlap or lie no more than gap apart: key, low, high, n.
+
+    The furthest end so far and the number of islands begun are carried from range to range of a key's intervals.
+    """
+    order = [F.col(low), F.col(high)]
+    w = ranges.within(by, order)
+    here = ranges.ranged(df, by, order).withColumn("reach", F.max(high).over(w.rowsBetween(W.unboundedPreceding, -1)))
+    here = ranges.carried(here, by, {"reached": (F.max(high), "max")}).withColumn("reach", F.greatest("reach", "reached"))
+    begins = F.when(F.col("reach").isNull() | (F.col(low) - F.col("reach") > gap), 1).otherwise(0)
+    marked = written(here.withColumn("begins", begins), "begun").withColumn("island", F.sum("begins").over(w.rowsBetween(W.unboundedPreceding, 0)))
+    marked = ranges.carried(marked, by, {"earlier": (F.sum("begins"), "sum")}).withColumn("island", F.col("island") + F.coalesce("earlier", F.lit(0)))
     return marked.groupBy(*by, "island").agg(F.min(low).alias(low), F.max(high).alias(high), F.count("*").alias("n")).drop("island")
 
 

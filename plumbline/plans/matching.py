@@ -6,7 +6,7 @@ from pyspark.sql import functions as F
 
 from .. import scratch
 from ..functions import geometry, text
-from ..operators import fusion, graph
+from ..operators import fusion, graph, registration
 from .shared import CENTS, cents, query, table
 
 
@@ -31,13 +31,15 @@ def q_mutual_unique_best(spark, sf):
     return fusion.mutual_unique_best(pairs, "a", "b", "score")
 
 
-@query("""SELECT s_suppkey, s_nationkey, c_custkey AS near_c_custkey, c_acctbal AS near_c_acctbal FROM (SELECT s_suppkey, s_nationkey, c_custkey, c_acctbal, row_number() OVER (PARTITION BY s_suppkey ORDER BY abs(c_acctbal - s_acctbal), c_acctbal, c_custkey) AS n FROM supplier JOIN customer ON s_nationkey = c_nationkey) x WHERE n = 1""")
+@query("""WITH c AS (SELECT * FROM customer WHERE c_custkey % 7 <> 0), n AS (SELECT s_suppkey, c_custkey, c_acctbal, row_number() OVER (PARTITION BY s_suppkey ORDER BY abs(c_acctbal - s_acctbal), c_acctbal, c_custkey) AS n FROM supplier JOIN c ON s_nationkey = c_nationkey WHERE s_suppkey % 10 <> 0)
+ SELECT s.s_suppkey, s_nationkey, c_custkey AS near_c_custkey, c_acctbal AS near_c_acctbal FROM supplier s LEFT JOIN n ON n.s_suppkey = s.s_suppkey AND n.n = 1""")
 def q_nearest_value(spark, sf):
-    """The customer of the same nation with the nearest balance."""
-    left = table(spark, sf, "supplier").select("s_suppkey", F.col("s_nationkey").alias("nation"), "s_acctbal")
-    right = table(spark, sf, "customer").select(F.col("c_nationkey").alias("nation"), "c_custkey", "c_acctbal")
-    near = fusion.nearest(left, right, ["nation"], "s_acctbal", "c_acctbal", "c_custkey")
-    return near.filter("near_c_custkey is not null").select("s_suppkey", F.col("nation").alias("s_nationkey"), "near_c_custkey", "near_c_acctbal")
+    """The customer of the same nation with the nearest balance; null and NaN are near to nothing."""
+    left = table(spark, sf, "supplier").select("s_suppkey", F.col("s_nationkey").alias("nation"), F.when(F.col("s_suppkey") % 10 != 0, F.col("s_acctbal")).alias("balance"))
+    known = F.when(F.col("c_custkey") % 7 != 0, F.col("c_acctbal")).when(F.col("c_custkey") % 2 == 0, F.lit(float("nan")))
+    right = table(spark, sf, "customer").select(F.col("c_nationkey").alias("nation"), "c_custkey", known.alias("c_acctbal"))
+    near = fusion.nearest(left, right, ["nation"], "balance", "c_acctbal", "c_custkey")
+    return near.select("s_suppkey", F.col("nation").alias("s_nationkey"), "near_c_custkey", "near_c_acctbal")
 
 
 @query("""WITH v AS (SELECT p_brand, p_retailprice AS v, p_size::DOUBLE AS w FROM part),
@@ -200,3 +202,22 @@ def q_stream_window_counts(spark, sf):
     step = lambda rows, _: rows.select(F.col("w.start").alias("window_start"), "event_type", "n").write.mode("overwrite").parquet(f"{at}/rows")
     counted.writeStream.outputMode("complete").option("checkpointLocation", f"{at}/state").trigger(availableNow=True).foreachBatch(step).start().awaitTermination()
     return spark.read.parquet(f"{at}/rows")
+
+
+@query("""WITH RECURSIVE p AS (SELECT o_custkey % 40 AS ws, o_orderkey AS page_id, epoch(o_orderdate)::BIGINT // 86400 AS page_no, CASE o_orderkey % 6 WHEN 0 THEN 1 + o_orderkey % 4 END AS named, [round(o_totalprice % 40 + 1, 2), round(o_totalprice % 27 + 1, 2)] AS c FROM orders),
+ f AS (SELECT c_custkey % 40 AS ws, list(w ORDER BY k) AS widths FROM (SELECT c_custkey, c_custkey % 40 AS x, k, max(CASE WHEN c_nationkey % 4 = k THEN round(abs(c_acctbal) % 40 + 1, 2) END) OVER (PARTITION BY c_custkey % 40, k) AS w FROM customer, (SELECT unnest([0, 1, 2, 3]) AS k) z) y WHERE c_custkey < 40 GROUP BY 1),
+ m AS (SELECT p.ws, page_id, named, dense_rank() OVER (PARTITION BY p.ws ORDER BY page_no, page_id) AS nth, k, coalesce(widths[k], 0) AS w, c, CASE WHEN widths[k] > 0 THEN CASE WHEN abs(c[2] - widths[k]) < abs(c[1] - widths[k]) THEN c[2] ELSE c[1] END END AS d FROM (SELECT *, unnest([1, 2, 3, 4]) AS k FROM p) p LEFT JOIN f ON f.ws = p.ws),
+ n AS (SELECT ws, page_id, named, dense_rank() OVER (PARTITION BY ws ORDER BY nth) AS nth, list(CASE WHEN d IS NULL THEN 0 ELSE greatest(0, least(100, round_even(100.0::DOUBLE - abs(d - w) / w * 100.0::DOUBLE * 8.0::DOUBLE, 0))) END::INT ORDER BY k) AS s, list(w ORDER BY k) AS ws4, list(d ORDER BY k) AS ds FROM m GROUP BY ws, page_id, named, nth),
+ walk(ws, nth, used, page_id, side) AS (SELECT DISTINCT ws, 0::BIGINT, 0, NULL::BIGINT, NULL::INT FROM n
+  UNION ALL SELECT ws, nth, used | (1 << (side - 1)), page_id, side FROM (SELECT w.ws, n.nth, w.used, n.page_id, coalesce(n.named, list_position([n.s[i] - 8 * ((w.used >> (i - 1)) & 1) for i in [1, 2, 3, 4]], list_max([n.s[i] - 8 * ((w.used >> (i - 1)) & 1) for i in [1, 2, 3, 4]])))::INT AS side FROM walk w JOIN n ON n.ws = w.ws AND n.nth = w.nth + 1) x),
+ r AS (SELECT w.page_id, w.side, n.named IS NOT NULL AS explicit, n.ws4[w.side] AS width, n.ds[w.side] AS d FROM walk w JOIN n ON n.page_id = w.page_id), q AS (SELECT *, abs(d - width) / width * 100.0::DOUBLE AS pct FROM r)
+ SELECT page_id, ['North', 'East', 'South', 'West'][side] AS orientation, explicit AS orientation_explicit, width::DOUBLE AS plan_width_m, d::DOUBLE AS elevation_dimension_m, CASE WHEN explicit AND pct <= 2.0005 THEN 'Verified cross-view' WHEN explicit THEN 'Orientation identified; width needs review' WHEN pct <= 2.0005 THEN 'Probable width match; orientation needs review' ELSE 'Needs estimator registration' END AS status FROM q""")
+def q_elevation_sides(spark, sf):
+    """Elevation pages registered to sides in the order of their pages; sides may be used again."""
+    o = table(spark, sf, "orders")
+    number = lambda c, n: F.round(F.col(c) % n + 1, 2)
+    named = F.when(F.col("o_orderkey") % 6 == 0, F.element_at(F.array(*[F.lit(s) for s in registration.SIDES]), (F.col("o_orderkey") % 4 + 1).cast("int")))
+    pages = o.select((F.col("o_custkey") % 40).alias("workspace_id"), F.col("o_orderkey").alias("page_id"), F.floor(F.unix_timestamp(F.col("o_orderdate").cast("timestamp")) / 86400).alias("page_no"), named.alias("orientation"), F.array(number("o_totalprice", 40), number("o_totalprice", 27)).alias("candidates"))
+    sides = F.element_at(F.array(*[F.lit(s) for s in registration.SIDES]), (F.col("c_nationkey") % 4 + 1).cast("int"))
+    facades = table(spark, sf, "customer").select((F.col("c_custkey") % 40).alias("workspace_id"), sides.alias("side"), F.round(F.abs("c_acctbal") % 40 + 1, 2).alias("projected_width_m"))
+    return registration.register_sides(pages, facades).select("page_id", "orientation", "orientation_explicit", "plan_width_m", "elevation_dimension_m", "status")

@@ -561,10 +561,14 @@ def q_basics(spark, sf):
     return fusion.lookup(r, known, "code", "label").drop("code")
 
 
-@query("""SELECT 'a' AS made, 0::BIGINT AS rows UNION ALL SELECT 'b', 0""")
+@query("""SELECT 'regions' AS name, (SELECT count(*) FROM region)::BIGINT AS rows UNION ALL SELECT 'customers', (SELECT count(*) FROM customer) UNION ALL SELECT 'missing', 0""")
 def q_ensured(spark, sf):
-    """Tables of a shared folder made where they are missing."""
+    """Tables of a shared folder made where they are missing; those that are there keep their rows."""
     at = scratch.path(spark, "shared")
-    made = writers.ensure(spark, at, {"a": "id long", "b": "x string"}) + writers.ensure(spark, at, {"a": "id long"})
-    counts = [spark.read.parquet(f"{at}/{name}").agg(F.lit(name).alias("made"), F.count("*").alias("rows")) for name in made]
-    return counts[0].unionAll(counts[1])
+    for name, source in (("regions", "region"), ("customers", "customer")):
+        table(spark, sf, source).write.parquet(f"{at}/{name}")
+    schemas = {name: spark.read.parquet(f"{at}/{name}").schema.simpleString()[7:-1].replace(":", " ") for name in ("regions", "customers")}
+    made = writers.ensure(spark, at, {**schemas, "missing": "id long"})
+    assert made == ["missing"]
+    counts = [spark.read.parquet(f"{at}/{name}").agg(F.lit(name).alias("name"), F.count("*").alias("rows")) for name in (*schemas, "missing")]
+    return counts[0].unionAll(counts[1]).unionAll(counts[2])

@@ -48,9 +48,9 @@ def q_scales_of_text(spark, sf):
 
 
 @query(f"""WITH o AS (SELECT o_orderkey AS id, o_orderkey AS k, 700 + o_orderkey % 200 AS w, 2000 + o_orderkey % 400 AS h FROM orders)
- SELECT id, {choice(("w", "w", "1200", "NULL", "NULL"), "k")}::INT AS pair_w, {choice(("h", "h", "2100", "NULL", "NULL"), "k")}::INT AS pair_h, {choice(("NULL", "NULL", "NULL", "w", "2400"), "k")}::INT AS one, {choice(("w", "w", "2040", "2040", "2040"), "k")}::DOUBLE AS size_h, {choice(("h", "h", "820", "820", "820"), "k")}::DOUBLE AS size_w FROM o""")
+ SELECT id, {choice(("w", "w", "1200", "NULL", "NULL"), "k")}::INT AS pair_w, {choice(("h", "h", "2100", "NULL", "NULL"), "k")}::INT AS pair_h, {choice(("NULL", "NULL", "NULL", "w", "2400"), "k")}::INT AS one, {choice(("w", "w", "NULL", "NULL", "NULL"), "k")}::DOUBLE AS size_h, {choice(("h", "h", "NULL", "NULL", "NULL"), "k")}::DOUBLE AS size_w FROM o""")
 def q_opening_sizes(spark, sf):
-    """Sizes of openings as pairs, alone, and with a common door where none is stated."""
+    """Sizes of openings as pairs and alone; none is made up where none is stated."""
     w, h = 700 + key() % 200, 2000 + key() % 400
     said = pick((say(w, " x ", h), say(w, "/", h), F.lit("1.2m x 2.1m"), say(w, "mm"), F.lit("2.4 m")), key())
     pair, size = text.dimension_pair_mm(said), text.opening_size_mm(said)
@@ -211,13 +211,13 @@ def q_classes(spark, sf):
 
 
 @query(f"""WITH o AS (SELECT o_orderkey AS id, o_orderkey AS k, (o_orderkey % 9 + 1)::VARCHAR AS n, o_orderkey % 900 + 300 AS mm FROM orders)
- SELECT id, {choice(("mm / 1000.0::DOUBLE", "mm / 1000.0::DOUBLE", "NULL", "NULL"), "k")} AS metres, {choice(("'Level 0' || n", "'Ground Floor'", "'Unspecified'", "'Level ' || n"), "k")} AS storey, {choice(("'Floor Plan'", "'Elevation'", "'Other'", "'Section'"), "k")} AS page_type, {choice(("'A10' || n", "'Page ' || k", "'Page ' || k", "'Page ' || k"), "k")} AS label,
- {choice(("'Other'", "'Floor Plan'", "'Landscape / Civil'", "'Section'"), "k")} AS offline, {choice(("'Floor Plan'", "'Elevation'", "NULL", "NULL"), "k")} AS heading, {choice(("'A10' || n", "NULL", "NULL", "'WD-1' || n"), "k")} AS drawing, {choice(("'PT' || n", "NULL", "NULL", "'RBL'"), "k")} AS code, {choice(("'A10' || n", "'A-101'", "'A-101'", "'A-101'"), "k")} AS sheet, {choice(("0.9", "0.6", "0.6", "0.9"), "k")}::DOUBLE AS sure FROM o""")
+ SELECT id, {choice(("mm / 1000.0::DOUBLE", "mm / 1000.0::DOUBLE", "NULL", "NULL"), "k")} AS metres, {choice(("'Level ' || n", "'Ground'", "'Level 1'", "'Level ' || n"), "k")} AS storey, {choice(("'Floor Plan'", "'Elevation'", "'Other'", "'Section'"), "k")} AS page_type, {choice(("'A10' || n", "'Page ' || k", "'Page ' || k", "'Page ' || k"), "k")} AS label,
+ {choice(("'Other'", "'Floor Plan'", "'Floor Plan'", "'Section'"), "k")} AS offline, {choice(("'Floor Plan'", "'Elevation'", "NULL", "NULL"), "k")} AS heading, {choice(("'A10' || n", "NULL", "NULL", "'WD-1' || n"), "k")} AS drawing, {choice(("'PT' || n", "NULL", "NULL", "'RBL'"), "k")} AS code, {choice(("'A10' || n", "NULL", "NULL", "NULL"), "k")} AS sheet, {choice(("0.9", "0.6", "0.6", "0.9"), "k")}::DOUBLE AS sure FROM o""")
 def q_sheet_rules(spark, sf):
     """Dimensions, storeys, classes, headings, title blocks, drawing and finish codes of sheets."""
     k, n, mm = key(), nth(), key() % 900 + 300
     size = pick((mm.cast("string"), say(mm, " mm"), F.lit("99"), F.lit("1:100")), k)
-    label = pick((say("A10", n, " level 0", n, " floor plan"), F.lit("ground floor NORTH ELEVATION"), F.lit("site plan"), say("long section L", n)), k)
+    label = pick((say("A10", n, " level 0", n, " floor plan"), F.lit("ground floor NORTH ELEVATION"), F.lit("site plan, First Floor"), say("long section L", n)), k)
     block = pick((say("Dwg no. A10", n), F.lit("notes"), F.lit(None).cast("string"), F.lit("Scale 1:50")), k)
     head = pick((F.lit("notes\nUNIT PLAN - L1"), F.lit("South elevation"), F.lit("see roof plan"), F.lit("")), k)
     said = pick((say("D12 then A10", n), F.lit("PT01 W3"), F.lit(""), say("Drawing no: wd-1", n)), k)

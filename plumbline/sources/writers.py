@@ -4,10 +4,12 @@ from __future__ import annotations
 
 import hashlib
 import io
+import uuid
 import zipfile
 from xml.sax.saxutils import escape
 
 import pandas as pd
+from py4j.protocol import Py4JJavaError
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -60,24 +62,29 @@ def upsert(spark: SparkSession, path: str, new: DataFrame, keys: list[str]) -> N
 def publish_once(spark: SparkSession, path: str, rows: DataFrame, job: str, fingerprint: str) -> bool:
     """Appends rows as one publication of a job, unless that fingerprint is there; true if they were added.
 
-    A marker file that only one writer can create is the lock; it goes when the writer is done. A publication is a
-    folder of its own that is renamed into place once it is whole, so a crash leaves none half written.
+    Every call writes a folder of its own, which is renamed into place once it is whole. That rename succeeds for one
+    call only and is all that publishes, so a crash leaves nothing half written and nothing that would stop the next
+    call. False means that the publication stands; any other failure is an error.
     """
     jvm, conf = spark._jvm, spark._jsc.hadoopConfiguration()
     at = lambda p: jvm.org.apache.hadoop.fs.Path(p)
     name = hashlib.sha256(f"{job}/{fingerprint}".encode()).hexdigest()[:32]
-    place, lock, beside = at(f"{path}/publication={name}"), at(f"{path}/_locks/{name}"), f"{path}/_new/{name}"
-    fs = place.getFileSystem(conf)
-    fs.mkdirs(lock.getParent())
-    if fs.exists(place) or not fs.createNewFile(lock):
+    fs = at(path).getFileSystem(conf)
+    place, beside = fs.makeQualified(at(f"{path}/publication={name}")), fs.makeQualified(at(f"{path}/_new/{name}-{uuid.uuid4().hex}"))
+    if fs.exists(place):
         return False
     try:
-        if fs.exists(place):
+        rows.withColumn("job", F.lit(job)).withColumn("fingerprint", F.lit(fingerprint)).write.parquet(beside.toString())
+        never_over = spark.sparkContext._gateway.new_array(getattr(jvm.org.apache.hadoop.fs, "Options$Rename"), 0)
+        try:
+            jvm.org.apache.hadoop.fs.FileContext.getFileContext(place.toUri(), conf).rename(beside, place, never_over)
+        except Py4JJavaError as e:
+            if not fs.exists(place):
+                raise OSError(f"{beside} could not take its place") from e
             return False
-        rows.withColumn("job", F.lit(job)).withColumn("fingerprint", F.lit(fingerprint)).write.mode("overwrite").parquet(beside)
-        return bool(fs.rename(at(beside), place))
+        return True
     finally:
-        fs.delete(lock, False)
+        fs.delete(beside, True)
 
 
 def ensure(spark: SparkSession, path: str, schemas: dict[str, str]) -> list[str]:

@@ -76,8 +76,20 @@ def test_published_once(spark, tmp_path):
     import hashlib
 
     name = hashlib.sha256(b"c/x").hexdigest()[:32]
-    (tmp_path / "p" / "_locks" / name).touch()  # another writer is at it
-    assert not writers.publish_once(spark, f"{tmp_path}/p", rows, "c", "x")
+    for left in ("_locks", "_new"):  # what a crash may have left behind stops nobody
+        (tmp_path / "p" / left / name).mkdir(parents=True, exist_ok=True)
+    assert writers.publish_once(spark, f"{tmp_path}/p", rows, "c", "x")
+    assert spark.read.option("basePath", f"{tmp_path}/p").parquet(f"{tmp_path}/p/publication=*").filter("job = 'c'").count() == 2
+
+
+def test_published_once_of_two_at_a_time(spark, tmp_path):
+    from concurrent.futures import ThreadPoolExecutor
+
+    rows = spark.range(5)
+    with ThreadPoolExecutor(4) as pool:
+        done = list(pool.map(lambda _: writers.publish_once(spark, f"{tmp_path}/p", rows, "a", "x"), range(4)))
+    assert sorted(done) == [False, False, False, True] and spark.read.parquet(f"{tmp_path}/p/publication=*").count() == 5
+    assert not list((tmp_path / "p" / "_new").iterdir())
 
 
 def test_ensured_tables(spark, tmp_path):
