@@ -1,11 +1,12 @@
 """Phrases whose words go together more often than by chance, mined from all texts by language.
 
 Texts are cut into pieces at punctuation, and identical pieces are counted once with their multiplicity: lines and
-passages that many documents share cost no more than one. Each task lists the phrases of up to LONGEST words of its
-pieces, sums their multiplicities in chunks with DuckDB and sends, to each hash bucket of phrases, the chunk's sums as
-one compressed block; so the commonest word costs a row in each chunk, and no row is shuffled by itself. A bucket is
-counted in DuckDB, which gets its blocks one by one and spills to disk beyond its memory (a folder of the task's own,
-gone at its end). Only phrases found often enough leave a bucket: the parts of a candidate are as frequent as it is.
+passages that many documents share cost no more than one. Rows are never shuffled by themselves: a task sums its pieces
+in chunks with DuckDB and sends each hash bucket of pieces the chunk's sums as one compressed block, so a piece that is
+everywhere costs a row in each chunk. A bucket sums its blocks, lists the phrases of up to LONGEST words of its pieces,
+sums their multiplicities in chunks again and sends these to hash buckets of phrases. A bucket is counted in DuckDB,
+which gets its blocks one by one and spills to disk beyond its memory (a folder of the task's own, gone at its end).
+Only phrases found often enough leave a bucket: the parts of a candidate are as frequent as it is.
 
 A candidate asks for the counts of its parts by shuffle: for each cut two requests (language, part) are joined to the
 counts. A part that much of them ask for is a skewed key of an equi-join, whose partitions Spark splits. The lowest
@@ -21,7 +22,7 @@ any length are read whole; an empty table gives no rows. Columns other than text
 
 from __future__ import annotations
 
-import string
+import re
 import tempfile
 from collections import Counter
 from collections.abc import Iterator
@@ -29,93 +30,164 @@ from collections.abc import Iterator
 import numpy as np
 import pyarrow as pa
 import pyarrow.compute as pc
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .shared import let, numbered_within, ranges, table, written
+from .shared import let, numbered_within, ranges, small_batches, table, written
 
-#: Fixed values of the rule: what ends a piece, what separates words, the words of a phrase, the least count, the
+#: Fixed values of the rule: what ends a piece (spaces and tabs separate words), the words of a phrase, the least count, the
 #: percentage of a longer phrase from which a shorter one is dropped, the length of a language's list.
-ENDS, GAPS = r"[.,;:!?\x0A-\x0D]", r"[\x20\x09]+"
+ENDS = r"[.,;:!?\x0A-\x0D]"
 SHORTEST, LONGEST, LEAST, PERCENT, LISTED = 2, 3, 10, 50, 2000
 
-CHUNK = 6 << 20  # bytes of pieces whose phrases are summed together
+CHUNK = 6 << 20  # bytes of texts or pieces that are summed together
+WORDS = 1 << 20  # words whose phrases are listed together, however long a piece is
 MEMORY = "300MB"  # of a DuckDB; two tasks of an executor have one each
+PIECES = pa.schema([("lang", pa.string()), ("piece", pa.string()), ("n", pa.int64())])
 COUNTED = pa.schema([("lang", pa.string()), ("k", pa.int8()), ("gram", pa.string()), ("n", pa.int64())])
 
 
-def pieces_of(docs: DataFrame) -> DataFrame:
-    """lang, piece (its words, joined by a space), n: how often it comes."""
-    text = F.translate(F.coalesce("text", F.lit("")), string.ascii_uppercase, string.ascii_lowercase)
-    words = lambda piece: F.array_join(F.array_remove(F.split(piece, GAPS, -1), ""), " ")
-    rows = docs.select(F.coalesce("lang", F.lit("und")).alias("lang"), F.explode(F.split(text, ENDS, -1)).alias("piece"))
-    return rows.select("lang", words(F.col("piece")).alias("piece")).filter("piece != ''").groupBy("lang", "piece").agg(F.count("*").alias("n"))
+def _folding() -> bytes:
+    """A byte for each byte of UTF-8: capital letters become small, what ends a piece a line end, a tab a space."""
+    table = bytearray(range(256))
+    for c in range(256):
+        letter = chr(c)
+        table[c] = 10 if c < 128 and re.fullmatch(ENDS, letter) else 32 if letter == "\t" else c + 32 if "A" <= letter <= "Z" else c
+    return bytes(table)
 
 
-def phrases(pieces: pa.Table, longest: int) -> pa.Table:
-    """Every phrase of the pieces (lang, piece, n), as often as it stands there."""
-    words = pc.split_pattern(pieces["piece"].combine_chunks(), " ")
-    lengths = pc.list_value_length(words).to_numpy(zero_copy_only=False)
-    of, word = np.repeat(np.arange(len(lengths)), lengths), words.flatten()
-    lang, n = pieces["lang"].combine_chunks(), pieces["n"].combine_chunks()
-    place = np.arange(len(of)) - np.repeat(np.cumsum(lengths) - lengths, lengths)  # of a word in its piece
-    left, out = lengths[of] - place, []
-    for k in range(1, longest + 1):
-        at = np.flatnonzero(left >= k)
-        gram = word if k == 1 else pc.binary_join_element_wise(*[word.take(pa.array(at + j)) for j in range(k)], " ")
-        rows = pa.array(of[at])
-        out.append(pa.Table.from_arrays([lang.take(rows), pa.array(np.full(len(at), k, np.int8)), gram, n.take(rows)], schema=COUNTED))
-    return pa.concat_tables(out)
-
+FOLDED = _folding()
 
-def _duck(spill: str):
-    import duckdb
 
-    return duckdb.connect(config={"threads": 1, "memory_limit": MEMORY, "temp_directory": spill, "preserve_insertion_order": False})
+def pieces_in(texts: pa.RecordBatch) -> pa.Table:
+    """lang, piece: the pieces of texts (lang, text), trimmed, with every repetition; those without words are left out."""
+    text = texts.column(1)
+    offsets, data = text.buffers()[1:]
+    folded = pa.py_buffer(memoryview(data or b"").tobytes().translate(FOLDED))
+    lists = pc.split_pattern(pa.Array.from_buffers(pa.string(), len(text), [None, offsets, folded], offset=text.offset), "\n")
+    of = np.repeat(np.arange(len(text)), pc.list_value_length(lists).to_numpy(zero_copy_only=False))
+    rows = pa.table({"lang": texts.column(0).take(pa.array(of)), "piece": pc.utf8_trim(lists.flatten(), " ")})
+    return rows.filter(pc.not_equal(rows["piece"], ""))
 
 
-def _packed(rows: pa.Table) -> bytes:
+def phrases(pieces: pa.Table, longest: int, block: int = WORDS) -> Iterator[pa.Table]:
+    """Every phrase of the pieces (lang, piece, n), with the piece's n, so many words' phrases at a time."""
+    lists = pc.split_pattern(pieces["piece"].combine_chunks(), " ")
+    word, of = lists.flatten(), np.repeat(np.arange(len(lists)), pc.list_value_length(lists).to_numpy(zero_copy_only=False))
+    real = pc.not_equal(word, "").to_numpy(zero_copy_only=False)  # where spaces follow each other
+    if not real.all():
+        word, of = word.filter(pa.array(real)), of[real]
+    lang, n = pieces["lang"].combine_chunks(), pieces["n"].combine_chunks()
+    ends = np.append(np.flatnonzero(of[1:] != of[:-1]) + 1, len(of)) if len(of) else np.zeros(0, np.int64)
+    left = np.repeat(ends, np.diff(ends, prepend=0)) - np.arange(len(of))  # words from here to the piece's end
+    for a in range(0, len(of), block):
+        here = left[a : a + block]
+        for k in range(1, longest + 1):
+            at = np.flatnonzero(here >= k) + a
+            gram = word.slice(a, len(here)) if k == 1 else pc.binary_join_element_wise(*[word.take(pa.array(at + j)) for j in range(k)], " ")
+            rows = pa.array(of[at])
+            yield pa.Table.from_arrays([lang.take(rows), pa.array(np.full(len(at), k, np.int8)), gram, n.take(rows)], schema=COUNTED)
+
+
+class _Sums:
+    """Sums in a DuckDB of the task's own, which spills into a folder that goes when the task ends."""
+
+    def __enter__(self) -> _Sums:
+        import duckdb
+
+        self.folder = tempfile.TemporaryDirectory()
+        self.con = duckdb.connect(config={"threads": 1, "memory_limit": MEMORY, "temp_directory": self.folder.name, "preserve_insertion_order": False})
+        return self
+
+    def __exit__(self, *_) -> None:
+        self.con.close()
+        self.folder.cleanup()
+
+    def blocks(self, rows: pa.Table, keys: str, buckets: int, kind: pa.Schema) -> pa.RecordBatch:
+        """bucket, block: the sums of n by keys, packed for each bucket."""
+        con = self.con.cursor()
+        con.register("chunk", rows)
+        got = con.sql(f"SELECT (hash({keys}) % {buckets})::INTEGER AS bucket, * FROM (SELECT * EXCLUDE n, sum(n)::BIGINT AS n FROM chunk GROUP BY ALL) ORDER BY bucket").to_arrow_table()
+        con.close()
+        bucket = got["bucket"].to_numpy()
+        own, starts = np.unique(bucket, return_index=True)
+        sums = got.select(kind.names).cast(kind).combine_chunks()
+        parts = [_packed(sums.slice(a, z - a), kind) for a, z in zip(starts, [*starts[1:], len(bucket)], strict=True)]
+        return pa.RecordBatch.from_arrays([pa.array(own, pa.int32()), pa.array(parts, pa.binary())], ["bucket", "block"])
+
+    def whole(self, batches: Iterator[pa.RecordBatch], kind: pa.Schema) -> Iterator[pa.RecordBatch]:
+        """The sums of n over all blocks, which are read one by one."""
+        con = self.con.cursor()
+        con.register("blocks", pa.RecordBatchReader.from_batches(kind, _unpacked(batches)))
+        yield from con.sql("SELECT * EXCLUDE n, sum(n)::BIGINT AS n FROM blocks GROUP BY ALL").to_arrow_reader(20_000)
+
+
+def _packed(rows: pa.Table, kind: pa.Schema) -> bytes:
     sink = pa.BufferOutputStream()
-    with pa.ipc.new_stream(sink, COUNTED, options=pa.ipc.IpcWriteOptions(compression="zstd")) as out:
+    with pa.ipc.new_stream(sink, kind, options=pa.ipc.IpcWriteOptions(compression="zstd")) as out:
         out.write_table(rows)
     return sink.getvalue().to_pybytes()
 
 
+def _unpacked(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    for b in batches:
+        for block in b.column(0):
+            yield from pa.ipc.open_stream(block.as_buffer())
+
+
+def _chunks(rows: Iterator[pa.Table], size: int) -> Iterator[pa.Table]:
+    held, bytes_held = [], 0
+    for t in rows:
+        held.append(t)
+        bytes_held += t.nbytes
+        if bytes_held >= size:
+            yield pa.concat_tables(held)
+            held, bytes_held = [], 0
+    if any(t.num_rows for t in held):
+        yield pa.concat_tables(held)
+
+
+def _keys(spark: SparkSession, buckets: int) -> Column:
+    """An array of a number for each bucket, such that Spark's hash deals each bucket to a partition of its own.
+
+    A sort by range would do so as well, but make all blocks twice, the first time only to sample them.
+    """
+    dealt = F.pmod(F.hash("id"), F.lit(buckets))
+    first = spark.range(64 * buckets).select(F.col("id").cast("int").alias("id")).groupBy(dealt.alias("part")).agg(F.min("id").alias("id"))
+    key = {r["part"]: r["id"] for r in first.collect()}  # a row for each bucket
+    return F.from_json(F.lit(str([key.get(k, k) for k in range(buckets)])), "array<int>")
+
+
+def pieces_of(docs: DataFrame, buckets: int, chunk: int = CHUNK) -> DataFrame:
+    """bucket, block: pieces by hash bucket, summed within chunks of texts."""
+
+    def send(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        with _Sums() as sums:
+            for t in _chunks((pieces_in(b) for b in batches if b.num_rows), chunk):
+                yield sums.blocks(t.append_column("n", pa.array(np.ones(len(t), np.int64))), "lang, piece", buckets, PIECES)
+
+    small_batches(docs.sparkSession)
+    rows = docs.select(F.coalesce("lang", F.lit("und")).alias("lang"), F.coalesce("text", F.lit("")).alias("text"))
+    return rows.mapInArrow(send, "bucket int, block binary")
+
+
 def counts(pieces: DataFrame, buckets: int, longest: int = LONGEST, least: int = LEAST, chunk: int = CHUNK) -> DataFrame:
-    """lang, k, gram, n of every phrase of k words found least times, and a row with k = 0 for each language and bucket: n words."""
+    """lang, k, gram, n of every phrase of k words found least times, and a row with k = 0 for each language and bucket: n words.
+
+    pieces: pieces_of().
+    """
 
     def send(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        def flush(held: list[pa.RecordBatch]) -> pa.RecordBatch:
-            con.register("phrases", phrases(pa.Table.from_batches(held), longest))
-            got = con.execute(f"SELECT (hash(lang, gram) % {buckets})::INTEGER AS bucket, lang, k, gram, sum(n)::BIGINT AS n FROM phrases GROUP BY ALL ORDER BY bucket").to_arrow_table()
-            con.unregister("phrases")
-            bucket = got["bucket"].to_numpy()
-            own, starts = np.unique(bucket, return_index=True)
-            rows = got.select(COUNTED.names).cast(COUNTED)
-            parts = [_packed(rows.slice(a, z - a)) for a, z in zip(starts, [*starts[1:], len(bucket)], strict=True)]
-            return pa.RecordBatch.from_arrays([pa.array(own, pa.int32()), pa.array(parts, pa.binary())], ["bucket", "block"])
-
-        with tempfile.TemporaryDirectory() as spill, _duck(spill) as con:
-            held, size = [], 0
-            for b in batches:
-                held.append(b)
-                size += b.nbytes
-                if size >= chunk:
-                    yield flush(held)
-                    held, size = [], 0
-            if any(b.num_rows for b in held):
-                yield flush(held)
+        with _Sums() as sums:
+            unique = (pa.Table.from_batches([b]).cast(PIECES) for b in sums.whole(batches, PIECES))
+            for t in _chunks(unique, chunk):
+                for listed in _chunks(phrases(t, longest), 12 * chunk):
+                    yield sums.blocks(listed, "lang, gram", buckets, COUNTED)
 
     def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        def blocks() -> Iterator[pa.RecordBatch]:
-            for b in batches:
-                for block in b.column(0):
-                    yield from pa.ipc.open_stream(block.as_buffer())
-
         words: Counter = Counter()
-        with tempfile.TemporaryDirectory() as spill, _duck(spill) as con:
-            con.register("sums", pa.RecordBatchReader.from_batches(COUNTED, blocks()))
-            for b in con.execute("SELECT lang, k, gram, sum(n)::BIGINT AS n FROM sums GROUP BY ALL").to_arrow_reader(50_000):
+        with _Sums() as sums:
+            for b in sums.whole(batches, COUNTED):
                 single = b.filter(pc.equal(b["k"], 1))
                 for r in pa.Table.from_batches([single]).group_by("lang").aggregate([("n", "sum")]).to_pylist():
                     words[r["lang"]] += r["n_sum"]
@@ -123,9 +195,10 @@ def counts(pieces: DataFrame, buckets: int, longest: int = LONGEST, least: int =
         if words:
             yield pa.RecordBatch.from_pylist([{"lang": lang, "k": 0, "gram": "", "n": n} for lang, n in words.items()], schema=COUNTED)
 
-    kind = "lang string, k tinyint, gram string, n long"
-    blocks = pieces.mapInArrow(send, "bucket int, block binary").repartitionByRange(buckets, "bucket")
-    return written(blocks.select("block").mapInArrow(count, kind), "phrase-counts")
+    keys = _keys(pieces.sparkSession, buckets)
+    dealt = lambda blocks: blocks.withColumn("bucket", F.element_at(keys, F.col("bucket") + 1)).repartition(buckets, "bucket").select("block")
+    listed = dealt(pieces).mapInArrow(send, "bucket int, block binary")
+    return written(dealt(listed).mapInArrow(count, "lang string, k tinyint, gram string, n long"), "phrase-counts")
 
 
 def scored(known: DataFrame) -> DataFrame:
@@ -158,7 +231,7 @@ def unabsorbed(candidates: DataFrame, percent: int = PERCENT) -> DataFrame:
 def collocations(docs: DataFrame, listed: int = LISTED, longest: int = LONGEST, least: int = LEAST, chunk: int = CHUNK) -> DataFrame:
     """lang, rank, phrase, a, l, r, n, score: the first of each language by score, count and phrase."""
     buckets = ranges(docs.sparkSession, 1)
-    known = counts(pieces_of(docs), buckets, longest, least, chunk)
+    known = counts(pieces_of(docs, buckets, chunk), buckets, longest, least, chunk)
     n = known.filter("k = 0").groupBy("lang").agg(F.sum("n").alias("n"))
     kept = unabsorbed(written(scored(known), "phrase-scores"))
     order = [F.col("score").desc(), F.col("a").desc(), F.col("gram")]
