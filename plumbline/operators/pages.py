@@ -1,7 +1,7 @@
 """Geometry of drawing pages: crossings, wall pairs, snapped nodes, faces, strokes, labels.
 
-Pairs of segments are found through a grid, so a page's segments are never all compared with each other. What walks a
-page's graph (faces, snapping in input order, text lines) is sequential and runs page by page; a page is bounded.
+Pairs of segments are found through a grid, so a page's segments are never all compared with each other. Faces are
+rings of half-edges, found by doubling; snapping in input order walks each part of a page that no other can influence.
 """
 
 from __future__ import annotations
@@ -11,23 +11,20 @@ import math
 import numpy as np
 import pandas as pd
 from pyspark.sql import Column, DataFrame
+from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from ..functions import geometry
-from . import graph
+from ..scratch import numbered
+from . import graph, ranges
 
 SEGMENT = ("x1", "y1", "x2", "y2")
 
 
-#: Segments of one page that a task may hold: some 2 GB while faces are followed.
+#: Points of one part of a page that a task may hold while they are snapped.
 MOST_PIECES = 5_000_000
 
 
-def _bounded(rows: pd.DataFrame) -> None:
-    if len(rows) > MOST_PIECES:
-        raise ValueError(f"page {rows['page_id'].iloc[0]} has {len(rows)} segments, more than {MOST_PIECES}")
-
-
 def _seg(prefix: str = "") -> Column:
     return F.struct(*[F.col(f"{prefix}{c}").alias(c) for c in SEGMENT])
 
@@ -62,8 +59,6 @@ def split(segments: DataFrame) -> DataFrame:
     ends = segments.select("page_id", "seg_id", F.explode(F.array(F.struct(F.col("x1").alias("x"), F.col("y1").alias("y")), F.struct(F.col("x2").alias("x"), F.col("y2").alias("y")))).alias("p")).select("page_id", "seg_id", "p.*")
     points = ends.unionAll(at).join(segments.select("page_id", "seg_id", *SEGMENT), ["page_id", "seg_id"])
     points = points.withColumn("t", F.round(geometry.along(F.col("x"), F.col("y"), _seg()), 7)).dropDuplicates(["page_id", "seg_id", "t"])
-    from pyspark.sql import Window as W
-
     w = W.partitionBy("page_id", "seg_id").orderBy("t")
     cut = points.withColumn("nx", F.lead("x").over(w)).withColumn("ny", F.lead("y").over(w)).filter("nx is not null")
     return cut.select("page_id", "seg_id", F.col("x").alias("x1"), F.col("y").alias("y1"), F.col("nx").alias("x2"), F.col("ny").alias("y2"))
@@ -107,50 +102,39 @@ def stroke_clusters(strokes: DataFrame, angle: float = 5.0, distance: float = 35
     return out.filter(F.col("n") >= least)
 
 
-def _trace(segments: np.ndarray, least_area: float) -> list[list[tuple[float, float]]]:
-    """Bounded faces of a planar graph: every directed edge is followed to the next one clockwise at its end."""
-    points = np.round(segments, 8)
-    names, at = np.unique(points.reshape(-1, 2), axis=0, return_inverse=True)
-    at = at.reshape(-1, 2)
-    at = np.unique(np.sort(at[at[:, 0] != at[:, 1]], axis=1), axis=0)
-    out_of: dict[int, list[int]] = {}
-    for a, b in at.tolist():
-        out_of.setdefault(a, []).append(b)
-        out_of.setdefault(b, []).append(a)
-    turn: dict[tuple[int, int], int] = {}
-    for node, others in out_of.items():
-        others.sort(key=lambda k: math.atan2(names[k][1] - names[node][1], names[k][0] - names[node][0]))
-        for k, other in enumerate(others):
-            turn[other, node] = others[k - 1]  # coming from other, leave by its neighbour clockwise
-    faces, left = [], set(turn)
-    for edge in sorted(turn):
-        ring, e = [], edge
-        while e in left:
-            left.discard(e)
-            ring.append(e[0])
-            e = (e[1], turn[e])
-        if len(ring) >= 3:
-            p = names[ring]
-            q = np.roll(p, -1, axis=0)
-            if float((p[:, 0] * q[:, 1] - q[:, 0] * p[:, 1]).sum()) / 2 >= least_area:
-                k = ring.index(min(ring))
-                faces.append([tuple(map(float, names[i])) for i in ring[k:] + ring[:k]])
-    return faces
+def half_edges(segments: DataFrame) -> DataFrame:
+    """id, next, page_id, x, y, tx, ty: each side of each line of a page's planar graph and the side that follows it.
+
+    Coming to a node, a side is followed by the next one clockwise of its own way back; so sides with a face on their
+    left go round it. ids ascend with page, start and end.
+    """
+    p = lambda x, y: (F.round(x, 8) + F.lit(0.0), F.round(y, 8) + F.lit(0.0))  # noqa: E731  adding 0 makes -0.0 0.0
+    (x1, y1), (x2, y2) = p("x1", "y1"), p("x2", "y2")
+    lines = segments.select("page_id", x1.alias("x"), y1.alias("y"), x2.alias("tx"), y2.alias("ty"))
+    lines = lines.filter((F.col("x") != F.col("tx")) | (F.col("y") != F.col("ty")))
+    both = lines.unionAll(lines.select("page_id", "tx", "ty", "x", "y")).distinct()
+    sides = numbered(both, [F.col(c) for c in ("page_id", "x", "y", "tx", "ty")], "id")
+    sides = graph.cut(sides)
+    node = W.partitionBy("page_id", "x", "y").orderBy(F.atan2(F.col("ty") - F.col("y"), F.col("tx") - F.col("x")), "id")
+    whole = node.rowsBetween(W.unboundedPreceding, W.unboundedFollowing)
+    out = sides.withColumn("clockwise", F.coalesce(F.lag("id").over(node), F.last("id").over(whole)))
+    back = out.select("page_id", F.col("x").alias("tx"), F.col("y").alias("ty"), F.col("tx").alias("x"), F.col("ty").alias("y"), F.col("clockwise").alias("next"))
+    return sides.join(back, ["page_id", "x", "y", "tx", "ty"]).select("id", "next", "page_id", "x", "y", "tx", "ty")
 
 
 def faces(segments: DataFrame, least_area: float = 0.05) -> DataFrame:
     """Closed faces of each page's linework: page_id, face, points, area, perimeter. (F111, U12)
 
-    A page is followed whole in one task; more than MOST_PIECES cut segments of a page are an error.
+    Faces are the rings of the page's half-edges, begun at their least point and numbered by it; those that go round
+    the other way are outlines from outside. Nothing takes a page, or a face before its points are listed, as a whole.
     """
-
-    def run(rows: pd.DataFrame) -> pd.DataFrame:
-        _bounded(rows)
-        found = _trace(rows[list(SEGMENT)].to_numpy(float).reshape(-1, 2, 2), least_area)
-        return pd.DataFrame({"page_id": [rows["page_id"].iloc[0]] * len(found), "face": range(1, len(found) + 1), "points": pd.Series([[{"x": x, "y": y} for x, y in f] for f in found], dtype=object)})
-
-    got = split(segments).groupBy("page_id").applyInPandas(run, "page_id long, face int, points array<struct<x:double,y:double>>")
-    return got.withColumn("area", geometry.area(F.col("points"))).withColumn("perimeter", geometry.perimeter(F.col("points")))
+    sides = graph.cut(half_edges(split(segments)))
+    placed = sides.join(graph.rings(sides.select("id", "next")), "id")
+    turn = F.sum(F.col("x") * F.col("ty") - F.col("tx") * F.col("y")) / 2
+    kept = placed.groupBy("page_id", "ring").agg(F.count("*").alias("n"), turn.alias("turn")).filter((F.col("n") >= 3) & (F.col("turn") >= least_area)).select("page_id", "ring")
+    listed = ranges.number(kept, ["page_id"], [F.col("ring")], "face").withColumn("face", F.col("face").cast("int"))
+    points = placed.join(listed, ["page_id", "ring"]).groupBy("page_id", "face").agg(F.transform(F.array_sort(F.collect_list(F.struct("place", "x", "y"))), lambda p: F.struct(p["x"].alias("x"), p["y"].alias("y"))).alias("points"))
+    return points.withColumn("area", geometry.area(F.col("points"))).withColumn("perimeter", geometry.perimeter(F.col("points")))
 
 
 def label_faces(face_rows: DataFrame, labels: DataFrame) -> DataFrame:
@@ -163,16 +147,34 @@ def label_faces(face_rows: DataFrame, labels: DataFrame) -> DataFrame:
     return out.withColumn("label", F.coalesce("label", F.concat(F.lit("Room "), F.col("face")))).withColumn("n_labels", F.coalesce("n_labels", F.lit(0)))
 
 
+def _parts(points: DataFrame, reach: float) -> DataFrame:
+    """points with part: points of different parts of a page are further apart than reach.
+
+    The occupied cells of a grid are linked where points of theirs could be within reach; parts are the components.
+    """
+    side = reach / math.sqrt(2)
+    cell = lambda c: F.floor(F.col(c) / side)
+    points = points.withColumn("cell", F.struct("page_id", cell("x").alias("i"), cell("y").alias("j")))
+    cells = graph.cut(points.select("cell").distinct())
+    ahead = [(i, j) for i in range(-2, 3) for j in range(-2, 3) if (i, j) > (0, 0)]
+    beside = F.array(*[F.struct(F.col("cell.page_id").alias("page_id"), (F.col("cell.i") + i).alias("i"), (F.col("cell.j") + j).alias("j")) for i, j in ahead])
+    links = cells.select(F.col("cell").alias("a"), F.explode(beside).alias("b")).join(cells.select(F.col("cell").alias("b")), "b")
+    part = graph.components(links.select("a", "b"), "a", "b").select(F.col("node").alias("cell"), F.col("component").alias("part"))
+    return points.join(part, "cell", "left").withColumn("part", F.coalesce("part", "cell")).drop("cell")
+
+
 def snap(segments: DataFrame, tolerance: float = 1.25) -> DataFrame:
     """Endpoints snapped to nodes, in order of seg_id: page_id, seg_id, a, b, node coordinates. (U16)
 
-    A node is the running mean of its points, so the order matters and is that of the ids. A grid of the tolerance
-    holds the nodes, so a point is compared with nodes around it only. A page goes through one task; more than
-    MOST_PIECES segments of it are an error.
+    A node is the running mean of its points, so the order matters and is that of the ids, a segment's first end before
+    its second. The point that joined a node last is no further from its mean than the tolerance, so a point that joins
+    it is within twice that of one of its points: the parts of a page that are further apart are walked each by itself,
+    within a task; more than MOST_PIECES points of a part are an error, and a smaller tolerance makes smaller parts.
     """
 
     def run(rows: pd.DataFrame) -> pd.DataFrame:
-        _bounded(rows)
+        if len(rows) > MOST_PIECES:
+            raise ValueError(f"{len(rows)} points of page {rows['page_id'].iloc[0]} hang together, more than {MOST_PIECES}: snap with a smaller tolerance")
         nodes: list[list[float]] = []
         grid: dict[tuple[int, int], set[int]] = {}
         cell = lambda x, y: (math.floor(x / tolerance), math.floor(y / tolerance))
@@ -192,20 +194,25 @@ def snap(segments: DataFrame, tolerance: float = 1.25) -> DataFrame:
             grid.setdefault(cell(nodes[k][0], nodes[k][1]), set()).add(k)
             return k
 
-        rows = rows.sort_values("seg_id")
-        ends = [(node(r.x1, r.y1), node(r.x2, r.y2)) for r in rows.itertuples()]
-        out = rows[["page_id", "seg_id"]].assign(a=[e[0] for e in ends], b=[e[1] for e in ends])
-        for k, e in (("a", 0), ("b", 1)):
-            out[f"{k}x"], out[f"{k}y"] = [nodes[p[e]][0] for p in ends], [nodes[p[e]][1] for p in ends]
-        return out[out["a"] != out["b"]]
+        rows = rows.sort_values(["seg_id", "end"])
+        at = np.array([node(x, y) for x, y in zip(rows["x"], rows["y"], strict=True)])
+        _, first = np.unique(at, return_index=True)  # the point that began each node; nodes are numbered in that order
+        out = rows[["page_id", "seg_id", "end"]].assign(nx=[nodes[k][0] for k in at], ny=[nodes[k][1] for k in at])
+        return out.assign(first_seg=rows["seg_id"].to_numpy()[first[at]], first_end=rows["end"].to_numpy()[first[at]])
 
-    return segments.groupBy("page_id").applyInPandas(run, "page_id long, seg_id long, a int, b int, ax double, ay double, bx double, by double")
+    end = lambda k: F.struct(F.lit(k - 1).alias("end"), F.col(f"x{k}").cast("double").alias("x"), F.col(f"y{k}").cast("double").alias("y"))
+    points = _parts(segments.select("page_id", "seg_id", F.inline(F.array(end(1), end(2)))), 2 * tolerance)
+    kind = "page_id long, seg_id long, end int, nx double, ny double, first_seg long, first_end int"
+    snapped = graph.cut(points.select("page_id", "seg_id", "end", "x", "y", "part").groupBy("page_id", "part").applyInPandas(lambda rows: run(rows), kind))
+    begun = snapped.filter((F.col("seg_id") == F.col("first_seg")) & (F.col("end") == F.col("first_end"))).select("page_id", "first_seg", "first_end")
+    named = ranges.number(begun, ["page_id"], [F.col("first_seg"), F.col("first_end")], "node").withColumn("node", (F.col("node") - 1).cast("int"))
+    ends = snapped.join(named, ["page_id", "first_seg", "first_end"])
+    side = lambda k, name: ends.filter(F.col("end") == k).select("page_id", "seg_id", F.col("node").alias(name), F.col("nx").alias(f"{name}x"), F.col("ny").alias(f"{name}y"))
+    return side(0, "a").join(side(1, "b"), ["page_id", "seg_id"]).filter("a <> b").select("page_id", "seg_id", "a", "b", "ax", "ay", "bx", "by")
 
 
 def text_lines(words: DataFrame, tolerance: float = 4.5) -> DataFrame:
     """Words joined to lines by their height on the page: page_id, line, y, text."""
-    from pyspark.sql import Window as W
-
     y = (F.col("y0") + F.col("y1")) / 2
     order = W.partitionBy("page_id").orderBy("y", "x0")
     rows = words.withColumn("y", y)

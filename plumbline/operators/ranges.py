@@ -43,3 +43,9 @@ def carried(df: DataFrame, by: list[str], folds: dict[str, tuple[Column, str]],
     put = {"sum": F.sum, "max": F.max, "min": F.min, "first": lambda c: F.first(c, ignorenulls=True), "last": lambda c: F.last(c, ignorenulls=True)}
     beside = ends.select(*[F.col(k).alias(f"in_{k}") for k in (PART, *by)], *[put[how](name).over(along).alias(name) for name, (_, how) in folds.items()])
     return df.join(beside, same(by, "in_"), "left").drop(*[f"in_{k}" for k in (PART, *by)])
+
+
+def number(df: DataFrame, by: list[str], order: list[Column], name: str) -> DataFrame:
+    """df with row numbers from 1 along the order, which must be unique, within each key."""
+    here = ranged(df, by, order).withColumn(name, F.row_number().over(within(by, order)))
+    return carried(here, by, {"before": (F.count("*"), "sum")}).withColumn(name, (F.col(name) + F.coalesce("before", F.lit(0))).cast("long")).select(*df.columns, name)
