@@ -40,10 +40,12 @@ from .shared import let, numbered_within, ranges, small_batches, table, written
 ENDS = r"[.,;:!?\x0A-\x0D]"
 SHORTEST, LONGEST, LEAST, PERCENT, LISTED = 2, 3, 10, 50, 2000
 
-CHUNK = 6 << 20  # bytes of texts or pieces that are summed together
-WORDS = 1 << 20  # words whose phrases are listed together, however long a piece is
-MEMORY = "300MB"  # of a DuckDB; two tasks of an executor have one each
-PIECES = pa.schema([("lang", pa.string()), ("piece", pa.string()), ("n", pa.int64())])
+CHUNK = 4 << 20  # bytes of texts or pieces that are summed together
+WORDS = 1 << 18  # words whose phrases are listed together, however long a piece is
+MEMORY = "200MB"  # of a DuckDB; two tasks of an executor have one each
+ITEMS = pa.schema([("lang", pa.string()), ("item", pa.string()), ("n", pa.int64())])  # pieces or phrases
+#: A block: a row for each language, its items joined by line ends, which none of them holds; so they need no offsets.
+PACKED = pa.schema([("lang", pa.string()), ("items", pa.string()), ("n", pa.list_(pa.int64()))])
 COUNTED = pa.schema([("lang", pa.string()), ("k", pa.int8()), ("gram", pa.string()), ("n", pa.int64())])
 
 
@@ -60,19 +62,19 @@ FOLDED = _folding()
 
 
 def pieces_in(texts: pa.RecordBatch) -> pa.Table:
-    """lang, piece: the pieces of texts (lang, text), trimmed, with every repetition; those without words are left out."""
+    """lang, item, n: the pieces of texts (lang, text), trimmed, one by one; those without words are left out."""
     text = texts.column(1)
     offsets, data = text.buffers()[1:]
     folded = pa.py_buffer(memoryview(data or b"").tobytes().translate(FOLDED))
     lists = pc.split_pattern(pa.Array.from_buffers(pa.string(), len(text), [None, offsets, folded], offset=text.offset), "\n")
     of = np.repeat(np.arange(len(text)), pc.list_value_length(lists).to_numpy(zero_copy_only=False))
-    rows = pa.table({"lang": texts.column(0).take(pa.array(of)), "piece": pc.utf8_trim(lists.flatten(), " ")})
-    return rows.filter(pc.not_equal(rows["piece"], ""))
+    rows = pa.table([texts.column(0).take(pa.array(of)), pc.utf8_trim(lists.flatten(), " "), pa.array(np.ones(len(of), np.int64))], schema=ITEMS)
+    return rows.filter(pc.not_equal(rows["item"], ""))
 
 
 def phrases(pieces: pa.Table, longest: int, block: int = WORDS) -> Iterator[pa.Table]:
-    """Every phrase of the pieces (lang, piece, n), with the piece's n, so many words' phrases at a time."""
-    lists = pc.split_pattern(pieces["piece"].combine_chunks(), " ")
+    """Every phrase of the pieces, with the piece's n, so many words' phrases at a time."""
+    lists = pc.split_pattern(pieces["item"].combine_chunks(), " ")
     word, of = lists.flatten(), np.repeat(np.arange(len(lists)), pc.list_value_length(lists).to_numpy(zero_copy_only=False))
     real = pc.not_equal(word, "").to_numpy(zero_copy_only=False)  # where spaces follow each other
     if not real.all():
@@ -86,7 +88,7 @@ def phrases(pieces: pa.Table, longest: int, block: int = WORDS) -> Iterator[pa.T
             at = np.flatnonzero(here >= k) + a
             gram = word.slice(a, len(here)) if k == 1 else pc.binary_join_element_wise(*[word.take(pa.array(at + j)) for j in range(k)], " ")
             rows = pa.array(of[at])
-            yield pa.Table.from_arrays([lang.take(rows), pa.array(np.full(len(at), k, np.int8)), gram, n.take(rows)], schema=COUNTED)
+            yield pa.Table.from_arrays([lang.take(rows), gram, n.take(rows)], schema=ITEMS)
 
 
 class _Sums:
@@ -103,36 +105,45 @@ class _Sums:
         self.con.close()
         self.folder.cleanup()
 
-    def blocks(self, rows: pa.Table, keys: str, buckets: int, kind: pa.Schema) -> pa.RecordBatch:
-        """bucket, block: the sums of n by keys, packed for each bucket."""
+    def blocks(self, rows: pa.Table, buckets: int) -> pa.RecordBatch:
+        """bucket, block: the sums of n by language and item, packed for each bucket."""
         con = self.con.cursor()
         con.register("chunk", rows)
-        got = con.sql(f"SELECT (hash({keys}) % {buckets})::INTEGER AS bucket, * FROM (SELECT * EXCLUDE n, sum(n)::BIGINT AS n FROM chunk GROUP BY ALL) ORDER BY bucket").to_arrow_table()
+        got = con.sql(f"SELECT (hash(lang, item) % {buckets})::INTEGER AS bucket, * FROM (SELECT lang, item, sum(n)::BIGINT AS n FROM chunk GROUP BY ALL) ORDER BY bucket, lang").to_arrow_table()
         con.close()
         bucket = got["bucket"].to_numpy()
         own, starts = np.unique(bucket, return_index=True)
-        sums = got.select(kind.names).cast(kind).combine_chunks()
-        parts = [_packed(sums.slice(a, z - a), kind) for a, z in zip(starts, [*starts[1:], len(bucket)], strict=True)]
+        sums = got.select(ITEMS.names).cast(ITEMS).combine_chunks()
+        parts = [_packed(sums.slice(a, z - a)) for a, z in zip(starts, [*starts[1:], len(bucket)], strict=True)]
         return pa.RecordBatch.from_arrays([pa.array(own, pa.int32()), pa.array(parts, pa.binary())], ["bucket", "block"])
 
-    def whole(self, batches: Iterator[pa.RecordBatch], kind: pa.Schema) -> Iterator[pa.RecordBatch]:
+    def whole(self, batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         """The sums of n over all blocks, which are read one by one."""
         con = self.con.cursor()
-        con.register("blocks", pa.RecordBatchReader.from_batches(kind, _unpacked(batches)))
-        yield from con.sql("SELECT * EXCLUDE n, sum(n)::BIGINT AS n FROM blocks GROUP BY ALL").to_arrow_reader(20_000)
+        con.register("blocks", pa.RecordBatchReader.from_batches(ITEMS, _unpacked(batches)))
+        yield from con.sql("SELECT lang, item, sum(n)::BIGINT AS n FROM blocks GROUP BY ALL").to_arrow_reader(20_000)
 
 
-def _packed(rows: pa.Table, kind: pa.Schema) -> bytes:
+def _packed(rows: pa.Table) -> bytes:
+    """rows, sorted by lang, as a block."""
+    runs = pc.run_end_encode(rows["lang"].combine_chunks())
+    ends = pa.array(np.append(0, runs.run_ends.to_numpy()), pa.int32())
+    lists = [pa.ListArray.from_arrays(ends, rows[c].combine_chunks()) for c in ("item", "n")]
+    joined = pc.binary_join(lists[0], "\n")
     sink = pa.BufferOutputStream()
-    with pa.ipc.new_stream(sink, kind, options=pa.ipc.IpcWriteOptions(compression="zstd")) as out:
-        out.write_table(rows)
+    with pa.ipc.new_stream(sink, PACKED, options=pa.ipc.IpcWriteOptions(compression=pa.Codec("zstd", 3))) as out:
+        out.write_batch(pa.RecordBatch.from_arrays([runs.values, joined, lists[1]], schema=PACKED))
     return sink.getvalue().to_pybytes()
 
 
 def _unpacked(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     for b in batches:
         for block in b.column(0):
-            yield from pa.ipc.open_stream(block.as_buffer())
+            for held in pa.ipc.open_stream(block.as_buffer()):
+                for k in range(held.num_rows):
+                    row = held.slice(k, 1)
+                    items = pc.split_pattern(row.column(1), "\n").flatten()
+                    yield pa.RecordBatch.from_arrays([pa.repeat(row.column(0)[0], len(items)), items, row.column(2).flatten()], schema=ITEMS)
 
 
 def _chunks(rows: Iterator[pa.Table], size: int) -> Iterator[pa.Table]:
@@ -164,7 +175,7 @@ def pieces_of(docs: DataFrame, buckets: int, chunk: int = CHUNK) -> DataFrame:
     def send(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         with _Sums() as sums:
             for t in _chunks((pieces_in(b) for b in batches if b.num_rows), chunk):
-                yield sums.blocks(t.append_column("n", pa.array(np.ones(len(t), np.int64))), "lang, piece", buckets, PIECES)
+                yield sums.blocks(t, buckets)
 
     small_batches(docs.sparkSession)
     rows = docs.select(F.coalesce("lang", F.lit("und")).alias("lang"), F.coalesce("text", F.lit("")).alias("text"))
@@ -179,19 +190,21 @@ def counts(pieces: DataFrame, buckets: int, longest: int = LONGEST, least: int =
 
     def send(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         with _Sums() as sums:
-            unique = (pa.Table.from_batches([b]).cast(PIECES) for b in sums.whole(batches, PIECES))
+            unique = (pa.Table.from_batches([b]).cast(ITEMS) for b in sums.whole(batches))
             for t in _chunks(unique, chunk):
-                for listed in _chunks(phrases(t, longest), 12 * chunk):
-                    yield sums.blocks(listed, "lang, gram", buckets, COUNTED)
+                for listed in _chunks(phrases(t, longest), 10 * chunk):
+                    yield sums.blocks(listed, buckets)
 
     def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         words: Counter = Counter()
         with _Sums() as sums:
-            for b in sums.whole(batches, COUNTED):
-                single = b.filter(pc.equal(b["k"], 1))
-                for r in pa.Table.from_batches([single]).group_by("lang").aggregate([("n", "sum")]).to_pylist():
+            for b in sums.whole(batches):
+                b = b.append_column("k", pc.add(pc.count_substring(b["item"], " "), 1).cast(pa.int8()))
+                single = pa.Table.from_batches([b.filter(pc.equal(b["k"], 1))])
+                for r in single.group_by("lang").aggregate([("n", "sum")]).to_pylist():
                     words[r["lang"]] += r["n_sum"]
-                yield pa.RecordBatch.from_arrays(b.filter(pc.greater_equal(b["n"], least)).columns, schema=COUNTED)
+                often = b.filter(pc.greater_equal(b["n"], least))
+                yield pa.RecordBatch.from_arrays([often[c] for c in ("lang", "k", "item", "n")], schema=COUNTED)
         if words:
             yield pa.RecordBatch.from_pylist([{"lang": lang, "k": 0, "gram": "", "n": n} for lang, n in words.items()], schema=COUNTED)
 
