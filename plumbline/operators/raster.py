@@ -184,7 +184,7 @@ def cracks(marked: DataFrame, diagonal: bool = True) -> DataFrame:
 
 
 def outlines(marked: DataFrame, diagonal: bool = True, points: bool = True) -> DataFrame:
-    """A row per ring: page_id, component, ring, area (pixels within, negative for a hole), centre_area and x0, y0, x1, y1 of its pixels, and points. (F126)
+    """A row per ring: page_id, component, ring, area (pixels within, negative for a hole), length, centre_area and x0, y0, x1, y1 of its pixels, and points. (F126)
 
     centre_area is that of the polygon through the centres of the ring's pixels, which also are the points, in order
     from the top left and without those between two on a line.
@@ -195,7 +195,7 @@ def outlines(marked: DataFrame, diagonal: bool = True, points: bool = True) -> D
     later = placed.select(F.col("id").alias("next"), F.col("px").alias("ex"), F.col("py").alias("ey"))
     placed = graph.cut(placed.join(later, "next"))
     sums = placed.groupBy("page_id", "component", "ring").agg(
-        (F.sum(cross("x", "y", "tx", "ty")) / 2).cast("long").alias("area"), (F.abs(F.sum(cross("px", "py", "qx", "qy") + cross("qx", "qy", "ex", "ey"))) / 2).alias("centre_area"),
+        (F.sum(cross("x", "y", "tx", "ty")) / 2).cast("long").alias("area"), F.sum(F.abs(F.col("tx") - F.col("x")) + F.abs(F.col("ty") - F.col("y"))).cast("long").alias("length"), (F.abs(F.sum(cross("px", "py", "qx", "qy") + cross("qx", "qy", "ex", "ey"))) / 2).alias("centre_area"),
         F.min(F.least("px", "qx")).alias("x0"), F.min(F.least("py", "qy")).alias("y0"), (F.max(F.greatest("px", "qx")) + 1).alias("x1"), (F.max(F.greatest("py", "qy")) + 1).alias("y1"))
     if not points:
         return sums
