@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from ..functions import geometry, pricing, text
-from ..operators import assembly, drawing, evidence, openings, pages, surfaces
+from ..operators import assembly, drawing, elevations, evidence, openings, pages, surfaces
 from ..sources import readers
 from .shared import choice, key, pick, query, table
 
@@ -346,3 +346,26 @@ def q_masses(spark, sf):
     seg = F.struct(d(-5.0).alias("x1"), d(0.0).alias("y1"), d(0.0).alias("x2"), d(0.0).alias("y2"))
     said = F.when(key() % 4 == 0, "southern side").otherwise("east")
     return orders(spark, sf).select(key().alias("id"), F.inline(geometry.box_faces(d(0.0), d(0.0), d(0.0), n, d(3.0), d(2.0))), F.round(geometry.segment_distance(n, d(3.0), seg), 6).alias("distance"), text.orientation(said).alias("side"))
+
+
+_RECTS = """SELECT o_custkey % 50 AS page_id, o_orderkey AS rect_id, (o_orderkey * 37 % 1000)::DOUBLE AS x0, (o_orderkey * 91 % 700)::DOUBLE AS y0, (floor(o_totalprice)::BIGINT % 140)::DOUBLE AS w, (floor(o_totalprice / 10)::BIGINT % 130)::DOUBLE AS h, CASE o_orderkey % 4 WHEN 0 THEN NULL WHEN 1 THEN 'pdf_point' ELSE 'render_pixel' END AS space FROM orders"""
+
+
+@query(f"""WITH r AS ({_RECTS}), w AS (SELECT p_partkey % 50 AS page_id, p_partkey AS word_id, CASE p_partkey % 5 WHEN 0 THEN 'd' || p_size WHEN 1 THEN 'see EW' || p_size || ' here' WHEN 2 THEN 'WD' || p_size WHEN 3 THEN 'W' || p_size * 100 ELSE p_name END AS text, (p_partkey * 53 % 1000)::DOUBLE AS x, (p_partkey * 29 % 700)::DOUBLE AS y FROM part),
+ m AS (SELECT page_id, word_id, x, y, CASE word_id % 5 WHEN 0 THEN 'D' || substr(text, 2) WHEN 1 THEN split_part(text, ' ', 2) WHEN 3 THEN CASE WHEN length(text) <= 4 THEN text END END AS mark FROM w),
+ f AS (SELECT page_id, rect_id, x0, y0, w, h, w / 20.0::DOUBLE AS wm, h / 20.0::DOUBLE AS hm FROM r WHERE coalesce(space, CASE WHEN page_id % 3 = 0 THEN 'pdf_point' ELSE 'render_pixel' END) = CASE WHEN page_id % 3 = 0 THEN 'pdf_point' ELSE 'render_pixel' END AND page_id % 7 <> 6 AND w / 20.0 BETWEEN 0.3 AND 6 AND h / 20.0 BETWEEN 0.3 AND 5),
+ d AS (SELECT rect_id, mark, row_number() OVER (PARTITION BY rect_id ORDER BY sqrt(pow(greatest(x0 - x, 0, x - x0 - w), 2) + pow(greatest(y0 - y, 0, y - y0 - h), 2)), word_id) AS n FROM f JOIN m ON m.page_id = f.page_id AND mark IS NOT NULL AND sqrt(pow(greatest(x0 - x, 0, x - x0 - w), 2) + pow(greatest(y0 - y, 0, y - y0 - h), 2)) < 11)
+ SELECT page_id, f.rect_id, round(wm, 4) AS width_m, round(hm, 4) AS height_m, coalesce(mark, '') AS label, (CASE WHEN wm BETWEEN 0.6 AND 4 AND hm BETWEEN 0.6 AND 3.5 THEN 0.65 ELSE 0.5 END + CASE WHEN mark IS NULL THEN 0 ELSE 0.1 END)::DOUBLE AS confidence FROM f LEFT JOIN d ON d.rect_id = f.rect_id AND n = 1""")
+def q_elevation_openings(spark, sf):
+    """Opening-sized rectangles of elevations with the marks near them, in metres only where coordinates are the same. (F136)"""
+    o, p = orders(spark, sf), table(spark, sf, "part")
+    x, y = (F.col("o_orderkey") * 37 % 1000).cast("double"), (F.col("o_orderkey") * 91 % 700).cast("double")
+    w, h = (F.floor("o_totalprice") % 140).cast("double"), (F.floor(F.col("o_totalprice") / 10) % 130).cast("double")
+    space = F.when(key() % 4 == 1, "pdf_point").when(key() % 4 > 1, "render_pixel")
+    rects = o.select((F.col("o_custkey") % 50).alias("page_id"), key().alias("rect_id"), x.alias("x0"), y.alias("y0"), (x + w).alias("x1"), (y + h).alias("y1"), space.alias("coord_space"))
+    k, size = F.col("p_partkey"), F.col("p_size")
+    said = F.when(k % 5 == 0, F.concat(F.lit("d"), size)).when(k % 5 == 1, F.concat(F.lit("see EW"), size, F.lit(" here"))).when(k % 5 == 2, F.concat(F.lit("WD"), size)).when(k % 5 == 3, F.concat(F.lit("W"), size * 100)).otherwise(F.col("p_name"))
+    words = p.select((k % 50).alias("page_id"), k.alias("word_id"), said.alias("text"), (k * 53 % 1000).cast("double").alias("x"), (k * 29 % 700).cast("double").alias("y"))
+    page = F.col("c_custkey")
+    scales = table(spark, sf, "customer").filter("c_custkey < 50").select(page.alias("page_id"), F.when(page % 3 == 0, "pdf_point").otherwise("render_pixel").alias("coord_space"), F.when(page % 7 != 6, 20.0).otherwise(0.0).alias("units_per_m"))
+    return elevations.elevation_openings(rects, words, scales)
