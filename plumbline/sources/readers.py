@@ -5,16 +5,20 @@ PDF, raster and docx need libraries that aren't at hand; pages come in as extrac
 
 from __future__ import annotations
 
+import csv
 import io
 import re
 import zipfile
 from xml.etree import ElementTree
 
+import numpy as np
 import pandas as pd
 from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from ..functions import geometry, text
+from ..scratch import written
 
 #: Headings of take-off columns.
 HEADINGS = {
@@ -66,20 +70,112 @@ def heading(c: Column) -> Column:
     return out.otherwise(F.when(best["score"] >= 4, best["target"]))
 
 
+#: A quoted cell from its beginning to its end, and the end of one that began on an earlier line.
+_QUOTED, _REST = r'(?:^|,)\s*+"(?:[^"]++|"")*+"', r'^(?:[^"]++|"")*+"'
+
+
+def _opens(line: Column) -> Column:
+    """Whether a line that begins a record, or goes on after a quoted cell, ends inside a quoted cell."""
+    return F.regexp_replace(line, _QUOTED, ",").rlike(r'(?:^|,)\s*+"')
+
+
 def sheets(spark: SparkSession, path: str, columns: int = 256) -> DataFrame:
-    """CSV files as numbered lines of cells: file, line, cells.
+    """CSV files as numbered records of cells: file, line (from 0), cells.
 
-    Quoted cells may hold commas, quotes and line ends. A file is read by one task, so its line numbers rise; cells
-    are trimmed. A line with more than so many columns is an error, never cut.
+    Quoted cells may hold commas, quotes and line ends, and still a file is read in many tasks. Each line says where a
+    reader is at its end, inside a quoted cell or not, for both cases at its beginning; put together, block by block of
+    a file and then over its blocks, that tells which line ends are inside a cell, and how many records lie before.
+    Records that lie in two or more blocks are put together from their parts. Only a row for each block is gathered.
+    Cells are trimmed; line ends in them are \\n. A record with more than so many columns is an error, never cut.
     """
-    names = [f"c{k}" for k in range(columns + 1)]
-    options = {"multiLine": True, "header": False, "quote": '"', "escape": '"', "ignoreLeadingWhiteSpace": True, "ignoreTrailingWhiteSpace": True, "mode": "PERMISSIVE"}
-    rows = spark.read.options(**options).schema(", ".join(f"{n} string" for n in names)).csv(path)
-    rows = rows.select(F.input_file_name().alias("file"), F.monotonically_increasing_id().alias("line"), F.array(*names).alias("cells"))
-    wide = F.raise_error(F.lit(f"a line has more than {columns} columns"))
-    cells = F.when(F.get("cells", F.lit(columns)).isNotNull(), wide.cast("array<string>")).otherwise(F.col("cells"))
-    last = F.coalesce(F.array_max(F.transform("cells", lambda x, k: F.when(x.isNotNull(), k))), F.lit(-1))
-    return rows.withColumn("cells", cells).select("file", "line", F.transform(F.slice("cells", 1, last + 1), lambda x: F.trim(F.coalesce(x, F.lit("")))).alias("cells"))
+    m = F.col("_metadata")
+    raw = spark.read.option("lineSep", "\n").text(path).select(m["file_path"].alias("file"), m["file_block_start"].alias("block"), F.regexp_replace("value", "\r$", "").alias("text"))
+    has, rest = F.col("text").contains('"'), F.regexp_replace("text", _REST, "")
+    stays = ~F.col("text").rlike(_REST)
+    raw = raw.withColumns({"after_out": has & _opens(F.col("text")), "after_in": ~has | stays | _opens(rest)})
+    return _records(raw, *_blocks(raw), columns)
+
+
+def _blocks(raw: DataFrame) -> tuple[DataFrame, DataFrame]:
+    """file, block, inside (whether it begins in a cell), before (records that begin before it), for each block; and the same, to join."""
+
+    def run(batches):
+        held: dict = {}
+        for b in batches:
+            for (file, block), rows in b.groupby(["file", "block"], sort=False):
+                out, into = rows["after_out"].to_numpy(bool), rows["after_in"].to_numpy(bool)
+                was = held.setdefault((file, block), [[False, 0], [True, 0]])
+                plain = ~out & into  # such a line leaves things as they are
+                at, last = np.flatnonzero(~plain), 0
+                for state in was:
+                    last = 0
+                    for k in at:
+                        state[1] += 0 if state[0] else int(k) - last + 1  # lines that begin a record
+                        state[0] = bool(into[k] if state[0] else out[k])
+                        last = int(k) + 1
+                    state[1] += 0 if state[0] else len(rows) - last
+        yield pd.DataFrame([(f, k, *s[0], *s[1]) for (f, k), s in held.items()], columns=["file", "block", "end_out", "n_out", "end_in", "n_in"])
+
+    seen = raw.select("file", "block", "after_out", "after_in").mapInPandas(run, "file string, block long, end_out boolean, n_out long, end_in boolean, n_in long")
+    rows, state = [], {}
+    for r in sorted(seen.collect(), key=lambda r: (r["file"], r["block"])):  # a row for each block of a file
+        inside, before = state.get(r["file"], (False, 0))
+        rows.append((r["file"], r["block"], inside, before))
+        state[r["file"]] = (r["end_in"], before + r["n_in"]) if inside else (r["end_out"], before + r["n_out"])
+    starts = raw.sparkSession.createDataFrame(rows, "file string, block long, inside boolean, before long")
+    return starts, F.broadcast(starts)
+
+
+def _records(raw: DataFrame, starts: DataFrame, few: DataFrame, columns: int) -> DataFrame:
+    def cells(text: str) -> list[str]:
+        csv.field_size_limit(1 << 30)
+        got = [c.strip() for c in next(csv.reader(io.StringIO(text, newline=""), skipinitialspace=True), [])]
+        while got and not got[-1]:
+            got.pop()
+        if len(got) > columns:
+            raise ValueError(f"a line has more than {columns} columns")
+        return got
+
+    def run(batches):
+        at, inside, nth, held = None, False, 0, []  # held: the lines of an open record
+        begun = None  # the number of the record that is open; None if it began in an earlier block
+
+        def part() -> list[tuple]:
+            """What is open at a block's end: a record's beginning, or a block that lies inside one."""
+            return [(*at, begun if begun is not None else -1, "\n".join(held), None)] if held else []
+
+        for b in batches:
+            out: list[tuple] = []
+            for file, block, text, after_out, after_in, starts_in, before in b.itertuples(index=False):
+                if (file, block) != at:
+                    out += part() if at else []
+                    at, inside, nth, held, begun = (file, block), starts_in, before, [], None
+                if not inside:
+                    begun, nth = nth, nth + 1
+                inside = after_in if inside else after_out
+                held.append(text)
+                if not inside:
+                    whole = "\n".join(held)
+                    if whole:  # an empty line is no record
+                        out.append((*at, begun, None, cells(whole)) if begun is not None else (*at, -2, whole, None))
+                    held = []
+            yield pd.DataFrame(out, columns=["file", "block", "line", "part", "cells"])
+        if at and held:
+            yield pd.DataFrame(part(), columns=["file", "block", "line", "part", "cells"])
+
+    def joined(rows: pd.DataFrame) -> pd.DataFrame:
+        rows = rows.sort_values("block")
+        return pd.DataFrame({"file": [rows["file"].iloc[0]], "line": [rows["line"].max()], "cells": [cells("\n".join(rows["part"]))]})
+
+    rows = raw.join(few, ["file", "block"]).select("file", "block", "text", "after_out", "after_in", "inside", "before")
+    found = written(rows.mapInPandas(run, "file string, block long, line long, part string, cells array<string>"), "records")
+    whole = found.filter("cells is not null").select("file", "line", "cells")
+    # A record that goes on in other blocks: its beginning, blocks within it, and the end.
+    parts = found.filter("part is not null")
+    order = W.partitionBy("file").orderBy("block", (F.col("line") >= 0).cast("int"))  # two a block at most
+    parts = parts.withColumn("record", F.last(F.when(F.col("line") >= 0, F.col("line")), ignorenulls=True).over(order.rowsBetween(W.unboundedPreceding, 0)))
+    rest = parts.groupBy("file", "record").applyInPandas(joined, "file string, line long, cells array<string>")
+    return whole.unionAll(rest)
 
 
 def workbooks(spark: SparkSession, path: str) -> DataFrame:
@@ -147,24 +243,29 @@ def _workbook(content: bytes):
 
 def header_lines(cells: DataFrame, most: int = 60) -> DataFrame:
     """The best heading line of each file: the most distinct take-off columns among its first lines."""
-    from pyspark.sql import Window as W
-
-    first = cells.withColumn("nth", F.row_number().over(W.partitionBy("file").orderBy("line"))).filter(F.col("nth") <= most)
-    scored = first.withColumn("targets", F.transform("cells", heading))
+    first = cells.filter(F.col("line") < most)
+    scored = first.select("file", "line", F.transform("cells", heading).alias("targets"))
     scored = scored.withColumn("score", F.size(F.array_distinct(F.filter("targets", lambda t: t.isNotNull()))))
     return scored.groupBy("file").agg(F.max(F.struct("score", (-F.col("line")).alias("neg"), "targets")).alias("b")).select("file", F.col("b.score").alias("score"), (-F.col("b.neg")).alias("header"), F.col("b.targets").alias("targets"))
 
 
+#: Columns that are numbers.
+NUMBERS = ("quantity", "rate_per_unit", "coats", "coverage_m2_per_litre", "productivity_m2_per_hour", "floor_area")
+
+
 def takeoff_rows(cells: DataFrame) -> DataFrame:
-    """Rows below each file's heading line, cells under their take-off columns."""
-    heads = header_lines(cells).filter("score >= 2")
+    """Rows below each file's heading line, cells under their take-off columns.
+
+    Where a column is, is looked up once a file.
+    """
+    heads = header_lines(cells).filter("score >= 2").select("file", "header", *[F.array_position("targets", t).cast("int").alias(f"at_{t}") for t in HEADINGS])
     body = cells.join(heads, "file").filter("line > header")
-    at = lambda t: F.get("cells", F.array_position("targets", t).cast("int") - 1)
-    named = [F.when(F.array_contains("targets", t), F.coalesce(at(t), F.lit(""))).alias(t) for t in HEADINGS]
-    out = body.select("file", "line", *named)
-    for c in ("quantity", "rate_per_unit", "coats", "coverage_m2_per_litre", "productivity_m2_per_hour", "floor_area"):
-        out = out.withColumn(c, F.when(F.col(c).isNotNull(), text.quantity(F.col(c))))
-    return out.withColumn("unit", text.unit(F.col("unit"))).filter("coalesce(quantity, 0) <> 0 or coalesce(floor_area, 0) <> 0")
+    out = body.select("file", "line", *[F.when(F.col(f"at_{t}") > 0, F.coalesce(F.get("cells", F.col(f"at_{t}") - 1), F.lit(""))).alias(t) for t in HEADINGS])
+    number = lambda c: F.when(F.col(c).isNotNull(), text.quantity(F.col(c)))
+    # An array that is taken apart again is worked out once, before any filter.
+    out = out.select("*", F.explode(F.array(F.struct(*[number(c).alias(c) for c in NUMBERS]))).alias("numbers")).drop(*NUMBERS)
+    out = out.filter("coalesce(numbers.quantity, 0) <> 0 or coalesce(numbers.floor_area, 0) <> 0")
+    return out.select("*", "numbers.*").withColumn("unit", text.unit(F.col("unit"))).select("file", "line", *HEADINGS)
 
 
 def first_existing(df: DataFrame, wanted: dict[str, tuple[str, ...]]) -> DataFrame:
