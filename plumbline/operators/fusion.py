@@ -218,15 +218,34 @@ def replace_owned(old: DataFrame, new: DataFrame, owner: str, prefix: str) -> Da
     return old.filter(~F.coalesce(F.col(owner).startswith(prefix), F.lit(False))).unionByName(new, allowMissingColumns=True)
 
 
+def row_digest(columns: list[str], order: list[str]) -> Column:
+    """A row's part of a fingerprint: the columns of the order and then the others, joined by bars."""
+    return F.sha2(F.concat_ws("|", *[F.coalesce(F.col(c).cast("string"), F.lit("")) for c in [*order, *columns]]), 256)
+
+
+def range_of(digest: Column) -> Column:
+    """Which of 4096 ranges a digest lies in."""
+    return F.substring(digest, 1, 3)
+
+
+def range_digest(digest: Column) -> Column:
+    """Aggregate over a range's rows; null digests don't count."""
+    return F.sha2(F.array_join(F.sort_array(F.collect_list(digest)), "\n"), 256)
+
+
+def whole_digest(key: Column, digest: Column) -> Column:
+    """Aggregate over the ranges; those with a null key don't count."""
+    held = F.collect_list(F.when(key.isNotNull(), F.struct(key.alias("range"), digest.alias("digest"))))
+    return F.sha2(F.array_join(F.transform(F.sort_array(held), lambda r: r["digest"]), "\n"), 256)
+
+
 def fingerprint(df: DataFrame, columns: list[str], order: list[str], group: list[str] | None = None) -> DataFrame:
     """sha256 over the rows of each group, in whatever order they come.
 
-    A row is the columns of the order and then the others, joined by bars. Rows become digests, the sorted digests of
-    each of 4096 ranges a digest, and those of the ranges, in order, the fingerprint: no list is longer than a range.
+    Rows become digests, the sorted digests of each of 4096 ranges a digest, and those of the ranges, in order, the
+    fingerprint: no list is longer than a range.
     """
     by = group or []
-    line = F.concat_ws("|", *[F.coalesce(F.col(c).cast("string"), F.lit("")) for c in [*order, *columns]])
-    rows = df.select(*by, F.sha2(line, 256).alias("digest")).withColumn("range", F.substring("digest", 1, 3))
-    ranges = rows.groupBy(*by, "range").agg(F.sha2(F.array_join(F.sort_array(F.collect_list("digest")), "\n"), 256).alias("digest"), F.count("*").alias("n"))
-    whole = F.transform(F.sort_array(F.collect_list(F.struct("range", "digest"))), lambda r: r["digest"])
-    return ranges.groupBy(*by).agg(F.sha2(F.array_join(whole, "\n"), 256).alias("fingerprint"), F.sum("n").alias("n_rows"))
+    rows = df.select(*by, row_digest(columns, order).alias("digest")).withColumn("range", range_of(F.col("digest")))
+    ranges = rows.groupBy(*by, "range").agg(range_digest(F.col("digest")).alias("digest"), F.count("*").alias("n"))
+    return ranges.groupBy(*by).agg(whole_digest(F.col("range"), F.col("digest")).alias("fingerprint"), F.sum("n").alias("n_rows"))

@@ -6,6 +6,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ..functions import text
+from ..functions.kept import kept
 from . import fusion, takeoff
 
 SEVERITIES = ("BLOCKER", "HIGH", "WARNING", "INFO")
@@ -22,8 +23,9 @@ def severity_rank(c: Column) -> Column:
     return out.otherwise(0)
 
 
-def row_signals(rows: DataFrame) -> DataFrame:
-    """One row for each rule that a take-off row breaks: id, severity, code."""
+@kept
+def _broken() -> Column:
+    """array of struct(severity, code): the rules that a take-off row breaks."""
     q, rate = F.coalesce("quantity", F.lit(0.0)), F.coalesce("rate_per_unit", F.lit(0.0))
     work = ~takeoff.is_floor_reference() & ~takeoff.is_excluded()
     unit = text.unit(F.col("unit"))
@@ -37,8 +39,12 @@ def row_signals(rows: DataFrame) -> DataFrame:
         (takeoff.authority().isin("NOT_MODEL_SURFACE", "APPROVED") == F.lit(False), "BLOCKER", "MODEL_SURFACE_UNAPPROVED"),
         (F.lower(F.coalesce("quantity_status", F.lit(""))).contains("provisional"), "WARNING", "PROVISIONAL"),
     )
-    found = F.array(*[F.when(F.coalesce(c, F.lit(False)), F.struct(F.lit(s).alias("severity"), F.lit(code).alias("code"))) for c, s, code in rules])
-    return rows.select("workspace_id", "id", F.inline(F.filter(found, lambda x: x.isNotNull())))
+    return F.array_compact(F.array(*[F.when(F.coalesce(c, F.lit(False)), F.struct(F.lit(s).alias("severity"), F.lit(code).alias("code"))) for c, s, code in rules]))
+
+
+def row_signals(rows: DataFrame) -> DataFrame:
+    """One row for each rule that a take-off row breaks: id, severity, code."""
+    return rows.select("workspace_id", "id", F.inline(_broken()))
 
 
 def duplicate_signals(rows: DataFrame) -> DataFrame:
@@ -48,21 +54,52 @@ def duplicate_signals(rows: DataFrame) -> DataFrame:
     return seen.select("workspace_id", "id", F.lit("WARNING").alias("severity"), F.lit("DUPLICATE_ROWS").alias("code"))
 
 
+@kept
+def _order() -> Column:
+    return severity_rank(F.col("severity"))
+
+
 def signals(rows: DataFrame) -> DataFrame:
     """All signals, the severest first, in an order that repeats. (L1)"""
     found = row_signals(rows).unionByName(duplicate_signals(rows))
-    return found.orderBy("workspace_id", severity_rank(F.col("severity")), "code", "id")
+    return found.orderBy("workspace_id", _order(), "code", "id")
 
 
 def preflight(rows: DataFrame, found: DataFrame) -> DataFrame:
-    """A row per workspace: counts, totals, fingerprint of what would be published, state."""
-    work = rows.filter(takeoff.is_work())
-    stats = work.groupBy("workspace_id").agg(F.count("*").alias("publishable_rows"), F.coalesce(F.sum(F.col("quantity") * F.col("rate_per_unit")), F.lit(0.0)).alias("value_ex_gst"))
-    prints = fusion.fingerprint(work, list(takeoff.BOUND), ["id"], ["workspace_id"]).select("workspace_id", "fingerprint")
-    counts = found.groupBy("workspace_id").agg(*[F.count(F.when(severity_rank(F.col("severity")) == k, 1)).alias(s.lower()) for k, s in enumerate(SEVERITIES)])
-    out = rows.select("workspace_id").distinct().join(stats, "workspace_id", "left").join(prints, "workspace_id", "left").join(counts, "workspace_id", "left").fillna(0)
-    state = F.when(F.col("publishable_rows") == 0, "EMPTY").when(F.col("blocker") > 0, "BLOCKED").when(F.col("high") + F.col("warning") > 0, "ACKNOWLEDGE").otherwise("READY")
-    return out.withColumn("state", state)
+    """A row per workspace: counts, totals, fingerprint of what would be published, state.
+
+    Rows and signals go through the same two aggregates, by range of the rows' digests and by workspace; nothing is
+    joined. Without rows that may be published there is no fingerprint.
+    """
+    mine = rows.select("workspace_id", *_checked()).select("workspace_id", "work", "value", "digest", fusion.range_of(F.col("digest")).alias("range"), F.lit(None).cast("int").alias("rank"))
+    seen = found.select("workspace_id", F.lit(False).alias("work"), F.lit(None).cast("double").alias("value"), F.lit(None).cast("string").alias("digest"), F.lit(None).cast("string").alias("range"), _order().alias("rank"))
+    counts = [s.lower() for s in SEVERITIES]
+    ranged = mine.unionAll(seen).groupBy("workspace_id", "range").agg(*_summed(*counts))
+    out = ranged.groupBy("workspace_id").agg(*_put_together(*counts))
+    return out.withColumns({"state": _state(), "fingerprint": F.when(F.col("publishable_rows") > 0, F.col("fingerprint"))})
+
+
+def _checked() -> list[Column]:
+    work = takeoff.is_work()
+    return [work.alias("work"), F.when(work, F.col("quantity") * F.col("rate_per_unit")).alias("value"), F.when(work, _digest()).alias("digest")]
+
+
+@kept
+def _digest() -> Column:
+    return fusion.row_digest(list(takeoff.BOUND), ["id"])
+
+
+def _summed(*counts: str) -> list[Column]:
+    return [fusion.range_digest(F.col("digest")).alias("digest"), F.count_if("work").alias("publishable_rows"), F.sum("value").alias("value_ex_gst"), *[F.count_if(F.col("rank") == k).alias(n) for k, n in enumerate(counts)]]
+
+
+def _put_together(*counts: str) -> list[Column]:
+    return [F.sum("publishable_rows").alias("publishable_rows"), F.coalesce(F.sum("value_ex_gst"), F.lit(0.0)).alias("value_ex_gst"), fusion.whole_digest(F.col("range"), F.col("digest")).alias("fingerprint"), *[F.sum(n).alias(n) for n in counts]]
+
+
+@kept
+def _state() -> Column:
+    return F.when(F.col("publishable_rows") == 0, "EMPTY").when(F.col("blocker") > 0, "BLOCKED").when(F.col("high") + F.col("warning") > 0, "ACKNOWLEDGE").otherwise("READY")
 
 
 def publish(published: DataFrame, rows: DataFrame, checked: DataFrame, job: str, acknowledged: bool = False) -> DataFrame:

@@ -8,6 +8,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ..functions import pricing, text
+from ..scratch import written
 from . import takeoff
 
 #: Words that put a row or a finish into a stage.
@@ -26,11 +27,6 @@ def _holds(c: Column, words: tuple[str, ...]) -> Column:
     return reduce(lambda a, w: a | c.contains(w), words, F.lit(False))
 
 
-def _row(stage: int, level: Column, area: Column, element: Column, unit: Column, quantity: Column, confidence: Column, row: Column) -> list[Column]:
-    values = (F.col("workspace_id"), F.lit(stage), level, area, element, unit, F.bround(F.greatest(F.lit(0.0), quantity), 3), confidence, row.cast("long"))
-    return [v.alias(n) for n, v in zip(COLUMNS, values, strict=True)]
-
-
 def commercial(rows: DataFrame, pages: DataFrame, finishes: DataFrame) -> DataFrame:
     """Schedule lines of each workspace by stage; a stage's measured rows keep it from being derived.
 
@@ -38,44 +34,52 @@ def commercial(rows: DataFrame, pages: DataFrame, finishes: DataFrame) -> DataFr
     pages; 3 internal walls, measured, else pending for each level; 4 doors, measured, else one set a named unit; 5
     external rows, equal ones once; 6 soffits and specialist finishes of the dictionary. rows: take-off rows. pages:
     workspace_id, words. finishes: workspace_id, code, description.
+
+    The rows are read once: each lists the stages that it is measured in, and these lines are written. What a
+    workspace has measured is one row of flags, by which stages are derived.
     """
     low = lambda *cs: F.lower(F.concat_ws(" ", *cs))
-    q, none = F.coalesce("quantity", F.lit(0.0)), F.lit(None).cast("long")
+    q = F.coalesce("quantity", F.lit(0.0))
+    shown = F.bround(F.greatest(F.lit(0.0), q), 3)
     level = text.level_commercial(F.concat_ws(" ", "location", "source_page"))
-    r = rows.withColumn("at_level", level).withColumn("is_floor", takeoff.is_floor_reference())
-    work = r.filter(~F.col("is_floor"))
-    floors = r.filter(F.col("is_floor") & (q > 0))
-    measured = {
-        2: work.filter(low("element", "location").contains("ceiling") & (q > 0)),
-        3: work.filter(low("section", "element", "location").contains("internal") & low("section", "element", "location").contains("wall") & (q > 0)),
-        4: work.filter(low("element", "location").contains("door")),
-    }
-    keep = lambda d, k: d.select(*_row(k, F.col("at_level"), F.coalesce("location", F.lit("General")), F.col("element"), F.coalesce("unit", F.lit("m²")), q, F.coalesce("confidence", "quantity_status", F.lit("To review")), F.col("id")))
     named = F.when(F.lower("location").rlike(r"\b(?:unit|apt|apartment|villa|townhouse)\b"), F.col("location"))
-    groups = floors.groupBy("workspace_id", "at_level").agg(F.sum(q).alias("qty"), F.count_distinct(named).alias("units"))
+    is_floor, all_words = F.col("is_floor"), F.col("all_words")
+    said = lambda basis: F.coalesce("confidence", "quantity_status", F.lit(basis))
+    line = lambda stage, when, area, element, unit, basis: F.when(when, F.struct(F.lit(stage).alias("stage"), F.coalesce("location", F.lit(area)).alias("area"), element.alias("element"), F.coalesce(unit, F.lit("m²")).alias("unit"), said(basis).alias("confidence")))
+    own, unit = F.col("element"), F.col("unit")
+    stages = F.array_compact(F.array(
+        line(1, is_floor & (q > 0), "Internal", F.lit("Internal floor area"), F.lit("m²"), "Measured basis"),
+        line(2, ~is_floor & low("element", "location").contains("ceiling") & (q > 0), "General", own, unit, "To review"),
+        line(3, ~is_floor & all_words.contains("internal") & all_words.contains("wall") & (q > 0), "General", own, unit, "To review"),
+        line(4, ~is_floor & low("element", "location").contains("door"), "General", own, unit, "To review"),
+        line(5, ~is_floor & _holds(all_words, EXTERNAL), "General", own, unit, "To review"),
+    ))
+    once = F.struct(*[F.lower(F.trim(F.coalesce(c, F.lit("")))).alias(c) for c in ("element", "location", "substrate", "unit")], F.bround(q, 3).alias("q")).alias("once")
+    marked = rows.withColumns({"is_floor": takeoff.is_floor_reference(), "all_words": low("section", "element", "location")})
+    lines = marked.select("workspace_id", level.alias("level"), shown.alias("base_qty"), q.alias("q"), F.col("id").cast("long").alias("from_row"), named.alias("named"), once, F.inline(stages))
+    lines = written(lines.withColumn("once", F.when(F.col("stage") == 5, F.col("once"))), "schedule-lines")
+
+    outside = lines.filter("stage = 5").groupBy("workspace_id", "once").agg(F.min_by(F.struct(*COLUMNS), "from_row").alias("row")).select("row.*")
+    groups = lines.filter("stage = 1").groupBy("workspace_id", "level").agg(F.sum("q").alias("qty"), F.count_distinct("named").alias("units"))
+    has = lines.groupBy("workspace_id").agg(*[F.bool_or(F.col("stage") == k).alias(f"has_{k}") for k in (1, 2, 3, 4)])
     flags = pages.groupBy("workspace_id").agg(*[F.bool_or(_holds(F.lower("words"), w)).alias(n) for n, w in EVIDENCE.items()])
-    without = lambda d, k: d.join(measured[k].select("workspace_id").distinct(), "workspace_id", "left_anti")
-    flagged = groups.join(flags, "workspace_id", "left").fillna(False)
-    make = lambda d, k, area, element, unit, quantity, confidence: d.select(*_row(k, F.col("at_level"), F.lit(area), F.lit(element), F.lit(unit), quantity, confidence, none))
-    everywhere = flags.filter("has_partition").join(groups.select("workspace_id").distinct(), "workspace_id", "left_anti").select("workspace_id", F.lit("Unassigned").alias("at_level"))
-    pending = groups.select("workspace_id", "at_level").unionAll(everywhere)
-    outside = work.filter(_holds(low("section", "element", "location"), EXTERNAL))
-    keys = ["workspace_id", *[F.lower(F.trim(F.coalesce(c, F.lit("")))).alias(f"k_{c}") for c in ("element", "location", "substrate", "unit")], F.bround(q, 3).alias("k_q")]
-    once = outside.groupBy(*keys).agg(F.min_by(F.struct(*outside.columns), "id").alias("row")).select("row.*")
-    said = finishes.withColumn("low", F.lower("description"))
-    extra = said.withColumn("kind", F.when(_holds(F.col("low"), ("soffit", "eave")), "External soffits / eaves").when(_holds(F.col("low"), SPECIALIST), "Specialist finish")).filter("kind is not null")
-    stages = [
-        floors.select(*_row(1, F.col("at_level"), F.coalesce("location", F.lit("Internal")), F.lit("Internal floor area"), F.lit("m²"), q, F.coalesce("confidence", "quantity_status", F.lit("Measured basis")), F.col("id"))),
-        keep(measured[2], 2),
-        make(without(flagged.filter("has_rcp"), 2), 2, "Apartments / internal", "General painted ceilings", "m²", F.col("qty"), F.lit("Derived basis")),
-        keep(measured[3], 3),
-        make(without(pending, 3), 3, "Apartments / internal", "Internal walls", "m²", F.lit(0.0), F.lit("Pending")),
-        keep(measured[4], 4),
-        make(without(flagged.filter("units > 0"), 4), 4, "Apartments", "Apartment entry doors & frames", "No.", F.col("units").cast("double"), F.when(F.col("has_doors"), "High").otherwise("Derived")),
-        keep(once, 5),
-        extra.select(*_row(6, F.when(F.col("kind").startswith("External"), "External").otherwise("As documented"), F.when(F.col("kind").startswith("External"), "Soffits / eaves").otherwise("Specialist"), F.col("kind"), F.lit("m²"), F.lit(0.0), F.lit("Pending"), none)),
-    ]
-    return reduce(DataFrame.unionAll, stages)
+    known = has.join(flags, "workspace_id", "full").fillna(False)
+    # Without floors, walls are pending where a plan is among the pages, at no level.
+    met = known.join(groups, "workspace_id", "left").withColumn("floors", F.col("level").isNotNull()).withColumn("level", F.coalesce("level", F.lit("Unassigned")))
+    derived = lambda stage, when, area, element, unit, quantity, confidence: F.when(when, F.struct(F.lit(stage).alias("stage"), F.lit(area).alias("area"), F.lit(element).alias("element"), F.lit(unit).alias("unit"), F.bround(F.greatest(F.lit(0.0), quantity), 3).alias("base_qty"), confidence.alias("confidence")))
+    c = F.col
+    made = F.array_compact(F.array(
+        derived(2, c("floors") & ~c("has_2") & c("has_rcp"), "Apartments / internal", "General painted ceilings", "m²", c("qty"), F.lit("Derived basis")),
+        derived(3, ~c("has_3") & (c("floors") | (c("has_partition") & ~c("has_1"))), "Apartments / internal", "Internal walls", "m²", F.lit(0.0), F.lit("Pending")),
+        derived(4, c("floors") & ~c("has_4") & (c("units") > 0), "Apartments", "Apartment entry doors & frames", "No.", c("units").cast("double"), F.when(c("has_doors"), "High").otherwise("Derived")),
+    ))
+    rest = met.select("workspace_id", "level", F.lit(None).cast("long").alias("from_row"), F.inline(made)).select(*COLUMNS)
+    words = F.lower("description")
+    kind = F.when(_holds(words, ("soffit", "eave")), "External soffits / eaves").when(_holds(words, SPECIALIST), "Specialist finish")
+    extra = finishes.withColumn("kind", kind).filter("kind is not null")
+    soffit = F.col("kind").startswith("External")
+    listed = extra.select("workspace_id", F.lit(6).alias("stage"), F.when(soffit, "External").otherwise("As documented").alias("level"), F.when(soffit, "Soffits / eaves").otherwise("Specialist").alias("area"), F.col("kind").alias("element"), F.lit("m²").alias("unit"), F.lit(0.0).alias("base_qty"), F.lit("Pending").alias("confidence"), F.lit(None).cast("long").alias("from_row"))
+    return reduce(DataFrame.unionByName, (lines.filter("stage < 5").select(*COLUMNS), outside, rest, listed))
 
 
 def progress(schedule: DataFrame) -> DataFrame:

@@ -6,6 +6,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ..functions import pricing, text
+from ..functions.kept import kept
 
 #: Fields that an approval binds.
 BOUND = (
@@ -24,15 +25,18 @@ def _text(c: str) -> Column:
     return F.trim(F.coalesce(F.col(c).cast("string"), F.lit("")))
 
 
+@kept
 def is_floor_reference() -> Column:
     return _token("row_role") == "floor_area"
 
 
+@kept
 def is_excluded() -> Column:
     """(P5)"""
     return _token("inclusion_status").isin("exclude", "excluded", "exclusion")
 
 
+@kept
 def is_model_surface() -> Column:
     """Rows from the 3D model; once they carry marks of an approval they stay such."""
     source = _token("source_reference")
@@ -40,12 +44,14 @@ def is_model_surface() -> Column:
     return (_token("row_role") == "model_surface") | source.contains("3d_surface_editor") | _token("source_page").isin("3d_model", "3d", "model_surface") | marked
 
 
+@kept
 def approval_fingerprint() -> Column:
     """sha256 over every bound field in order; nulls are told apart from empty text."""
     field = lambda c: F.coalesce(F.concat(F.lit("="), F.trim(F.col(c).cast("string"))), F.lit("~"))
     return F.sha2(F.concat_ws("\x1f", *[F.concat(F.lit(c), field(c)) for c in BOUND]), 256)
 
 
+@kept
 def authority() -> Column:
     """Why a model surface isn't approved, APPROVED if it is, NOT_MODEL_SURFACE for other rows."""
     missing = lambda c: _token(c).isin(*NOTHING)
@@ -63,6 +69,7 @@ def approve(rows: DataFrame, source: str, reviewer: str, at: str) -> DataFrame:
     return rows.withColumns({k: F.lit(v) for k, v in named.items()}).withColumn("commercial_authority_fingerprint", approval_fingerprint())
 
 
+@kept
 def is_work() -> Column:
     """Rows that may be priced: no floor reference, not excluded, model surfaces only if approved."""
     return ~is_floor_reference() & ~is_excluded() & authority().isin("NOT_MODEL_SURFACE", "APPROVED")
