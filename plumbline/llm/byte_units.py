@@ -12,6 +12,10 @@ from __future__ import annotations
 import re
 from collections.abc import Callable, Iterable, Iterator
 
+import numpy as np
+import pyarrow as pa
+import pyarrow.compute as pc
+
 _RUN = re.compile(r"\s\s")
 
 
@@ -134,3 +138,57 @@ class _Table:
                         got[i] = made[keys[i]]
             self.held = held
         return got
+
+
+#: Any two characters of white space, for Arrow's expressions, whose own class knows ASCII only.
+RUN = r"[\s\x{0B}\x{1C}-\x{1F}\x{85}\x{A0}\x{1680}\x{2000}-\x{200A}\x{2028}\x{2029}\x{202F}\x{205F}\x{3000}]{2}"
+
+
+def flat(cache: UnitCache, texts: pa.Array, kind: str) -> tuple[np.ndarray, np.ndarray]:
+    """The ids of texts, none null, one after another, and how many each has; the cache's results are ids as bytes.
+
+    The units of all texts are told apart in Arrow and each different one is looked up once; texts in which white space
+    follows white space are cut one by one.
+    """
+    slow = pc.match_substring_regex(texts, RUN).to_numpy(zero_copy_only=False)
+    if not slow.any():
+        return _flat(cache, texts, kind)
+    ids, counts = _flat(cache, texts.filter(pa.array(~slow)), kind)
+    n = np.zeros(len(texts), np.int64)
+    n[~slow] = counts
+    own = [np.frombuffer(b"".join(cache.bare.get(units(text))), kind) for text in texts.filter(pa.array(slow)).to_pylist()]
+    n[slow] = [len(x) for x in own]
+    cut = np.append(0, np.cumsum(np.where(slow, 0, n)))[np.flatnonzero(slow)]
+    parts, last = [], 0
+    for at, x in zip(cut.tolist(), own, strict=True):
+        parts += [ids[last:at], x]
+        last = at
+    return np.concatenate([*parts, ids[last:]]), n
+
+
+def _flat(cache: UnitCache, texts: pa.Array, kind: str) -> tuple[np.ndarray, np.ndarray]:
+    lists = pc.split_pattern(texts, "\n")
+    text_of = np.repeat(np.arange(len(texts)), pc.list_value_length(lists).to_numpy(zero_copy_only=False))  # of a line
+    words = pc.split_pattern(lists.flatten(), " ")
+    each = pc.list_value_length(words).to_numpy(zero_copy_only=False)
+    begins = np.cumsum(each) - each  # the first word of each line
+    word = words.flatten()
+    is_first = np.zeros(len(word), bool)
+    is_first[begins] = True
+    firsts, rest = (word.filter(pa.array(m)).dictionary_encode() for m in (is_first, ~is_first))
+    bare, spaced = firsts.dictionary.to_pylist(), rest.dictionary.to_pylist()
+    held = [*cache.bare.get(["\n", *bare]), *cache.spaced.get(spaced)]
+    held = [b"" if k and k <= len(bare) and not bare[k - 1] else v for k, v in enumerate(held)]  # a line that begins with its space, or is empty
+    unit = np.empty(len(word), np.int64)
+    unit[is_first] = firsts.indices.to_numpy() + 1
+    unit[~is_first] = rest.indices.to_numpy() + 1 + len(bare)
+    further = np.flatnonzero(text_of[1:] == text_of[:-1]) + 1 if len(text_of) else np.zeros(0, np.int64)  # lines after a line end
+    of = np.insert(np.repeat(text_of, each), begins[further], text_of[further])
+    unit = np.insert(unit, begins[further], 0)
+    all_ids = np.frombuffer(b"".join(held), kind)
+    n = np.fromiter(map(len, held), np.int64, len(held)) // int(kind[-1])
+    start = np.cumsum(n) - n
+    own = n[unit]
+    ends = np.cumsum(own)
+    at = np.arange(int(ends[-1]) if len(ends) else 0) + np.repeat(start[unit] - (ends - own), own)
+    return all_ids[at], np.bincount(of, weights=own, minlength=len(texts)).astype(np.int64)

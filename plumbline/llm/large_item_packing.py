@@ -32,7 +32,7 @@ from pyspark.sql import functions as F
 from pyspark.taskcontext import TaskContext
 
 from .shared import small_batches, table, written
-from .token_files import END, _cache
+from .token_files import encode_batch
 
 CAPACITY = 1024
 SENT = 1 << 13  # pieces that a task hands over at a time, however long a text is
@@ -131,11 +131,9 @@ def pieces_of(docs: DataFrame, tokenizer: str, capacity: int = CAPACITY) -> Data
     """doc_id, piece, start, length, ids (binary, 4 bytes each), task, number (from 0, of the task's pieces of that length)."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        cache, own, seen = _cache(tokenizer), TaskContext.get().partitionId(), np.zeros(capacity + 1, np.int64)
-        end, width = np.array([END], dtype=cache.kind).tobytes(), int(cache.kind[-1])
+        own, seen = TaskContext.get().partitionId(), np.zeros(capacity + 1, np.int64)
         for b in batches:
-            raw = [b"".join([*parts, end]) for parts in cache.many(b.column(1).to_pylist())]
-            n = np.fromiter(map(len, raw), np.int64, len(raw)) // width
+            ids, n = encode_batch(tokenizer, b.column(1))
             # A document's pieces follow each other, so the pieces' ends cut the ids of all documents in a row.
             count = -(-n // capacity)
             doc = np.repeat(np.arange(len(n)), count)
@@ -149,8 +147,7 @@ def pieces_of(docs: DataFrame, tokenizer: str, capacity: int = CAPACITY) -> Data
             number[order] = np.arange(len(doc))
             number += seen[length] - run_of
             seen += np.bincount(length, minlength=capacity + 1)
-            ids = np.frombuffer(b"".join(raw), cache.kind).astype("<u4")
-            del raw
+            ids = ids.astype("<u4")
             ends = np.cumsum(length)
             for a in range(0, len(doc), SENT):
                 z = min(a + SENT, len(doc))

@@ -17,12 +17,13 @@ from collections.abc import Iterator
 import numpy as np
 import pandas as pd
 import public_tokenizers
+import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.taskcontext import TaskContext
 
 from . import rans
-from .byte_units import UnitCache
+from .byte_units import UnitCache, flat
 from .shared import ranges, scratch, small_batches, table, written
 
 END = 2
@@ -66,19 +67,34 @@ def _kind(vocabulary: int) -> str:
     return "<u2" if vocabulary <= 1 << 16 else "<u4"
 
 
+def encode_batch(path: str, texts: pa.Array) -> tuple[np.ndarray, np.ndarray]:
+    """The ids of texts, none null, in a row, each text's followed by the end id, and how many each text has."""
+    cache = _cache(path)
+    ids, n = flat(cache, texts, cache.kind)
+    return np.insert(ids, np.cumsum(n), END), n + 1
+
+
 def encoded(docs: DataFrame, path: str) -> DataFrame:
     """doc_id, width (bytes of an id), ids (binary, with the end id)."""
 
-    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        cache = _cache(path)
-        end, width = np.array([END], dtype=cache.kind).tobytes(), int(cache.kind[-1])
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
-            yield pd.DataFrame({"doc_id": b["doc_id"], "width": width, "ids": [b"".join(x) + end for x in cache.many(b["text"])]})
+            ids, n = encode_batch(path, b.column(1))
+            width = ids.itemsize
+            ends = np.append(0, np.cumsum(n)) * width
+            if ends[-1] < 1 << 31:
+                parts = [(0, len(n))]
+            else:  # more than an array of cells can hold: document by document
+                parts = [(k, k + 1) for k in range(len(n))]
+            raw = ids.view(np.uint8)
+            for a, z in parts:
+                data = pa.py_buffer(raw[ends[a] : ends[z]])
+                cells = pa.Array.from_buffers(pa.binary(), z - a, [None, pa.py_buffer((ends[a : z + 1] - ends[a]).astype(np.int32)), data])
+                yield pa.RecordBatch.from_arrays([b.column(0).slice(a, z - a), pa.array(np.full(z - a, width), pa.int32()), cells], ["doc_id", "width", "ids"])
 
     small_batches(docs.sparkSession)
-    # Ids pass through Python as strings: pandas has no exact long with nulls.
-    rows = docs.select(F.col("doc_id").cast("string").alias("doc_id"), F.coalesce("text", F.lit("")).alias("text"))
-    return rows.mapInPandas(run, "doc_id string, width int, ids binary").withColumn("doc_id", F.col("doc_id").cast("long"))
+    rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.coalesce("text", F.lit("")).alias("text"))
+    return rows.mapInArrow(run, "doc_id long, width int, ids binary")
 
 
 def counts(ids: DataFrame) -> np.ndarray:
@@ -145,6 +161,7 @@ def read_table(spark: SparkSession, path: str) -> np.ndarray:
 
 def read_tokens(spark: SparkSession, path: str, with_ids: bool = False) -> DataFrame:
     """doc_id, start, n_tokens, ids_crc32 of every document of a data set and, if asked for, ids (binary, 4 bytes each)."""
+    small_batches(spark)
     freq = read_table(spark, path)
     files = spark.read.schema("part int, start long, n_ids long, data binary").parquet(f"{path}/files")
     totals = {r["part"]: r["n"] for r in files.groupBy("part").agg(F.sum("n_ids").alias("n")).collect()}  # a row per partition

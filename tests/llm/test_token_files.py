@@ -76,3 +76,13 @@ def test_empty_table(spark):
     path = scratch(spark, "t")
     token_files.write_tokens(spark.createDataFrame([], "doc_id long, text string"), path, PATH)
     assert token_files.read_tokens(spark, path).count() == 0
+
+
+@settings(max_examples=300, deadline=None)
+@given(st.lists(st.lists(st.sampled_from(ALPHABET), max_size=12).map("".join), max_size=6))
+def test_batches_encode_as_whole_texts(texts):
+    import pyarrow as pa
+
+    ids, n = token_files.encode_batch(PATH, pa.array(["before", *texts], pa.string()).slice(1))
+    want = [[*tokenizer().encode(t, add_special_tokens=False).ids, token_files.END] for t in texts]
+    assert n.tolist() == list(map(len, want)) and ids.tolist() == [i for w in want for i in w]
