@@ -275,11 +275,6 @@ def first_existing(df: DataFrame, wanted: dict[str, tuple[str, ...]]) -> DataFra
     return df.select(*[pick(names).alias(k) for k, names in wanted.items()])
 
 
-def jdbc(spark: SparkSession, url: str, name: str, predicates: list[str] | None = None, **properties: str) -> DataFrame:
-    """An external table, a task for each predicate."""
-    return spark.read.jdbc(url, name, predicates=predicates, properties=properties) if predicates else spark.read.jdbc(url, name, properties=properties)
-
-
 def json_documents(df: DataFrame, column: str, schema: str) -> DataFrame:
     """The first object in a text, read by a schema; texts without one give null."""
     return df.withColumn("document", F.from_json(text.json_object(F.col(column)), schema))

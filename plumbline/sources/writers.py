@@ -151,11 +151,6 @@ def _xlsx(columns: list[str], rows) -> bytes:
     return out.getvalue()
 
 
-def append_jdbc(df: DataFrame, url: str, name: str, **properties: str) -> None:
-    """Rows appended to an external table."""
-    df.write.jdbc(url, name, mode="append", properties=properties)
-
-
 def mesh(faces: DataFrame, path: str) -> None:
     """Vertices and faces as OBJ text; faces: face_id, points of (x, y, z).
 
