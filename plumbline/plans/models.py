@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
-from ..operators import model
+from ..operators import model, surface_process
 from .shared import query, table
 
 
@@ -38,3 +38,26 @@ def q_canonical_model(spark, sf):
     out = m.openings.select(d("opening").alias("part"), "id", F.col("physical_state").alias("state"))
     out = out.unionAll(m.walls.select(d("wall"), "wall_ref", F.when(F.col("deduction_authority"), "deducts").otherwise("stands")))
     return out.unionAll(m.ledger.select(d("left out"), "id", "reason"))
+
+
+@query("""WITH p AS (SELECT c_custkey AS k, c_custkey % 11 > 0 AS doc, c_custkey % 13 > 0 AS readable, CASE WHEN c_custkey % 5 = 0 THEN 'w' END AS we, CASE WHEN c_custkey % 7 = 0 THEN 'h' END AS he, CASE WHEN c_custkey % 6 = 0 THEN 't' END AS te, c_nationkey FROM customer),
+ s AS (SELECT o_custkey AS k, 'fill' AS kind, o_orderkey AS id, (o_orderkey % 40) * 60 AS x FROM orders UNION ALL SELECT k, 'hatch', k, 120 FROM p WHERE c_nationkey % 3 = 0),
+ e AS (SELECT s.k, kind, id, te IS NULL AND x + 20 <= 1000 AS tied, we, te FROM s JOIN p ON p.k = s.k WHERE doc AND readable AND (kind = 'fill' OR he IS NULL)),
+ c AS (SELECT k, count(*) FILTER (kind = 'fill') AS fills, count(*) FILTER (kind = 'hatch') AS hatches, count(*) FILTER (tied) AS associated, count(*) FILTER (NOT tied) AS unassociated, count(*) FILTER (kind = 'hatch' AND we IS NOT NULL OR NOT tied AND te IS NOT NULL) AS to_check FROM e GROUP BY 1)
+ SELECT p.k AS page_id, CASE WHEN NOT doc OR NOT readable THEN 'error' WHEN fills IS NULL THEN CASE WHEN he IS NULL THEN 'no_fills' ELSE 'partial' END WHEN coalesce(we, he, te) IS NULL THEN 'ok' ELSE 'partial' END AS status, CASE WHEN NOT doc THEN 'document' WHEN NOT readable THEN 'page' WHEN fills IS NULL THEN CASE WHEN he IS NULL THEN 'fills' ELSE 'hatches' END ELSE 'done' END AS stage,
+ CASE WHEN NOT doc THEN 'no document' WHEN NOT readable THEN 'page can''t be read' WHEN fills IS NULL AND he IS NULL THEN 'nothing is filled or hatched' ELSE coalesce(we, he, te) END AS reason, coalesce(fills, 0)::BIGINT AS fills, coalesce(hatches, 0)::BIGINT AS hatches, (CASE WHEN doc AND readable AND we IS NULL THEN 1 ELSE 0 END)::BIGINT AS codes, coalesce(associated, 0)::BIGINT AS associated, coalesce(unassociated, 0)::BIGINT AS unassociated, coalesce(to_check, 0)::BIGINT AS to_check FROM p LEFT JOIN c ON c.k = p.k""")
+def q_surface_process(spark, sf):
+    """How far each page's surfaces came, why a page stopped, and what is to be checked. (F117)"""
+    c, o, d = table(spark, sf, "customer"), table(spark, sf, "orders"), F.lit
+    k = F.col("c_custkey")
+    fails = lambda n, what: F.when(k % n == 0, what)
+    pages = c.select(d(1).cast("long").alias("workspace_id"), k.alias("page_id"), (k % 11 > 0).alias("has_document"), (k % 13 > 0).alias("readable"), fails(5, "w").alias("words_error"), fails(7, "h").alias("hatch_error"), fails(6, "t").alias("targets_error"), d(0.01).alias("m_per_pt"), d(0.9).alias("scale_confidence"))
+    at = lambda x, y: F.struct(x.cast("double").alias("x"), d(float(y)).alias("y"))
+    square = lambda x, n: F.array(at(x, 10), at(x + n, 10), at(x + n, 10 + n), at(x, 10 + n))
+    fills = o.select(F.col("o_custkey").alias("page_id"), F.col("o_orderkey").alias("shape_id"), square(F.col("o_orderkey") % 40 * 60, 20).alias("points"))
+    hatches = c.filter("c_nationkey % 3 = 0").select(k.alias("page_id"), k.alias("shape_id"), square(d(120), 20).alias("points"))
+    words = c.select(k.alias("page_id"), d(1).alias("word_id"), d("PT01").alias("text"), d(125.0).alias("x"), d(15.0).alias("y"))
+    targets = c.select(k.alias("page_id"), d("wall").alias("id"), F.array(at(d(0), 0), at(d(1000), 0), at(d(1000), 100), at(d(0), 100)).alias("points"))
+    evidence, ledger = surface_process.processed(pages, fills, hatches, words, targets)
+    check = evidence.groupBy("page_id").agg(F.count_if(F.col("status") == "needs_check").alias("to_check"))
+    return ledger.drop("workspace_id").join(check, "page_id", "left").fillna(0, ["to_check"])
