@@ -187,7 +187,7 @@ def q_doors_and_windows(spark, sf):
     seg = _segments(orders(spark, sf), (0, 0, 2000, 0), (500, 0, 500, 90), (1000, -20, 1000, 20), (1000 + w, -20, 1000 + w, 20))
     walls = orders(spark, sf).select(key().alias("page_id"), F.lit("W").alias("wall_ref"), *[F.lit(v).alias(c) for c, v in (("x1", 0.0), ("y1", 0.0), ("x2", 2000.0), ("y2", 0.0))])
     d = evidence.doors(seg, walls, 100.0).select("page_id", F.lit("door").alias("kind"), "seg_id", F.round("width_m", 6).alias("width_m"), F.round("position_along_wall_m", 6).alias("at_m"))
-    w = evidence.windows(seg.filter("seg_id % 100 <> 1"), walls, 100.0).select("page_id", F.lit("window"), "a_seg_id", F.round("width_m", 6), F.round("position_along_wall_m", 6))
+    w = evidence.windows(seg, walls, 100.0).select("page_id", F.lit("window"), "a_seg_id", F.round("width_m", 6), F.round("position_along_wall_m", 6))
     return d.unionAll(w)
 
 

@@ -110,10 +110,14 @@ def q_preflight(spark, sf):
     return got.select("workspace_id", "publishable_rows", "value_ex_gst", "blocker", "high", "state", (F.length("fingerprint") == 64).alias("fingerprinted"))
 
 
-@query(f"""WITH {_ROWS} SELECT 'J1' AS job, workspace_id, count(*)::BIGINT AS rows, true AS first_time, false AS second_time FROM t WHERE NOT is_model AND rate > 0 AND level <> 'Unassigned' AND workspace_id <= 5 AND {_WORK} GROUP BY 2""")
+@query(f"""WITH {_ROWS} SELECT 'J1' AS job, workspace_id, count(*)::BIGINT AS rows, true AS first_time, false AS second_time FROM t WHERE NOT is_model AND rate > 0 AND level <> 'Unassigned' AND {_WORK} GROUP BY 2""")
 def q_publish(spark, sf):
-    """Rows published exactly once: the check seen is the check now, and a repeated call adds nothing."""
-    r = rows(spark, sf).filter("coalesce(row_role, '') <> 'model-surface' and rate_per_unit > 0 and location <> 'shed' and workspace_id <= 5")
+    """Rows published exactly once: the check seen is the check now, and a repeated call adds nothing.
+
+    A workspace with a blocker publishes nothing, so rows of the model, without a rate or without a level are mended
+    away first, in all workspaces.
+    """
+    r = rows(spark, sf).filter("coalesce(row_role, '') <> 'model-surface' and rate_per_unit > 0 and location <> 'shed'")
     r = scratch.written(r, "rows")
     seen = scratch.written(gates.preflight(r, gates.signals(r)), "seen")
     at = scratch.path(spark, "published")
@@ -228,10 +232,10 @@ def q_commercial_lines(spark, sf):
     return orders(spark, sf).select(key().alias("id"), line["gross"].alias("gross"), line["net"].alias("net"), assembly.manual_calibration(F.when(key() % 3 == 0, 101.0).otherwise(100.1), F.lit(100.0)).alias("by_hand"), F.round(pricing.variance_pct(b, d), 6).alias("off_pct"), F.round(pricing.rescaled(b, F.lit(100.0), F.lit(50.0), 2), 6).alias("rescaled"), F.round(pricing.pitched_area(b, F.lit(30.0)), 6).alias("pitched"))
 
 
-@query(f"""WITH {_ROWS} SELECT section, element, CASE WHEN level = 'Unassigned' THEN 'Level 4 · shed' ELSE 'Level 4' END AS place, count(*)::BIGINT AS n, 0.0::DOUBLE AS quantity FROM t WHERE id % 10 = 0 AND level IN ('Unassigned', 'Roof') GROUP BY 1, 2, 3""")
+@query(f"""WITH {_ROWS} SELECT section, element, CASE level WHEN 'Unassigned' THEN 'Level 4 · shed' WHEN 'Basement 1' THEN 'Level 4 · Basement 1' WHEN 'Level 2' THEN 'Level 4 · lvl 2' WHEN 'Ground' THEN 'Level 4 floor' ELSE 'Level 4' END AS place, count(*)::BIGINT AS n, 0.0::DOUBLE AS quantity FROM t WHERE id % 10 = 0 GROUP BY 1, 2, 3""")
 def q_copy_to_level(spark, sf):
     """Copies of rows at another level."""
-    r = rows(spark, sf).filter("location in ('shed', 'Roof')")
+    r = rows(spark, sf)
     got = takeoff.copy_to_level(r, r.filter("id % 10 = 0").select("id"), "Level 4")
     return got.groupBy("section", "element", F.col("location").alias("place")).agg(F.count("*").alias("n"), F.max("quantity").alias("quantity"))
 
@@ -295,11 +299,11 @@ def q_merged_batches(spark, sf):
     return got.select(F.lower(F.trim("element")).alias("element"), "place", "from_batch")
 
 
-@query("""WITH o AS (SELECT o_orderkey AS id, (o_orderkey % 40)::DOUBLE AS a FROM orders) SELECT id, CASE id % 4 WHEN 0 THEN round(2 * a, 3) WHEN 1 THEN greatest(0, 10 - a) WHEN 2 THEN CASE WHEN a = 0 THEN 7 ELSE round(a * 2.7, 3) END ELSE 7 END::DOUBLE AS quantity, CASE WHEN id % 4 = 0 AND a > 0 OR id % 4 = 1 OR id % 4 = 2 AND a > 0 THEN 'Mapped' ELSE 'Was' END AS status FROM o WHERE NOT (id % 4 = 0 AND a = 0)""")
+@query("""WITH o AS (SELECT o_orderkey AS id, (o_orderkey % 40)::DOUBLE AS a FROM orders) SELECT id, CASE id % 4 WHEN 0 THEN CASE WHEN a = 0 THEN 7 ELSE round(2 * a, 3) END WHEN 1 THEN greatest(0, 10 - a) WHEN 2 THEN CASE WHEN a = 0 THEN 7 ELSE round(a * 2.7, 3) END ELSE 7 END::DOUBLE AS quantity, CASE WHEN id % 4 = 0 AND a > 0 OR id % 4 = 1 OR id % 4 = 2 AND a > 0 THEN 'Mapped' ELSE 'Was' END AS status FROM o""")
 def q_measured(spark, sf):
     """Quantities from shapes; without a usable one the quantity before mapping."""
     a, d = (key() % 40).cast("double"), F.lit
-    r = orders(spark, sf).filter(~((key() % 4 == 0) & (a == 0))).select(key().alias("id"), F.when(key() % 4 == 0, "m2").otherwise("m²").alias("unit"), d(1.0).alias("quantity"), d("x").alias("quantity_status"), d(7.0).alias("pre_map_quantity"), d(None).cast("double").alias("ai_baseline_quantity"), d("Was").alias("pre_map_quantity_status"))
+    r = orders(spark, sf).select(key().alias("id"), F.when(key() % 4 == 0, "m2").otherwise("m²").alias("unit"), d(1.0).alias("quantity"), d("x").alias("quantity_status"), d(7.0).alias("pre_map_quantity"), d(None).cast("double").alias("ai_baseline_quantity"), d("Was").alias("pre_map_quantity_status"))
     shape = lambda kind, basis, area, perimeter: F.struct(d(kind).alias("kind"), d(basis).alias("measurement_basis"), d(0.0).alias("length_m"), area.cast("double").alias("area_m2"), perimeter.alias("perimeter_m"))
     two = F.array(shape("polygon", "", a, d(0.0)), shape("Polygon", "", a, d(0.0)))
     less = F.array(shape("polygon", "", d(10.0), d(0.0)), shape("polygon", "deduction", a, d(0.0)))
