@@ -168,7 +168,8 @@ def flat(cache: UnitCache, texts: pa.Array, kind: str) -> tuple[np.ndarray, np.n
 
 def _flat(cache: UnitCache, texts: pa.Array, kind: str) -> tuple[np.ndarray, np.ndarray]:
     lists = pc.split_pattern(texts, "\n")
-    text_of = np.repeat(np.arange(len(texts)), pc.list_value_length(lists).to_numpy(zero_copy_only=False))  # of a line
+    lines = pc.list_value_length(lists).to_numpy(zero_copy_only=False)
+    text_of = np.repeat(np.arange(len(texts), dtype=np.int32), lines)  # of a line
     words = pc.split_pattern(lists.flatten(), " ")
     each = pc.list_value_length(words).to_numpy(zero_copy_only=False)
     begins = np.cumsum(each) - each  # the first word of each line
@@ -176,19 +177,24 @@ def _flat(cache: UnitCache, texts: pa.Array, kind: str) -> tuple[np.ndarray, np.
     is_first = np.zeros(len(word), bool)
     is_first[begins] = True
     firsts, rest = (word.filter(pa.array(m)).dictionary_encode() for m in (is_first, ~is_first))
+    del words, word, lists
     bare, spaced = firsts.dictionary.to_pylist(), rest.dictionary.to_pylist()
     held = [*cache.bare.get(["\n", *bare]), *cache.spaced.get(spaced)]
     held = [b"" if k and k <= len(bare) and not bare[k - 1] else v for k, v in enumerate(held)]  # a line that begins with its space, or is empty
-    unit = np.empty(len(word), np.int64)
+    unit = np.empty(len(is_first), np.int32)
     unit[is_first] = firsts.indices.to_numpy() + 1
-    unit[~is_first] = rest.indices.to_numpy() + 1 + len(bare)
+    unit[~is_first] = rest.indices.to_numpy() + (1 + len(bare))
     further = np.flatnonzero(text_of[1:] == text_of[:-1]) + 1 if len(text_of) else np.zeros(0, np.int64)  # lines after a line end
-    of = np.insert(np.repeat(text_of, each), begins[further], text_of[further])
     unit = np.insert(unit, begins[further], 0)
     all_ids = np.frombuffer(b"".join(held), kind)
-    n = np.fromiter(map(len, held), np.int64, len(held)) // int(kind[-1])
-    start = np.cumsum(n) - n
+    n = np.fromiter(map(len, held), np.int32, len(held)) // int(kind[-1])
+    start = np.cumsum(n, dtype=np.int32) - n
     own = n[unit]
-    ends = np.cumsum(own)
-    at = np.arange(int(ends[-1]) if len(ends) else 0) + np.repeat(start[unit] - (ends - own), own)
-    return all_ids[at], np.bincount(of, weights=own, minlength=len(texts)).astype(np.int64)
+    ends = np.cumsum(own, dtype=np.int64)
+    wide = np.int64 if len(ends) and ends[-1] >= 1 << 31 else np.int32
+    at = np.arange(int(ends[-1]) if len(ends) else 0, dtype=wide)
+    at += np.repeat((start[unit] - (ends - own)).astype(wide), own)
+    # A text has its lines' words and a line end between two lines.
+    units_of = np.add.reduceat(each, np.append(0, np.cumsum(lines)[:-1])) + lines - 1 if len(lines) else np.zeros(0, np.int64)
+    upto = np.append(0, ends)[np.append(0, np.cumsum(units_of))]
+    return all_ids[at], np.diff(upto)

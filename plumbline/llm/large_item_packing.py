@@ -32,7 +32,7 @@ from pyspark.sql import functions as F
 from pyspark.taskcontext import TaskContext
 
 from .shared import small_batches, table, written
-from .token_files import encode_batch
+from .token_files import encode_batch, larger
 
 CAPACITY = 1024
 SENT = 1 << 13  # pieces that a task hands over at a time, however long a text is
@@ -132,7 +132,7 @@ def pieces_of(docs: DataFrame, tokenizer: str, capacity: int = CAPACITY) -> Data
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         own, seen = TaskContext.get().partitionId(), np.zeros(capacity + 1, np.int64)
-        for b in batches:
+        for b in larger(batches):
             ids, n = encode_batch(tokenizer, b.column(1))
             # A document's pieces follow each other, so the pieces' ends cut the ids of all documents in a row.
             count = -(-n // capacity)

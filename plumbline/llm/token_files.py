@@ -29,6 +29,7 @@ from .shared import ranges, scratch, small_batches, table, written
 END = 2
 FILE_IDS = 1 << 20
 PART_IDS = 32 << 20  # ids of a range of documents, on average
+TOGETHER = 12 << 20  # bytes of texts that are encoded together
 CACHED = 320 << 20  # bytes of units that a worker remembers; tasks of a table share most of them, so they stay from task to task
 _open: dict[str, UnitCache] = {}
 
@@ -67,6 +68,18 @@ def _kind(vocabulary: int) -> str:
     return "<u2" if vocabulary <= 1 << 16 else "<u4"
 
 
+def larger(batches: Iterator[pa.RecordBatch], size: int = TOGETHER) -> Iterator[pa.RecordBatch]:
+    """Batches put together up to a size, so that fewer of their units differ and must be looked up."""
+    held: list[pa.RecordBatch] = []
+    for b in batches:
+        held.append(b)
+        if sum(x.nbytes for x in held) >= size:
+            yield pa.concat_batches(held)
+            held = []
+    if held:
+        yield pa.concat_batches(held)
+
+
 def encode_batch(path: str, texts: pa.Array) -> tuple[np.ndarray, np.ndarray]:
     """The ids of texts, none null, in a row, each text's followed by the end id, and how many each text has."""
     cache = _cache(path)
@@ -78,7 +91,7 @@ def encoded(docs: DataFrame, path: str) -> DataFrame:
     """doc_id, width (bytes of an id), ids (binary, with the end id)."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for b in batches:
+        for b in larger(batches):
             ids, n = encode_batch(path, b.column(1))
             width = ids.itemsize
             ends = np.append(0, np.cumsum(n)) * width
