@@ -2,14 +2,16 @@
 
 from __future__ import annotations
 
-import tempfile
-import uuid
-
 import numpy as np
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+from ..scratch import path as scratch
+from ..scratch import written
+
+__all__ = ["SPACES", "let", "numbered_within", "ranges", "scratch", "small_batches", "table", "words_of", "written"]
+
 #: White space that separates words, as a regular expression for Java, DuckDB and Python alike.
 SPACES = r"[\x20\x09-\x0D]+"
 
@@ -18,30 +20,6 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
-def scratch(spark: SparkSession, name: str) -> str:
-    """A new path in the folder that the cluster names in spark.checkpoint.dir.
-
-    Where that setting is absent a temporary folder is set for the session if it is a local one (tests, a laptop); on
-    a cluster, whose executors would each write to a disk of their own, that is an error.
-    """
-    base = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getConf().get("spark.checkpoint.dir")
-    if not base:
-        master = spark.sparkContext.master
-        if not master.startswith("local") or master.startswith("local-cluster"):
-            raise ValueError("set spark.checkpoint.dir to a folder that the driver and all executors share")
-        base = f"file://{tempfile.mkdtemp(prefix='scratch-')}"
-        spark.conf.set("spark.checkpoint.dir", base)
-    return f"{base.rstrip('/')}/{name}-{uuid.uuid4().hex}"
-
-
-def written(df: DataFrame, name: str, **options: str) -> DataFrame:
-    """df as a table in the shared folder: lineage ends here, and a lost executor loses nothing of it."""
-    spark = df.sparkSession
-    path = scratch(spark, name)
-    df.write.options(**options).parquet(path)
-    return spark.read.schema(df.schema).parquet(path)
-
-
 def ranges(spark: SparkSession, rows: int, each: int = 1_000_000) -> int:
     """Partitions for so many slim rows: as many as the session says, more where each would get more rows than each."""
     return max(1, int(spark.conf.get("spark.sql.shuffle.partitions")), -(-rows // each))
