@@ -2,12 +2,33 @@
 
 from __future__ import annotations
 
+import atexit
+import contextlib
 import tempfile
 import uuid
 
+from pyspark import SparkContext
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+_made: list[str] = []
+
+
+def clean() -> int:
+    """Deletes all intermediate tables made so far; for when the results that were made of them are written. The number deleted."""
+    jvm, context, n = SparkContext._jvm, SparkContext._active_spark_context, 0
+    while _made and jvm is not None:
+        at = jvm.org.apache.hadoop.fs.Path(_made.pop())
+        conf = context._jsc.hadoopConfiguration() if context else jvm.org.apache.hadoop.conf.Configuration()
+        n += bool(at.getFileSystem(conf).delete(at, True))
+    return n
+
+
+@atexit.register
+def _at_the_end() -> None:
+    with contextlib.suppress(Exception):  # the JVM may be gone; the folder is a scratch folder
+        clean()
+
 
 def path(spark: SparkSession, name: str) -> str:
     """A new path in the folder that spark.checkpoint.dir names.
@@ -22,13 +43,17 @@ def path(spark: SparkSession, name: str) -> str:
             raise ValueError("set spark.checkpoint.dir to a folder that the driver and all executors share")
         base = f"file://{tempfile.mkdtemp(prefix='scratch-')}"
         spark.conf.set("spark.checkpoint.dir", base)
-    return f"{base.rstrip('/')}/{name}-{uuid.uuid4().hex}"
+    _made.append(f"{base.rstrip('/')}/{name}-{uuid.uuid4().hex}")
+    return _made[-1]
+
 
+def written(df: DataFrame, name: str = "table", **options: str) -> DataFrame:
+    """df as a table in the shared folder: lineage ends here, and a lost executor loses nothing of it.
 
-def written(df: DataFrame, name: str = "table") -> DataFrame:
-    """df as a table in the shared folder: lineage ends here, and a lost executor loses nothing of it."""
+    It is there until clean() is called or the session's process ends.
+    """
     at = path(df.sparkSession, name)
-    df.write.parquet(at)
+    df.write.options(**options).parquet(at)
     return df.sparkSession.read.schema(df.schema).parquet(at)
 
 
