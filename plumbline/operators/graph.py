@@ -36,21 +36,28 @@ def rings(steps: DataFrame) -> DataFrame:
     """id, ring, place: the cycles of a permutation, each named by its least id, and how many steps an id is after that. (F111, F126)
 
     steps: id, next, long; every id is the next of one id. Rings are found by doubling: after k rounds an id knows the
-    least of the 2^k that follow, and how far off it is. They are done when nobody's least changes any more, so there
-    are as many rounds as the longest ring has bits, and no ring has to fit a task.
+    least of the 2^k that follow, and how far off it is. An id that is the least both of those and of as many after
+    them has come round to itself: its ring is known, and leaves the rounds. So they are as many as the longest ring
+    has bits, but short rings cost only the first few, and no ring has to fit a task.
     """
-    far = cut(steps.select("id", "next", F.struct(F.col("id").alias("least"), F.lit(0).cast("long").alias("off")).alias("low"), F.lit(1).cast("long").alias("span")))
+    left = cut(steps.select("id", "next", F.struct(F.col("id").alias("least"), F.lit(0).cast("long").alias("off")).alias("low")))
+    done, span = None, 1
     while True:
-        ahead = far.select(F.col("id").alias("next"), F.col("next").alias("over"), F.col("low").alias("more"))
-        met = far.join(ahead, "next").withColumn("more", F.struct(F.col("more.least").alias("least"), (F.col("more.off") + F.col("span")).alias("off")))
-        new = cut(met.select("id", F.col("over").alias("next"), F.least("low", "more").alias("low"), (F.col("span") * 2).alias("span"), (F.col("more.least") < F.col("low.least")).alias("changed")))
-        if new.filter("changed").isEmpty():
+        ahead = left.select(F.col("id").alias("next"), F.col("next").alias("over"), F.col("low").alias("more"))
+        more = F.struct(F.col("more.least").alias("least"), (F.col("more.off") + span).alias("off"))
+        round_ = (F.col("low.least") == F.col("id")) & (F.col("more.least") == F.col("id"))
+        new = cut(left.join(ahead, "next").select("id", F.col("over").alias("next"), F.least("low", more).alias("low"), round_.alias("round")))
+        known = new.filter("round").select(F.col("id").alias("ring"))
+        found = new.join(known, F.col("low.least") == F.col("ring")).select("id", "ring", F.col("low.off").alias("off"))
+        done = found if done is None else done.unionAll(found)
+        left = new.drop("round").join(known, F.col("low.least") == F.col("ring"), "left_anti")
+        span *= 2
+        if left.isEmpty():
             break
-        far = new.drop("changed")
     # What is known is the way to the least id; the way from it is the rest of the ring.
-    sizes = new.groupBy(F.col("low.least").alias("ring")).agg(F.count("*").alias("n"))
-    found = new.select("id", F.col("low.least").alias("ring"), F.col("low.off").alias("off")).join(sizes, "ring")
-    return found.select("id", "ring", F.pmod(-F.col("off"), F.col("n")).alias("place"))
+    done = cut(done)
+    sizes = done.groupBy("ring").agg(F.count("*").alias("n"))
+    return done.join(sizes, "ring").select("id", "ring", F.pmod(-F.col("off"), F.col("n")).alias("place"))
 
 
 def cut(df: DataFrame) -> DataFrame:
