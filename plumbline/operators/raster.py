@@ -26,6 +26,7 @@ from ..scratch import numbered
 from . import graph
 
 TILE = 512
+SENT = 16 << 20  # pixels of tiles that are handed over together
 #: Fixed values of the drawing component: what is ink, the page's part that is looked at, a component's least and most shares.
 INK, SIDES, BOTTOM_PLAN, BOTTOM_ELEVATION = 205, (0.03, 0.97), 0.86, 0.82
 LEAST_WIDE, LEAST_HIGH, COVER, DENSE = 0.12, 0.10, (0.015, 0.78), (0.006, 0.45)
@@ -45,6 +46,8 @@ def tiles(pages: DataFrame, tile: int = TILE, margin: int = 0) -> DataFrame:
     """page_id, width, height, x0, y0 (of the tile), x, y, w, h (of its pixels with a margin, as far as the page goes), gray."""
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        names = ["page_id", "width", "height", "x0", "y0", "x", "y", "w", "h", "gray"]
+        held: list[tuple] = []
         for b in batches:
             for r in b.itertuples(index=False):
                 if not r.data or not r.width or not r.height:
@@ -56,7 +59,12 @@ def tiles(pages: DataFrame, tile: int = TILE, margin: int = 0) -> DataFrame:
                     for x0 in range(0, r.width, tile):
                         x, y = max(0, x0 - margin), max(0, y0 - margin)
                         cut = gray[y : y0 + tile + margin, x : x0 + tile + margin]
-                        yield pd.DataFrame({"page_id": [r.page_id], "width": r.width, "height": r.height, "x0": x0, "y0": y0, "x": x, "y": y, "w": cut.shape[1], "h": cut.shape[0], "gray": [cut.tobytes()]})
+                        held.append((r.page_id, r.width, r.height, x0, y0, x, y, cut.shape[1], cut.shape[0], cut.tobytes()))
+                        if len(held) * held[0][7] * held[0][8] >= SENT:
+                            yield pd.DataFrame(held, columns=names)
+                            held = []
+        if held:
+            yield pd.DataFrame(held, columns=names)
 
     kind = pages.schema["page_id"].dataType.simpleString()
     return pages.select("page_id", "width", "height", "channels", "data").mapInPandas(run, f"page_id {kind}, width int, height int, x0 int, y0 int, x int, y int, w int, h int, gray binary")
@@ -112,6 +120,8 @@ def runs(tiled: DataFrame, below: Column, tile: int = TILE, close: int = 1, wide
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for b in batches:
+            pages: list = []
+            parts: list[np.ndarray] = []
             for r in b.itertuples(index=False):
                 left, top, right, bottom = max(r.x, r.rx0), max(r.y, r.ry0), min(r.x + r.w, r.rx1), min(r.y + r.h, r.ry1)
                 if left >= right or top >= bottom:
@@ -125,7 +135,10 @@ def runs(tiled: DataFrame, below: Column, tile: int = TILE, close: int = 1, wide
                 own = mask[y0 - top : r.y0 + tile - top, x0 - left : r.x0 + tile - left]
                 y, a, z, n = _tile_runs(own if inside else ~own, diagonal)
                 if len(y):
-                    yield pd.DataFrame({"page_id": [r.page_id] * len(y), "y": y + y0, "x0": a + x0, "x1": z + x0, "ty": r.y0 // tile, "tx": r.x0 // tile, "n": n})
+                    pages.extend([r.page_id] * len(y))
+                    parts.append(np.stack([y + y0, a + x0, z + x0, np.full(len(y), r.y0 // tile), np.full(len(y), r.x0 // tile), n]))
+            if parts:
+                yield pd.DataFrame({"page_id": pages, **dict(zip(("y", "x0", "x1", "ty", "tx", "n"), np.concatenate(parts, axis=1), strict=True))})
 
     found = rows.mapInPandas(run, f"page_id {kind}, y int, x0 int, x1 int, ty int, tx int, n long")
     return graph.cut(found.select("page_id", "y", "x0", "x1", F.struct("page_id", "ty", "tx", "n").alias("label")))

@@ -46,7 +46,7 @@ def q_raster_rectangles(spark, sf):
     sides = [(x, False), (F.lit(1), True), (w - 2, False), (F.lit(1), True), (64 - x - w, False)]
     pages = table(spark, sf, "part").select(*_picture(k, 64, 64, [(y, blank), (F.lit(1), edge), (h - 2, sides), (F.lit(1), edge), (64 - y - h, blank)]))
     scales = table(spark, sf, "part").select(k.alias("page_id"), F.when(k % 3 == 1, "render_pixel").when(k % 3 == 2, "render_pixel").otherwise("pdf_point").alias("coord_space"), F.lit(20.0).alias("px_per_m"))
-    got = raster.rectangles(pages, scales, tile=32)
+    got = raster.rectangles(pages, scales, tile=64)
     return got.select("page_id", *[F.col(c).cast("long").alias(c) for c in ("x0", "y0", "x1", "y1")], "width_m", "height_m")
 
 

@@ -125,11 +125,11 @@ def q_areas_of_text(spark, sf):
     return units.unionByName(rows.select("id", F.inline(text.substrate_areas(F.col("t")))).withColumnRenamed("substrate", "label").withColumn("of", F.lit("substrate")))
 
 
-@query("""SELECT o_orderkey AS id, sha256(o_orderpriority) AS digest, (o_orderkey & 2147483647)::BIGINT AS a, ((('0x' || md5(o_orderpriority)[1:8])::BIGINT) & 2147483647)::BIGINT AS b FROM orders""")
+@query("""SELECT o_orderkey AS id, sha256(o_orderpriority) AS digest, (o_orderkey & 2147483647)::BIGINT AS a, ((('0x' || md5(o_orderpriority)[1:8])::BIGINT) & 2147483647)::BIGINT AS b, true AS stamped_today FROM orders""")
 def q_lock_keys(spark, sf):
-    """Digests and lock keys. (D17, F141)"""
+    """Digests, lock keys and stamps, which are of now. (D17, F140, F141)"""
     keys = text.lock_keys(key(), F.col("o_orderpriority"))
-    return table(spark, sf, "orders").select(key().alias("id"), text.digest(F.col("o_orderpriority")).alias("digest"), keys["a"].alias("a"), keys["b"].alias("b"))
+    return table(spark, sf, "orders").select(key().alias("id"), text.digest(F.col("o_orderpriority")).alias("digest"), keys["a"].alias("a"), keys["b"].alias("b"), (F.abs(F.unix_timestamp(text.stamp()) - F.unix_timestamp()) < 86400).alias("stamped_today"))
 
 
 @query(f"""WITH o AS (SELECT o_orderkey AS id, o_orderkey AS k FROM orders) SELECT id, {choice(("id", "id", "id", "NULL", "NULL"), "k")}::BIGINT AS n, {choice(("'x}'", "'y'", "NULL", "NULL", "NULL"), "k")} AS s FROM o""")
