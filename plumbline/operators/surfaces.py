@@ -9,6 +9,7 @@ from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from ..functions import geometry
+from ..scratch import shuffled
 
 #: Bounds of rooms.
 ROOM_LEAST_M2, ROOM_SOFT_M2, ROOM_MOST_M2, LONGEST, PAGE_SHARE, OUTLINE_SHARE, TITLE_X, TITLE_Y = 0.3, 1.0, 2500.0, 12.0, 0.75, 0.5, 0.60, 0.85
@@ -259,7 +260,7 @@ def code_targets(codes: DataFrame, targets: DataFrame, proximity: float = 30.0)
     cell = 4 * proximity
     span = lambda a, b: F.sequence(F.floor((box[a] - proximity) / cell), F.floor((box[b] + proximity) / cell))
     tiles = targets.select("page_id", F.col("id").alias("target_id"), "points", F.explode(span("x0", "x1")).alias("cx"), span("y0", "y1").alias("cys")).withColumn("cy", F.explode("cys")).drop("cys")
-    met = codes.withColumn("cx", F.floor(F.col("x") / cell)).withColumn("cy", F.floor(F.col("y") / cell)).join(tiles, ["page_id", "cx", "cy"])
+    met = codes.withColumn("cx", F.floor(F.col("x") / cell)).withColumn("cy", F.floor(F.col("y") / cell)).join(shuffled(tiles), ["page_id", "cx", "cy"])
     c = geometry.centroid(F.col("points"))
     inside, d = geometry.contains(F.col("points"), F.col("x"), F.col("y")), F.hypot(F.col("x") - c["x"], F.col("y") - c["y"])
     near = met.withColumn("inside", inside).withColumn("distance", d).filter(F.col("inside") | (F.col("distance") <= proximity))

@@ -57,6 +57,14 @@ def written(df: DataFrame, name: str = "table", **options: str) -> DataFrame:
     return df.sparkSession.read.schema(df.schema).parquet(at)
 
 
+def shuffled(df: DataFrame) -> DataFrame:
+    """df for a join in which both sides are shuffled, however small Spark guesses df to be.
+
+    Its guesses of exploded rows and of compressed tables are far too low; what it broadcasts by them has to fit the driver.
+    """
+    return df.hint("merge")
+
+
 def numbered(df: DataFrame, order: list[Column], name: str = "number", first: int = 1) -> DataFrame:
     """df with the row numbers of a whole order: sorted by range, counted from each partition's own ids.
 
