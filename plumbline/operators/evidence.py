@@ -7,6 +7,7 @@ from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from ..functions import geometry, text
+from ..scratch import shuffled
 from . import fusion
 
 #: What the columns of an opening schedule are called.
@@ -99,7 +100,7 @@ def jambs(segments: DataFrame, walls: DataFrame, pt_per_m: float, longest_m: flo
     reach = near_m * pt_per_m
     span = lambda a, b: F.sequence(F.floor((F.least(a, b) - reach) / cell), F.floor((F.greatest(a, b) + reach) / cell))
     tiled = wall.withColumn("cx", F.explode(span("w_x1", "w_x2"))).withColumn("cy", F.explode(span("w_y1", "w_y2")))
-    met = placed.join(tiled, ["page_id", "cx", "cy"])
+    met = placed.join(shuffled(tiled), ["page_id", "cx", "cy"])
     square = F.abs(geometry.angle_delta(geometry.angle(_seg()), geometry.angle(_seg("w_"))) - 90) <= 10
     met = met.filter(square & (geometry.segment_distance(F.col("mx"), F.col("my"), _seg("w_")) <= reach))
     return met.select("page_id", "wall_ref", "seg_id", "length_pt", "mx", "my", geometry.along(F.col("mx"), F.col("my"), _seg("w_")).alias("along_pt"))
@@ -192,6 +193,6 @@ def dimension_scales(words: DataFrame, segments: DataFrame, radius: float = 60.0
     dims = words.withColumn("metres", text.dimension_m(F.col("text"))).filter("metres is not null").select("page_id", "word_id", "x", "y", "metres", F.explode(F.sequence(cell("x") - 1, cell("x") + 1)).alias("cx")).withColumn("cy", F.explode(F.sequence(cell("y") - 1, cell("y") + 1)))
     span = lambda a, b: F.sequence(F.floor(F.least(a, b) / radius), F.floor(F.greatest(a, b) / radius))
     tiled = segments.withColumn("cx", F.explode(span("x1", "x2"))).withColumn("cy", F.explode(span("y1", "y2")))
-    near = dims.join(tiled, ["page_id", "cx", "cy"]).withColumn("distance", geometry.segment_distance(F.col("x"), F.col("y"), _seg())).filter(F.col("distance") <= radius).dropDuplicates(["page_id", "word_id", "seg_id"])
+    near = dims.join(shuffled(tiled), ["page_id", "cx", "cy"]).withColumn("distance", geometry.segment_distance(F.col("x"), F.col("y"), _seg())).filter(F.col("distance") <= radius).dropDuplicates(["page_id", "word_id", "seg_id"])
     w = W.partitionBy("page_id", "word_id").orderBy("distance", "seg_id")
     return near.withColumn("nth", F.row_number().over(w)).filter(F.col("nth") <= top).select("page_id", "word_id", "seg_id", (geometry.length(_seg()) / F.col("metres")).alias("pt_per_m"))

@@ -7,6 +7,8 @@ from plumbline.plans import registry
 
 NAMES = [
     "q_code_targets",
+    "q_doors_and_windows",
+    "q_dimension_scales",
 ]
 
 
