@@ -6,7 +6,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ..functions import geometry, text
-from ..scratch import written
+from ..scratch import shuffled, written
 
 #: What a title block calls its fields, and what a value of each looks like.
 FIELDS = {
@@ -82,7 +82,7 @@ def placed_fields(words: DataFrame) -> DataFrame:
     labels = inside.withColumn("field", _named(F.col("text"), 0)).filter("field is not null").select("page_id", "field", F.col("x").alias("lx"), F.col("y").alias("ly"), F.explode(F.array(*[cell("x") + d for d in (-1, 0, 1)])).alias("cx"), F.array(*[cell("y") + d for d in (-1, 0, 1)]).alias("cys")).withColumn("cy", F.explode("cys")).drop("cys")
     fits = [F.when(F.trim("text").rlike(p[1]) & F.lit(True), F.lit(n)) for n, p in FIELDS.items()]
     values = inside.filter(_named(F.col("text"), 0).isNull()).withColumn("field", F.explode(F.array_compact(F.array(*fits)))).select("page_id", "field", "word_id", F.trim("text").alias("value"), "x", "y", cell("x").alias("cx"), cell("y").alias("cy"))
-    met = labels.join(values, ["page_id", "field", "cx", "cy"]).filter((F.col("x") >= F.col("lx") - 2) & (F.col("y") >= F.col("ly") - 4))
+    met = labels.join(shuffled(values), ["page_id", "field", "cx", "cy"]).filter((F.col("x") >= F.col("lx") - 2) & (F.col("y") >= F.col("ly") - 4))
     met = met.withColumn("distance", F.hypot(F.col("x") - F.col("lx"), F.col("y") - F.col("ly"))).filter(F.col("distance") <= REACH)
     best = met.groupBy("page_id", "field").agg(F.min(F.struct("distance", "word_id", "value")).alias("b"))
     return best.select("page_id", "field", F.when(F.col("field") == "revision", text.clean(F.upper("b.value"))).otherwise(F.col("b.value")).alias("value"), F.col("b.distance").alias("distance"))

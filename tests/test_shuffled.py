@@ -9,6 +9,7 @@ NAMES = [
     "q_code_targets",
     "q_doors_and_windows",
     "q_dimension_scales",
+    "q_placed_fields",
 ]
 
 
