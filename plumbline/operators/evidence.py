@@ -31,7 +31,7 @@ def schedule_entries(rows: DataFrame) -> DataFrame:
     """
     rows = rows.withColumn("roles", F.transform("cells", _role))
     heads = rows.filter(F.array_contains("roles", "mark") | F.array_contains("roles", "dims")).groupBy("page_id").agg(F.min(F.struct("line", "roles", F.col("cells").alias("names"))).alias("h"))
-    body = rows.drop("roles").join(heads, "page_id").filter("line > h.line")
+    body = rows.drop("roles").join(shuffled(heads), "page_id").filter("line > h.line")
     at = lambda role: F.array_position("h.roles", role).cast("int")
     cell = lambda role: F.when(at(role) > 0, F.get("cells", at(role) - 1))
     basis = lambda role: F.when(at(role) > 0, text.heading_basis(F.get("h.names", at(role) - 1)))

@@ -10,6 +10,7 @@ NAMES = [
     "q_doors_and_windows",
     "q_dimension_scales",
     "q_placed_fields",
+    "q_schedule_entries",
 ]
 
 
