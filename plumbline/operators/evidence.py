@@ -137,12 +137,12 @@ def wall_gaps(walls: DataFrame, pt_per_m: float, least_m: float = 0.3, most_m: f
     lane = F.floor(F.col("fixed") / offset_pt)
     a = walls.select("page_id", "axis", lane.alias("lane"), F.col("wall_ref").alias("a"), F.col("fixed").alias("a_fixed"), F.col("hi").alias("a_hi"))
     b = walls.select("page_id", "axis", F.explode(F.array(lane - 1, lane, lane + 1)).alias("lane"), F.col("wall_ref").alias("b"), F.col("fixed").alias("b_fixed"), F.col("lo").alias("b_lo"))
-    met = a.join(b, ["page_id", "axis", "lane"]).filter((F.col("a") != F.col("b")) & (F.abs(F.col("a_fixed") - F.col("b_fixed")) <= offset_pt))
+    met = a.join(shuffled(b), ["page_id", "axis", "lane"]).filter((F.col("a") != F.col("b")) & (F.abs(F.col("a_fixed") - F.col("b_fixed")) <= offset_pt))
     gaps = met.withColumn("gap_pt", F.col("b_lo") - F.col("a_hi")).filter(F.col("gap_pt").between(least_m * pt_per_m, most_m * pt_per_m))
     third = walls.select("page_id", "axis", F.explode(F.array(lane - 1, lane, lane + 1)).alias("lane"), F.col("wall_ref").alias("c"), F.col("fixed").alias("c_fixed"), F.col("lo").alias("c_lo"), F.col("hi").alias("c_hi"))
     fills = ["page_id", "axis", "lane"]
-    filled = gaps.join(third, fills).filter((F.col("c") != F.col("a")) & (F.col("c") != F.col("b")) & (F.abs(F.col("c_fixed") - F.col("a_fixed")) <= offset_pt) & (F.col("c_lo") < F.col("b_lo")) & (F.col("c_hi") > F.col("a_hi")))
-    return gaps.join(filled.select("page_id", "a", "b").distinct(), ["page_id", "a", "b"], "left_anti").select("page_id", "a", "b", (F.col("gap_pt") / pt_per_m).alias("width_m"))
+    filled = gaps.join(shuffled(third), fills).filter((F.col("c") != F.col("a")) & (F.col("c") != F.col("b")) & (F.abs(F.col("c_fixed") - F.col("a_fixed")) <= offset_pt) & (F.col("c_lo") < F.col("b_lo")) & (F.col("c_hi") > F.col("a_hi")))
+    return gaps.join(shuffled(filled.select("page_id", "a", "b").distinct()), ["page_id", "a", "b"], "left_anti").select("page_id", "a", "b", (F.col("gap_pt") / pt_per_m).alias("width_m"))
 
 
 #: Words that say what a reduced level is of.

@@ -12,6 +12,7 @@ NAMES = [
     "q_placed_fields",
     "q_schedule_entries",
     "q_split",
+    "q_wall_gaps",
 ]
 
 
