@@ -13,6 +13,7 @@ NAMES = [
     "q_schedule_entries",
     "q_split",
     "q_wall_gaps",
+    "q_wall_pairs",
 ]
 
 
