@@ -140,7 +140,8 @@ def bands(groups: DataFrame) -> DataFrame:
 def next_job(jobs: DataFrame, prefix: str = "PB", first_number: int = 25001) -> DataFrame:
     """The number after the last job's."""
     n = F.max(text.first(F.col("job_no"), rf"^{prefix}(\d+)$").cast("long"))
-    return jobs.agg(F.concat(F.lit(prefix), F.lpad(F.coalesce(n + 1, F.lit(first_number)).cast("string"), 5, "0")).alias("job_no"))
+    number = F.coalesce(n + 1, F.lit(first_number)).cast("string")
+    return jobs.agg(F.concat(F.lit(prefix), F.lpad(number, F.greatest(F.lit(5), F.length(number)), "0")).alias("job_no"))
 
 
 def legend(pages: DataFrame) -> DataFrame:

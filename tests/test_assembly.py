@@ -100,3 +100,7 @@ def test_more(spark):
     got = assembly.roof(pages, spark.createDataFrame([(1, 3.2), (1, 6.0)], "workspace_id long, height_m double")).first()
     assert got["pitches_deg"] == [10.0, 22.5] and got["parapet"] and got["roof_z"] == 6.0
     assert one(spark, assembly.element_of(F.lit("Bed 1 ceiling"))) == "Ceiling" and one(spark, assembly.hatch_confidence(*[F.lit(float(x)) for x in (20, 10, 0, 0, 5)])) == 1.0
+
+
+def test_next_job_of_six_digits(spark):
+    assert assembly.next_job(spark.createDataFrame([("PB999999",), ("PB25007",)], "job_no string")).first()[0] == "PB1000000"
