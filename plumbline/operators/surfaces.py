@@ -68,9 +68,9 @@ def rooms(faces: DataFrame) -> DataFrame:
     cell = 200.0
     tiles = faces.select("page_id", "id", "points", F.explode(F.sequence(F.floor(box["x0"] / cell), F.floor(box["x1"] / cell))).alias("cx")).withColumn("cy", F.explode(F.sequence(F.floor(box["y0"] / cell), F.floor(box["y1"] / cell))))
     placed = centres.withColumn("cx", F.floor(F.col("c.x") / cell)).withColumn("cy", F.floor(F.col("c.y") / cell))
-    inside = tiles.join(placed, ["page_id", "cx", "cy"]).filter("id <> other_id").filter(geometry.contains(pts, F.col("c.x"), F.col("c.y")))
+    inside = tiles.join(shuffled(placed), ["page_id", "cx", "cy"]).filter("id <> other_id").filter(geometry.contains(pts, F.col("c.x"), F.col("c.y")))
     held = inside.groupBy("page_id", "id").agg(F.count("*").alias("holds"), F.max(F.col("other_area") / geometry.area(pts)).alias("largest_inside"))
-    d = faces.join(size, "page_id").join(held, ["page_id", "id"], "left").fillna({"holds": 0, "largest_inside": 0.0})
+    d = faces.join(shuffled(size), "page_id").join(shuffled(held), ["page_id", "id"], "left").fillna({"holds": 0, "largest_inside": 0.0})
     pt2 = geometry.area(pts)
     m2 = pt2 * F.col("m_per_pt") * F.col("m_per_pt")
     w, h = box["x1"] - box["x0"], box["y1"] - box["y0"]

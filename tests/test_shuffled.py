@@ -14,6 +14,7 @@ NAMES = [
     "q_split",
     "q_wall_gaps",
     "q_wall_pairs",
+    "q_rooms",
 ]
 
 
