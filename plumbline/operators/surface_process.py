@@ -12,7 +12,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from ..functions import text
-from ..scratch import written
+from ..scratch import shuffled, written
 from . import provenance, surfaces
 
 STAGES = ("document", "page", "words", "fills", "hatches", "targets", "done")
@@ -33,22 +33,22 @@ def processed(pages: DataFrame, fills: DataFrame, hatches: DataFrame, words: Dat
     ok = lambda c: F.coalesce(F.col(c), F.lit(False))
     pages = written(pages.withColumn("open", ok("has_document") & ok("readable")), "pages")
     going = pages.filter("open")
-    kinds = fills.select("page_id", "shape_id", "points", F.lit("fill").alias("kind")).unionAll(hatches.join(going.filter("hatch_error is null").select("page_id"), "page_id", "left_semi").select("page_id", "shape_id", "points", F.lit("hatch")))
-    shapes = kinds.join(going.select("page_id", "workspace_id", "m_per_pt", "scale_confidence", "words_error", "hatch_error", "targets_error"), "page_id").withColumn("shape_id", F.concat_ws(":", "kind", "shape_id"))
+    kinds = fills.select("page_id", "shape_id", "points", F.lit("fill").alias("kind")).unionAll(hatches.join(shuffled(going.filter("hatch_error is null").select("page_id")), "page_id", "left_semi").select("page_id", "shape_id", "points", F.lit("hatch")))
+    shapes = kinds.join(shuffled(going.select("page_id", "workspace_id", "m_per_pt", "scale_confidence", "words_error", "hatch_error", "targets_error")), "page_id").withColumn("shape_id", F.concat_ws(":", "kind", "shape_id"))
     shapes = written(shapes, "shapes")
     made = provenance.surface_evidence(shapes)
 
-    good_words = words.join(going.filter("words_error is null").select("page_id"), "page_id", "left_semi")
+    good_words = words.join(shuffled(going.filter("words_error is null").select("page_id")), "page_id", "left_semi")
     codes = good_words.withColumn("code", F.get(text.finish_codes(F.col("text")), F.lit(0))).filter("code is not null")
     spots = codes.select("page_id", F.col("word_id").alias("id"), "x", "y", "code")
-    on = surfaces.code_targets(spots.drop("code"), shapes.select("page_id", F.col("shape_id").alias("id"), "points")).join(spots.select("page_id", "id", "code"), ["page_id", "id"])
+    on = surfaces.code_targets(spots.drop("code"), shapes.select("page_id", F.col("shape_id").alias("id"), "points")).join(shuffled(spots.select("page_id", "id", "code")), ["page_id", "id"])
     finish = on.groupBy("page_id", F.col("target_id").alias("shape_id")).agg(F.min_by("code", "id").alias("finish_code"))
-    measured = targets.join(going.filter("targets_error is null").select("page_id"), "page_id", "left_semi")
+    measured = targets.join(shuffled(going.filter("targets_error is null").select("page_id")), "page_id", "left_semi")
     found = surfaces.associate(shapes.select("page_id", F.col("shape_id").alias("id"), "points"), measured).select("page_id", F.col("id").alias("shape_id"), "target_id", "method")
 
     said = lambda what, c: F.when(c.isNotNull(), F.concat(F.lit(what), c))
     extra = shapes.select("page_id", "shape_id", "kind", "words_error", "targets_error")
-    all_ = made.join(extra, ["page_id", "shape_id"]).join(finish, ["page_id", "shape_id"], "left").join(found, ["page_id", "shape_id"], "left")
+    all_ = made.join(shuffled(extra), ["page_id", "shape_id"]).join(shuffled(finish), ["page_id", "shape_id"], "left").join(shuffled(found), ["page_id", "shape_id"], "left")
     unfiltered, loose = (F.col("kind") == "hatch") & F.col("words_error").isNotNull(), F.col("target_id").isNull() & F.col("targets_error").isNotNull()
     notes = F.array_compact(F.array(
         F.when(unfiltered, said("Hatch text-based false-positive filters unavailable: ", F.col("words_error"))),
@@ -61,7 +61,7 @@ def processed(pages: DataFrame, fills: DataFrame, hatches: DataFrame, words: Dat
     counts = evidence.groupBy("page_id").agg(F.count_if(F.col("kind") == "fill").alias("fills"), F.count_if(F.col("kind") == "hatch").alias("hatches"), F.count_if(F.col("target_id").isNotNull()).alias("associated"), F.count_if(F.col("target_id").isNull()).alias("unassociated"))
     told = codes.groupBy("page_id").agg(F.count("*").alias("codes"))
     names = ("fills", "hatches", "codes", "associated", "unassociated")
-    rows = pages.join(counts, "page_id", "left").join(told, "page_id", "left").fillna(0, list(names))
+    rows = pages.join(shuffled(counts), "page_id", "left").join(shuffled(told), "page_id", "left").fillna(0, list(names))
     nothing = F.col("fills") + F.col("hatches") == 0
     failed = F.coalesce("words_error", "hatch_error", "targets_error")
     status = F.when(~F.col("open"), "error").when(nothing & F.col("hatch_error").isNotNull(), "partial").when(nothing, "no_fills").when(failed.isNotNull(), "partial").otherwise("ok")

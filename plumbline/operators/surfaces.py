@@ -14,6 +14,7 @@ from ..scratch import shuffled
 #: Bounds of rooms.
 ROOM_LEAST_M2, ROOM_SOFT_M2, ROOM_MOST_M2, LONGEST, PAGE_SHARE, OUTLINE_SHARE, TITLE_X, TITLE_Y = 0.3, 1.0, 2500.0, 12.0, 0.75, 0.5, 0.60, 0.85
 SAMPLES = 14  # columns and rows of the grid that measures an overlap
+PAIRS = 1024  # pairs of polygons whose grids are looked at together
 POINTS = "array<struct<x:double,y:double>>"
 
 
@@ -26,16 +27,43 @@ def _close(df: DataFrame, other: DataFrame, cell: float, margin: float) -> DataF
         return d.select("page_id", "id", "points", F.explode(span("x0", "x1")).alias("cx"), span("y0", "y1").alias("cys")).withColumn("cy", F.explode("cys")).drop("cys")
 
     right = tiled(other, margin).select("page_id", "cx", "cy", F.col("id").alias("other_id"), F.col("points").alias("other"))
-    return tiled(df, 0.0).join(right, ["page_id", "cx", "cy"]).drop("cx", "cy").dropDuplicates(["page_id", "id", "other_id"])
+    return tiled(df, 0.0).join(shuffled(right), ["page_id", "cx", "cy"]).drop("cx", "cy").dropDuplicates(["page_id", "id", "other_id"])
 
 
 def overlap_ratio(a: Column, b: Column, n: int = SAMPLES) -> Column:
     """The share of a that lies in b, on a grid of n by n points over a's box. (F108)"""
-    box = geometry.bbox(a)
-    grid = F.flatten(F.transform(F.sequence(F.lit(0), F.lit(n - 1)), lambda i: F.transform(F.sequence(F.lit(0), F.lit(n - 1)), lambda j: F.struct((box["x0"] + (i + 0.5) * (box["x1"] - box["x0"]) / n).alias("x"), (box["y0"] + (j + 0.5) * (box["y1"] - box["y0"]) / n).alias("y")))))
-    inside = F.filter(grid, lambda p: geometry.contains(a, p["x"], p["y"]))
-    both = F.filter(inside, lambda p: geometry.contains(b, p["x"], p["y"]))
-    return F.when(F.size(inside) > 0, F.size(both) / F.size(inside)).otherwise(0.0)
+    udf = F.pandas_udf(lambda *c: _shares(*c, n=n), "double")
+    each = lambda p, k: F.transform(p, lambda q: q[k].cast("double"))
+    return udf(*[each(p, k) for p in (a, b) for k in ("x", "y")])
+
+
+def _shares(ax: pd.Series, ay: pd.Series, bx: pd.Series, by: pd.Series, n: int) -> pd.Series:
+    """overlap_ratio() of many pairs: the points of all their grids are held against an edge of each polygon at a time."""
+
+    def corners(*columns: pd.Series) -> list[np.ndarray]:
+        """A row of corners for each polygon, the last repeated to equal length: such sides have no length."""
+        most = max(1, max(0 if v is None else len(v) for v in columns[0]))
+        filled = lambda v: np.full(most, np.nan) if v is None or not len(v) else np.pad(np.asarray(v, float), (0, most - len(v)), "edge")
+        return [np.stack([filled(v) for v in c]) for c in columns]
+
+    def holds(px: np.ndarray, py: np.ndarray, x: np.ndarray, y: np.ndarray) -> np.ndarray:
+        """As geometry.contains()."""
+        inside = np.zeros(x.shape, bool)
+        for k in range(px.shape[1]):
+            p_x, p_y, q_x, q_y = (c[:, [j]] for j in (k, (k + 1) % px.shape[1]) for c in (px, py))
+            inside ^= ((p_y > y) != (q_y > y)) & (x < p_x + (y - p_y) * (q_x - p_x) / (q_y - p_y))
+        return inside
+
+    out, at = [], np.arange(n) + 0.5
+    with np.errstate(all="ignore"):
+        for k in range(0, len(ax), PAIRS):
+            a_x, a_y = corners(ax[k : k + PAIRS], ay[k : k + PAIRS])
+            low_x, low_y, high_x, high_y = (f(c, axis=1, keepdims=True) for f in (np.fmin.reduce, np.fmax.reduce) for c in (a_x, a_y))
+            x, y = np.repeat(low_x + at * (high_x - low_x) / n, n, axis=1), np.tile(low_y + at * (high_y - low_y) / n, n)
+            inside = holds(a_x, a_y, x, y)
+            both = inside & holds(*corners(bx[k : k + PAIRS], by[k : k + PAIRS]), x, y)
+            out.append(both.sum(axis=1) / np.maximum(1, inside.sum(axis=1)))
+    return pd.Series(np.concatenate(out) if out else [], dtype=float)
 
 
 def associate(surfaces: DataFrame, targets: DataFrame, proximity: float = 50.0) -> DataFrame:
@@ -51,8 +79,10 @@ def associate(surfaces: DataFrame, targets: DataFrame, proximity: float = 50.0)
     method = F.when(corners & (o >= 0.999), "containment").when(o >= 0.5, "majority_overlap").when(o >= 0.2, "intersection").when(geometry.contains(F.col("other"), c["x"], c["y"]), "centroid").when(distance <= proximity, "proximity")
     m = F.col("method")
     confidence = F.when(m == "containment", 0.95).when(m == "majority_overlap", 0.75 + 0.20 * (o - 0.5)).when(m == "intersection", 0.50 + 0.25 * (o - 0.2)).when(m == "centroid", 0.40).otherwise(F.greatest(F.lit(0.1), 0.35 * (1 - distance / proximity)))
-    scored = pairs.withColumn("method", method).filter("method is not null").withColumn("confidence", confidence)
-    best = scored.groupBy("page_id", "id").agg(F.min(F.struct((-F.col("confidence")).alias("k"), F.col("other_id").alias("target_id"), "method", "overlap")).alias("b"))
+    scored = pairs.withColumn("method", method).withColumn("confidence", confidence)
+    # What has no method is left out of the minimum and not before it: a filter would be moved under the overlap and measure it again.
+    rank = F.struct((-F.col("confidence")).alias("k"), F.col("other_id").alias("target_id"), "method", "overlap")
+    best = scored.groupBy("page_id", "id").agg(F.min(F.when(m.isNotNull(), rank)).alias("b")).filter("b is not null")
     return best.select("page_id", "id", F.col("b.target_id").alias("target_id"), F.col("b.method").alias("method"), F.round("b.overlap", 4).alias("overlap"), (-F.col("b.k")).alias("confidence"))
 
 

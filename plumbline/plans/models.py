@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from ..operators import model, surface_process
+from ..scratch import shuffled
 from .shared import query, table
 
 
@@ -60,4 +61,4 @@ def q_surface_process(spark, sf):
     targets = c.select(k.alias("page_id"), d("wall").alias("id"), F.array(at(d(0), 0), at(d(1000), 0), at(d(1000), 100), at(d(0), 100)).alias("points"))
     evidence, ledger = surface_process.processed(pages, fills, hatches, words, targets)
     check = evidence.groupBy("page_id").agg(F.count_if(F.col("status") == "needs_check").alias("to_check"))
-    return ledger.drop("workspace_id").join(check, "page_id", "left").fillna(0, ["to_check"])
+    return ledger.drop("workspace_id").join(shuffled(check), "page_id", "left").fillna(0, ["to_check"])

@@ -15,6 +15,7 @@ NAMES = [
     "q_wall_gaps",
     "q_wall_pairs",
     "q_rooms",
+    "q_associate",
 ]
 
 
