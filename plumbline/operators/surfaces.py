@@ -177,23 +177,25 @@ def hulls(points: DataFrame, key: str) -> DataFrame:
     Points are first cut to the lowest and highest of each x, which loses no corner, before a key's hull is walked.
     """
 
-    def hull(rows: pd.DataFrame) -> pd.DataFrame:
-        p = np.unique(rows[["x", "y"]].to_numpy(float), axis=0)
+    def hull(xs: np.ndarray, ys: np.ndarray) -> list:
+        p = list(zip(map(float, xs), map(float, ys), strict=True))
         if len(p) > 2:
             half = []
             for q in (p, p[::-1]):
-                chain: list[np.ndarray] = []
+                chain: list[tuple[float, float]] = []
                 for c in q:
                     while len(chain) > 1 and (chain[-1][0] - chain[-2][0]) * (c[1] - chain[-2][1]) - (chain[-1][1] - chain[-2][1]) * (c[0] - chain[-2][0]) <= 0:
                         chain.pop()
                     chain.append(c)
                 half += chain[:-1]
-            p = np.array(half)
-        return pd.DataFrame({key: [rows[key].iloc[0]], "points": pd.Series([[{"x": float(x), "y": float(y)} for x, y in p]], dtype=object)})
+            p = half
+        return [{"x": x, "y": y} for x, y in p]
 
-    kind = points.schema[key].dataType.simpleString()
+    walk = F.pandas_udf(lambda x, y: pd.Series([hull(*p) for p in zip(x, y, strict=True)], dtype=object), POINTS)
+    coordinate = lambda c: F.transform("p", lambda q: q[c].cast("double"))
     ends = points.groupBy(key, "x").agg(F.array_distinct(F.array(F.min("y"), F.max("y"))).alias("ys")).select(key, "x", F.explode("ys").alias("y"))
-    return ends.groupBy(key).applyInPandas(hull, f"{key} {kind}, points {POINTS}")
+    sorted_ = ends.groupBy(key).agg(F.array_sort(F.array_distinct(F.collect_list(F.struct("x", "y")))).alias("p"))
+    return sorted_.select(key, walk(coordinate("x"), coordinate("y")).alias("points"))
 
 
 def simplify(points: pd.Series, epsilon: float) -> pd.Series:

@@ -6,6 +6,7 @@ from pyspark.sql import functions as F
 
 from ..functions import geometry, pricing, text
 from ..operators import assembly, drawing, elevations, evidence, openings, pages, surfaces
+from ..scratch import shuffled
 from ..sources import readers
 from .shared import choice, key, pick, query, table
 
@@ -335,7 +336,7 @@ def q_hulls(spark, sf):
     tri = surfaces.triangulated(orders(spark, sf).select(key().alias("id"), pentagon.alias("p")), "p").select("id", F.size("triangles").cast("long").alias("triangles"))
     line = F.array(at(0, 0), at(1, 0.001), at(2, 0.0), at(3, 0.002), at(4, 0))
     simple = surfaces.simplified(orders(spark, sf).select(key().alias("id"), line.alias("p")), "p", 0.1).select("id", F.size("p").cast("long").alias("simple"))
-    return hull.join(tri, "id").join(simple, "id")
+    return hull.join(shuffled(tri), "id").join(shuffled(simple), "id")
 
 
 @query("""WITH o AS (SELECT o_orderkey AS id, 1 + o_orderkey % 9 AS n FROM orders) SELECT id, f.face, (n * f.k)::DOUBLE AS area_m2, round(sqrt(n * n + 9.0), 6) AS distance, CASE WHEN id % 4 = 0 THEN 'South' ELSE 'East' END AS side FROM o, (VALUES ('front', 2), ('back', 2), ('left', 6), ('right', 6), ('top', 3), ('bottom', 3)) f(face, k) WHERE f.k <> 6

@@ -16,6 +16,7 @@ NAMES = [
     "q_wall_pairs",
     "q_rooms",
     "q_associate",
+    "q_hulls",
 ]
 
 
