@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from ..scratch import written
+from ..scratch import shuffled, written
 
 
 def components(edges: DataFrame, a: str, b: str, most_rounds: int | None = None) -> DataFrame:
@@ -20,10 +20,10 @@ def components(edges: DataFrame, a: str, b: str, most_rounds: int | None = None)
     labels = cut(both.groupBy("node").agg(F.least(F.col("node"), F.min("other")).alias("label")))
     rounds = 0
     while True:
-        near = both.join(labels.select(F.col("node").alias("other"), "label"), "other").groupBy("node").agg(F.min("label").alias("near"))
-        step = labels.join(near, "node").select("node", F.least("label", "near").alias("label"), F.col("label").alias("was"))
+        near = both.join(shuffled(labels.select(F.col("node").alias("other"), "label")), "other").groupBy("node").agg(F.min("label").alias("near"))
+        step = labels.join(shuffled(near), "node").select("node", F.least("label", "near").alias("label"), F.col("label").alias("was"))
         jump = step.select(F.col("node").alias("label"), F.col("label").alias("further"))
-        new = cut(step.join(jump, "label", "left").select("node", F.least("label", F.coalesce("further", "label")).alias("label"), "was"))
+        new = cut(step.join(shuffled(jump), "label", "left").select("node", F.least("label", F.coalesce("further", "label")).alias("label"), "was"))
         if new.filter("label <> was").isEmpty():
             return new.select("node", F.col("label").alias("component"))
         rounds += 1
@@ -46,18 +46,18 @@ def rings(steps: DataFrame) -> DataFrame:
         ahead = left.select(F.col("id").alias("next"), F.col("next").alias("over"), F.col("low").alias("more"))
         more = F.struct(F.col("more.least").alias("least"), (F.col("more.off") + span).alias("off"))
         round_ = (F.col("low.least") == F.col("id")) & (F.col("more.least") == F.col("id"))
-        new = cut(left.join(ahead, "next").select("id", F.col("over").alias("next"), F.least("low", more).alias("low"), round_.alias("round")))
+        new = cut(left.join(shuffled(ahead), "next").select("id", F.col("over").alias("next"), F.least("low", more).alias("low"), round_.alias("round")))
         known = new.filter("round").select(F.col("id").alias("ring"))
-        found = new.join(known, F.col("low.least") == F.col("ring")).select("id", "ring", F.col("low.off").alias("off"))
+        found = new.join(shuffled(known), F.col("low.least") == F.col("ring")).select("id", "ring", F.col("low.off").alias("off"))
         done = found if done is None else done.unionAll(found)
-        left = new.drop("round").join(known, F.col("low.least") == F.col("ring"), "left_anti")
+        left = new.drop("round").join(shuffled(known), F.col("low.least") == F.col("ring"), "left_anti")
         span *= 2
         if left.isEmpty():
             break
     # What is known is the way to the least id; the way from it is the rest of the ring.
     done = cut(done)
     sizes = done.groupBy("ring").agg(F.count("*").alias("n"))
-    return done.join(sizes, "ring").select("id", "ring", F.pmod(-F.col("off"), F.col("n")).alias("place"))
+    return done.join(shuffled(sizes), "ring").select("id", "ring", F.pmod(-F.col("off"), F.col("n")).alias("place"))
 
 
 def cut(df: DataFrame) -> DataFrame:

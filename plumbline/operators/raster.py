@@ -22,7 +22,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
-from ..scratch import numbered
+from ..scratch import numbered, shuffled
 from . import graph
 
 TILE = 512
@@ -150,12 +150,12 @@ def labelled(found: DataFrame, tile: int = TILE, diagonal: bool = True) -> DataF
     last, first = F.col("y") % tile == tile - 1, F.col("y") % tile == 0
     over = found.filter(last).select("page_id", (F.col("y") + 1).alias("y"), F.col("x0").alias("a0"), F.col("x1").alias("a1"), F.col("label").alias("a"), F.explode(F.sequence(F.floor((F.col("x0") - d) / tile), F.floor((F.col("x1") + d - 1) / tile))).alias("column"))
     under = found.filter(first).select("page_id", "y", "x0", "x1", F.col("label").alias("b"), F.floor(F.col("x0") / tile).alias("column"))
-    down = over.join(under, ["page_id", "y", "column"]).filter((F.col("a0") < F.col("x1") + d) & (F.col("x0") < F.col("a1") + d)).select("a", "b")
+    down = over.join(shuffled(under), ["page_id", "y", "column"]).filter((F.col("a0") < F.col("x1") + d) & (F.col("x0") < F.col("a1") + d)).select("a", "b")
     right = found.filter(F.col("x1") % tile == 0).select("page_id", F.col("x1").alias("x0"), F.explode(F.sequence(F.col("y") - d, F.col("y") + d)).alias("y"), F.col("label").alias("a"))
     beside = found.filter(F.col("x0") % tile == 0).select("page_id", "x0", "y", F.col("label").alias("b"))
-    edges = down.unionAll(right.join(beside, ["page_id", "x0", "y"]).select("a", "b")).distinct()
+    edges = down.unionAll(right.join(shuffled(beside), ["page_id", "x0", "y"]).select("a", "b")).distinct()
     whole = graph.components(edges, "a", "b").select(F.col("node").alias("label"), "component")
-    return graph.cut(found.join(whole, "label", "left").withColumn("component", F.coalesce("component", "label")))
+    return graph.cut(found.join(shuffled(whole), "label", "left").withColumn("component", F.coalesce("component", "label")))
 
 
 def components(marked: DataFrame) -> DataFrame:
@@ -191,9 +191,9 @@ def cracks(marked: DataFrame, diagonal: bool = True) -> DataFrame:
     every = graph.cut(numbered(upright.unionByName(level), [F.col(c) for c in ("page_id", "y", "x", "ty", "tx")], "id"))
     after = every.select("page_id", "component", F.col("x").alias("tx"), F.col("y").alias("ty"), F.col("id").alias("next"), F.col("tx").alias("nx"), F.col("ty").alias("ny"))
     turn = (F.col("tx") - F.col("x")) * (F.col("ny") - F.col("ty")) - (F.col("ty") - F.col("y")) * (F.col("nx") - F.col("tx"))
-    met = every.join(after, ["page_id", "component", "tx", "ty"])
+    met = every.join(shuffled(after), ["page_id", "component", "tx", "ty"])
     to = met.groupBy("id").agg((F.min_by if diagonal else F.max_by)("next", F.signum(turn)).alias("next"))
-    return every.join(to, "id")
+    return every.join(shuffled(to), "id")
 
 
 def outlines(marked: DataFrame, diagonal: bool = True, points: bool = True) -> DataFrame:
@@ -203,10 +203,10 @@ def outlines(marked: DataFrame, diagonal: bool = True, points: bool = True) -> D
     from the top left and without those between two on a line.
     """
     sides = graph.cut(cracks(marked, diagonal))
-    placed = sides.join(graph.rings(sides.select("id", "next")), "id")
+    placed = sides.join(shuffled(graph.rings(sides.select("id", "next"))), "id")
     cross = lambda a, b, c, d: F.col(a) * F.col(d) - F.col(c) * F.col(b)
     later = placed.select(F.col("id").alias("next"), F.col("px").alias("ex"), F.col("py").alias("ey"))
-    placed = graph.cut(placed.join(later, "next"))
+    placed = graph.cut(placed.join(shuffled(later), "next"))
     sums = placed.groupBy("page_id", "component", "ring").agg(
         (F.sum(cross("x", "y", "tx", "ty")) / 2).cast("long").alias("area"), F.sum(F.abs(F.col("tx") - F.col("x")) + F.abs(F.col("ty") - F.col("y"))).cast("long").alias("length"), (F.abs(F.sum(cross("px", "py", "qx", "qy") + cross("qx", "qy", "ex", "ey"))) / 2).alias("centre_area"),
         F.min(F.least("px", "qx")).alias("x0"), F.min(F.least("py", "qy")).alias("y0"), (F.max(F.greatest("px", "qx")) + 1).alias("x1"), (F.max(F.greatest("py", "qy")) + 1).alias("y1"))
@@ -216,7 +216,7 @@ def outlines(marked: DataFrame, diagonal: bool = True, points: bool = True) -> D
     ways = placed.groupBy("ring").agg(F.flatten(F.transform(F.array_sort(F.collect_list(F.struct("place", at("px", "py").alias("p"), at("qx", "qy").alias("q")))), lambda s: F.array(s["p"], s["q"]))).alias("way"))
     once = F.filter("way", lambda p, k: (k == 0) | (F.try_element_at("way", k) != p))
     once = F.when((F.size(once) > 1) & (F.try_element_at(once, F.lit(1)) == F.try_element_at(once, F.lit(-1))), F.slice(once, 1, F.size(once) - 1)).otherwise(once)
-    return sums.join(ways.select("ring", once.alias("points")), "ring")
+    return sums.join(shuffled(ways.select("ring", once.alias("points"))), "ring")
 
 
 def drawing_component(pages: DataFrame, elevation: bool = False, tile: int = TILE) -> DataFrame:
@@ -236,14 +236,14 @@ def drawing_component(pages: DataFrame, elevation: bool = False, tile: int = TIL
     marked = labelled(found, tile)
     sizes = pages.select("page_id", (right - left).alias("rw"), bottom.alias("rh"))
     cw, ch = F.col("x1") - F.col("x0"), F.col("y1") - F.col("y0")
-    boxed = components(marked).join(sizes, "page_id").withColumn("box", cw * ch)
+    boxed = components(marked).join(shuffled(sizes), "page_id").withColumn("box", cw * ch)
     cover, density = F.col("box") / F.greatest(F.lit(1), F.col("rw") * F.col("rh")), F.col("pixels") / F.col("box")
     fits = (cw >= F.col("rw") * LEAST_WIDE) & (ch >= F.col("rh") * LEAST_HIGH) & cover.between(*COVER) & density.between(*DENSE)
     score = F.col("box") * (0.45 + F.least(density, F.lit(0.12)) * 5.0)
     best = boxed.filter(fits).groupBy("page_id").agg(F.min(F.struct((-score).alias("s"), "first", "component", "x0", "y0", "x1", "y1", "pixels", density.alias("density"))).alias("b")).select("page_id", "b.*")
     best = graph.cut(best)
-    rings = outlines(marked.join(best.select("component"), "component", "left_semi")).filter("area > 0").groupBy("page_id", "component").agg(F.max_by("points", "area").alias("polygon"))
-    return best.join(rings, ["page_id", "component"]).select("page_id", "x0", "y0", "x1", "y1", "pixels", "density", "polygon")
+    rings = outlines(marked.join(shuffled(best.select("component")), "component", "left_semi")).filter("area > 0").groupBy("page_id", "component").agg(F.max_by("points", "area").alias("polygon"))
+    return best.join(shuffled(rings), ["page_id", "component"]).select("page_id", "x0", "y0", "x1", "y1", "pixels", "density", "polygon")
 
 
 def rectangles(pages: DataFrame, calibrations: DataFrame, tile: int = TILE, dark: int = DARK, least_side: int = LEAST_SIDE) -> DataFrame:
@@ -257,7 +257,7 @@ def rectangles(pages: DataFrame, calibrations: DataFrame, tile: int = TILE, dark
     w, h = F.col("x1") - F.col("x0"), F.col("y1") - F.col("y0")
     found = outlines(marked, points=False).filter((w >= least_side) & (h >= least_side) & (F.col("centre_area") / (w * h) >= FILLS))
     proven = F.when((F.col("coord_space") == "render_pixel") & (F.col("px_per_m") > 0), F.col("px_per_m"))
-    got = found.join(calibrations, "page_id", "left").withColumn("scale", proven)
+    got = found.join(shuffled(calibrations), "page_id", "left").withColumn("scale", proven)
     return got.select("page_id", "x0", "y0", "x1", "y1", F.bround(w / F.col("scale"), 4).alias("width_m"), F.bround(h / F.col("scale"), 4).alias("height_m"), F.lit(CONFIDENCE).alias("geometry_confidence"), F.lit("review").alias("review_status"))
 
 
@@ -291,30 +291,30 @@ def envelopes(pages: DataFrame, least_pct: float = 0.4, most: int = 3, tile: int
     stays, and no more than most of a page.
     """
     sizes = pages.filter((F.col("width") >= 16) & (F.col("height") >= 16)).select("page_id", "width", "height")
-    pages = pages.join(sizes.select("page_id"), "page_id", "left_semi")
+    pages = pages.join(shuffled(sizes.select("page_id")), "page_id", "left_semi")
     cuts = graph.cut(thresholds(tiles(pages, tile)))
     # A page seen with a threshold is a page of its own, the threshold in its last eight bits.
     way, page, cut = F.shiftleft("page_id", 8).bitwiseOR(F.col("threshold")), F.shiftright("page_id", 8), F.col("page_id").bitwiseAND(F.lit(255))
-    ways = lambda t, kept: t.join(kept, "page_id").withColumn("page_id", way).drop("threshold")
+    ways = lambda t, kept: t.join(shuffled(kept), "page_id").withColumn("page_id", way).drop("threshold")
     sized = graph.cut(ways(sizes, cuts))
-    dark = runs(ways(tiles(pages, tile), cuts), cut, tile).groupBy("page_id").agg(F.sum(F.col("x1") - F.col("x0")).alias("n")).join(sized, "page_id")
+    dark = runs(ways(tiles(pages, tile), cuts), cut, tile).groupBy("page_id").agg(F.sum(F.col("x1") - F.col("x0")).alias("n")).join(shuffled(sized), "page_id")
     share = F.col("n") / (F.col("width") * F.col("height"))
     left = graph.cut(dark.filter((share > DARK_SHARE[0]) & (share < DARK_SHARE[1])).select("page_id", "width", "height"))
     found = None
     for k in LADDER:
-        seen = ways(tiles(pages, tile, 2 * k), cuts).join(left.select("page_id"), "page_id", "left_semi")
+        seen = ways(tiles(pages, tile, 2 * k), cuts).join(shuffled(left.select("page_id")), "page_id", "left_semi")
         paper = labelled(runs(seen, cut, tile, close=k, inside=False, diagonal=False), tile, diagonal=False)
         border = (F.col("y") == 0) | (F.col("y") == F.col("height") - 1) | (F.col("x0") == 0) | (F.col("x1") == F.col("width"))
-        around = paper.join(left, "page_id").filter(border).select("component").distinct()
-        inner = _others(paper.join(around, "component", "left_semi"), left, tile)
-        area = inner.groupBy("page_id").agg(F.sum(F.col("x1") - F.col("x0")).alias("n")).join(left, "page_id")
+        around = paper.join(shuffled(left), "page_id").filter(border).select("component").distinct()
+        inner = _others(paper.join(shuffled(around), "component", "left_semi"), left, tile)
+        area = inner.groupBy("page_id").agg(F.sum(F.col("x1") - F.col("x0")).alias("n")).join(shuffled(left), "page_id")
         large = graph.cut(area.filter(F.col("n") >= least_pct / 100 * F.col("width") * F.col("height")).select("page_id"))
-        marked = labelled(inner.join(large, "page_id", "left_semi"), tile)
+        marked = labelled(inner.join(shuffled(large), "page_id", "left_semi"), tile)
         first = components(marked).groupBy("page_id").agg(F.min_by("component", "first").alias("component")).select("component")
-        rings = outlines(marked.join(first, "component", "left_semi")).filter("area > 0").groupBy("page_id").agg(F.max_by("points", "area").alias("points")).filter(F.size("points") >= 4)
+        rings = outlines(marked.join(shuffled(first), "component", "left_semi")).filter("area > 0").groupBy("page_id").agg(F.max_by("points", "area").alias("points")).filter(F.size("points") >= 4)
         rings = graph.cut(rings)
         found = rings if found is None else found.unionAll(rings)
-        left = graph.cut(left.join(rings.select("page_id"), "page_id", "left_anti"))
+        left = graph.cut(left.join(shuffled(rings.select("page_id")), "page_id", "left_anti"))
         if left.isEmpty():
             break
     return _best_envelopes(found.withColumns({"threshold": cut, "page_id": page}), sizes, most)
@@ -356,7 +356,7 @@ def _best_envelopes(found: DataFrame, sizes: DataFrame, most: int) -> DataFrame:
 
     longer = F.greatest("width", "height")
     scaled = F.transform("points", lambda p: F.struct((p["x"] / longer).alias("x"), (p["y"] / longer).alias("y")))
-    flat = simplified(found.join(sizes, "page_id").withColumn("points", scaled), "points", SMOOTH)
+    flat = simplified(found.join(shuffled(sizes), "page_id").withColumn("points", scaled), "points", SMOOTH)
     pct = F.transform("points", lambda p: F.struct(F.round(p["x"] * longer / F.col("width") * 100, 3).alias("x"), F.round(p["y"] * longer / F.col("height") * 100, 3).alias("y")))
     sized = flat.withColumn("points", pct).withColumn("area_pct", F.round(geometry.area(F.col("points")) / 100, 2))
     listed = sized.groupBy("page_id").agg(F.array_sort(F.collect_list(F.struct((-F.col("area_pct")).alias("a"), "threshold", "points"))).alias("all"))  # a row for each threshold

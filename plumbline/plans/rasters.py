@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from ..operators import raster
+from ..scratch import shuffled
 from .shared import query, table
 
 WIDE = 16  # pixels of a row of the pictures that vectors make
@@ -61,4 +62,4 @@ def q_raster_plans(spark, sf):
     sides = [(x, False), (F.lit(3), True), (w - 6, False), (F.lit(3), True), (200 - x - w, False)]
     pages = table(spark, sf, "supplier").select(*_picture(k, 100, 200, [(y, blank), (F.lit(3), door), (h - 6, sides), (F.lit(3), wall), (100 - y - h, blank)]))
     drawn = raster.drawing_component(pages, tile=64).select("page_id", *[F.col(c).cast("long").alias(c) for c in ("x0", "y0", "x1", "y1")], "pixels")
-    return drawn.join(raster.envelopes(pages, tile=128).filter("nth = 1").select("page_id", F.col("area_pct").alias("envelope_pct")), "page_id", "left")
+    return drawn.join(shuffled(raster.envelopes(pages, tile=128).filter("nth = 1").select("page_id", F.col("area_pct").alias("envelope_pct"))), "page_id", "left")

@@ -20,6 +20,17 @@ NAMES = [
 ]
 
 
+def test_rings_and_components_are_not_broadcast(spark):
+    from pyspark.sql import functions as F
+
+    from plumbline.operators import graph
+
+    steps = spark.range(64).select("id", ((F.col("id") + 8) % 64).alias("next"))
+    for df in (graph.rings(steps), graph.components(steps, "id", "next")):
+        assert "Broadcast" not in df._jdf.queryExecution().sparkPlan().toString()
+    assert graph.rings(steps).groupBy("ring").count().filter("count = 8").count() == 8
+
+
 @pytest.mark.skipif(not SF.exists(), reason="no tables here")
 @pytest.mark.parametrize("name", NAMES)
 def test_nothing_is_broadcast(spark, name):
