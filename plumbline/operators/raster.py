@@ -173,9 +173,15 @@ def cracks(marked: DataFrame, diagonal: bool = True) -> DataFrame:
     begins = F.when(F.col("x0") == F.lag("x1").over(row), 0).otherwise(1)  # runs are cut at tiles
     one = marked.withColumn("begins", begins).withColumn("k", F.sum("begins").over(row.rowsBetween(W.unboundedPreceding, 0)))
     one = graph.cut(one.groupBy("page_id", "component", "y", "k").agg(F.min("x0").alias("x0"), F.max("x1").alias("x1")))
-    side = lambda x, y, tx, ty, px, qx: F.struct(*[v.cast("int").alias(n) for n, v in (("x", x), ("y", y), ("tx", tx), ("ty", ty), ("px", px), ("py", F.col("y")), ("qx", qx), ("qy", F.col("y")))])
     x0, x1, y = F.col("x0"), F.col("x1"), F.col("y")
-    upright = one.select("page_id", "component", F.inline(F.array(side(x1, y, x1, y + 1, x1 - 1, x1 - 1), side(x0, y + 1, x0, y, x0, x0))))
+    # Sides that go on straight into the next row are one. Where level sides meet between two rows, the upright ones above and below run opposite ways.
+    ends = one.select("page_id", "component", "y", F.inline(F.array(F.struct(x1.alias("x"), F.lit(True).alias("down")), F.struct(x0.alias("x"), F.lit(False).alias("down")))))
+    column = ["page_id", "component", "x", "down"]
+    tall = ends.withColumn("k", F.col("y") - F.row_number().over(W.partitionBy(*column).orderBy("y"))).groupBy(*column, "k").agg(F.min("y").alias("top"), F.max("y").alias("foot"))
+    x, down, top, foot = F.col("x"), F.col("down"), F.col("top"), F.col("foot")
+    px = F.when(down, x - 1).otherwise(x)
+    ways = {"x": x, "y": F.when(down, top).otherwise(foot + 1), "tx": x, "ty": F.when(down, foot + 1).otherwise(top), "px": px, "py": F.when(down, top).otherwise(foot), "qx": px, "qy": F.when(down, foot).otherwise(top)}
+    upright = tall.select("page_id", "component", *[v.cast("int").alias(n) for n, v in ways.items()])
     # Along the line between two rows: where the row below has pixels and the one above hasn't, and the other way round.
     mark = lambda at, x, up, down: F.struct(at.alias("line"), x.alias("at"), F.lit(up).alias("up"), F.lit(down).alias("down"), F.when(F.lit(up == 1), F.col("component")).alias("above"), F.when(F.lit(down == 1), F.col("component")).alias("below"))
     marks = one.select("page_id", F.inline(F.array(mark(y, x0, 0, 1), mark(y, x1, 0, -1), mark(y + 1, x0, 1, 0), mark(y + 1, x1, -1, 0))))
@@ -184,7 +190,7 @@ def cracks(marked: DataFrame, diagonal: bool = True) -> DataFrame:
     upto = along.rowsBetween(W.unboundedPreceding, 0)
     parts = marks.select("page_id", "line", "at", F.lead("at").over(along).alias("to"), F.sum("up").over(upto).alias("up"), F.sum("down").over(upto).alias("down"), F.last("above", ignorenulls=True).over(upto).alias("above"), F.last("below", ignorenulls=True).over(upto).alias("below"))
     parts = parts.filter(F.col("up") != F.col("down")).withColumn("component", F.when(F.col("down") == 1, F.col("below")).otherwise(F.col("above")))
-    top = F.col("down") == 1
+    top = F.col("down") == 1  # of a level side, the row below is inside
     level = parts.select(
         "page_id", "component", F.when(top, F.col("at")).otherwise(F.col("to")).alias("x"), F.col("line").alias("y"), F.when(top, F.col("to")).otherwise(F.col("at")).alias("tx"), F.col("line").alias("ty"),
         F.when(top, F.col("at")).otherwise(F.col("to") - 1).alias("px"), F.when(top, F.col("line")).otherwise(F.col("line") - 1).alias("py"), F.when(top, F.col("to") - 1).otherwise(F.col("at")).alias("qx"), F.when(top, F.col("line")).otherwise(F.col("line") - 1).alias("qy"))

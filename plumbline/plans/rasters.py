@@ -28,6 +28,11 @@ def q_outlines(spark, sf):
     return rings.groupBy(F.col("page_id").alias("vec_id")).agg(F.sum("area").alias("pixels"), F.sum("length").alias("length"), F.sum(F.signum("area")).cast("long").alias("euler"))
 
 
+def _dealt(df, ident: str):
+    """The rows that pictures are made of, dealt over all cores: a few megabytes of them are one task's otherwise."""
+    return df.repartition(4 * df.sparkSession.sparkContext.defaultParallelism, ident)
+
+
 def _picture(ident, height: int, width: int, rows):
     """A page of one channel from (rows, [(pixels, dark)])."""
     run = lambda n, dark: F.repeat(F.lit("00" if dark else "FF"), n)
@@ -45,7 +50,7 @@ def q_raster_rectangles(spark, sf):
     x, y, w, h = (v.cast("int") for v in (x, y, w, h))
     blank, edge = [(F.lit(64), False)], [(x, False), (w, True), (64 - x - w, False)]
     sides = [(x, False), (F.lit(1), True), (w - 2, False), (F.lit(1), True), (64 - x - w, False)]
-    pages = table(spark, sf, "part").select(*_picture(k, 64, 64, [(y, blank), (F.lit(1), edge), (h - 2, sides), (F.lit(1), edge), (64 - y - h, blank)]))
+    pages = _dealt(table(spark, sf, "part"), "p_partkey").select(*_picture(k, 64, 64, [(y, blank), (F.lit(1), edge), (h - 2, sides), (F.lit(1), edge), (64 - y - h, blank)]))
     scales = table(spark, sf, "part").select(k.alias("page_id"), F.when(k % 3 == 1, "render_pixel").when(k % 3 == 2, "render_pixel").otherwise("pdf_point").alias("coord_space"), F.lit(20.0).alias("px_per_m"))
     got = raster.rectangles(pages, scales, tile=64)
     return got.select("page_id", *[F.col(c).cast("long").alias(c) for c in ("x0", "y0", "x1", "y1")], "width_m", "height_m")
