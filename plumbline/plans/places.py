@@ -8,16 +8,16 @@ from ..functions import geometry, pricing, text
 from ..operators import assembly, drawing, elevations, evidence, openings, pages, surfaces
 from ..scratch import shuffled
 from ..sources import readers
-from .shared import choice, key, pick, query, table
+from .shared import choice, dealt, key, pick, query, table
 
 
 def orders(spark, sf):
-    return table(spark, sf, "orders")
+    return dealt(spark, sf, "orders", "o_orderkey")
 
 
 def few(spark, sf):
     """The suppliers, for what takes long for each row, numbered as orders are."""
-    return table(spark, sf, "supplier").select(F.col("s_suppkey").alias("o_orderkey"))
+    return dealt(spark, sf, "supplier", "s_suppkey").select(F.col("s_suppkey").alias("o_orderkey"))
 
 
 FEW = "(SELECT s_suppkey AS o_orderkey FROM supplier) s"
