@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from ..scratch import shuffled, written
+from ..scratch import removed, shuffled, written, written_at
 
 
 def components(edges: DataFrame, a: str, b: str, most_rounds: int | None = None) -> DataFrame:
@@ -40,22 +40,27 @@ def rings(steps: DataFrame) -> DataFrame:
     them has come round to itself: its ring is known, and leaves the rounds. So they are as many as the longest ring
     has bits, but short rings cost only the first few, and no ring has to fit a task.
     """
-    left = cut(steps.select("id", "next", F.struct(F.col("id").alias("least"), F.lit(0).cast("long").alias("off")).alias("low")))
+    spark = steps.sparkSession
+    left, at = written_at(steps.select("id", "next", F.struct(F.col("id").alias("least"), F.lit(0).cast("long").alias("off")).alias("low")), "round")
     done, span = None, 1
     while True:
         ahead = left.select(F.col("id").alias("next"), F.col("next").alias("over"), F.col("low").alias("more"))
         more = F.struct(F.col("more.least").alias("least"), (F.col("more.off") + span).alias("off"))
         round_ = (F.col("low.least") == F.col("id")) & (F.col("more.least") == F.col("id"))
-        new = cut(left.join(shuffled(ahead), "next").select("id", F.col("over").alias("next"), F.least("low", more).alias("low"), round_.alias("round")))
+        new, new_at = written_at(left.join(shuffled(ahead), "next").select("id", F.col("over").alias("next"), F.least("low", more).alias("low"), round_.alias("round")), "round")
+        removed(spark, at)
         known = new.filter("round").select(F.col("id").alias("ring"))
-        found = new.join(shuffled(known), F.col("low.least") == F.col("ring")).select("id", "ring", F.col("low.off").alias("off"))
+        # One join tells who has come round and who is left; it is written, as both are read, and tables of rounds before are gone.
+        told, at = written_at(new.drop("round").join(shuffled(known), F.col("low.least") == F.col("ring"), "left"), "round")
+        removed(spark, new_at)
+        found = cut(told.filter("ring is not null").select("id", "ring", F.col("low.off").alias("off")))
         done = found if done is None else done.unionAll(found)
-        left = new.drop("round").join(shuffled(known), F.col("low.least") == F.col("ring"), "left_anti")
+        left = told.filter("ring is null").drop("ring")
         span *= 2
         if left.isEmpty():
             break
+    removed(spark, at)
     # What is known is the way to the least id; the way from it is the rest of the ring.
-    done = cut(done)
     sizes = done.groupBy("ring").agg(F.count("*").alias("n"))
     return done.join(shuffled(sizes), "ring").select("id", "ring", F.pmod(-F.col("off"), F.col("n")).alias("place"))
 

@@ -57,6 +57,19 @@ def written(df: DataFrame, name: str = "table", **options: str) -> DataFrame:
     return df.sparkSession.read.schema(df.schema).parquet(at)
 
 
+def written_at(df: DataFrame, name: str = "table") -> tuple[DataFrame, str]:
+    """written(), and where, for a table that removed() ends before clean()."""
+    got = written(df, name)
+    return got, _made[-1]
+
+
+def removed(spark: SparkSession, at: str) -> None:
+    """Deletes an intermediate table that nothing reads any more, so that rounds don't add up on the disk."""
+    to = spark._jvm.org.apache.hadoop.fs.Path(at)
+    to.getFileSystem(spark._jsc.hadoopConfiguration()).delete(to, True)
+    _made.remove(at)
+
+
 def shuffled(df: DataFrame) -> DataFrame:
     """df for a join in which both sides are shuffled, however small Spark guesses df to be.
 
