@@ -12,7 +12,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
-from ..scratch import written
+from ..scratch import shuffled, written
 from . import graph, ranges
 
 
@@ -45,19 +45,30 @@ def lookup(df: DataFrame, dim: DataFrame, on: str, label: str, default: str = "U
     return df.join(dim.select(on, label), on, "left").withColumn(label, F.coalesce(label, F.lit(default)))
 
 
-def near_pairs(df: DataFrame, by: list[str], id_column: str, value: str, relative: float, extra: Column | None = None) -> DataFrame:
+def near_pairs(df: DataFrame, by: list[str], id_column: str, value: str, relative: float, extra: Column | None = None, beside: tuple[str, float] | None = None) -> DataFrame:
     """Pairs (a, b) of rows of the same key, a < b by id, whose values are within a relative tolerance of the larger.
 
     Values are laid into buckets of their logarithm as wide as the tolerance, so a partner is in the same bucket or
     the next one. Values must be positive; others pair with nothing. extra(a, b) may be given on a_ and b_ columns.
+    beside: a second measure that must be no further apart than so much; it has buckets of its own, so that pairs that
+    are near in one measure only don't meet. Both sides are shuffled: there are far more pairs than rows.
     """
     width = -math.log1p(-relative)
     keyed = df.filter(F.col(value) > 0).withColumn("bucket", F.floor(F.log(value) / width))
-    side = lambda d, p: d.select(*by, "bucket", *[F.col(c).alias(f"{p}_{c}") for c in df.columns if c not in by])
-    right = keyed.withColumn("bucket", F.explode(F.array(F.col("bucket") - 1, F.col("bucket"), F.col("bucket") + 1)))
-    pairs = side(keyed, "a").join(side(right, "b"), [*by, "bucket"]).filter(F.col(f"a_{id_column}") < F.col(f"b_{id_column}"))
+    around = lambda c: F.explode(F.array(F.col(c) - 1, F.col(c), F.col(c) + 1))
+    at = [*by, "bucket"]
+    if beside:
+        keyed, at = keyed.withColumn("beside", F.floor(F.col(beside[0]) / beside[1])), [*at, "beside"]
+    right = keyed.withColumn("bucket", around("bucket"))
+    if beside:
+        right = right.withColumn("beside", around("beside"))
+    side = lambda d, p: d.select(*at, *[F.col(c).alias(f"{p}_{c}") for c in df.columns if c not in by])
+    pairs = side(keyed, "a").join(shuffled(side(right, "b")), at).filter(F.col(f"a_{id_column}") < F.col(f"b_{id_column}"))
     a, b = F.col(f"a_{value}"), F.col(f"b_{value}")
-    pairs = pairs.filter(F.abs(a - b) <= relative * F.greatest(a, b)).drop("bucket")
+    pairs = pairs.filter(F.abs(a - b) <= relative * F.greatest(a, b))
+    if beside:
+        pairs = pairs.filter(F.abs(F.col(f"a_{beside[0]}") - F.col(f"b_{beside[0]}")) <= beside[1])
+    pairs = pairs.drop("bucket", "beside")
     return pairs if extra is None else pairs.filter(extra)
 
 

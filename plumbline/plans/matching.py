@@ -15,7 +15,7 @@ from .shared import CENTS, cents, query, table
 def q_tolerance_join(spark, sf):
     """Pairs within tolerances on two measures."""
     rows = table(spark, sf, "part").select("p_brand", "p_partkey", "p_retailprice", "p_size")
-    pairs = fusion.near_pairs(rows, ["p_brand"], "p_partkey", "p_retailprice", 0.005, F.abs(F.col("a_p_size") - F.col("b_p_size")) <= 2)
+    pairs = fusion.near_pairs(rows, ["p_brand"], "p_partkey", "p_retailprice", 0.005, beside=("p_size", 2))
     return pairs.select("p_brand", F.col("a_p_partkey").alias("a_partkey"), F.col("b_p_partkey").alias("b_partkey"))
 
 
