@@ -101,8 +101,9 @@ def nearest(left: DataFrame, right: DataFrame, by: list[str], left_value: str, r
     at = F.when(~lacks(left, left_value), F.col(left_value)).alias("at")
     lefts = left.select(*by, at, F.lit(None).cast(rights.schema["hit"].dataType).alias("hit"), F.struct("*").alias("row"))
     ranged = ranges.ranged(rights.select(*by, "at", "hit", "row").unionByName(lefts), by, [F.col("at")])
-    w = ranges.within(by, [F.col("at")])
-    here = ranged.withColumn("below", F.last("hit", ignorenulls=True).over(w.rangeBetween(W.unboundedPreceding, 0))).withColumn("above", F.first("hit", ignorenulls=True).over(w.rangeBetween(0, W.unboundedFollowing)))
+    # Both frames begin at an end of the range and grow: a frame that ends at the last row is gone through anew for each row.
+    upto = lambda order: F.last("hit", ignorenulls=True).over(ranges.within(by, [order]).rangeBetween(W.unboundedPreceding, 0))
+    here = ranged.withColumn("below", upto(F.col("at"))).withColumn("above", upto(F.col("at").desc()))
     hits = F.when(F.col("hit").isNotNull(), F.struct("at", "hit"))
     both = ranges.carried(ranges.carried(here, by, {"before": (F.max(hits), "last")}), by, {"after": (F.min(hits), "first")}, after=True).filter("row is not null")
     both = both.withColumns({"below": F.coalesce("below", "before.hit"), "above": F.coalesce("above", "after.hit")})

@@ -38,10 +38,11 @@ def carried(df: DataFrame, by: list[str], folds: dict[str, tuple[Column, str]],
     Together: sum, max, first or last, the latter two of what isn't null. after: of the ranges after instead.
     """
     ends = df.groupBy(PART, *by).agg(*[a.alias(name) for name, (a, _) in folds.items()])
-    along = W.partitionBy(*by).orderBy(PART)
-    along = along.rowsBetween(1, W.unboundedFollowing) if after else along.rowsBetween(W.unboundedPreceding, -1)
+    # After: the same frame against the order, as one that ends at the last row is gone through anew for each row.
+    along = W.partitionBy(*by).orderBy(F.desc(PART) if after else PART).rowsBetween(W.unboundedPreceding, -1)
+    turned = {"first": "last", "last": "first"} if after else {}
     put = {"sum": F.sum, "max": F.max, "min": F.min, "first": lambda c: F.first(c, ignorenulls=True), "last": lambda c: F.last(c, ignorenulls=True)}
-    beside = ends.select(*[F.col(k).alias(f"in_{k}") for k in (PART, *by)], *[put[how](name).over(along).alias(name) for name, (_, how) in folds.items()])
+    beside = ends.select(*[F.col(k).alias(f"in_{k}") for k in (PART, *by)], *[put[turned.get(how, how)](name).over(along).alias(name) for name, (_, how) in folds.items()])
     return df.join(beside, same(by, "in_"), "left").drop(*[f"in_{k}" for k in (PART, *by)])
 
 
