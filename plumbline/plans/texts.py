@@ -6,7 +6,7 @@ from pyspark.sql import functions as F
 
 from ..functions import classes, sheets, text
 from ..operators import assembly, drawing, evidence, registers, surfaces
-from .shared import choice, key, nth, pick, query, table
+from .shared import choice, dealt, key, nth, pick, query, table
 
 
 def say(*parts):
@@ -165,7 +165,7 @@ def q_legend(spark, sf):
 def q_descriptions(spark, sf):
     """Schedule lines with up to three lines that continue them."""
     lines = F.array(F.lit("Legend"), say("pt", nth(), " Low sheen"), F.lit("washable"), key().cast("string"), F.lit("WC2 Tile"), *[F.lit(x) for x in "abcd"])
-    rows = table(spark, sf, "orders").select(key().alias("page_id"), F.posexplode(lines).alias("line", "text")).withColumn("line", F.col("line").cast("long"))
+    rows = dealt(spark, sf, "orders", "o_orderkey").select(key().alias("page_id"), F.posexplode(lines).alias("line", "text")).withColumn("line", F.col("line").cast("long"))
     return registers.descriptions(rows)
 
 
@@ -253,6 +253,6 @@ def q_room_labels(spark, sf):
     far = F.when(key() % 2 == 0, 25.0).otherwise(130.0)
     word = lambda i, t, x, y, w=20.0: F.struct(F.lit(i).cast("long").alias("word_id"), F.lit(t).alias("text"), (x if not isinstance(x, float) else F.lit(x)).alias("x0"), F.lit(y).alias("y0"), ((x if not isinstance(x, float) else F.lit(x)) + w).alias("x1"), F.lit(y + 10.0).alias("y1"))
     words = F.array(word(1, "Walk", 20.0, 100.0), word(2, "in", 42.0, 100.0, 10.0), word(3, "Robe", 55.0, 100.0, 25.0), word(4, "Kitchen", 100.0, 100.0, 30.0), word(5, "1200", 200.0, 103.0), word(6, "Master", 0.0, 200.0), word(7, "Bedroom", far, 200.0, 30.0 + 0.0))
-    rows = table(spark, sf, "orders").select(key().alias("page_id"), F.inline(words))
+    rows = dealt(spark, sf, "orders", "o_orderkey").select(key().alias("page_id"), F.inline(words))
     rows = rows.withColumn("x1", F.when((F.col("word_id") == 7) & (F.col("page_id") % 2 == 0), 60.0).when(F.col("word_id") == 7, 160.0).otherwise(F.col("x1")))
     return drawing.room_labels(rows, ["walk", "robe", "kitchen", "master", "bedroom"], ["walk in robe", "master bedroom"])
