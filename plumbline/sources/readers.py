@@ -18,6 +18,7 @@ from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from ..functions import geometry, text
+from ..functions.kept import let
 from ..scratch import written
 
 #: Headings of take-off columns.
@@ -58,16 +59,18 @@ def heading(c: Column) -> Column:
     A dollar sign beside a bare unit makes it a rate; short forms of square metres, of those a litre and of those an
     hour are quantities, coverages and productivities.
     """
-    key = text.norm_key(c)
-    money = F.coalesce(c, F.lit("")).contains("$") & key.isin(*MONEY_UNITS)
-    out = F.when(F.trim(F.coalesce(c, F.lit(""))) == "", None).when(money, "rate_per_unit")
-    for target, words in HEADINGS.items():
-        out = out.when(key.isin(*{_key(w) for w in words}), target)
-    for target, words in SHORT_FORMS.items():
-        out = out.when(key.isin(*words), target)
-    scores = [F.struct(sum((F.when(key.contains(_key(w)), len(_key(w))).otherwise(0) for w in words), F.lit(0)).alias("score"), F.lit(-k).alias("order"), F.lit(t).alias("target")) for k, (t, words) in enumerate(HEADINGS.items())]
-    best = F.greatest(*scores)
-    return out.otherwise(F.when(best["score"] >= 4, best["target"]))
+
+    def target(key: Column) -> Column:
+        money = F.coalesce(c, F.lit("")).contains("$") & key.isin(*MONEY_UNITS)
+        out = F.when(F.trim(F.coalesce(c, F.lit(""))) == "", None).when(money, "rate_per_unit")
+        for name, words in HEADINGS.items():
+            out = out.when(key.isin(*{_key(w) for w in words}), name)
+        for name, words in SHORT_FORMS.items():
+            out = out.when(key.isin(*words), name)
+        scores = [F.struct(sum((F.when(key.contains(_key(w)), len(_key(w))).otherwise(0) for w in words), F.lit(0)).alias("score"), F.lit(-k).alias("order"), F.lit(t).alias("target")) for k, (t, words) in enumerate(HEADINGS.items())]
+        return out.otherwise(let(F.greatest(*scores), lambda best: F.when(best["score"] >= 4, best["target"])))
+
+    return let(text.norm_key(c), target)
 
 
 #: A quoted cell from its beginning to its end, and the end of one that began on an earlier line.
