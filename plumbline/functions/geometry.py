@@ -5,6 +5,8 @@ from __future__ import annotations
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
+from .kept import let
+
 
 def _turned(points: Column) -> Column:
     """The points from the second on, then the first."""
@@ -17,8 +19,8 @@ def _sum(values: Column) -> Column:
 
 def signed_area(points: Column) -> Column:
     """Shoelace area, positive counter-clockwise; 0 for fewer than three points. (F101)"""
-    cross = F.zip_with(points, _turned(points), lambda p, q: p["x"] * q["y"] - q["x"] * p["y"])
-    return F.when(F.size(points) >= 3, _sum(cross) / 2).otherwise(0.0)
+    cross = lambda r: F.zip_with(r, _turned(r), lambda p, q: p["x"] * q["y"] - q["x"] * p["y"])
+    return let(points, lambda r: F.when(F.size(r) >= 3, _sum(cross(r)) / 2).otherwise(0.0))
 
 
 def area(points: Column) -> Column:
@@ -27,8 +29,8 @@ def area(points: Column) -> Column:
 
 
 def perimeter(points: Column) -> Column:
-    steps = F.zip_with(points, _turned(points), lambda p, q: F.hypot(p["x"] - q["x"], p["y"] - q["y"]))
-    return F.when(F.size(points) >= 2, _sum(steps)).otherwise(0.0)
+    steps = lambda r: F.zip_with(r, _turned(r), lambda p, q: F.hypot(p["x"] - q["x"], p["y"] - q["y"]))
+    return let(points, lambda r: F.when(F.size(r) >= 2, _sum(steps(r))).otherwise(0.0))
 
 
 def area_m2(percent_points: Column, width_px: Column, height_px: Column, px_m: Column, manual: Column | None = None) -> Column:
@@ -45,15 +47,23 @@ def contains(points: Column, x: Column, y: Column) -> Column:
         at = p["x"] + (y - p["y"]) * (q["x"] - p["x"]) / F.nullif(q["y"] - p["y"], F.lit(0.0))
         return F.when((p["y"] > y) != (q["y"] > y), x < at).otherwise(False)
 
-    return F.aggregate(F.zip_with(points, _turned(points), crosses), F.lit(False), lambda inside, hit: inside != hit)
+    hits = lambda p: F.zip_with(p, _turned(p), crosses)
+    return F.aggregate(let(points, hits), F.lit(False), lambda inside, hit: inside != hit)
 
 
 def contained(inner: Column, outer: Column, samples: int = 8) -> Column:
-    """Whether a polygon lies wholly in another: all corners, and so many places on every edge. (F109)"""
+    """Whether a polygon lies wholly in another: all corners, and so many places on every edge. (F109)
+
+    As contains() of each place, with what it takes of the outer polygon's sides computed once for each row.
+    """
     share = [F.lit(k / samples) for k in range(samples)]
     places = lambda p, q: F.array(*[F.struct((p["x"] + t * (q["x"] - p["x"])).alias("x"), (p["y"] + t * (q["y"] - p["y"])).alias("y")) for t in share])
-    on_edges = F.flatten(F.zip_with(inner, _turned(inner), places))
-    return F.coalesce((F.size(inner) >= 3) & F.forall(on_edges, lambda p: contains(outer, p["x"], p["y"])), F.lit(False))
+    on_edges = let(inner, lambda p: F.flatten(F.zip_with(p, _turned(p), places)))
+    side = lambda a, b: F.struct(a["x"].alias("x"), a["y"].alias("y"), b["y"].alias("ty"), (b["x"] - a["x"]).alias("dx"), F.nullif(b["y"] - a["y"], F.lit(0.0)).alias("dy"))
+    sides = let(outer, lambda p: F.zip_with(p, _turned(p), side))
+    meets = lambda s, p: F.when((s["y"] > p["y"]) != (s["ty"] > p["y"]), p["x"] < s["x"] + (p["y"] - s["y"]) * s["dx"] / s["dy"]).otherwise(False)
+    held = lambda all_, p: F.aggregate(all_, F.lit(False), lambda inside, s: inside != meets(s, p))
+    return F.coalesce((F.size(inner) >= 3) & let(sides, lambda s: F.forall(on_edges, lambda p: held(s, p))), F.lit(False))
 
 
 def bbox(points: Column) -> Column:
