@@ -7,6 +7,7 @@ from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from ..functions import geometry, text
+from ..scratch import shuffled
 from . import pages, surfaces
 
 #: Bounds of wall and grid lines.
@@ -154,8 +155,8 @@ def rooms_from_segments(segments: DataFrame, labels: DataFrame, sizes: DataFrame
     drawn = segments.filter((F.abs(F.col("x2") - F.col("x1")) >= 0.5) | (F.abs(F.col("y2") - F.col("y1")) >= 0.5))
     found = pages.label_faces(pages.faces(drawn, least_area), labels)
     own = F.when(F.col("n_labels") > 0, F.col("label"))  # a made-up name is no label
-    shaped = found.select("page_id", F.col("face").alias("id"), "points", own.alias("label"), "n_labels").join(sizes, "page_id")
-    return surfaces.rooms(shaped).join(found.select("page_id", F.col("face").alias("id"), "n_labels"), ["page_id", "id"])
+    shaped = found.select("page_id", F.col("face").alias("id"), "points", own.alias("label"), "n_labels").join(shuffled(sizes), "page_id")
+    return surfaces.rooms(shaped).join(shuffled(found.select("page_id", F.col("face").alias("id"), "n_labels")), ["page_id", "id"])
 
 
 def studio_pages(rows: DataFrame) -> DataFrame:

@@ -30,7 +30,7 @@ def scene_graph(objects: DataFrame) -> DataFrame:
     single = counted.filter("n = 1")
     rejected = counted.filter("n > 1").select(*keys, "kind", F.lit(None).cast("string").alias("root"), F.lit(None).cast("long").alias("depth"), F.lit("duplicate_id").alias("state"))
     here = single.select("workspace_id", F.col("object_id").alias("parent_id"), F.lit(True).alias("there"))
-    nodes = single.join(here, ["workspace_id", "parent_id"], "left")
+    nodes = single.join(shuffled(here), ["workspace_id", "parent_id"], "left")
     whole = F.col("parent_id").isNull()
     # up: the farthest ancestor seen so far, steps away; done where it is a root or its parent is missing
     nodes = nodes.select(*keys, "kind", F.when(whole, F.col("object_id")).otherwise(F.col("parent_id")).alias("up"), F.when(whole, 0).otherwise(1).cast("long").alias("steps"), F.when(whole, "root").when(F.col("there"), "open").otherwise("orphan").alias("end"))
@@ -38,7 +38,7 @@ def scene_graph(objects: DataFrame) -> DataFrame:
     left, before = nodes.filter("end = 'open'").count(), None
     while left and left != before:  # a round in which none ends leaves cycles alone
         ahead = nodes.select("workspace_id", F.col("object_id").alias("up"), F.col("up").alias("further"), F.col("steps").alias("more"), F.col("end").alias("next"))
-        joined = nodes.join(ahead, ["workspace_id", "up"], "left")
+        joined = nodes.join(shuffled(ahead), ["workspace_id", "up"], "left")
         go = F.col("end") == "open"
         nodes = written(joined.select(*keys, "kind", F.when(go, F.col("further")).otherwise(F.col("up")).alias("up"), F.when(go, F.col("steps") + F.col("more")).otherwise(F.col("steps")).alias("steps"), F.when(go, F.col("next")).otherwise(F.col("end")).alias("end")), "scene")
         before, left = left, nodes.filter("end = 'open'").count()

@@ -303,7 +303,7 @@ def code_targets(codes: DataFrame, targets: DataFrame, proximity: float = 30.0)
 def unit_boundaries(contours: DataFrame, labels: DataFrame) -> DataFrame:
     """For each unit label the largest contour that holds it and no other. contours: page_id, id, points; labels: page_id, label, x, y."""
     box = geometry.bbox(F.col("points"))
-    met = contours.withColumn("box", box).join(labels, "page_id").filter(F.col("x").between(F.col("box.x0"), F.col("box.x1")) & F.col("y").between(F.col("box.y0"), F.col("box.y1")))
+    met = contours.withColumn("box", box).join(shuffled(labels), "page_id").filter(F.col("x").between(F.col("box.x0"), F.col("box.x1")) & F.col("y").between(F.col("box.y0"), F.col("box.y1")))
     held = met.filter(geometry.contains(F.col("points"), F.col("x"), F.col("y"))).groupBy("page_id", "id").agg(F.count_distinct("label").alias("n"), F.min("label").alias("label"), F.max(geometry.area(F.col("points"))).alias("area"))
     best = held.filter("n = 1").groupBy("page_id", "label").agg(F.max(F.struct("area", (-F.xxhash64("id")).alias("k"), "id")).alias("b"))
     return best.select("page_id", "label", F.col("b.id").alias("id"), F.col("b.area").alias("area"))

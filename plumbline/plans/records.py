@@ -9,7 +9,7 @@ from ..functions import geometry, pricing, text
 from ..operators import assembly, drawing, fusion, gates, provenance, registers, schedule, surfaces, takeoff
 from ..sources import readers, writers
 from .natural import _ROWS, rows
-from .shared import choice, key, pick, query, table
+from .shared import choice, dealt, key, pick, query, table
 
 
 def orders(spark, sf):
@@ -529,7 +529,7 @@ def q_scene_graph(spark, sf):
     """Objects of scenes with their roots; ambiguous ids, orphans and cycles are told."""
     item = lambda i, up: F.struct(F.lit(i).alias("object_id"), F.lit(up).cast("string").alias("parent_id"), F.lit("k").alias("kind"))
     items = F.array(item("site", None), item("floor", "site"), item("wall", "floor"), item("hole", "wall"), item("lost", "nowhere"), item("loop", "loop"), item("twice", "site"), item("twice", "floor"))
-    got = provenance.scene_graph(table(spark, sf, "customer").select(F.col("c_custkey").alias("workspace_id"), F.inline(items)))
+    got = provenance.scene_graph(dealt(spark, sf, "customer", "c_custkey").select(F.col("c_custkey").alias("workspace_id"), F.inline(items)))
     return got.select("workspace_id", F.col("object_id").alias("id"), "root", "depth", "state")
 
 
