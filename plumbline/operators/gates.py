@@ -25,7 +25,7 @@ def severity_rank(c: Column) -> Column:
 
 @kept
 def _broken() -> Column:
-    """array of struct(severity, code): the rules that a take-off row breaks."""
+    """array of struct(severity, code): a rule that a take-off row breaks, null for each that it keeps."""
     q, rate = F.coalesce("quantity", F.lit(0.0)), F.coalesce("rate_per_unit", F.lit(0.0))
     work = ~takeoff.is_floor_reference() & ~takeoff.is_excluded()
     unit = text.unit(F.col("unit"))
@@ -39,12 +39,16 @@ def _broken() -> Column:
         (takeoff.authority().isin("NOT_MODEL_SURFACE", "APPROVED") == F.lit(False), "BLOCKER", "MODEL_SURFACE_UNAPPROVED"),
         (F.lower(F.coalesce("quantity_status", F.lit(""))).contains("provisional"), "WARNING", "PROVISIONAL"),
     )
-    return F.array_compact(F.array(*[F.when(F.coalesce(c, F.lit(False)), F.struct(F.lit(s).alias("severity"), F.lit(code).alias("code"))) for c, s, code in rules]))
+    return F.array(*[F.when(F.coalesce(c, F.lit(False)), F.struct(F.lit(s).alias("severity"), F.lit(code).alias("code"))) for c, s, code in rules])
 
 
 def row_signals(rows: DataFrame) -> DataFrame:
-    """One row for each rule that a take-off row breaks: id, severity, code."""
-    return rows.select("workspace_id", "id", F.inline(_broken()))
+    """One row for each rule that a take-off row breaks: id, severity, code.
+
+    Rules that are kept are left out after the rows are made: an array without them would be made twice, as Spark asks
+    for its size first, and not by compiled code.
+    """
+    return rows.select("workspace_id", "id", F.inline(_broken())).filter("severity is not null")
 
 
 def duplicate_signals(rows: DataFrame) -> DataFrame:
@@ -59,10 +63,14 @@ def _order() -> Column:
     return severity_rank(F.col("severity"))
 
 
+def found_signals(rows: DataFrame) -> DataFrame:
+    """All signals in no order, for what only counts them: an order costs a sample and a sort of all of them."""
+    return row_signals(rows).unionByName(duplicate_signals(rows))
+
+
 def signals(rows: DataFrame) -> DataFrame:
     """All signals, the severest first, in an order that repeats. (L1)"""
-    found = row_signals(rows).unionByName(duplicate_signals(rows))
-    return found.orderBy("workspace_id", _order(), "code", "id")
+    return found_signals(rows).orderBy("workspace_id", _order(), "code", "id")
 
 
 def preflight(rows: DataFrame, found: DataFrame) -> DataFrame:
@@ -107,7 +115,7 @@ def publish(published: DataFrame, rows: DataFrame, checked: DataFrame, job: str,
 
     checked is the preflight that the estimator saw. The key is job and fingerprint, so a repeated call adds nothing.
     """
-    now = preflight(rows, signals(rows)).select("workspace_id", "fingerprint", "state", "publishable_rows")
+    now = preflight(rows, found_signals(rows)).select("workspace_id", "fingerprint", "state", "publishable_rows")
     seen = checked.select("workspace_id", F.col("fingerprint").alias("seen"))
     ready = F.col("state") == "READY" if not acknowledged else F.col("state").isin("READY", "ACKNOWLEDGE")
     ok = now.join(seen, "workspace_id").filter(ready & (F.col("fingerprint") == F.col("seen"))).select("workspace_id", "fingerprint")

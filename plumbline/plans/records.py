@@ -119,7 +119,7 @@ def q_publish(spark, sf):
     """
     r = rows(spark, sf).filter("coalesce(row_role, '') <> 'model-surface' and rate_per_unit > 0 and location <> 'shed'")
     r = scratch.written(r, "rows")
-    seen = scratch.written(gates.preflight(r, gates.signals(r)), "seen")
+    seen = scratch.written(gates.preflight(r, gates.found_signals(r)), "seen")
     at = scratch.path(spark, "published")
     none = spark.createDataFrame([], "job string, fingerprint string")
     ready = gates.publish(none, r, seen, "J1", acknowledged=True).drop("job", "fingerprint")
