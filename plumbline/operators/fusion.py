@@ -162,27 +162,40 @@ def merge_intervals(df: DataFrame, by: list[str], low: str, high: str, gap: Colu
 def overlapping(df: DataFrame, by: list[str], id_column: str, low: str, high: str, width: float) -> DataFrame:
     """Pairs a < b of rows of the same key whose intervals overlap.
 
-    Intervals have a level by their length, doubling from the width on, and lie in the two buckets at most of their own
-    level that they touch; they look for partners in the buckets of their own and all higher levels. So a row is
-    copied by the number of levels, however long it is, and a pair counts in the bucket where it begins.
+    Of two intervals that overlap, the one that begins later begins within the other. So an interval lies in the
+    buckets that it touches, and the beginnings of all look for those that they are in. Intervals have a level by their
+    length, doubling from the width on, and lie in the two buckets at most of their own level that they touch. Each
+    level costs a copy of all beginnings, so one whose intervals make fewer copies in the buckets of the level below is
+    laid there: a row is copied by the number of levels at most, however long it is.
     """
     level = F.greatest(F.lit(0), F.ceil(F.log2(F.greatest(F.col(high) - F.col(low), F.lit(width)) / width))).cast("int")
-    rows = df.filter(F.col(low) <= F.col(high)).select(*by, *[F.col(c) for c in (id_column, low, high)], level.alias("level"))
-    top = rows.agg(F.max("level")).first()[0] or 0
+    rows = written(df.filter(F.col(low) <= F.col(high)).select(*by, *[F.col(c) for c in (id_column, low, high)], level.alias("level")), "intervals")
+    levels = _worth_a_copy({r["level"]: r["n"] for r in rows.groupBy("level").agg(F.count("*").alias("n")).collect()})
     size = lambda k: F.lit(float(width)) * F.pow(F.lit(2.0), k)
-    laid = lambda d, k: d.withColumn("at", k).withColumn("bucket", F.explode(F.sequence(F.floor(F.col(low) / size(F.col("at"))), F.floor(F.col(high) / size(F.col("at"))))))
-    side = lambda d, p: d.select(*by, "at", "bucket", *[F.col(c).alias(f"{p}_{c}") for c in (id_column, low, high, "level")])
-    own = side(laid(rows, F.col("level")), "x")
-    every = side(laid(rows, F.explode(F.sequence(F.col("level"), F.lit(top)))), "y")
-    met = own.join(every, [*by, "at", "bucket"]).filter((F.col("x_level") > F.col("y_level")) | (F.col(f"x_{id_column}") < F.col(f"y_{id_column}")))
-    meet = (F.col(f"x_{low}") <= F.col(f"y_{high}")) & (F.col(f"y_{low}") <= F.col(f"x_{high}"))
-    once = F.floor(F.greatest(f"x_{low}", f"y_{low}") / size(F.col("at"))) == F.col("bucket")
-    first = F.col(f"x_{id_column}") < F.col(f"y_{id_column}")
+    of = lambda c: F.floor(F.col(c) / size(F.col("at")))
+    own = F.coalesce(*[F.when(F.col("level") >= k, F.lit(k)) for k in reversed(levels)])
+    side = lambda d, p: d.select(*by, "at", "bucket", *[F.col(c).alias(f"{p}_{c}") for c in (id_column, low, high)])
+    whole = side(rows.withColumn("at", own).withColumn("bucket", F.explode(F.sequence(of(low), of(high)))), "x")
+    begun = side(rows.withColumn("at", F.explode(F.array(*map(F.lit, levels)))).withColumn("bucket", of(low)), "y")
+    x_low, y_low, first = F.col(f"x_{low}"), F.col(f"y_{low}"), F.col(f"x_{id_column}") < F.col(f"y_{id_column}")
+    inside = (y_low <= F.col(f"x_{high}")) & ((x_low < y_low) | ((x_low == y_low) & first))
+    pairs = whole.join(begun, [*by, "at", "bucket"]).filter(inside & (F.col(f"x_{id_column}") != F.col(f"y_{id_column}")))
     pick = lambda p, c: F.when(first if p == "a" else ~first, F.col(f"x_{c}")).otherwise(F.col(f"y_{c}")).alias(f"{p}_{c}")
-    pairs = met.filter(meet & once & (F.col(f"x_{id_column}") != F.col(f"y_{id_column}")))
     return pairs.select(*by, *[pick(p, c) for p in "ab" for c in (id_column, low, high)])
 
 
+def _worth_a_copy(counts: dict[int, int]) -> list[int]:
+    """Of levels and their numbers of intervals those that have buckets, ascending; the others are laid in those of the next one below."""
+    levels, rows, above = sorted(counts) or [0], sum(counts.values()), {}
+    kept = [levels[0]]
+    for k, below in zip(reversed(levels[1:]), reversed(levels[:-1]), strict=True):
+        above[k] = counts[k]
+        if sum(n << (m - below) for m, n in above.items()) > rows:
+            kept.append(k)
+            above = {}
+    return sorted(kept)
+
+
 def conflicts(df: DataFrame, keys: list[str], value: str, tolerance: float) -> DataFrame:
     """Keys whose values lie further apart than the tolerance: key, low, high, n, spread."""
     got = df.filter(F.col(value).isNotNull()).groupBy(*keys).agg(F.min(value).alias("low"), F.max(value).alias("high"), F.count("*").alias("n"))
