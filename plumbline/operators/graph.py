@@ -11,25 +11,47 @@ from ..scratch import removed, shuffled, written, written_at
 def components(edges: DataFrame, a: str, b: str, most_rounds: int | None = None) -> DataFrame:
     """node, component: the least node that can be reached.
 
-    Labels are the least seen so far; every round takes the least label of the neighbours and then the label of the
-    label, so paths shorten by doubling. Rounds go on until no label changes; labels only fall, so they settle. With
-    most_rounds, labels that still change after so many are an error. Each round is written to the shared folder.
+    A node hangs on its least neighbour that is less than itself; labels of labels, taken until they settle, name the
+    node that each hangs on in the end. Then each node is put in place of those that hang on it, and edges within one
+    are gone: a round only sees what the rounds before have left. The least node of a component hangs on none, so it
+    stays to the end. With most_rounds, labels that still change after so many are an error. Tables are written to the
+    shared folder and deleted once they are read.
     """
-    both = edges.select(F.col(a).alias("node"), F.col(b).alias("other")).unionAll(edges.select(F.col(b), F.col(a))).distinct()
-    both = cut(both)
-    labels = cut(both.groupBy("node").agg(F.least(F.col("node"), F.min("other")).alias("label")))
+    spark = edges.sparkSession
+    left, left_at = written_at(edges.select(F.col(a).alias("node"), F.col(b).alias("other")).filter("node is not null and other is not null").distinct(), "round")
+    maps: list[DataFrame] = []
     rounds = 0
     while True:
-        near = both.join(shuffled(labels.select(F.col("node").alias("other"), "label")), "other").groupBy("node").agg(F.min("label").alias("near"))
-        step = labels.join(shuffled(near), "node").select("node", F.least("label", "near").alias("label"), F.col("label").alias("was"))
-        jump = step.select(F.col("node").alias("label"), F.col("label").alias("further"))
-        new = cut(step.join(shuffled(jump), "label", "left").select("node", F.least("label", F.coalesce("further", "label")).alias("label"), "was"))
-        if new.filter("label <> was").isEmpty():
-            return new.select("node", F.col("label").alias("component"))
-        rounds += 1
-        if rounds == most_rounds:
-            raise RuntimeError(f"labels still change after {most_rounds} rounds")
-        labels = new.select("node", "label")
+        ends = left.unionAll(left.select(F.col("other"), F.col("node")))
+        labels, at = written_at(ends.groupBy("node").agg(F.least(F.col("node"), F.min("other")).alias("label")), "round")
+        while True:
+            further = labels.select(F.col("node").alias("label"), F.col("label").alias("further"))
+            new, new_at = written_at(labels.join(shuffled(further), "label").select("node", F.col("further").alias("label"), (F.col("further") != F.col("label")).alias("moved")), "round")
+            removed(spark, at)
+            labels, at = new.select("node", "label"), new_at
+            if new.filter("moved").isEmpty():
+                break
+            rounds = _counted(rounds, most_rounds)
+        maps.append(labels)
+        for end in ("node", "other"):
+            left = left.join(shuffled(labels.select(F.col("node").alias(end), F.col("label").alias("as"))), end).drop(end).withColumnRenamed("as", end)
+        new, new_at = written_at(left.select("node", "other").filter("node <> other").distinct(), "round")
+        removed(spark, left_at)
+        left, left_at = new, new_at
+        if left.isEmpty():
+            break
+        rounds = _counted(rounds, most_rounds)
+    removed(spark, left_at)
+    found = maps.pop()
+    while maps:
+        found = maps.pop().join(shuffled(found.select(F.col("node").alias("label"), F.col("label").alias("least"))), "label", "left").select("node", F.coalesce("least", "label").alias("label"))
+    return found.select("node", F.col("label").alias("component"))
+
+
+def _counted(rounds: int, most: int | None) -> int:
+    if rounds + 1 == most:
+        raise RuntimeError(f"labels still change after {most} rounds")
+    return rounds + 1
 
 
 def rings(steps: DataFrame) -> DataFrame:
