@@ -15,6 +15,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from ..functions.kept import let
 from ..scratch import written
 
 #: The sides in order, the bounds of a dimension in metres, what a percent of difference costs, what a named side gains and a used one loses, and the states of a registration.
@@ -27,17 +28,27 @@ VERIFIED, ORIENTED, PROBABLE, OPEN = "Verified cross-view", "Orientation identif
 def width_match(width: Column, candidates: Column) -> Column:
     """struct(dimension_m, difference_pct, confidence): the first of the candidates nearest to a side's width."""
     valid = F.filter(F.coalesce(candidates, F.array().cast("array<double>")), lambda v: v.between(LEAST_M, MOST_M))
-    best = F.array_min(F.transform(valid, lambda v, k: F.struct(F.abs(v - width).alias("off"), k.alias("k"), v.alias("v"))))
-    known = (width > 0) & best.isNotNull()
-    pct = best["off"] / width * 100.0
-    sure = F.greatest(F.lit(0.0), F.least(F.lit(100.0), F.bround(100.0 - pct * PER_PERCENT)))
-    return F.struct(F.when(known, F.bround(best["v"], 4)).alias("dimension_m"), F.when(known, F.bround(pct, 3)).alias("difference_pct"), F.when(known, sure).otherwise(0.0).cast("int").alias("confidence"))
+    nearest = F.array_min(F.transform(valid, lambda v, k: F.struct(F.abs(v - width).alias("off"), k.alias("k"), v.alias("v"))))
 
+    def match(best: Column) -> Column:
+        known = (width > 0) & best.isNotNull()
+        pct = best["off"] / width * 100.0
+        sure = F.greatest(F.lit(0.0), F.least(F.lit(100.0), F.bround(100.0 - pct * PER_PERCENT)))
+        return F.struct(F.when(known, F.bround(best["v"], 4)).alias("dimension_m"), F.when(known, F.bround(pct, 3)).alias("difference_pct"), F.when(known, sure).otherwise(0.0).cast("int").alias("confidence"))
 
-def _choice(scores: Column, used: int) -> Column:
-    """The number of the side with the best score where the sides of the bits of used are taken."""
-    each = [F.struct((scores[k] - (USED if used >> k & 1 else 0)).alias("score"), F.lit(-k).alias("k")) for k in range(len(SIDES))]
-    return -F.greatest(*each)["k"]
+    return let(nearest, match)  # said six times, and so searched for six times
+
+
+def _choices(scores: Column) -> Column:
+    """For each set of sides that are taken, by its bits, two bits: the number of the side with the best score."""
+    each = lambda used: F.greatest(*[(scores[k] - (USED if used >> k & 1 else 0)) * len(SIDES) + (len(SIDES) - 1 - k) for k in range(len(SIDES))])
+    packed = [F.shiftleft((len(SIDES) - 1 - F.pmod(each(used), F.lit(len(SIDES)))).cast("long"), 2 * used) for used in range(1 << len(SIDES))]
+    return sum(packed[1:], packed[0])
+
+
+def _chosen(used: Column) -> Column:
+    """The number of the side that a page takes where the sides of the bits of used are taken."""
+    return F.when(F.col("explicit"), F.col("named")).otherwise(F.call_function("shiftrightunsigned", F.col("choices"), (2 * used).cast("int")).bitwiseAND(F.lit(3)).cast("int"))
 
 
 def register_sides(pages: DataFrame, facades: DataFrame) -> DataFrame:
@@ -51,24 +62,24 @@ def register_sides(pages: DataFrame, facades: DataFrame) -> DataFrame:
     rows = rows.withColumn("matches", F.transform("widths", lambda w: width_match(w, F.col("candidates"))))
     named = F.array_position(F.array(*map(F.lit, SIDES)), F.col("orientation")) - 1
     explicit = F.coalesce(named >= 0, F.lit(False))
-    scores = F.transform("matches", lambda m: m["confidence"])
-    choices = [F.when(explicit, named).otherwise(_choice(F.col("scores"), used)).cast("int") for used in range(1 << len(SIDES))]
-    rows = rows.withColumn("scores", scores).withColumn("choices", F.array(*choices)).withColumn("explicit", explicit)
-    rows = written(rows.withColumn("at", F.struct("page_no", "page_id")).drop("scores"), "registered-pages")
+    # Scores first, in a step of their own: what the sixteen sets of sides make of them reads them sixty-four times.
+    choices = let(F.transform("matches", lambda m: m["confidence"]), _choices)
+    rows = rows.withColumns({"choices": choices, "named": F.when(explicit, named).cast("int"), "explicit": explicit})
+    rows = written(rows.withColumn("at", F.struct("page_no", "page_id")), "registered-pages")
 
     state = "struct<at: struct<page_no: {}, page_id: {}>, used: int>".format(*[rows.schema[c].dataType.simpleString() for c in ("page_no", "page_id")])
     states = rows.select("ws").distinct().withColumn("steps", F.array().cast(f"array<{state}>"))
     used_now = lambda: F.coalesce(F.try_element_at("steps", F.lit(-1))["used"], F.lit(0))
     for _ in SIDES:
-        met = rows.select("ws", "at", "choices").join(states, "ws").withColumn("used", used_now())
-        met = met.withColumn("bit", F.pow(F.lit(2), F.element_at("choices", F.col("used") + 1)).cast("int"))
+        met = rows.select("ws", "at", "choices", "named", "explicit").join(states, "ws").withColumn("used", used_now())
+        met = met.withColumn("bit", F.pow(F.lit(2), _chosen(F.col("used"))).cast("int"))
         last = F.try_element_at("steps", F.lit(-1))["at"]
         fresh = met.filter((F.col("bit").bitwiseAND(F.col("used")) == 0) & (last.isNull() | (F.col("at") > last)))
         step = fresh.groupBy("ws").agg(F.min(F.struct(F.col("at"), F.col("used").bitwiseOR(F.col("bit")).alias("used"))).alias("step"))
         states = written(states.join(step, "ws", "left").withColumn("steps", F.when(F.col("step").isNotNull(), F.array_append("steps", F.col("step").cast(state))).otherwise(F.col("steps"))).drop("step"), "sides")
     before = F.filter("steps", lambda s: s["at"] < F.col("at"))
     met = rows.join(states, "ws").withColumn("used", F.coalesce(F.try_element_at(before, F.lit(-1))["used"], F.lit(0)))
-    got = met.withColumn("k", F.element_at("choices", F.col("used") + 1)).withColumn("match", F.element_at("matches", F.col("k") + 1))
+    got = met.withColumn("k", _chosen(F.col("used"))).withColumn("match", F.element_at("matches", F.col("k") + 1))
     pct = F.col("match.difference_pct")
     close = F.coalesce(pct <= CLOSE_PCT, F.lit(False))
     status = F.when(F.col("explicit") & close, VERIFIED).when(F.col("explicit"), ORIENTED).when(close, PROBABLE).otherwise(OPEN)

@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 from .. import scratch
 from ..functions import geometry, text
 from ..operators import fusion, graph, registration
-from .shared import CENTS, cents, query, table
+from .shared import CENTS, cents, dealt, query, table
 
 
 @query("""SELECT a.p_brand, a.p_partkey AS a_partkey, b.p_partkey AS b_partkey FROM part a JOIN part b ON a.p_brand = b.p_brand AND a.p_partkey < b.p_partkey
@@ -214,7 +214,7 @@ def q_stream_window_counts(spark, sf):
  SELECT page_id, ['North', 'East', 'South', 'West'][side] AS orientation, explicit AS orientation_explicit, width::DOUBLE AS plan_width_m, d::DOUBLE AS elevation_dimension_m, CASE WHEN explicit AND pct <= 2.0005 THEN 'Verified cross-view' WHEN explicit THEN 'Orientation identified; width needs review' WHEN pct <= 2.0005 THEN 'Probable width match; orientation needs review' ELSE 'Needs estimator registration' END AS status FROM q""")
 def q_elevation_sides(spark, sf):
     """Elevation pages registered to sides in the order of their pages; sides may be used again."""
-    o = table(spark, sf, "orders")
+    o = dealt(spark, sf, "orders", "o_orderkey")
     number = lambda c, n: F.round(F.col(c) % n + 1, 2)
     named = F.when(F.col("o_orderkey") % 6 == 0, F.element_at(F.array(*[F.lit(s) for s in registration.SIDES]), (F.col("o_orderkey") % 4 + 1).cast("int")))
     pages = o.select((F.col("o_custkey") % 40).alias("workspace_id"), F.col("o_orderkey").alias("page_id"), F.floor(F.unix_timestamp(F.col("o_orderdate").cast("timestamp")) / 86400).alias("page_no"), named.alias("orientation"), F.array(number("o_totalprice", 40), number("o_totalprice", 27)).alias("candidates"))
