@@ -43,10 +43,13 @@ def _level(c: Column) -> Column:
 
 def _once(rows: DataFrame, keys: list[str], kind: str, name: str) -> tuple[DataFrame, DataFrame]:
     """The first row of each id, and a ledger line for each other."""
-    order = [F.col(c) for c in sorted(rows.columns) if c not in keys and not rows.schema[c].dataType.typeName().startswith(("array", "map"))]
-    kept = fusion.choose(rows, keys, order)
-    again = rows.groupBy(*keys).agg((F.count("*") - 1).alias("n")).filter("n > 0")
-    return kept, _ledger(again.withColumn("k", F.explode(F.sequence(F.lit(1).cast("long"), F.col("n")))), kind, F.col(name), F.lit("Repeated id"))
+    others = [c for c in rows.columns if c not in keys]
+    listed = [c for c in others if rows.schema[c].dataType.typeName().startswith(("array", "map"))]
+    best = F.min(F.struct(*sorted(set(others) - set(listed)), *listed)).alias("best")
+    # One aggregate, written, says which stands and how many don't: each reader would sum and sort the rows anew.
+    one = written(rows.groupBy(*keys).agg(best, F.count("*").alias("n_of_id")).select(*[F.col(c) if c in keys else F.col(f"best.{c}") for c in rows.columns], "n_of_id"), kind.lower())
+    again = one.filter("n_of_id > 1").withColumn("k", F.explode(F.sequence(F.lit(1).cast("long"), F.col("n_of_id") - 1)))
+    return one.drop("n_of_id"), _ledger(again, kind, F.col(name), F.lit("Repeated id"))
 
 
 def _ledger(rows: DataFrame, kind: str, name: Column, reason: Column) -> DataFrame:
@@ -89,7 +92,6 @@ def canonical(levels: DataFrame, walls: DataFrame, openings: DataFrame, floors:
     openings, again = _once(openings, ["workspace_id", "id"], "OPENING", "id")
     owner = good.select("workspace_id", "wall_ref", F.col("level_slug").alias("wall_level"), "length_m", F.col("height_m").alias("wall_height_m"), F.col("takeoff_eligible").alias("wall_eligible"))
     met = openings.join(owner, ["workspace_id", "wall_ref"], "left")
-    ledger = ledger.unionAll(again).unionAll(_ledger(met.filter("length_m is null"), "OPENING", F.col("id"), F.lit("Unknown or rejected wall")))
     ref = lambda c: text.norm_key(F.col(c))
     wrong_host = F.coalesce((ref("claimed_wall_ref") != "") & (ref("claimed_wall_ref") != ref("wall_ref")), F.lit(False))
     said = _level(F.col("level"))
@@ -100,7 +102,9 @@ def canonical(levels: DataFrame, walls: DataFrame, openings: DataFrame, floors:
         F.when(wrong_host, "wrong_host").when(wrong_level, "wrong_level").when(problem.isNotNull() | placed_nowhere, "invalid_geometry")
         .when(F.coalesce("excluded", F.lit(False)), "manual_exclusion").when(F.coalesce("authorised", F.lit(False)) & F.lit(validated), PHYSICAL[0]).otherwise(PHYSICAL[1])
     )
-    owned = written(met.filter("length_m is not null").withColumns({"physical_state": state, "problem": F.coalesce(problem, F.when(placed_nowhere, "no_place"))}), "openings")
+    met = written(met.withColumns({"physical_state": state, "problem": F.coalesce(problem, F.when(placed_nowhere, "no_place"))}), "openings")
+    ledger = ledger.unionAll(again).unionAll(_ledger(met.filter("length_m is null"), "OPENING", F.col("id"), F.lit("Unknown or rejected wall")))
+    owned = met.filter("length_m is not null")
     physical = owned.filter(F.col("physical_state").isin(*PHYSICAL)).select("workspace_id", "wall_ref", "id", "offset_m", (F.col("offset_m") + F.col("width_m")).alias("end_m"), "sill_m", (F.col("sill_m") + F.col("height_m")).alias("head_m"))
     beside = fusion.overlapping(physical, ["workspace_id", "wall_ref"], "id", "offset_m", "end_m", 1.0)
     up = lambda p: physical.select("workspace_id", F.col("id").alias(f"{p}_id"), F.col("sill_m").alias(f"{p}_sill"), F.col("head_m").alias(f"{p}_head"))
