@@ -27,6 +27,8 @@ from . import graph
 
 TILE = 512
 SENT = 16 << 20  # pixels of tiles that are handed over together
+SQUARE = 256  # pixels of a side of the squares in which outlines are followed
+TOGETHER = 1 << 18  # pixels of squares that are followed together
 #: Fixed values of the drawing component: what is ink, the page's part that is looked at, a component's least and most shares.
 INK, SIDES, BOTTOM_PLAN, BOTTOM_ELEVATION = 205, (0.03, 0.97), 0.86, 0.82
 LEAST_WIDE, LEAST_HIGH, COVER, DENSE = 0.12, 0.10, (0.015, 0.78), (0.006, 0.45)
@@ -202,27 +204,172 @@ def cracks(marked: DataFrame, diagonal: bool = True) -> DataFrame:
     return every.join(shuffled(to), "id")
 
 
-def outlines(marked: DataFrame, diagonal: bool = True, points: bool = True) -> DataFrame:
+def _ends(after: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """The last of the chain that each side is in, and how many steps off it is; after: the next side, -1 at an end."""
+    jump = np.where(after < 0, np.arange(len(after)), after)
+    off = (after >= 0).astype(np.int64)
+    while off[jump].any():
+        off, jump = off + off[jump], jump[jump]
+    return jump, off
+
+
+def _cut_rings(after: np.ndarray) -> np.ndarray:
+    """after with every ring and every chain cut before its least side, so that rings are chains, too."""
+    every = np.arange(len(after))
+    ends = after < 0
+    jump, low, reached = np.where(ends, every, after), every, -1
+    while True:
+        lower, further = np.minimum(low, low[jump]), jump[jump]
+        n = np.count_nonzero(ends[further])
+        if n == reached and (lower == low).all():
+            break
+        low, jump, reached = lower, further, n
+    chain = np.where(ends[jump], jump, low)
+    least = np.empty(len(after), np.int64)
+    least[chain[::-1]] = every[::-1]  # of several the last one stays, which is the least
+    return np.where((after >= 0) & (least[chain[after]] != after), after, -1)
+
+
+def _corner(y: np.ndarray, x: np.ndarray, way: np.ndarray) -> np.ndarray:
+    """One long of a side's first corner and its way, in the order of corners from the top left."""
+    return ((y + (way >= 2)) << 32) | ((x + ((way == 1) | (way == 2))) << 2) | way
+
+
+def _followed(at: np.ndarray, by: np.ndarray, bx: np.ndarray, y: np.ndarray, x0: np.ndarray, x1: np.ndarray, component: np.ndarray, size: int, diagonal: bool, points: bool) -> tuple[np.ndarray, dict]:
+    """The pieces of rings within squares, each from its first side to its last: the run that each begins at, and its columns.
+
+    at: the square of each run, ascending. Sides of single pixels have one of four ways: along its upper side to the
+    right, down its right one, back along its lower one, up its left one. The next side follows from the three pixels
+    around its end, which the square or its margin has.
+    """
+    x0, x1 = np.maximum(x0, bx * size - 1), np.minimum(x1, (bx + 1) * size + 1)
+    first = np.flatnonzero(np.diff(at, prepend=-1))
+    at = np.cumsum(np.diff(at, prepend=-1) != 0) - 1
+    top, left = np.minimum.reduceat(y, first) - 1, np.minimum.reduceat(x0, first) - 1
+    wide, high = np.maximum.reduceat(x1, first) - left + 1, np.maximum.reduceat(y, first) - top + 2
+    begin = np.cumsum(wide * high) - wide * high
+    n = x1 - x0
+    run = np.repeat(np.arange(len(y)), n)
+    px = x0[run] + np.arange(len(run)) - np.repeat(np.cumsum(n) - n, n)
+    pixel = (begin[at] + (y - top[at]) * wide[at] - left[at])[run] + px
+    seen = np.full(int((wide * high).sum()), -1, np.int64)
+    seen[pixel] = component[run]
+    own = (y[run] // size == by[run]) & (px // size == bx[run])
+    run, px, pixel = run[own], px[own], pixel[own]
+    py, inside, row = y[run], component[run], wide[at[run]]
+    steps = ((1, 0), (0, 1), (-1, 0), (0, -1))
+    found = []
+    for way, (sx, sy) in enumerate(steps):
+        ox, oy = steps[way - 1]  # outwards
+        k = np.flatnonzero(seen[pixel + ox + oy * row] != inside)
+        ahead, out, mine = sx + sy * row[k], ox + oy * row[k], inside[k]
+        on, over = seen[pixel[k] + ahead] == mine, seen[pixel[k] + ahead + out] == mine
+        over &= on | diagonal  # where pixels only touch, along the other one or along the same one
+        on |= over
+        turn = np.where(over, -1, np.where(on, 0, 1))
+        found.append(np.stack([run[k], px[k], py[k], pixel[k], np.full(len(k), way), px[k] + sx * on + ox * over, py[k] + sy * on + oy * over, pixel[k] + ahead * on + out * over, (way + turn) % 4]))
+    run, px, py, pixel, way, nx, ny, to, then = np.concatenate(found, axis=1)
+    key = _corner(py, px, way)
+    order = np.lexsort((key, at[run]))
+    run, px, py, pixel, way, nx, ny, to, then, key = (v[order] for v in (run, px, py, pixel, way, nx, ny, to, then, key))
+    side = np.full(4 * len(seen), -1, np.int64)
+    side[4 * pixel + way] = np.arange(len(key))
+    end, off = _ends(_cut_rings(side[4 * to + then]))
+    order = np.lexsort((-off, end))
+    run, px, py, way, nx, ny, then, key, end = (v[order] for v in (run, px, py, way, nx, ny, then, key, end))
+    starts = np.flatnonzero(np.diff(end, prepend=-1))
+    if not len(starts):
+        return starts, {}
+    last = np.append(starts[1:], len(end)) - 1
+    x, y = (key >> 2) & ((1 << 30) - 1), key >> 32
+    sx, sy = np.array(steps).T[:, way]
+    total = lambda v: np.add.reduceat(v, starts)
+    columns = {
+        "head": key[starts], "next": _corner(ny[last], nx[last], then[last]), "area": total(x * sy - sx * y), "length": last - starts + 1, "centre": total(px * ny - nx * py),
+        "x0": np.minimum.reduceat(px, starts), "y0": np.minimum.reduceat(py, starts), "x1": np.maximum.reduceat(px, starts) + 1, "y1": np.maximum.reduceat(py, starts) + 1}
+    if points:  # where the way turns: the pixel before and the one after
+        turns = way != then
+        parts = np.cumsum(2 * total(turns.astype(np.int64)))[:-1]
+        for name, p, q in (("xs", px, nx), ("ys", py, ny)):
+            columns[name] = np.split(np.stack([p[turns], q[turns]], axis=1).ravel(), parts)
+    return run[starts], columns
+
+
+def pieces(marked: DataFrame, diagonal: bool = True, points: bool = True, size: int = SQUARE) -> DataFrame:
+    """Rings as far as they lie in one square of a page: page_id, component, head, next, sums of a piece's sides, xs and ys of its turns. (F126)
+
+    head and next are the piece's first side and the one after its last; where they are the same it is a whole ring.
+    A square gets the runs in it and in a margin of a pixel, so no page, component or ring has to fit a task.
+    """
+    kind = marked.schema["page_id"].dataType.simpleString()
+    reach = lambda low, high: F.explode(F.sequence(F.greatest(F.lit(0), F.floor((low - 1) / size)), F.floor(high / size)))
+    rows = marked.filter("page_id is not null").select("page_id", "y", "x0", "x1", "component.ty", "component.tx", "component.n", reach(F.col("y"), F.col("y") + 1).alias("by"))
+    rows = rows.withColumn("bx", reach(F.col("x0"), F.col("x1"))).repartition("page_id", "by", "bx").sortWithinPartitions("page_id", "by", "bx")
+    square = ["page_id", "by", "bx"]
+
+    def follow(b: pd.DataFrame, at: np.ndarray) -> Iterator[pd.DataFrame]:
+        code = b.groupby(["ty", "tx", "n"], sort=False).ngroup().to_numpy()
+        v = {c: b[c].to_numpy(np.int64) for c in ("by", "bx", "y", "x0", "x1")}
+        first = np.flatnonzero(np.diff(at, prepend=-1))
+        # So many squares at once as have a bounded number of pixels together.
+        room = (np.maximum.reduceat(v["y"], first) - np.minimum.reduceat(v["y"], first) + 3) * (np.minimum(np.maximum.reduceat(v["x1"], first) - np.minimum.reduceat(v["x0"], first), size + 2) + 2)
+        part = (np.cumsum(room) // TOGETHER)[at]
+        for k in np.split(np.arange(len(b)), np.flatnonzero(np.diff(part)) + 1):
+            run, columns = _followed(at[k], *(v[c][k] for c in ("by", "bx", "y", "x0", "x1")), code[k], size, diagonal, points)
+            if len(run):
+                yield pd.DataFrame({c: b[c].to_numpy()[k[run]] for c in ("page_id", "ty", "tx", "n")} | columns)
+
+    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        held = None
+        for b in batches:
+            b = b if held is None else pd.concat([held, b], ignore_index=True)
+            if b.empty:
+                continue
+            at = np.cumsum((b[square] != b[square].shift()).any(axis=1).to_numpy()) - 1
+            whole = int(np.searchsorted(at, at[-1]))  # the last square may go on
+            held = b.iloc[whole:]
+            if whole:
+                yield from follow(b.iloc[:whole], at[:whole])
+        if held is not None:
+            yield from follow(held, np.zeros(len(held), np.int64))
+
+    lists = ", xs array<long>, ys array<long>" if points else ""
+    found = rows.mapInPandas(run, f"page_id {kind}, ty int, tx int, n long, head long, next long, area long, length long, centre long, x0 int, y0 int, x1 int, y1 int{lists}")
+    return found.withColumn("component", F.struct("page_id", "ty", "tx", "n").cast(marked.schema["component"].dataType)).drop("ty", "tx", "n")
+
+
+def outlines(marked: DataFrame, diagonal: bool = True, points: bool = True, size: int = SQUARE) -> DataFrame:
     """A row per ring: page_id, component, ring, area (pixels within, negative for a hole), length, centre_area and x0, y0, x1, y1 of its pixels, and points. (F126)
 
-    centre_area is that of the polygon through the centres of the ring's pixels, which also are the points, in order
-    from the top left and without those between two on a line.
+    ring is one within its page. centre_area is that of the polygon through the centres of the ring's pixels, which
+    also are the points, in order from the top left and without those between two on a line. Rings within a square are
+    whole at once; of others only their pieces, a few rows for each square, go through rounds.
     """
-    sides = graph.cut(cracks(marked, diagonal))
-    placed = sides.join(shuffled(graph.rings(sides.select("id", "next"))), "id")
-    cross = lambda a, b, c, d: F.col(a) * F.col(d) - F.col(c) * F.col(b)
-    later = placed.select(F.col("id").alias("next"), F.col("px").alias("ex"), F.col("py").alias("ey"))
-    placed = graph.cut(placed.join(shuffled(later), "next"))
-    sums = placed.groupBy("page_id", "component", "ring").agg(
-        (F.sum(cross("x", "y", "tx", "ty")) / 2).cast("long").alias("area"), F.sum(F.abs(F.col("tx") - F.col("x")) + F.abs(F.col("ty") - F.col("y"))).cast("long").alias("length"), (F.abs(F.sum(cross("px", "py", "qx", "qy") + cross("qx", "qy", "ex", "ey"))) / 2).alias("centre_area"),
-        F.min(F.least("px", "qx")).alias("x0"), F.min(F.least("py", "qy")).alias("y0"), (F.max(F.greatest("px", "qx")) + 1).alias("x1"), (F.max(F.greatest("py", "qy")) + 1).alias("y1"))
+    found = graph.cut(pieces(marked, diagonal, points, size))
+    sums = ["area", "length", "centre"]
+    lists = ["xs", "ys"] if points else []
+    box = {"x0": F.min, "y0": F.min, "x1": F.max, "y1": F.max}
+    whole = found.filter("head = next").select("page_id", "component", F.col("head").alias("ring"), *sums, *box, *lists)
+    parts = found.filter("head <> next")
+    if not parts.isEmpty():
+        # Numbers along the order of corners: a ring's least piece is the one that begins at its first corner.
+        parts = graph.cut(numbered(parts, [F.col("page_id"), F.col("head")], "id"))
+        heads = parts.select("page_id", F.col("head").alias("next"), F.col("id").alias("after"))
+        steps = parts.select("page_id", "next", "id").join(shuffled(heads), ["page_id", "next"]).select("id", F.col("after").alias("next"))
+        placed = parts.join(shuffled(graph.rings(steps)), "id")
+        along = lambda c: F.flatten(F.transform(F.array_sort(F.collect_list(F.struct("place", c))), lambda s: s[c])).alias(c)
+        joined = placed.groupBy("page_id", "component", "ring").agg(F.min("head").alias("head"), *[F.sum(c).alias(c) for c in sums], *[f(c).alias(c) for c, f in box.items()], *map(along, lists))
+        whole = whole.unionByName(joined.drop("ring").withColumnRenamed("head", "ring"))
+    rings = whole.select("page_id", "component", "ring", (F.col("area") / 2).cast("long").alias("area"), "length", (F.abs("centre") / 2).alias("centre_area"), *box, *lists)
     if not points:
-        return sums
-    at = lambda x, y: F.struct(F.col(x).cast("double").alias("x"), F.col(y).cast("double").alias("y"))
-    ways = placed.groupBy("ring").agg(F.flatten(F.transform(F.array_sort(F.collect_list(F.struct("place", at("px", "py").alias("p"), at("qx", "qy").alias("q")))), lambda s: F.array(s["p"], s["q"]))).alias("way"))
+        return rings
+    at = lambda x, y: F.struct(x.cast("double").alias("x"), y.cast("double").alias("y"))
+    turned = F.zip_with("xs", "ys", at)
+    # The last pixel is the first of the side that begins at the first corner.
+    rings = rings.withColumn("way", F.concat(F.slice(turned, -1, 1), F.slice(turned, F.lit(1), F.size(turned) - 1)))
     once = F.filter("way", lambda p, k: (k == 0) | (F.try_element_at("way", k) != p))
     once = F.when((F.size(once) > 1) & (F.try_element_at(once, F.lit(1)) == F.try_element_at(once, F.lit(-1))), F.slice(once, 1, F.size(once) - 1)).otherwise(once)
-    return sums.join(shuffled(ways.select("ring", once.alias("points"))), "ring")
+    return rings.select(*[c for c in rings.columns if c not in ("way", *lists)], once.alias("points"))
 
 
 def drawing_component(pages: DataFrame, elevation: bool = False, tile: int = TILE) -> DataFrame:

@@ -6,7 +6,7 @@ from pyspark.sql import functions as F
 
 from ..operators import raster
 from ..scratch import shuffled
-from .shared import query, table
+from .shared import dealt, query, table
 
 WIDE = 16  # pixels of a row of the pictures that vectors make
 
@@ -22,7 +22,7 @@ def q_outlines(spark, sf):
     n = F.floor(F.size("embedding") / WIDE).cast("int")
     gray = lambda v: F.greatest(F.lit(0), F.least(F.lit(255), F.floor(v.cast("double") * 400 + 128).cast("int")))
     data = F.unhex(F.array_join(F.transform(F.slice("embedding", 1, n * WIDE), lambda v: F.lpad(F.hex(gray(v)), 2, "0")), ""))
-    pages = table(spark, sf, "embeddings").select(F.col("vec_id").alias("page_id"), n.alias("height"), F.lit(WIDE).alias("width"), F.lit(1).alias("channels"), data.alias("data"))
+    pages = dealt(spark, sf, "embeddings", "vec_id").select(F.col("vec_id").alias("page_id"), n.alias("height"), F.lit(WIDE).alias("width"), F.lit(1).alias("channels"), data.alias("data"))
     marked = raster.labelled(raster.runs(raster.tiles(pages, 8), F.lit(128), 8), 8)
     rings = raster.outlines(marked, points=False)
     return rings.groupBy(F.col("page_id").alias("vec_id")).agg(F.sum("area").alias("pixels"), F.sum("length").alias("length"), F.sum(F.signum("area")).cast("long").alias("euler"))
