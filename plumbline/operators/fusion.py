@@ -113,10 +113,15 @@ def nearest(left: DataFrame, right: DataFrame, by: list[str], left_value: str, r
 
 
 def allocate(df: DataFrame, by: list[str], weight: str, total: str, out: str) -> DataFrame:
-    """Shares a key's total among its rows by weight; a single row takes all, no weight gives 0."""
-    sums = df.groupBy(*by).agg(F.sum(weight).alias("all_weight"), F.count("*").alias("n_rows"))
+    """Shares a key's total among its rows by weight; a single row takes all, no weight gives 0.
+
+    Rows are sorted by key once, and sums are taken as they pass: to join sums to them would make and sort all rows
+    twice in a task. Rows without a key have no share and are left out.
+    """
+    key = W.partitionBy(*by)
+    summed = df.dropna(subset=by).withColumns({"all_weight": F.sum(weight).over(key), "n_rows": F.count("*").over(key)})
     share = F.when(F.col("n_rows") == 1, F.col(total)).when(F.col("all_weight") > 0, F.col(total) * F.col(weight) / F.col("all_weight")).otherwise(0.0)
-    return df.join(sums, by).withColumn(out, share).drop("all_weight", "n_rows")
+    return summed.withColumn(out, share).drop("all_weight", "n_rows")
 
 
 def consensus(df: DataFrame, by: list[str], value: str, weight: str, tolerance: float) -> DataFrame:

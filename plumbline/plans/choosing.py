@@ -6,7 +6,8 @@ from pyspark.sql import functions as F
 
 from ..functions import pricing
 from ..operators import fusion, takeoff
-from .shared import CENTS, NET, cents, net, query, table
+from ..scratch import shuffled
+from .shared import CENTS, NET, cents, dealt, net, query, table
 
 
 @query(f"""SELECT l_returnflag, l_linestatus, count(*)::BIGINT AS n_rows, sum(CAST(round(l_quantity) AS BIGINT))::DOUBLE AS quantity,
@@ -116,8 +117,9 @@ def q_topk_per_group(spark, sf):
  SELECT l_orderkey, l_linenumber, CASE WHEN n = 1 THEN o_totalprice WHEN s > 0 THEN o_totalprice * l_quantity / s ELSE 0 END::DOUBLE AS allocated FROM w JOIN orders ON l_orderkey = o_orderkey""")
 def q_allocate_proportional(spark, sf):
     """An order's price shared among its lines by quantity."""
-    lines = table(spark, sf, "lineitem").select("l_orderkey", "l_linenumber", "l_quantity")
-    joined = lines.join(table(spark, sf, "orders").select(F.col("o_orderkey").alias("l_orderkey"), "o_totalprice"), "l_orderkey")
+    # Dealt by the key in as many parts as lines have MiB, which Spark doesn't put together: a task's rows are as many at any size.
+    lines = dealt(spark, sf, "lineitem", "l_orderkey").select("l_orderkey", "l_linenumber", "l_quantity")
+    joined = lines.join(shuffled(table(spark, sf, "orders").select(F.col("o_orderkey").alias("l_orderkey"), "o_totalprice")), "l_orderkey")
     return fusion.allocate(joined, ["l_orderkey"], "l_quantity", "o_totalprice", "allocated").select("l_orderkey", "l_linenumber", "allocated")
 
 
