@@ -2,8 +2,9 @@
 
 A page comes as pixels (Spark's own `image` source) and is cut into tiles. In a tile numpy finds the runs of dark pixels
 in each row and labels those that touch; labels that touch over a seam of tiles are edges of a graph whose components
-are the page's. Outlines are the cracks between pixels inside and outside: each crack has one successor, and the rings
-they make are found by doubling. So a page, a component or an outline may be larger than a task.
+are the page's. Outlines are the cracks between pixels inside and outside: each crack has one successor. They are
+followed in squares of the page; rings that lie in one are done, and the pieces of others are put together by doubling.
+So a page, a component or an outline may be larger than a task.
 
 A page is named by page_id and goes with it everywhere; where a page is looked at in several ways (thresholds), each way
 is a page of its own. Coordinates are pixels, y downwards; boxes are half open.
@@ -169,7 +170,8 @@ def cracks(marked: DataFrame, diagonal: bool = True) -> DataFrame:
     """id, next, page_id, component, x, y, tx, ty and px, py, qx, qy: the sides of pixels that have the component on their right only.
 
     p and q are the first and last pixel along the side. At a corner where pixels touch, the ring goes on along the
-    other pixel where diagonal is set, and along the same one where it isn't.
+    other pixel where diagonal is set, and along the same one where it isn't. This is every side as a row of one table,
+    which outlines() doesn't make: tests hold its rings against it.
     """
     row = W.partitionBy("page_id", "y").orderBy("x0")
     begins = F.when(F.col("x0") == F.lag("x1").over(row), 0).otherwise(1)  # runs are cut at tiles
