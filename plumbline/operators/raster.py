@@ -4,7 +4,8 @@ A page comes as pixels (Spark's own `image` source) and is cut into tiles. In a
 in each row and labels those that touch; labels that touch over a seam of tiles are edges of a graph whose components
 are the page's. Outlines are the cracks between pixels inside and outside: each crack has one successor. They are
 followed in squares of the page; rings that lie in one are done, and the pieces of others are put together by doubling.
-So a page, a component or an outline may be larger than a task.
+So a page, a component or an outline may be larger than a task. Drawings and envelopes of pages of up to LOCAL pixels
+are found a page at a time, by the same steps: there a tile's rows would be more than its pixels' worth.
 
 A page is named by page_id and goes with it everywhere; where a page is looked at in several ways (thresholds), each way
 is a page of its own. Coordinates are pixels, y downwards; boxes are half open.
@@ -15,6 +16,7 @@ one component where diagonal is set; equal scores go to the component that comes
 
 from __future__ import annotations
 
+import math
 from collections.abc import Iterator
 
 import numpy as np
@@ -30,6 +32,7 @@ TILE = 512
 SENT = 16 << 20  # pixels of tiles that are handed over together
 SQUARE = 256  # pixels of a side of the squares in which outlines are followed
 TOGETHER = 1 << 18  # pixels of squares that are followed together
+LOCAL = 1 << 20  # pixels of a page that is looked at as a whole, in one task, and not in tiles
 #: Fixed values of the drawing component: what is ink, the page's part that is looked at, a component's least and most shares.
 INK, SIDES, BOTTOM_PLAN, BOTTOM_ELEVATION = 205, (0.03, 0.97), 0.86, 0.82
 LEAST_WIDE, LEAST_HIGH, COVER, DENSE = 0.12, 0.10, (0.015, 0.78), (0.006, 0.45)
@@ -45,6 +48,12 @@ def pictures(images: DataFrame) -> DataFrame:
     return images.select("page_id", *[F.col(i + a).alias(b) for a, b in (("height", "height"), ("width", "width"), ("nChannels", "channels"), ("data", "data"))])
 
 
+def _gray(r) -> np.ndarray:
+    """A page's greys: the usual weights of blue, green and red, in whole numbers."""
+    p = np.frombuffer(r.data, np.uint8).reshape(r.height, r.width, r.channels)
+    return p[:, :, 0] if r.channels < 3 else ((p[:, :, :3].astype(np.int32) @ np.array([1868, 9617, 4899], np.int32) + 8192) >> 14).astype(np.uint8)
+
+
 def tiles(pages: DataFrame, tile: int = TILE, margin: int = 0) -> DataFrame:
     """page_id, width, height, x0, y0 (of the tile), x, y, w, h (of its pixels with a margin, as far as the page goes), gray."""
 
@@ -55,9 +64,7 @@ def tiles(pages: DataFrame, tile: int = TILE, margin: int = 0) -> DataFrame:
             for r in b.itertuples(index=False):
                 if not r.data or not r.width or not r.height:
                     continue
-                p = np.frombuffer(r.data, np.uint8).reshape(r.height, r.width, r.channels)
-                # The usual weights of blue, green and red, in whole numbers.
-                gray = p[:, :, 0] if r.channels < 3 else ((p[:, :, :3].astype(np.int32) @ np.array([1868, 9617, 4899], np.int32) + 8192) >> 14).astype(np.uint8)
+                gray = _gray(r)
                 for y0 in range(0, r.height, tile):
                     for x0 in range(0, r.width, tile):
                         x, y = max(0, x0 - margin), max(0, y0 - margin)
@@ -78,37 +85,47 @@ def _widened(mask: np.ndarray, k: int) -> np.ndarray:
     back, ahead = (k - 1) // 2, k // 2
     for axis in (0, 1):
         n = mask.shape[axis]
-        sums = np.cumsum(np.insert(mask.astype(np.int32), 0, 0, axis=axis), axis=axis)
-        at = np.arange(n)
-        mask = np.take(sums, np.minimum(at + ahead + 1, n), axis=axis) > np.take(sums, np.maximum(at - back, 0), axis=axis)
+        at = lambda m, i, j: m[i:j] if axis == 0 else m[:, i:j]  # noqa: B023, E731
+        wide = np.zeros([v + (back + ahead) * (a == axis) for a, v in enumerate(mask.shape)], bool)
+        at(wide, back, back + n)[:] = mask
+        mask = wide
+        reach = 1  # pixels that a place stands for
+        while 2 * reach <= k:
+            mask = at(mask, 0, mask.shape[axis] - reach) | at(mask, reach, mask.shape[axis])
+            reach *= 2
+        mask = at(mask, 0, n) | at(mask, k - reach, k - reach + n)
     return mask
 
 
 def _tile_runs(mask: np.ndarray, diagonal: bool) -> tuple[np.ndarray, ...]:
     """Row, begin, end and label of the runs of a mask; runs that touch have one label."""
-    edges = np.diff(np.pad(mask, ((0, 0), (1, 1))).astype(np.int8), axis=1)
-    y, x0 = np.nonzero(edges == 1)
-    x1 = np.nonzero(edges == -1)[1]
+    # All rows as one, with a pixel that isn't in the mask before each: where that changes, a run begins or ends.
+    rows = np.zeros((mask.shape[0], mask.shape[1] + 1), bool)
+    rows[:, 1:] = mask
+    rows = np.append(rows.ravel(), False)
+    turns = np.flatnonzero(rows[1:] != rows[:-1])
+    y, x0 = np.divmod(turns[::2], mask.shape[1] + 1)
+    x1 = turns[1::2] - y * (mask.shape[1] + 1)
     label = list(range(len(y)))
-
-    def root(k: int) -> int:
-        while label[k] != k:
-            label[k] = label[label[k]]
-            k = label[k]
-        return k
-
-    d, starts = int(diagonal), np.searchsorted(y, np.arange(mask.shape[0] + 1))
-    for r in range(mask.shape[0] - 1):
-        i, j, end = starts[r], starts[r + 1], starts[r + 2]
-        while i < starts[r + 1] and j < end:
-            if x0[i] < x1[j] + d and x0[j] < x1[i] + d:
-                a, b = root(i), root(j)
-                label[max(a, b)] = min(a, b)
-            if x1[i] < x1[j]:
-                i += 1
-            else:
-                j += 1
-    return y, x0, x1, np.array([root(k) for k in range(len(y))], np.int64)
+    # Runs of the next row that a run touches are side by side in the order of rows.
+    d, wide = int(diagonal), mask.shape[1] + 3
+    below = (y + 1) * wide
+    low, high = np.searchsorted(y * wide + x1, below + x0 - d, side="right"), np.searchsorted(y * wide + x0, below + x1 + d)
+    n = np.maximum(high - low, 0)
+    upper = np.repeat(np.arange(len(y)), n)
+    lower = low[upper] + np.arange(len(upper)) - np.repeat(np.cumsum(n) - n, n)
+    for a, b in zip(upper.tolist(), lower.tolist(), strict=True):
+        while label[a] != a:
+            label[a] = a = label[label[a]]
+        while label[b] != b:
+            label[b] = b = label[label[b]]
+        if a < b:
+            label[b] = a
+        else:
+            label[a] = b
+    for k, up in enumerate(label):  # labels are never greater, and those before are final
+        label[k] = label[up]
+    return y, x0, x1, np.array(label, np.int64)
 
 
 def runs(tiled: DataFrame, below: Column, tile: int = TILE, close: int = 1, widen: int = 1, inside: bool = True, diagonal: bool = True, region: tuple[Column, Column, Column, Column] | None = None) -> DataFrame:
@@ -374,12 +391,84 @@ def outlines(marked: DataFrame, diagonal: bool = True, points: bool = True, size
     return rings.select(*[c for c in rings.columns if c not in ("way", *lists)], once.alias("points"))
 
 
+def _by_size(pages: DataFrame) -> tuple[DataFrame, DataFrame]:
+    """Pages that are looked at as a whole, and the others."""
+    small = F.col("width").cast("long") * F.col("height") <= LOCAL
+    return pages.filter(small), pages.filter(~small)
+
+
+def _named(pages: DataFrame) -> str:
+    return f"page_id {pages.schema['page_id'].dataType.simpleString()}"
+
+
+def _shaped(found: DataFrame, name: str) -> DataFrame:
+    return found.withColumn(name, F.zip_with("xs", "ys", lambda x, y: F.struct(x.alias("x"), y.alias("y")))).drop("xs", "ys")
+
+
+def _outer_rings(parts: list[tuple[np.ndarray, ...]]) -> list[tuple[np.ndarray, np.ndarray]]:
+    """xs and ys of the outer outline of each component: y, x0, x1 of its runs; as outlines() has its points."""
+    out: list = [None] * len(parts)
+    room = np.cumsum([(p[0][-1] - p[0][0] + 3) * (p[2].max() - p[1].min() + 2) for p in parts]) // TOGETHER
+    for k in np.split(np.arange(len(parts)), np.flatnonzero(np.diff(room)) + 1):
+        n = [len(parts[i][0]) for i in k]
+        at, none = np.repeat(np.arange(len(k)), n), np.zeros(sum(n), np.int64)
+        y, x0, x1 = (np.concatenate([parts[i][c] for i in k]) for c in range(3))
+        run, ring = _followed(at, none, none, y, x0, x1, none, 1 << 30, True, True)
+        for j in np.flatnonzero(ring["area"] > 0):  # a component has one
+            way = np.stack([ring["xs"][j], ring["ys"][j]], axis=1).astype(np.float64)
+            way = np.roll(way, 1, axis=0)
+            way = way[np.append(True, (way[1:] != way[:-1]).any(axis=1))]
+            way = way[:-1] if len(way) > 1 and (way[0] == way[-1]).all() else way
+            out[k[at[run[j]]]] = way[:, 0], way[:, 1]
+    return out
+
+
+def _drawn(batches: Iterator[pd.DataFrame], elevation: bool) -> Iterator[pd.DataFrame]:
+    """drawing_component() of whole pages."""
+    for b in batches:
+        rows, parts = [], []
+        for r in b.itertuples(index=False):
+            if not r.data or not r.width or not r.height:
+                continue
+            left, right = math.floor(r.width * SIDES[0]), math.floor(r.width * SIDES[1])
+            bottom = max(1, math.floor(r.height * (BOTTOM_ELEVATION if elevation else BOTTOM_PLAN)))
+            k = 5 if max(r.width, r.height) >= 2200 else 3
+            mask = _gray(r)[:bottom, left:right] <= INK
+            if not mask.any():
+                continue
+            y, x0, x1, n = _tile_runs(~_widened(~_widened(mask, k), k), True)
+            order = np.argsort(n, kind="stable")
+            y, x0, x1, n = y[order], x0[order] + left, x1[order] + left, n[order]
+            first = np.flatnonzero(np.diff(n, prepend=-1))  # the first run of a component is its first from the top left
+            a, z, top, foot, pixels = np.minimum.reduceat(x0, first), np.maximum.reduceat(x1, first), y[first], np.maximum.reduceat(y, first) + 1, np.add.reduceat(x1 - x0, first)
+            w, h, rw, rh = z - a, foot - top, right - left, bottom
+            box = w * h
+            density = pixels / box
+            cover = box / max(1, rw * rh)
+            fits = np.flatnonzero((w >= rw * LEAST_WIDE) & (h >= rh * LEAST_HIGH) & (cover >= COVER[0]) & (cover <= COVER[1]) & (density >= DENSE[0]) & (density <= DENSE[1]))
+            if not len(fits):
+                continue
+            score = box * (0.45 + np.minimum(density, 0.12) * 5.0)
+            c = min(fits, key=lambda c: (-score[c], y[first[c]], x0[first[c]]))  # noqa: B023
+            own = slice(first[c], first[c + 1] if c + 1 < len(first) else len(n))
+            rows.append((r.page_id, a[c], top[c], z[c], foot[c], pixels[c], density[c]))
+            parts.append((y[own], x0[own], x1[own]))
+        if rows:
+            found = pd.DataFrame(rows, columns=["page_id", "x0", "y0", "x1", "y1", "pixels", "density"])
+            rings = _outer_rings(parts)
+            yield found.assign(xs=[p[0] for p in rings], ys=[p[1] for p in rings])
+
+
 def drawing_component(pages: DataFrame, elevation: bool = False, tile: int = TILE) -> DataFrame:
     """The dominant drawing of each page: page_id, x0, y0, x1, y1, pixels, density, polygon. (F128)
 
     Title blocks at the foot and the page's sides are left out. Gaps of ink are closed by 3 pixels, by 5 on pages of
     2,200 pixels and more; each size of page is a pass of its own.
     """
+    small, pages = _by_size(pages)
+    here = _shaped(small.mapInPandas(lambda b: _drawn(b, elevation), f"{_named(small)}, x0 int, y0 int, x1 int, y1 int, pixels long, density double, xs array<double>, ys array<double>"), "polygon")
+    if pages.isEmpty():
+        return here
     w, h = F.col("width"), F.col("height")
     bottom = F.greatest(F.lit(1), F.floor(h * (BOTTOM_ELEVATION if elevation else BOTTOM_PLAN)))
     left, right = F.floor(w * SIDES[0]), F.floor(w * SIDES[1])
@@ -398,7 +487,7 @@ def drawing_component(pages: DataFrame, elevation: bool = False, tile: int = TIL
     best = boxed.filter(fits).groupBy("page_id").agg(F.min(F.struct((-score).alias("s"), "first", "component", "x0", "y0", "x1", "y1", "pixels", density.alias("density"))).alias("b")).select("page_id", "b.*")
     best = graph.cut(best)
     rings = outlines(marked.join(shuffled(best.select("component")), "component", "left_semi")).filter("area > 0").groupBy("page_id", "component").agg(F.max_by("points", "area").alias("polygon"))
-    return best.join(shuffled(rings), ["page_id", "component"]).select("page_id", "x0", "y0", "x1", "y1", "pixels", "density", "polygon")
+    return here.unionByName(best.join(shuffled(rings), ["page_id", "component"]).select("page_id", "x0", "y0", "x1", "y1", "pixels", "density", "polygon"))
 
 
 def rectangles(pages: DataFrame, calibrations: DataFrame, tile: int = TILE, dark: int = DARK, least_side: int = LEAST_SIDE) -> DataFrame:
@@ -445,6 +534,11 @@ def envelopes(pages: DataFrame, least_pct: float = 0.4, most: int = 3, tile: int
     around can't be reached from covers least_pct of the page. Of outlines within 2 % of area of a larger one only that
     stays, and no more than most of a page.
     """
+    every = pages.filter((F.col("width") >= 16) & (F.col("height") >= 16)).select("page_id", "width", "height")
+    small, pages = _by_size(pages)
+    here = _shaped(small.mapInPandas(lambda b: _enveloped(b, least_pct), f"{_named(small)}, threshold int, xs array<double>, ys array<double>"), "points")
+    if pages.isEmpty():
+        return _best_envelopes(here, every, most)
     sizes = pages.filter((F.col("width") >= 16) & (F.col("height") >= 16)).select("page_id", "width", "height")
     pages = pages.join(shuffled(sizes.select("page_id")), "page_id", "left_semi")
     cuts = graph.cut(thresholds(tiles(pages, tile)))
@@ -472,7 +566,75 @@ def envelopes(pages: DataFrame, least_pct: float = 0.4, most: int = 3, tile: int
         left = graph.cut(left.join(shuffled(rings.select("page_id")), "page_id", "left_anti"))
         if left.isEmpty():
             break
-    return _best_envelopes(found.withColumns({"threshold": cut, "page_id": page}), sizes, most)
+    return _best_envelopes(here.unionByName(found.select(page.alias("page_id"), cut.cast("int").alias("threshold"), "points")), every, most)
+
+
+def _cuts(gray: np.ndarray) -> list[int]:
+    """thresholds() of a whole page."""
+    n = np.bincount(gray.ravel(), minlength=256)
+    v = np.flatnonzero(n)
+    upto = np.cumsum(n[v])
+    value = lambda k: int(v[np.searchsorted(upto, k, side="right")])
+    cuts = []
+    for p in PERCENTILES:
+        x = float(upto[-1] - 1) * (p / 100)
+        low = math.floor(x)
+        cut = value(low) + (x - low) * (value(math.ceil(x)) - value(low))
+        if BAND[0] <= cut <= BAND[1] and math.floor(cut) not in cuts:
+            cuts.append(math.floor(cut))
+    return cuts or [max(2, int(v[np.searchsorted(upto, float(upto[-1]) * 0.8)]))]
+
+
+def _inner(dark: np.ndarray, k: int, least: float) -> tuple[np.ndarray, ...] | None:
+    """Runs of the first component of what paper from a page's border doesn't reach, where gaps of what is dark are closed by k; None if that is too small."""
+    h, w = dark.shape
+    y, x0, x1, n = _tile_runs(_widened(~_widened(dark, k), k), False)
+    around = np.zeros(len(n), bool)
+    around[n[(y == 0) | (y == h - 1) | (x0 == 0) | (x1 == w)]] = True
+    out = around[n]
+    marks = np.zeros((h, w + 1), np.int8)
+    marks[y[out], x0[out]] = 1
+    marks[y[out], x1[out]] = -1
+    inside = np.cumsum(marks[:, :w], axis=1, dtype=np.int8) == 0
+    if np.count_nonzero(inside) < least:
+        return None
+    y, x0, x1, n = _tile_runs(inside, True)
+    own = n == n[0] if len(n) else np.zeros(0, bool)
+    return y[own], x0[own], x1[own]
+
+
+def _enveloped(batches: Iterator[pd.DataFrame], least_pct: float) -> Iterator[pd.DataFrame]:
+    """Of whole pages the outlines that envelopes() chooses from: a row for each threshold that has one."""
+
+    def climbed(ways: list[tuple]) -> Iterator[pd.DataFrame]:
+        for k in LADDER:
+            tried = [(w, part) for w in ways if (part := _inner(w[2], k, w[3])) is not None and len(part[0])]
+            rings = _outer_rings([part for _, part in tried]) if tried else []
+            # With fewer than four turns it is no outline of a building, so larger gaps are tried.
+            good = [(w, ring) for (w, _), ring in zip(tried, rings, strict=True) if ring is not None and len(ring[0]) >= 4]
+            if good:
+                yield pd.DataFrame([w[:2] for w, _ in good], columns=["page_id", "threshold"]).assign(xs=[p[0] for _, p in good], ys=[p[1] for _, p in good])
+            found = {id(w) for w, _ in good}
+            ways = [w for w in ways if id(w) not in found]
+            if not ways:
+                break
+
+    ways: list[tuple] = []
+    held = 0
+    for b in batches:
+        for r in b.itertuples(index=False):
+            if not r.data or not r.width or not r.height or r.width < 16 or r.height < 16:
+                continue
+            gray = _gray(r)
+            for cut in _cuts(gray):
+                dark = gray < cut
+                if DARK_SHARE[0] < np.count_nonzero(dark) / (r.width * r.height) < DARK_SHARE[1]:
+                    ways.append((r.page_id, cut, dark, least_pct / 100 * r.width * r.height))
+                    held += dark.size
+            if held >= SENT // 4:
+                yield from climbed(ways)
+                ways, held = [], 0
+    yield from climbed(ways)
 
 
 def _others(given: DataFrame, pages: DataFrame, tile: int) -> DataFrame:

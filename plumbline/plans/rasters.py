@@ -65,6 +65,8 @@ def q_raster_plans(spark, sf):
     blank, wall = [(F.lit(200), False)], [(x, False), (w, True), (200 - x - w, False)]
     door = [(x, False), (F.lit(30), True), (F.lit(6), False), (w - 36, True), (200 - x - w, False)]
     sides = [(x, False), (F.lit(3), True), (w - 6, False), (F.lit(3), True), (200 - x - w, False)]
-    pages = table(spark, sf, "supplier").select(*_picture(k, 100, 200, [(y, blank), (F.lit(3), door), (h - 6, sides), (F.lit(3), wall), (100 - y - h, blank)]))
+    # A few kilobytes of suppliers are one task's otherwise; 2,000 pictures are 40 MB of pixels.
+    rows = table(spark, sf, "supplier")
+    pages = rows.repartition(max(4 * spark.sparkContext.defaultParallelism, rows.count() // 2000), "s_suppkey").select(*_picture(k, 100, 200, [(y, blank), (F.lit(3), door), (h - 6, sides), (F.lit(3), wall), (100 - y - h, blank)]))
     drawn = raster.drawing_component(pages, tile=64).select("page_id", *[F.col(c).cast("long").alias(c) for c in ("x0", "y0", "x1", "y1")], "pixels")
     return drawn.join(shuffled(raster.envelopes(pages, tile=128).filter("nth = 1").select("page_id", F.col("area_pct").alias("envelope_pct"))), "page_id", "left")
