@@ -78,6 +78,36 @@ def _rounded(v: np.ndarray, digits: int) -> np.ndarray:
     return np.copysign(k / scale, v) + 0.0
 
 
+def _whole(v: np.ndarray, digits: int) -> np.ndarray:
+    """Rounded values as whole numbers from 0."""
+    k = np.rint(v * 10.0**digits)
+    return (k - k.min(initial=0)).astype(np.int64) if np.abs(k).max(initial=0) < 1 << 50 else np.unique(v, return_inverse=True)[1]
+
+
+def _ordered(major: np.ndarray, key: np.ndarray, *minor: np.ndarray) -> np.ndarray:
+    """The order by major, key (both whole and not negative) and minors: as lexsort, but one sort of whole numbers, and of those that are equal in both and not in a minor by themselves."""
+    bits = int(key.max(initial=0)).bit_length()
+    if bits + int(major.max(initial=0)).bit_length() > 62:
+        return np.lexsort((*minor[::-1], key, major))
+    key = (major << bits) | key
+    order = np.argsort(key)
+    key = key[order]
+    same = key[1:] == key[:-1]
+    differ = np.zeros(len(same), bool)
+    for m in minor:
+        m = m[order]
+        differ |= m[1:] != m[:-1]
+    differ &= same
+    if differ.any():
+        run = np.cumsum(np.append(True, ~same)[: len(key)]) - 1
+        mixed = np.zeros(len(key), bool)
+        mixed[run[1:][differ]] = True
+        at = np.flatnonzero(mixed[run])
+        own = order[at]
+        order[at] = own[np.lexsort((*[m[own] for m in minor[::-1]], key[at]))]
+    return order
+
+
 class _Rows:
     """Segments of whole squares, in order of square and id; at: the square of each, from 0."""
 
@@ -112,13 +142,14 @@ class _Rows:
         return i, j, _rounded(x[near], 8), _rounded(y[near], 8)
 
     def _placed(self, row: np.ndarray, x: np.ndarray, y: np.ndarray) -> tuple[np.ndarray, ...]:
-        """Points of each segment in their order along it; of those at one place the least stands."""
+        """Points of segments, and how far along they are."""
         dx, dy = self.x2[row] - self.x1[row], self.y2[row] - self.y1[row]
         t = _rounded(((x - self.x1[row]) * dx + (y - self.y1[row]) * dy) / np.hypot(dx, dy), 7)
-        return self._once(row, t, _rounded(x, 8), _rounded(y, 8))
+        return row, t, _rounded(x, 8), _rounded(y, 8)
 
     def _once(self, row: np.ndarray, t: np.ndarray, x: np.ndarray, y: np.ndarray) -> tuple[np.ndarray, ...]:
-        order = np.lexsort((y, x, t, row))
+        """Points in their order along each segment; of those at one place the least stands."""
+        order = _ordered(row, _whole(t, 7), x, y)
         row, t, x, y = row[order], t[order], x[order], y[order]
         new = np.ones(len(row), bool)
         new[1:] = (row[1:] != row[:-1]) | (t[1:] != t[:-1])
@@ -137,7 +168,9 @@ class _Rows:
             i = np.repeat(rows, n)
             i, j, x, y = self.crossed(i, i + 1 + np.arange(len(i)) - np.repeat(np.cumsum(n) - n, n))
             found.append(self._placed(np.concatenate([i, j]), np.concatenate([x, x]), np.concatenate([y, y])))
-        return found[0] if len(found) == 1 else self._once(*map(np.concatenate, zip(*found, strict=True)))
+            if sum(len(p[0]) for p in found[1:]) > 4 * TOGETHER:  # many may be at one place
+                found = [self._once(*map(np.concatenate, zip(*found, strict=True)))]
+        return self._once(*map(np.concatenate, zip(*found, strict=True)))
 
 
 def _by_squares(batches: Iterator[pd.DataFrame], each) -> Iterator[pd.DataFrame]:
@@ -216,7 +249,7 @@ def _pieces(b: pd.DataFrame, at: np.ndarray, least_area: float) -> pd.DataFrame
     edge = np.flatnonzero(told)
     row = np.concatenate([row, edge, edge])
     x, y = np.concatenate([x, rows.x1[edge], rows.x2[edge]]), np.concatenate([y, rows.y1[edge], rows.y2[edge]])
-    order = np.lexsort((y, x, at[row]))
+    order = _ordered(at[row], _whole(x, 8), y)
     ox, oy, og = x[order], y[order], at[row][order]
     new = np.ones(len(order), bool)
     new[1:] = (ox[1:] != ox[:-1]) | (oy[1:] != oy[:-1]) | (og[1:] != og[:-1])
@@ -227,23 +260,28 @@ def _pieces(b: pd.DataFrame, at: np.ndarray, least_area: float) -> pd.DataFrame
     a, z = node[beside], node[beside + 1]
     v = np.concatenate([a, z, node[points : points + len(edge)]])
     w = np.concatenate([z, a, node[points + len(edge) :]])
-    key = np.unique((v * count + w)[(v != w) & here[v]]) if count else np.zeros(0, np.int64)
+    key = np.sort((v * count + w)[(v != w) & here[v]]) if count else np.zeros(0, np.int64)
     if not len(key):
         return None
+    key = key[np.append(True, key[1:] != key[:-1])]
     v, w = key // count, key % count
     # Around each node: coming along w to v, the next side is the one before v to w against the clock.
-    around = np.lexsort((np.arctan2(ny[w] - ny[v], nx[w] - nx[v]), v))
+    angle = np.arctan2(ny[w] - ny[v], nx[w] - nx[v])
+    around = _ordered(v, ((angle + np.pi) * (1 << 28)).astype(np.int64), angle, w)
     begins = np.flatnonzero(np.diff(v, prepend=-1))
     before = np.append(-1, around[:-1])
     before[begins] = around[np.append(begins[1:], len(v)) - 1]
     turn = np.empty(len(v), np.int64)
     turn[around] = before
-    back = np.minimum(np.searchsorted(key, w * count + v), len(key) - 1)
+    # Sides w to v in their own order, each with the one that follows. Of those within the square the other way is known, too, so both are the same in order.
+    other = w * count + v
+    by = np.argsort(other)
     inside = here[w]
-    if (key[back] != w * count + v)[inside].any():
+    within = by[inside[by]]
+    back = np.zeros(len(key), np.int64)
+    back[within] = np.flatnonzero(inside)
+    if (key[back] != other)[inside].any():
         raise ValueError("a side that ends in a square isn't known there")
-    # Sides w to v in their own order, each with the one that follows.
-    by = np.argsort(w * count + v)
     rank = np.empty(len(by), np.int64)
     rank[by] = np.arange(len(by))
     out = turn[by]
